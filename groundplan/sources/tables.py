@@ -72,7 +72,7 @@ VIEWS: dict[str, str] = {
                CAST(floor(value * 10) AS BIGINT) AS duration_ms, event_type <> 'error' AS success
         FROM {events}""",
     "event_writes": """
-        SELECT CAST(event_id % 1000 AS VARCHAR(20)) AS event_id, event_type, ts, CAST(user_id AS VARCHAR(20)) AS user_id,
+        SELECT concat(CAST(user_id AS VARCHAR(20)), '-', event_type) AS event_id, event_type, ts, CAST(user_id AS VARCHAR(20)) AS user_id,
                CAST(floor(value * 10) AS BIGINT) AS duration_ms, event_id AS write_no
         FROM {events}""",
     "retrieval_metrics": """
