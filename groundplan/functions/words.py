@@ -44,3 +44,12 @@ def label(value: Column, steps: list[tuple[float, str]], other: str, strict: boo
 def listed(*pairs: tuple[Column, str]) -> Column:
     """Array of the names whose condition holds, in the given order."""
     return F.array_compact(F.array(*[F.when(test, name) for test, name in pairs]))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used.
+
+    An expression named inside a lambda is otherwise computed anew for every
+    element the lambda sees.
+    """
+    return F.transform(F.array(value), use)[0]

@@ -46,3 +46,27 @@ def running_totals(
     if rank:
         added[rank] = F.col("_rows_before") + F.row_number().over(inside)
     return joined.select(*[F.col(c) for c in df.columns], *[c.alias(n) for n, c in added.items()])
+
+
+def carry_forward(df: DataFrame, keys: list[str], bucket: Column, order: Column, values: dict[str, Column]) -> DataFrame:
+    """Add, per name, the latest non-null value up to and with each row.
+
+    Works bucket by bucket like ``running_totals``.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    latest = [F.max_by(c, F.when(c.isNotNull(), order)).alias(f"_last_{n}") for n, c in values.items()]
+    per_bucket = rows.groupBy(*keys, "_bucket").agg(*latest)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_bucket.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        F.col("_bucket").alias("_key_bucket"),
+        *[F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_carried_{n}") for n in values],
+    )
+    on = [rows[k].eqNullSafe(carried[f"_key_{k}"]) for k in keys]
+    on.append(rows["_bucket"].eqNullSafe(carried["_key_bucket"]))
+    joined = rows.join(carried, reduce(lambda a, b: a & b, on))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return joined.select(
+        *[F.col(c) for c in df.columns],
+        *[F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carried_{n}")).alias(n) for n, c in values.items()],
+    )
