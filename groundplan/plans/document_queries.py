@@ -164,7 +164,7 @@ def character_chunks(docs):
 
 
 @query("document_catalogue", "md_docs", """
-SELECT doc_id AS document_id, min(document_name) AS document_name, 'code' AS document_type, count(*) AS chunk_count FROM chunks GROUP BY 1""", CHUNKS_SQL)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, min(document_name) AS document_name, 'code' AS document_type, count(*) AS chunk_count FROM chunks GROUP BY 1""", CHUNKS_SQL)
 def document_catalogue(docs):
     from groundplan.sources.chunk_store import list_documents
 

@@ -151,6 +151,15 @@ VIEWS: dict[str, str] = {
                     WHEN 4 THEN ''
                     ELSE concat('  ', p_name) END AS response
         FROM {part}""",
+    "vector_chunks": """
+        SELECT vec_id AS chunk_id, embedding, label,
+               CASE label % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'section' ELSE 'rule' END AS target_index,
+               CASE label % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'section_overview' ELSE 'design_rule' END AS content_type,
+               CASE WHEN label % 2 = 0 THEN 'code' ELSE 'manual' END AS document_type,
+               concat(CAST(vec_id % 7 + 1 AS VARCHAR(5)), '.', CAST(vec_id % 4 + 1 AS VARCHAR(5))) AS clause_id
+        FROM {embeddings}""",
+    "text_chunks": """
+        SELECT vec_id AS chunk_id, embedding, text FROM {embeddings} JOIN {documents} ON vec_id = doc_id""",
     "lab_rows": """
         SELECT l_orderkey AS sample_id, CAST(l_linenumber AS DOUBLE) AS depth_m, l_linestatus AS test_type,
                CASE l_returnflag WHEN 'A' THEN 'cohesion_kpa' WHEN 'N' THEN 'friction_angle_deg' ELSE 'unit_weight_kn_m3' END AS parameter_name,
