@@ -18,18 +18,18 @@ class Registry:
         self.plans: dict[str, Plan] = {}
         self.sql: dict[str, str] = {}
 
-    def add(self, name: str, reads: str, sql: str | None = None, ctes: str = "") -> Callable:
+    def add(self, name: str, reads: str, sql: str | None = None, ctes: str = "", also: str = "") -> Callable:
         """Register a plan over views; the function gets one frame per view.
 
         ``sql`` is the checking query over the same views, ``ctes`` are extra
-        common table expressions it needs.
+        common table expressions it needs and ``also`` views only they read.
         """
         views = reads.split()
 
         def register(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             self.plans[name] = lambda spark, folder: build(*[view(spark, folder, v) for v in views])
             if sql is not None:
-                head = view_ctes(*views)
+                head = view_ctes(*views, *also.split())
                 parts = [p for p in (head.removeprefix("WITH RECURSIVE ").strip(), ctes.strip()) if p]
                 self.sql[name] = (f"WITH RECURSIVE {','.join(parts)}\n" if parts else "") + sql.strip()
             return build

@@ -110,21 +110,21 @@ def class_questions(embeddings, items):
     return class_queries(embeddings).join(item_queries(items), "query_id")
 
 
-@query("hybrid_fusion", "embeddings vector_chunks documents benchmark text_chunks", """
-SELECT query_id, chunk_id, round(semantic_score, 6) semantic_score, round(keyword_score, 6) keyword_score, round(combined_score, 6) combined_score, CAST(rank AS INT) rank FROM final""", FUSION_SQL)
-def hybrid_fusion(embeddings, _, __, items, chunks):
+@query("hybrid_fusion", "embeddings benchmark text_chunks", """
+SELECT query_id, chunk_id, round(semantic_score, 6) semantic_score, round(keyword_score, 6) keyword_score, round(combined_score, 6) combined_score, CAST(rank AS INT) rank FROM final""", FUSION_SQL, also="vector_chunks documents")
+def hybrid_fusion(embeddings, items, chunks):
     return search.hybrid_search(class_questions(embeddings, items), chunks).selectExpr(
         "query_id", "chunk_id", "round(semantic_score, 6) semantic_score", "round(keyword_score, 6) keyword_score",
         "round(combined_score, 6) combined_score", "rank",
     )
 
 
-@query("two_stage_search", "embeddings vector_chunks documents benchmark text_chunks", rf"""
+@query("two_stage_search", "embeddings benchmark text_chunks", rf"""
 SELECT query_id, chunk_id, shared AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, chunk_id) AS INT) AS rank
 FROM (SELECT f.query_id, f.chunk_id, count(DISTINCT w.token) AS shared FROM final f LEFT JOIN wanted w ON w.query_id = f.query_id
         AND EXISTS (SELECT 1 FROM postings p WHERE p.chunk_id = f.chunk_id AND p.token = w.token) GROUP BY ALL)
-QUALIFY rank <= 5""", FUSION_SQL)
-def two_stage_search(embeddings, _, __, items, chunks):
+QUALIFY rank <= 5""", FUSION_SQL, also="vector_chunks documents")
+def two_stage_search(embeddings, items, chunks):
     questions = class_questions(embeddings, items)
     shared = F.size(F.array_intersect(X.tokens(F.col("query_text")), X.tokens(F.col("chunk_text")))).cast("bigint")
     first = search.hybrid_search(questions, chunks)
@@ -385,7 +385,7 @@ _RULES_TEXT = V.CITATION_RULES.replace("'", "''")
 SELECT query_id, md5(concat('Query: question ', query_id, chr(10), chr(10), '## Retrieved Engineering Knowledge', chr(10), chr(10), string_agg(part, '' ORDER BY clause_id), '{_RULES_TEXT}')) AS context_md5
 FROM (SELECT query_id, clause_id, concat('### [', clause_id, '] ', min(title), ' (Page ', min(coalesce(page, '0')), ')', chr(10),
              string_agg(concat(CASE role WHEN 'primary' THEN '[PRIMARY]' ELSE '[REFERENCED]' END, ':', chr(10), text, chr(10), chr(10)), '' ORDER BY position)) AS part
-      FROM (SELECT e.*, string_split(e.chunk_id, ':')[2] AS clause_id, n.title, n.page, n.text FROM expanded e JOIN nodes n ON n.chunk_id = e.chunk_id) GROUP BY ALL)
+      FROM (SELECT e.*, string_split(e.chunk_id, ':')[2] AS clause_id, n.title, n.page, n.text FROM expanded e JOIN nodes n ON n.chunk_id = e.chunk_id) GROUP BY query_id, clause_id)
 GROUP BY query_id""", EXPAND_SQL)
 def context_assembly(docs):
     results, chunks = expansion(docs)
