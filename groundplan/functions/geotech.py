@@ -133,6 +133,17 @@ def toe_stress(soil_type, cohesion, friction, unit_weight, toe_depth, diameter)
     return F.least(F.when(sandy, unit_weight * toe_depth * nq).otherwise(cohesion * 9.0), F.lit(10000.0))
 
 
+def single_pile(diameter, length, cohesion, friction, unit_weight, fos=2.5) -> dict[str, Column]:
+    """Capacity of a pile in one layer; more than 5 kPa of cohesion makes it clay."""
+    soil = [F.when(cohesion > 5, "cohesive").otherwise("granular"), cohesion, friction, unit_weight]
+    shaft = shaft_stress(*soil, length / 2) * math.pi * diameter * length
+    end = toe_stress(*soil, length, diameter) * math.pi * diameter * diameter / 4
+    return {
+        "ultimate_shaft_kn": shaft, "ultimate_end_kn": end, "ultimate_total_kn": shaft + end, "allowable_shaft_kn": shaft / fos,
+        "allowable_end_kn": end / (fos + 0.5), "allowable_total_kn": (shaft + end) / fos,
+    }
+
+
 def group_efficiency(spacing_ratio, piles_x, piles_y, method: str = "Converse-Labarre") -> Column:
     if method != "Converse-Labarre":
         return F.when(spacing_ratio < 3, 0.7).otherwise(0.85)

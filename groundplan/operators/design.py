@@ -121,19 +121,8 @@ def pile_capacity(piles: DataFrame, layers: DataFrame, *, fos: float = 2.5, key:
 
 
 def single_layer_piles(cases: DataFrame, *, fos: float = 2.5) -> DataFrame:
-    """Capacity of piles in one layer; more than 5 kPa of cohesion makes it clay."""
-    soil_type = F.when(F.col("soil_cohesion_kpa") > 5, "cohesive").otherwise("granular")
-    soil = [soil_type, *_columns("soil_cohesion_kpa", "soil_friction_angle_deg", "soil_unit_weight_kn_m3")]
-    length, diameter = F.col("pile_length_m"), F.col("pile_diameter_m")
-    shaft = G.shaft_stress(*soil, length / 2) * math.pi * diameter * length
-    end = G.toe_stress(*soil, length, diameter) * math.pi * diameter * diameter / 4
-    rows = cases.withColumns({"ultimate_shaft_kn": shaft, "ultimate_end_kn": end})
-    return rows.withColumns(
-        {
-            "ultimate_total_kn": shaft + end, "allowable_shaft_kn": shaft / fos, "allowable_end_kn": end / (fos + 0.5),
-            "allowable_total_kn": (shaft + end) / fos,
-        }
-    )
+    names = ["pile_diameter_m", "pile_length_m", "soil_cohesion_kpa", "soil_friction_angle_deg", "soil_unit_weight_kn_m3"]
+    return cases.withColumns(G.single_pile(*_columns(*names), fos=fos))
 
 
 def pile_groups(capacities: DataFrame, *, method: str = "Converse-Labarre") -> DataFrame:
@@ -330,12 +319,10 @@ def _calculations() -> dict[str, Calculation]:
             ).items()
             if n in ("ka", "kp", "total_active_force", "point_of_application_m")
         },
-        "pile_axial_capacity": lambda i: {
-            "shaft_kn": G.shaft_stress(
-                F.when(i["soil_cohesion_kpa"] > 5, "cohesive").otherwise("granular"), i["soil_cohesion_kpa"],
-                i["soil_friction_angle_deg"], i["soil_unit_weight_kn_m3"], i["pile_length_m"] / 2,
-            ) * math.pi * i["pile_diameter_m"] * i["pile_length_m"],
-        },
+        "pile_axial_capacity": lambda i: G.single_pile(
+            i["pile_diameter_m"], i["pile_length_m"], i["soil_cohesion_kpa"], i["soil_friction_angle_deg"],
+            i["soil_unit_weight_kn_m3"], or_value(i, "factor_of_safety", 2.5),
+        ),
         "retaining_wall_stability": lambda i: {
             n: c
             for n, c in G.wall_stability(
