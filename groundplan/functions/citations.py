@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from groundplan import fixed_values as V
 from groundplan.functions.text import CLAUSE_START
-from groundplan.functions.words import SPACE, let, strip
+from groundplan.functions.words import SPACES, let, strip
 
 # stands in for text that a citation has taken; the comma ends a document name
 _TAKEN = "\u0001,\u0001"
@@ -109,7 +109,7 @@ def citations_with_offsets(text: Column) -> Column:
 
 def normal_clause(clause: Column) -> Column:
     """Clause number without a leading word; the text itself when it has none."""
-    bare = strip(F.regexp_replace(clause, rf"(?i)^(Clause|Section|Clauses?|Sections?)[{SPACE}]*", ""))
+    bare = strip(F.regexp_replace(clause, r"(?iU)^(Clause|Section|Clauses?|Sections?)\s*", ""))
     number = F.nullif(F.regexp_extract(bare, CLAUSE_START, 1), F.lit(""))
     return F.when(F.coalesce(clause, F.lit("")) != "", F.coalesce(number, bare))
 
@@ -128,7 +128,7 @@ def documents_match(a: Column, b: Column) -> Column:
     tests = (left == right) | right.contains(left) | left.contains(right)
     for short, full in V.DOCUMENT_ABBREVIATIONS.items():
         tests = tests | (left.contains(short) & right.contains(full)) | (left.contains(full) & right.contains(short))
-    narrow = lambda c: F.regexp_replace(c, f"[{SPACE}]+", " ")
+    narrow = lambda c: F.regexp_replace(c, SPACES, " ")
     tests = tests | narrow(right).contains(narrow(left)) | narrow(left).contains(narrow(right))
     return F.coalesce(given & tests, F.lit(False))
 

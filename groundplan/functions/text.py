@@ -9,24 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundplan import fixed_values as V
-from groundplan.functions.words import SPACE, contains_any, strip, words
+from groundplan.functions.words import contains_any, count_words, strip
 
 # fixed values: patterns of clauses, references and pages
 CLAUSE_START = r"^(\d+(?:\.\d+)*)"
 CROSS_REFERENCE = r"(?i)Clause\s+(\d+(?:\.\d+)+)"
 PAGE_IN_TITLE = r"(?i)Page\s+(\d+)"
 PAGE_IN_TEXT = r"(?i)\[?Page\s+(\d+)\]?"
+PLAIN_WORD = r"(?<![\p{L}\p{N}_])[a-z]{2,}(?![\p{L}\p{N}_])"
 LINE_BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 
 
 def tokens(text: Column) -> Column:
     """Lower-case words of at least two plain letters that are no stop words, with repeats.
 
-    Splitting on what is no letter, digit or underscore finds the same words as
-    a word boundary search, also next to accented letters.
+    A word ends where no letter, digit or underscore of any alphabet follows.
     """
-    parts = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
-    return F.filter(parts, lambda w: w.rlike("^[a-z]{2,}$") & ~w.isin(*V.STOP_WORDS))
+    found = F.regexp_extract_all(F.lower(text), F.lit(PLAIN_WORD), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(*V.STOP_WORDS))
 
 
 def regulatory_strength(text: Column) -> Column:
@@ -88,12 +88,8 @@ def routed_index(kind: Column, level: Column) -> Column:
     )
 
 
-def word_count(text: Column) -> Column:
-    return F.size(words(text))
-
-
 def token_estimate(text: Column) -> Column:
-    return word_count(text) * F.lit(V.TOKENS_PER_WORD)
+    return count_words(text) * F.lit(V.TOKENS_PER_WORD)
 
 
 def document_key(file_name: Column) -> Column:

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# whitespace as Unicode text handling knows it, for use inside a character class
-SPACE = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# whitespace as Unicode text handling knows it: as characters, as a pattern, and without line ends
+SPACE_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = r"(?U)[\s\x1c-\x1f]+"
+GAP = r"[\s\x1c-\x1f&&[^\n]]"
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
@@ -18,12 +20,18 @@ def contains_any(text: Column, words: list[str]) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def words(text: Column) -> Column:
     """The whitespace separated words of ``text``."""
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(text, SPACES), lambda w: w != "")
+
+
+def count_words(text: Column) -> Column:
+    """Number of words, without building a list of them element by element."""
+    bare = strip(text)
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACES)))
 
 
 def days_between(end: Column, start: Column) -> Column:

@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 
 from groundplan import fixed_values as V
 from groundplan.functions import text as X
-from groundplan.functions.words import SPACE, let, strip, words
+from groundplan.functions.words import GAP, count_words, let, strip, words
 from groundplan.operators.running import carry_forward, running_totals
 
-_GAP = f"[{SPACE}&&[^\\n]]"
-# fixed values: a heading line, and the same as the start of a section
-HEADING = rf"(?md)^(#{{1,4}}){_GAP}+(.+)$"
-_SECTION_START = rf"(?md)(?=^#{{1,4}}{_GAP}+.+$)"
+# fixed values: a heading line, and the place before one
+HEADING = rf"(?sU)^(#{{1,4}}){GAP}+(.+)$"
+SECTION_START = rf"(?mdU)(?=^#{{1,4}}{GAP}+.+$)"
 PAGE_MARK = r"\[Page (\d+)\]"
 _ITEMS_PER_PART = 4096
 
@@ -29,15 +28,15 @@ def _section(title: Column, level: Column, body: Column) -> Column:
 def sections_of(text: Column) -> Column:
     """Headed sections of a text as an array; empty sections are left out."""
 
-    def read(piece: Column) -> Column:
-        line = F.substring_index(piece, "\n", 1)
-        headed = line.rlike(rf"(?s)^#{{1,4}}{_GAP}+.+$")
+    def read(piece: Column, line: Column) -> Column:
+        headed = line.rlike(HEADING)
         rest = F.when(piece.contains("\n"), F.substr(piece, F.length(line) + 2)).otherwise("")
-        title = F.when(headed, strip(F.regexp_extract(line, rf"(?s)^#{{1,4}}{_GAP}+(.+)$", 1))).otherwise(V.PREAMBLE_TITLE)
-        level = F.when(headed, F.length(F.regexp_extract(line, "^(#{1,4})", 1))).otherwise(0)
+        title = F.when(headed, strip(F.regexp_extract(line, HEADING, 2))).otherwise(V.PREAMBLE_TITLE)
+        level = F.when(headed, F.length(F.regexp_extract(line, HEADING, 1))).otherwise(0)
         return _section(title, level, strip(F.when(headed, rest).otherwise(piece)))
 
-    return F.filter(F.transform(F.split(text, _SECTION_START), read), lambda s: s["text"] != "")
+    sections = F.transform(F.split(text, SECTION_START), lambda p: let(F.substring_index(p, "\n", 1), lambda line: read(p, line)))
+    return F.filter(sections, lambda s: s["text"] != "")
 
 
 def page_sections(text: Column) -> Column:
@@ -102,7 +101,7 @@ def pack_paragraphs(text: Column, max_tokens: int = V.MAX_CHUNK_TOKENS, overlap_
     finish = lambda s: F.concat(s["done"], F.array(span(s["first"], s["at"] - 1)))
 
     def pack(paragraphs: Column) -> Column:
-        items = F.transform(paragraphs, lambda p: F.struct((F.size(words(p)) * F.lit(V.TOKENS_PER_WORD)).alias("size")))
+        items = F.transform(paragraphs, lambda p: F.struct((count_words(p) * F.lit(V.TOKENS_PER_WORD)).alias("size")))
         return F.transform(F.aggregate(items, start, add, finish), lambda s: _joined(paragraphs, s))
 
     return let(F.split(text, "\n\n"), pack)
@@ -170,7 +169,7 @@ def section_chunks(
     keys = ["document_id", "document_name", "document_type"]
     sections = section_table(docs, keys, max_tokens=max_tokens)
     large = X.token_estimate(F.col("text")) > max_tokens
-    parts = F.when(large, pack_paragraphs(F.col("text"), max_tokens, overlap_tokens)).otherwise(F.array("text"))
+    parts = F.when(F.col("_large"), pack_paragraphs(F.col("text"), max_tokens, overlap_tokens)).otherwise(F.array("text"))
     pieces = sections.withColumn("_large", large).select(
         *keys, "section_no", "title", "level", "_large", F.posexplode(parts).alias("part_no", "text")
     )

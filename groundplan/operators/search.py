@@ -224,7 +224,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, *, k: int = 5) -> DataFrame:
     Design questions search sections first, data questions tables, all others
     everything. References of design results are added by ``graph.expand``.
     """
-    routed = route_queries(queries)
+    routed = cut_lineage(route_queries(queries).select("query_id", "query_type", "embedding"))
     of = lambda *kinds: routed.filter(F.col("query_type").isin(*kinds)).select("query_id", "embedding")
     design = hierarchical_search(of("comprehensive_design"), chunks, k=k).drop("stage")
     tables = vector_topk(of("data_lookup"), chunks.filter(F.col("content_type") == "table"), k=k)

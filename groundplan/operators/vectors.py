@@ -16,7 +16,7 @@ from groundplan import fixed_values as V
 from groundplan.operators import cache
 
 # query vectors held by a task at a time: at most this many, and this many bytes
-BLOCK_QUERIES = 16_384
+BLOCK_QUERIES = 8_192
 BLOCK_BYTES = 64 * 1024 * 1024
 # scores computed at a time in a task
 _SCORES = 4_000_000
@@ -102,31 +102,29 @@ def _local_top(query_ids, queries, allowed, size: int, threshold: float, count:
     return run
 
 
-def vector_size(vectors: DataFrame) -> int:
-    """Length of the vectors, taken from one row."""
-    row = vectors.filter(F.col("embedding").isNotNull()).select(F.size("embedding")).head()
-    return row[0] if row else 0
-
-
-def _query_blocks(queries: DataFrame, size: int, within: DataFrame | None) -> Iterator[tuple[list, np.ndarray, dict | None]]:
+def _query_blocks(queries: DataFrame, within: DataFrame | None) -> Iterator[tuple[list, np.ndarray, dict | None]]:
     """The query vectors in blocks of checked size.
 
     One block is the usual case. A larger query table is cut by a hash of the
     query id, and every block is one more pass over the chunks.
     """
-    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.filter(F.size("embedding") == size)
-    limit = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * max(1, size))))
-    total = rows.count()
-    blocks = 1 if total <= limit else math.ceil(2 * total / limit)
+    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.size("embedding") > 0)
+    blocks, limit = 1, BLOCK_QUERIES
+    table = rows.limit(limit + 1).toArrow()
+    if not table.num_rows:
+        return
+    size = len(table.column(1)[0])
+    if table.num_rows > limit or table.num_rows * size * 8 > BLOCK_BYTES:
+        limit = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * size)))
+        blocks = math.ceil(2 * rows.count() / limit)
     of_block = lambda df, block: df if blocks == 1 else df.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
     for block in range(blocks):
-        table = of_block(rows, block).limit(limit + 1).toArrow()
-        if table.num_rows > limit:
+        part = table if blocks == 1 else of_block(rows, block).limit(limit + 1).toArrow()
+        if part.num_rows > limit:
             raise ValueError(f"query block {block} has more than {limit} rows: query ids repeat")
-        if table.num_rows:
-            ids = table.column(0).to_pylist()
-            yield ids, _unit(_matrix(table.column(1), size)), _clause_rows(of_block(within, block), ids) if within is not None else None
+        if part.num_rows:
+            ids = part.column(0).to_pylist()
+            yield ids, _unit(_matrix(part.column(1), size)), _clause_rows(of_block(within, block), ids) if within is not None else None
 
 
 def _clause_rows(within: DataFrame, ids: list) -> dict[str, np.ndarray]:
@@ -162,23 +160,23 @@ def vector_topk(
     clause) limits a query to chunks at or below its clauses.
     """
     count = per_collection or 2 * k
-    size = vector_size(queries)
     spark = queries.sparkSession
     group = F.col("target_index") if "target_index" in chunks.columns else F.lit("main")
     clause = [F.coalesce("clause_id", F.lit("")).alias("clause_id")] if within is not None else []
     group = F.coalesce(group, F.lit("main")).alias("target_index")
-    vectors = chunks.filter(F.size("embedding") == size).select("chunk_id", group, "embedding", *clause)
+    vectors = chunks.select("chunk_id", group, "embedding", *clause)
     types = {"query_id": queries.schema["query_id"].dataType, "chunk_id": vectors.schema["chunk_id"].dataType}
     schema = f"query_id {types['query_id'].simpleString()}, chunk_id {types['chunk_id'].simpleString()}, target_index string, score double"
     arrow = lambda name: pa.int64() if types[name].simpleString() == "bigint" else pa.int32() if types[name].simpleString() == "int" else pa.string()
     hits = []
     share = spark.sparkContext.broadcast
-    for ids, matrix, allowed in _query_blocks(queries, size, within):
+    for ids, matrix, allowed in _query_blocks(queries, within):
+        size = matrix.shape[1]
         search = _local_top(
             share(ids), share(matrix), None if allowed is None else share(allowed), size, threshold, count,
             arrow("chunk_id"), arrow("query_id"), pa.string(),
         )
-        hits.append(vectors.mapInArrow(search, schema))
+        hits.append(vectors.filter(F.size("embedding") == size).mapInArrow(search, schema))
     if not hits:
         return spark.createDataFrame([], schema + ", rank int")
     found = reduce(DataFrame.unionByName, hits)

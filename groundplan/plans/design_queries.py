@@ -62,12 +62,12 @@ SELECT source AS job_id, count(*) AS total_files, count(*) FILTER (n_chars >= 10
        coalesce(array_to_string((list(concat('doc', doc_id, ': text too short') ORDER BY concat('doc', doc_id)) FILTER (n_chars < 100))[1:10], ';'), '') AS errors
 FROM documents GROUP BY 1""")
 def ingest_jobs(docs):
-    from groundplan.functions.text import word_count
+    from groundplan.functions.words import count_words
 
     short = F.length("text") < 100
     results = docs.select(
         F.col("source").alias("job_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_path"), (~short).alias("success"),
-        F.when(short, 0).otherwise(F.ceil(word_count(F.col("text")) / 615)).alias("chunks_created"), F.when(short, "text too short").alias("error"),
+        F.when(short, 0).otherwise(F.ceil(count_words(F.col("text")) / 615)).alias("chunks_created"), F.when(short, "text too short").alias("error"),
     )
     return job_status(results).selectExpr(
         "job_id", "total_files", "processed_files", "failed_files", "status", "round(progress_percent, 6) progress_percent", "array_join(errors, ';') errors"

@@ -10,6 +10,7 @@ from groundplan.operators import chunking, context, graph, search, vectors
 from groundplan.plans.document_queries import CHUNKS_SQL, manual_docs
 from groundplan.plans.programme_queries import sql_any
 from groundplan.plans.registry import Registry
+from groundplan.session import stored
 from groundplan.sources import chunk_store
 
 REGISTRY = Registry()
@@ -298,15 +299,16 @@ nodes AS (SELECT doc_id, concat(doc_id, ':', clause_id) AS chunk_id, section_no,
 edges AS (SELECT DISTINCT chunk_id AS src, concat(doc_id, ':', ref) AS dst FROM (SELECT chunk_id, doc_id, unnest(refs) AS ref FROM nodes))"""
 
 
-def graph_chunks(docs):
+def graph_chunks(docs, reused=False):
     """First chunk of each clause of a document, with references to its other clauses."""
     chunks = chunking.section_chunks(manual_docs(docs)).filter("part_no = 0")
     prefix = F.col("document_id").cast("string")
     key = lambda c: F.concat(prefix, F.lit(":"), c)
-    return chunks.select(
+    rows = chunks.select(
         "document_id", key(F.col("clause_id")).alias("chunk_id"), "clause_id", "clause_title", F.coalesce("page_number", F.lit(0)).alias("page_number"),
         "section_no", "text", "char_count", F.transform("cross_references", key).alias("references"),
     )
+    return stored(rows) if reused else rows
 
 
 @query("graph_edges", "md_docs", "SELECT src, dst FROM edges", GRAPH_SQL)
@@ -324,7 +326,7 @@ def graph_neighbours(docs):
 SELECT chunk_id, (SELECT count(*) FROM edges WHERE src = chunk_id) AS out_degree, (SELECT count(*) FROM edges WHERE dst = chunk_id) AS in_degree,
        chunk_id IN (SELECT src FROM edges) AS has_references FROM nodes""", GRAPH_SQL)
 def graph_degrees(docs):
-    chunks = graph_chunks(docs)
+    chunks = graph_chunks(docs, reused=True)
     return graph.degrees(chunks, graph.edges_of(chunks))
 
 
@@ -335,7 +337,7 @@ def graph_stats(docs):
 
 @query("edge_upsert", "md_docs", "SELECT src, dst FROM edges UNION SELECT dst, src FROM edges", GRAPH_SQL)
 def edge_upsert(docs):
-    edges = graph.edges_of(graph_chunks(docs))
+    edges = graph.edges_of(graph_chunks(docs, reused=True))
     return graph.add_edges(edges, edges.selectExpr("dst src", "src dst"))
 
 
@@ -360,7 +362,7 @@ def expansion(docs):
     """Each document's clauses, shortest first, as primaries of one query."""
     from pyspark.sql import Window
 
-    chunks = graph_chunks(docs)
+    chunks = graph_chunks(docs, reused=True)
     by_size = Window.partitionBy("document_id").orderBy("char_count", "section_no")
     primaries = chunks.select(F.col("document_id").alias("query_id"), F.row_number().over(by_size).alias("rank"), "chunk_id", "references")
     return graph.expand(primaries, graph.edges_of(chunks), chunks), chunks

@@ -225,9 +225,23 @@ def inputs_of(text: str) -> list[str]:
     return [n for n in dict.fromkeys(names) if n in VIEWS or n in TABLES]
 
 
+# tables whose rows take much work each
+_TEXT_TABLES = {"documents", "part"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when its files give fewer tasks than that.
+
+    A table of many files has more tasks than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One parquet table of the folder, with zone-less times read as UTC times."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spread(df) if name in _TEXT_TABLES else df
     zoneless = [c for c, t in df.dtypes if t == "timestamp_ntz"]
     return df.withColumns({c: df[c].cast("timestamp") for c in zoneless}) if zoneless else df
 
