@@ -13,7 +13,8 @@ from groundplan.functions.text import CLAUSE_START
 from groundplan.functions.words import SPACES, let, strip
 
 # stands in for text that a citation has taken; the comma ends a document name
-_TAKEN = "\u0001,\u0001"
+_MARK = "\u0001"
+_TAKEN = f"{_MARK},{_MARK}"
 _CITATION = "struct<form: string, document: string, clause_id: string, page: int, raw: string>"
 
 
@@ -67,7 +68,7 @@ def _take(form: str):
 
     def step(state: Column) -> Column:
         matches = F.regexp_extract_all(state["text"], F.lit(V.CITATION_FORMS[form]), F.lit(0))
-        return let(F.filter(matches, lambda m: ~m.contains(_TAKEN)), lambda kept: add(state, kept))
+        return let(F.filter(matches, lambda m: ~m.contains(_MARK)), lambda kept: add(state, kept))
 
     return step
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,7 +119,6 @@ ALL_RULES = [*FOS_RULES, *SECTION_RULES, *RANGE_RULES, *INFO_RULES]
 
 def python_rule(check: Callable[[str], tuple[bool, str]]) -> Callable[[Column], Column]:
     """A rule from a plain function of the text, run on Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf(_RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -348,7 +348,7 @@ def lookahead_report(tasks):
 
 
 @query("coordination_report", "tasks", """
-SELECT project_id, 1 AS section, crew AS key, '' AS second_key, concat(crew, ':', chr(10), '  Tasks: ', tasks, ' | Avg Progress: ', format('{:.1f}', round(avg_progress, 1)), '%', chr(10),
+SELECT project_id, 1 AS section, crew AS key, '' AS second_key, concat(crew, ':', chr(10), '  Tasks: ', tasks, ' | Avg Progress: ', format('{:.1f}', avg_progress), '%', chr(10),
        '  Period: ', CAST(first_start AS VARCHAR), ' to ', CAST(last_end AS VARCHAR)) line FROM crews
 UNION ALL
 SELECT project_id, 2, from_crew, to_crew, concat('  ', CAST(day AS VARCHAR), ': ', from_crew, ' -> ', to_crew, chr(10), '    From: ', from_tasks, chr(10), '    To: ', to_tasks)

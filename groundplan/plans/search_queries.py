@@ -164,7 +164,7 @@ def hierarchical_prefix_search(embeddings, chunks):
 
 
 @query("routed_retrieval", "embeddings vector_chunks questions", r"""
-SELECT query_id, query_type, chunk_id, CAST(rank AS INT) AS rank, role, relevance_score FROM (
+SELECT query_id, query_type, chunk_id, CAST(rank AS INT) AS rank, role, CAST(relevance_score AS DOUBLE) AS relevance_score FROM (
   SELECT query_id, 'data_lookup' AS query_type, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) rank, 'primary' AS role, 1.0 AS relevance_score
   FROM scored WHERE score >= 0.3 AND content_type = 'table' AND query_id IN (SELECT question_id FROM questions WHERE question_id % 9 = 2)
   UNION ALL
@@ -369,7 +369,7 @@ def expansion(docs):
 
 
 @query("graph_expand", "md_docs", """
-SELECT query_id, position, chunk_id, role, referenced_from, CASE role WHEN 'reference' THEN 0.8 ELSE 1.0 END AS relevance_score FROM expanded""", EXPAND_SQL)
+SELECT query_id, position, chunk_id, role, referenced_from, CAST(CASE role WHEN 'reference' THEN 0.8 ELSE 1.0 END AS DOUBLE) AS relevance_score FROM expanded""", EXPAND_SQL)
 def graph_expand(docs):
     return expansion(docs)[0].selectExpr("query_id", "position", "chunk_id", "role", "coalesce(referenced_from, '') referenced_from", "cast(relevance_score as double) relevance_score")
 

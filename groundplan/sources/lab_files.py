@@ -14,7 +14,8 @@ def file_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
     The kind of a CSV file shows in its first line, so only that line is read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = files.select(F.col("_metadata.file_path").alias("path"))
     ending = F.lower(F.substring_index("path", ".", -1))
     lines = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{csv,CSV}").text(folder)

@@ -97,9 +97,9 @@ def read_documents(spark: SparkSession, folder: str, *, pattern: str = "*.txt",
     """Extracted text files as documents, ready for chunking."""
     from groundplan.functions.text import document_key
 
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    name = F.col("_metadata.file_name")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    name = F.substring_index("path", "/", -1)
     return rows.select(
         document_key(name).alias("document_id"), F.regexp_replace(name, r"\.[^.]*$", "").alias("document_name"),
-        F.lit(document_type).alias("document_type"), F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"),
+        F.lit(document_type).alias("document_type"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "path",
     )
