@@ -56,13 +56,18 @@ def evm_metrics(tasks: DataFrame, *, as_of, keys: list[str] = PROJECT) -> DataFr
 
 
 def evm_trend(tasks: DataFrame, *, keys: list[str] = PROJECT) -> DataFrame:
-    """Running budget and earned value along the start date."""
+    """Running budget and earned value along the start date.
+
+    Tasks of one day follow a hash of their id, which also cuts a day on which
+    very many tasks start into parts.
+    """
     rows = tasks.select(*keys, "task_id", "start_date", "budget_cost", "percent_complete")
+    part = F.substring(F.md5("task_id"), 1, 2)
     return running_totals(
         rows,
         keys,
-        bucket=F.to_date("start_date"),
-        order=[F.col("start_date"), F.col("task_id")],
+        bucket=F.struct(F.col("start_date").alias("start"), part.alias("part")),
+        order=[F.col("task_id")],
         totals={
             "cumulative_budget": F.col("budget_cost"),
             "cumulative_ev": F.col("budget_cost") * F.col("percent_complete") / 100,
@@ -238,6 +243,14 @@ def progress_dates(tasks: DataFrame) -> DataFrame:
     )
 
 
+def with_status(tasks: DataFrame) -> DataFrame:
+    """Tasks with the status and remaining duration that follow from their progress."""
+    percent = F.col("percent_complete")
+    return tasks.withColumns(
+        {"status": risk.task_status(percent), "remaining_duration": risk.remaining_duration(F.col("original_duration"), percent)}
+    )
+
+
 def activity_list(tasks: DataFrame) -> DataFrame:
     """Tasks in work breakdown and start order."""
     return tasks.orderBy("wbs", "start_date", "task_id")

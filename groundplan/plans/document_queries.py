@@ -193,6 +193,24 @@ def chunk_filter(docs):
     return rows.select("document_id", "section_no", "part_no")
 
 
+@query("document_delete", "md_docs", """
+SELECT doc_id AS document_id, section_no, part_no FROM chunks WHERE doc_id <> 7""", CHUNKS_SQL)
+def document_delete(docs):
+    from groundplan.sources.chunk_store import without_document
+
+    return without_document(manual_chunks(docs), 7).select("document_id", "section_no", "part_no")
+
+
+@query("chunk_lookup", "md_docs", """
+SELECT doc_id AS document_id, section_no, part_no, clause_id FROM chunks WHERE doc_id = 7 AND section_no = 1 AND part_no = 0""", CHUNKS_SQL)
+def chunk_lookup(docs):
+    from hashlib import sha256
+
+    from groundplan.sources.chunk_store import by_chunk_id
+
+    return by_chunk_id(manual_chunks(docs), sha256(b"7|1|0").hexdigest()).select("document_id", "section_no", "part_no", "clause_id")
+
+
 @query("chunk_dump", "md_docs", r"""
 SELECT doc_id AS document_id, md5(concat('Document: ', min(document_name), chr(10), 'Total Chunks: ', count(*), chr(10), repeat('=', 80), chr(10), chr(10),
        string_agg(concat(repeat('─', 80), chr(10), 'CHUNK ', n, chr(10), repeat('─', 80), chr(10),

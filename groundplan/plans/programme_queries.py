@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from groundplan import fixed_values as V
 from groundplan.operators import programme, render
 from groundplan.plans.registry import Registry
 from groundplan.sources import photos
+from groundplan.sources.schedule_export import parse_date
 from groundplan.sources.tables import AS_OF_DATE
 
 REGISTRY = Registry()
@@ -47,7 +50,7 @@ def evm_metrics(tasks):
 SELECT project_id, task_id, CAST(start_date AS VARCHAR) start_date,
        round(sum(budget_cost) OVER w, 2) cumulative_budget,
        round(sum(budget_cost * percent_complete / 100) OVER w, 2) cumulative_ev
-FROM tasks WINDOW w AS (PARTITION BY project_id ORDER BY start_date, task_id ROWS UNBOUNDED PRECEDING)""")
+FROM tasks WINDOW w AS (PARTITION BY project_id ORDER BY start_date, left(md5(task_id), 2), task_id ROWS UNBOUNDED PRECEDING)""")
 def evm_trend(tasks):
     return programme.evm_trend(tasks).selectExpr(
         "project_id", "task_id", "cast(start_date as string) start_date",
@@ -407,6 +410,20 @@ def activity_table(tasks):
     return programme.activity_table(programme.activity_list(tasks))
 
 
+@query("task_status", "tasks", """
+SELECT project_id, task_id, CASE WHEN percent_complete = 100 THEN 'Complete' WHEN percent_complete > 0 THEN 'In Progress' ELSE 'Not Started' END AS status,
+       round(original_duration * (1 - percent_complete / 100), 6) AS remaining_duration FROM tasks""")
+def task_status(tasks):
+    return programme.with_status(tasks).selectExpr("project_id", "task_id", "status", "round(remaining_duration, 6) remaining_duration")
+
+
+@query("date_parsing", "tasks", """
+SELECT project_id, task_id, CASE WHEN task_no % 3 = 2 THEN 'none' ELSE CAST(start_date AS VARCHAR) END AS start_date FROM tasks""")
+def date_parsing(tasks):
+    text = F.expr("case task_no % 3 when 0 then cast(start_date as string) when 1 then concat(cast(start_date as string), ' 07:30:00') else 'soon' end")
+    return tasks.select("project_id", "task_id", F.coalesce(F.date_format(parse_date(text), "yyyy-MM-dd"), F.lit("none")).alias("start_date"))
+
+
 @query("schedule_context", "tasks resources", """
 SELECT project_id, string_agg(line, chr(10) ORDER BY section, pos) AS text FROM lines GROUP BY project_id""", SUMMARY_SQL.strip() + """,
 firsts AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY start_date, task_id) pos FROM tasks QUALIFY pos <= 50),

@@ -29,9 +29,18 @@ class Registry:
         def register(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             self.plans[name] = lambda spark, folder: build(*[view(spark, folder, v) for v in views])
             if sql is not None:
-                head = view_ctes(*views, *also.split())
-                parts = [p for p in (head.removeprefix("WITH RECURSIVE ").strip(), ctes.strip()) if p]
-                self.sql[name] = (f"WITH RECURSIVE {','.join(parts)}\n" if parts else "") + sql.strip()
+                self.sql[name] = self._text(sql, ctes, [*views, *also.split()])
             return build
 
         return register
+
+    def add_plan(self, name: str, plan: Plan, reads: str, sql: str) -> None:
+        """Register a plan that opens the data folder itself, such as a stream."""
+        self.plans[name] = plan
+        self.sql[name] = self._text(sql, "", reads.split())
+
+    @staticmethod
+    def _text(sql: str, ctes: str, views: list[str]) -> str:
+        head = view_ctes(*views).removeprefix("WITH RECURSIVE ").strip()
+        parts = [p for p in (head, ctes.strip()) if p]
+        return (f"WITH RECURSIVE {','.join(parts)}\n" if parts else "") + sql.strip()

@@ -157,3 +157,60 @@ def cache_keys(requests):
         cache.answer_key(F.col("text"), F.lit("system"), F.lit("model")).alias("answer_key"),
         cache.search_key(F.col("text"), filters).alias("search_key"),
     )
+
+
+# --- streams ------------------------------------------------------------
+
+
+def _stream(spark, folder):
+    """The event table as a stream of its files, in the shape of usage events."""
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return rows.selectExpr(
+        "concat(cast(user_id as string), '-', event_type) event_id", "event_type", "cast(ts as timestamp) ts", "cast(user_id as string) user_id",
+        "cast(floor(value * 10) as bigint) duration_ms", "event_type <> 'error' success",
+    )
+
+
+def _folders(spark):
+    from uuid import uuid4
+
+    from groundplan.session import ensure_checkpoint_dir
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid4().hex}"
+    return f"{base}/table", f"{base}/state"
+
+
+def _event_upsert_stream(spark, folder):
+    from groundplan.streaming import events
+
+    table, state = _folders(spark)
+    events.upsert_events(_stream(spark, folder), table, state, available_now=True, buckets=8).awaitTermination()
+    return events.current_events(spark, table).select("event_id", "event_type", "user_id", "duration_ms", "success")
+
+
+def _daily_usage_stream(spark, folder):
+    from groundplan.streaming import events
+
+    table, state = _folders(spark)
+    events.write_daily_usage(_stream(spark, folder), table, state, available_now=True).awaitTermination()
+    return spark.read.parquet(table).selectExpr("cast(day as string) day", "event_type", "events", "good", "duration_ms")
+
+
+REGISTRY.add_plan("event_upsert_stream", _event_upsert_stream, "event_writes events", """
+SELECT event_id, event_type, user_id, duration_ms, event_type <> 'error' AS success FROM event_writes
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts DESC) = 1""")
+REGISTRY.add_plan("daily_usage_stream", _daily_usage_stream, "events", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS "day", event_type, count(*) AS events, count(*) FILTER (event_type <> 'error') AS good, CAST(sum(floor(value * 10)) AS BIGINT) AS duration_ms
+FROM events WHERE CAST(ts AS DATE) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) GROUP BY 1, 2""")
+
+
+@query("embedding_job", "documents")
+def embedding_job(docs):
+    from groundplan.operators.vectors import embed_texts, token_count_encoder
+
+    empty = docs.sparkSession.createDataFrame(
+        [], "key string, value array<double>, created_at timestamp, expires_at timestamp, access_count bigint, last_accessed timestamp"
+    )
+    made, _ = embed_texts(docs.select("doc_id", "text"), empty, token_count_encoder(64), as_of=AS_OF_TIME)
+    return made.select("doc_id", "key", "embedding")

@@ -41,6 +41,14 @@ def by_chunk_id(chunks: DataFrame, chunk_id: str) -> DataFrame:
     return chunks.filter(F.col("chunk_id") == chunk_id).limit(1)
 
 
+def without_document(chunks: DataFrame, document_id: object) -> DataFrame:
+    """Chunks of all indexes except those of one document."""
+    return chunks.filter(F.col("document_id") != F.lit(document_id))
+
+
+_MAX_PARTITIONS = 10_000
+
+
 def delete_document(spark: SparkSession, path: str, document_id: str) -> None:
     """Remove a document from every index.
 
@@ -48,11 +56,13 @@ def delete_document(spark: SparkSession, path: str, document_id: str) -> None:
     """
     stored = spark.read.parquet(path)
     touched = stored.filter(F.col("document_id") == document_id).select("target_index", "document_type").distinct()
-    kept = stored.join(F.broadcast(touched), ["target_index", "document_type"], "left_semi").filter(F.col("document_id") != document_id)
+    partitions = [(r[0], r[1]) for r in touched.limit(_MAX_PARTITIONS + 1).collect()]
+    if len(partitions) > _MAX_PARTITIONS:
+        raise ValueError("the document lies in too many partitions")
+    kept = without_document(stored.join(F.broadcast(touched), ["target_index", "document_type"], "left_semi"), document_id)
     staging = f"{path.rstrip('/')}_staging"
     kept.write.mode("overwrite").partitionBy("target_index", "document_type").parquet(staging)
     # an index left without chunks gets an empty file, so that it is overwritten too
-    partitions = [(r[0], r[1]) for r in touched.limit(10_000).collect()]
     rewritten = spark.read.schema(stored.schema).parquet(staging)
     for index, kind in partitions:
         part = rewritten.filter((F.col("target_index") == index) & (F.col("document_type") == kind))
