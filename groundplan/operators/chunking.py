@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from groundplan import fixed_values as V
 from groundplan.functions import text as X
 from groundplan.functions.words import GAP, count_words, let, strip, words
-from groundplan.operators.running import carry_forward, running_totals
+from groundplan.operators.running import along
 
 # fixed values: a heading line, and the place before one
 HEADING = rf"(?sU)^(#{{1,4}}){GAP}+(.+)$"
@@ -212,83 +212,72 @@ def item_chunks(items: DataFrame, *, max_chars: int = V.MAX_CHUNK_CHARS) -> Data
     between two headers or tables is folded in its own row; a run is at most
     one section of one document. Heads and pages are carried forward piecewise.
     """
-    rows = items.withColumn("text", strip(F.coalesce("text", F.lit(""))))
     kinds = ["SECTION_HEADER", "TABLE", "PARAGRAPH", "FORMULA", "LIST_ITEM"]
-    rows = rows.filter(F.col("item_type").isin(*kinds))
+    rows = items.withColumn("text", strip(F.coalesce("text", F.lit("")))).filter(F.col("item_type").isin(*kinds))
     is_head, is_table = F.col("item_type") == "SECTION_HEADER", F.col("item_type") == "TABLE"
-    part = F.floor(F.col("pos") / _ITEMS_PER_PART)
-    page = F.struct(F.col("page_no").cast("int").alias("page_no"))
-    rows = running_totals(rows, ["document_id"], part, [F.col("pos")], {"run": F.when(is_head | is_table, 1).otherwise(0)})
-    rows = carry_forward(
+    number = F.col("page_no").cast("int")
+    rows = along(
         rows,
         ["document_id"],
-        part,
-        F.col("pos"),
-        {
+        F.floor(F.col("pos") / _ITEMS_PER_PART),
+        [F.col("pos")],
+        totals={"run": F.when(is_head | is_table, 1).otherwise(0)},
+        latest={
             "head": F.when(is_head, F.struct(F.col("text").alias("text"), F.col("level").alias("level"))),
-            "page": F.when(is_head | (~is_table & F.col("page_no").isNotNull()), page),
+            "page": F.when(is_head | (~is_table & number.isNotNull()), F.struct(number.alias("page_no"))),
         },
     )
-    rows = rows.withColumns({"head_text": F.col("head.text"), "head_level": F.col("head.level"), "text_page": F.col("page.page_no")})
-
-    tables = rows.filter(is_table).select(
-        "document_id", "run", F.lit(0).alias("block"), "head_text", "head_level", F.lit("table").alias("content_type"),
-        F.col("page_no"), "text",
-    )
-    lines = rows.filter(~is_table & (F.col("text") != "")).withColumn(
-        "line", F.when(is_head, F.concat(F.lit("# "), "text")).otherwise(F.col("text"))
+    line = F.when(is_head, F.concat(F.lit("# "), "text")).otherwise(F.col("text"))
+    item = F.struct("pos", line.alias("line"), F.when(is_table, number).otherwise(F.col("page.page_no")).alias("page_no"), is_head.alias("is_head"), is_table.alias("is_table"))
+    runs = rows.filter(is_table | (F.col("text") != "")).groupBy("document_id", "run").agg(
+        F.array_sort(F.collect_list(item)).alias("items"), F.first("head").alias("head")
     )
-    item = F.struct("pos", "line", F.col("text_page").alias("page_no"), is_head.alias("is_head"))
-    runs = lines.groupBy("document_id", "run").agg(
-        F.array_sort(F.collect_list(item)).alias("items"), F.first("head_text").alias("head_text"), F.first("head_level").alias("head_level"),
-    )
-    block = "struct<lines: array<string>, page_no: int>"
-    none = F.lit(None).cast("int")
+
+    block = "struct<text: string, page_no: int, is_table: boolean>"
     empty = F.expr("cast(array() as array<string>)")
-    start = F.struct(F.expr(f"cast(array() as array<{block}>)").alias("done"), empty.alias("lines"), F.lit(0).alias("chars"), none.alias("page_no"))
-    closed = lambda ls, p: F.array(F.struct(ls.alias("lines"), p.cast("int").alias("page_no")))
+    closed = lambda text, page, table: F.array(F.struct(text.alias("text"), page.cast("int").alias("page_no"), F.lit(table).alias("is_table")))
+    joined = lambda lines: strip(F.array_join(lines, "\n"))
+    start = F.struct(
+        F.expr(f"cast(array() as array<{block}>)").alias("done"), empty.alias("lines"), F.lit(0).alias("chars"),
+        F.lit(None).cast("int").alias("page_no"),
+    )
 
     def add(state: Column, x: Column) -> Column:
         more = F.concat(state["lines"], F.array(x["line"]))
         chars = state["chars"] + F.length(x["line"]) + F.when(F.size(state["lines"]) > 0, 1).otherwise(0)
-        page = x["page_no"]
         full = ~x["is_head"] & (chars >= max_chars)
-        return F.struct(
-            F.when(full, F.concat(state["done"], closed(more, page))).otherwise(state["done"]).alias("done"),
-            F.when(full, empty).otherwise(more).alias("lines"),
-            F.when(full, 0).otherwise(chars).alias("chars"),
-            page.alias("page_no"),
+        return F.when(
+            x["is_table"],
+            F.struct(
+                F.concat(state["done"], closed(x["line"], x["page_no"], True)).alias("done"), state["lines"].alias("lines"),
+                state["chars"].alias("chars"), state["page_no"].alias("page_no"),
+            ),
+        ).otherwise(
+            F.struct(
+                F.when(full, F.concat(state["done"], closed(joined(more), x["page_no"], False))).otherwise(state["done"]).alias("done"),
+                F.when(full, empty).otherwise(more).alias("lines"),
+                F.when(full, 0).otherwise(chars).alias("chars"),
+                x["page_no"].alias("page_no"),
+            )
         )
 
-    finish = lambda s: F.when(F.size(s["lines"]) > 0, F.concat(s["done"], closed(s["lines"], s["page_no"]))).otherwise(s["done"])
-    blocks = runs.select(
-        "document_id", "run", "head_text", "head_level",
-        F.posexplode(F.aggregate("items", start, add, finish)).alias("block", "b"),
-    )
-    full_text = strip(F.array_join("b.lines", "\n"))
-    texts = blocks.select(
-        "document_id", "run", "block", "head_text", "head_level", F.lit("clause_text").alias("content_type"),
-        F.col("b.page_no").alias("page_no"), full_text.alias("text"),
-    ).filter(F.col("text") != "")
-    split = F.when(F.length("text") <= max_chars, F.array("text")).otherwise(pack_by_characters(F.col("text"), max_chars))
-    texts = texts.withColumn("_long", F.length("text") > max_chars)
-    parts = texts.select(
-        "document_id", "run", "block", "head_text", "head_level", "content_type", "page_no", "_long",
-        F.posexplode(split).alias("part_no", "text"),
-    ).withColumn("sub_chunk_index", F.when(F.col("_long"), F.col("part_no"))).drop("_long")
-    tables = tables.withColumns({"part_no": F.lit(0), "sub_chunk_index": none})
-    both = parts.unionByName(tables)
-    return both.select(
-        "document_id", "run", F.when(F.col("content_type") == "table", -1).otherwise(F.col("block")).alias("block"), "part_no",
-        F.when(F.col("head_text").isNull(), "unknown").otherwise(X.clause_of(F.col("head_text"))).alias("clause_id"),
-        F.coalesce("head_text", F.lit("")).alias("clause_title"),
-        F.coalesce("head_level", F.lit(0)).alias("hierarchy_level"),
-        "content_type",
-        F.col("page_no").cast("int").alias("page_no"),
+    finish = lambda s: F.when(F.size(s["lines"]) > 0, F.concat(s["done"], closed(joined(s["lines"]), s["page_no"], False))).otherwise(s["done"])
+    blocks = runs.select("document_id", "run", "head", F.posexplode(F.aggregate("items", start, add, finish)).alias("block", "b"))
+    blocks = blocks.filter(F.col("b.is_table") | (F.col("b.text") != "")).withColumn("_long", ~F.col("b.is_table") & (F.length("b.text") > max_chars))
+    split = F.when(F.col("_long"), pack_by_characters(F.col("b.text"), max_chars)).otherwise(F.array("b.text"))
+    parts = blocks.select("document_id", "run", "block", "head", "b.page_no", "b.is_table", "_long", F.posexplode(split).alias("part_no", "text"))
+    title = F.col("head.text")
+    return parts.select(
+        "document_id", F.col("run").cast("int").alias("run"), "block", "part_no",
+        F.when(title.isNull(), "unknown").otherwise(X.clause_of(title)).alias("clause_id"),
+        F.coalesce(title, F.lit("")).alias("clause_title"),
+        F.coalesce("head.level", F.lit(0)).alias("hierarchy_level"),
+        F.when(F.col("is_table"), "table").otherwise("clause_text").alias("content_type"),
+        "page_no",
         X.regulatory_strength(F.col("text")).alias("regulatory_strength"),
         X.cross_references(F.col("text")).alias("cross_references"),
         F.length("text").alias("char_count"),
-        "sub_chunk_index",
+        F.when(F.col("_long"), F.col("part_no")).alias("sub_chunk_index"),
         "text",
     )
 

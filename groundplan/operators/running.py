@@ -7,66 +7,69 @@ and the row level window only ever sees one bucket.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# group keys and bucket as one value: null keys then join like any other, and
+# the rows are shuffled once for the join and the window alike
+_PART = "_part"
+
+
+def _parted(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    return df.withColumn(_PART, F.struct(*keys, bucket.alias("_bucket")))
+
 
-def running_totals(
+def _before(keys: list[str]):
+    """The buckets of a group ahead of each bucket."""
+    window = Window.partitionBy(*[f"{_PART}.{k}" for k in keys]).orderBy(f"{_PART}._bucket")
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def along(
     df: DataFrame,
     keys: list[str],
     bucket: Column,
     order: list[Column],
+    *,
     totals: dict[str, Column] | None = None,
+    latest: dict[str, Column] | None = None,
     rank: str | None = None,
 ) -> DataFrame:
-    """Add running sums of ``totals`` and a 1-based ``rank`` within ``keys``.
+    """Add, within ``keys`` and along ``order``, running sums of ``totals``, the
+    latest non-null value of ``latest``, and a 1-based ``rank``.
 
     ``bucket`` must not decrease along ``order``, and ``order`` must be unique
     within a bucket.
     """
-    totals = totals or {}
-    rows = df.withColumn("_bucket", bucket)
-    sums = [F.sum(c).alias(f"_sum_{name}") for name, c in totals.items()]
-    per_bucket = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"), *sums)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals, latest = totals or {}, latest or {}
+    rows = _parted(df, keys, bucket)
+    place = F.struct(*order)
+    per_bucket = rows.groupBy(_PART).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()],
+        *[F.max_by(c, F.when(c.isNotNull(), place)).alias(f"_last_{n}") for n, c in latest.items()],
+    )
+    before = _before(keys)
     offsets = per_bucket.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
-        F.col("_bucket").alias("_key_bucket"),
+        _PART,
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
-        *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0.0)).alias(f"_before_{n}") for n in totals],
+        *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in totals],
+        *[F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_carried_{n}") for n in latest],
     )
-    on = [rows[k].eqNullSafe(offsets[f"_key_{k}"]) for k in keys]
-    on.append(rows["_bucket"].eqNullSafe(offsets["_key_bucket"]))
-    joined = rows.join(offsets, reduce(lambda a, b: a & b, on))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = Window.partitionBy(_PART).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     added = {n: F.col(f"_before_{n}") + F.sum(c).over(upto) for n, c in totals.items()}
+    added |= {n: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_carried_{n}")) for n, c in latest.items()}
     if rank:
         added[rank] = F.col("_rows_before") + F.row_number().over(inside)
-    return joined.select(*[F.col(c) for c in df.columns], *[c.alias(n) for n, c in added.items()])
+    return rows.join(offsets, _PART).select(*df.columns, *[c.alias(n) for n, c in added.items()])
 
 
-def carry_forward(df: DataFrame, keys: list[str], bucket: Column, order: Column, values: dict[str, Column]) -> DataFrame:
-    """Add, per name, the latest non-null value up to and with each row.
+def running_totals(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], totals: dict[str, Column] | None = None, rank: str | None = None) -> DataFrame:
+    """Running sums and rank only."""
+    return along(df, keys, bucket, order, totals=totals, rank=rank)
 
-    Works bucket by bucket like ``running_totals``.
-    """
-    rows = df.withColumn("_bucket", bucket)
-    latest = [F.max_by(c, F.when(c.isNotNull(), order)).alias(f"_last_{n}") for n, c in values.items()]
-    per_bucket = rows.groupBy(*keys, "_bucket").agg(*latest)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
-        F.col("_bucket").alias("_key_bucket"),
-        *[F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_carried_{n}") for n in values],
-    )
-    on = [rows[k].eqNullSafe(carried[f"_key_{k}"]) for k in keys]
-    on.append(rows["_bucket"].eqNullSafe(carried["_key_bucket"]))
-    joined = rows.join(carried, reduce(lambda a, b: a & b, on))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        *[F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carried_{n}")).alias(n) for n, c in values.items()],
-    )
+
+def carry_forward(df: DataFrame, keys: list[str], bucket: Column, order: Column, values: dict[str, Column]) -> DataFrame:
+    """Latest non-null values only."""
+    return along(df, keys, bucket, [order], latest=values)
