@@ -78,26 +78,23 @@ def claim_report(claims: DataFrame) -> DataFrame:
 def lookahead_lines(tasks: DataFrame, *, as_of, weeks: int = 4) -> DataFrame:
     """Look-ahead report as ordered lines: this week, upcoming, crews needed."""
     rows = programme.lookahead(tasks, as_of=as_of, weeks=weeks)
-    this_week = rows.filter("period = 'this_week'").select(
-        "project_id", F.lit(1).alias("section"), "start_date", "task_id",
-        F.format_string(
-            "  %s [%s] %s\n      Crew: %s | Progress: %s%%\n      %s to %s",
-            _marker(), F.col("task_id"), F.col("task_name"), F.coalesce("resource_crew", F.lit("N/A")),
-            F.col("percent_complete").cast("int").cast("string"), _date("start_date"), _date("end_date"),
-        ).alias("line"),
+    now, crew = F.col("period") == "this_week", F.coalesce("resource_crew", F.lit("N/A"))
+    this_week = F.format_string(
+        "  %s [%s] %s\n      Crew: %s | Progress: %s%%\n      %s to %s",
+        _marker(), F.col("task_id"), F.col("task_name"), crew, F.col("percent_complete").cast("int").cast("string"),
+        _date("start_date"), _date("end_date"),
     )
-    upcoming = rows.filter("period = 'upcoming'").select(
-        "project_id", F.lit(2).alias("section"), "start_date", "task_id",
-        F.format_string(
-            "  %s [%s] %s\n      Starts: %s | Crew: %s",
-            _marker(), F.col("task_id"), F.col("task_name"), _date("start_date"), F.coalesce("resource_crew", F.lit("N/A")),
-        ).alias("line"),
+    upcoming = F.format_string(
+        "  %s [%s] %s\n      Starts: %s | Crew: %s", _marker(), F.col("task_id"), F.col("task_name"), _date("start_date"), crew
+    )
+    listed = rows.filter(F.col("period").isin("this_week", "upcoming")).select(
+        "project_id", F.when(now, 1).otherwise(2).alias("section"), "start_date", "task_id", F.when(now, this_week).otherwise(upcoming).alias("line")
     )
     crews = programme.lookahead_crews(tasks, as_of=as_of, weeks=weeks).select(
         "project_id", F.lit(3).alias("section"), F.lit(None).cast("date").alias("start_date"),
         F.col("resource_crew").alias("task_id"), F.format_string("  %s: %d activities", "resource_crew", "activities").alias("line"),
     )
-    return this_week.unionByName(upcoming).unionByName(crews)
+    return listed.unionByName(crews)
 
 
 def weather_lines(scored: DataFrame, *, shown: int = 10) -> DataFrame:

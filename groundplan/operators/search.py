@@ -77,17 +77,25 @@ def fuse(
 
     A candidate with no semantic but some keyword score gets a reciprocal rank,
     where the rank counts the chunks of the query with a higher keyword score.
+
+    The candidates, a few rows per query, are stored and sent to the hits, so
+    that the hits are read once: they are counted per query and score, and a
+    candidate rides along with the count of its score.
     """
-    per_score = hits.groupBy("query_id", "hits").agg(F.count(F.lit(1)).alias("chunks"))
-    above = Window.partitionBy("query_id").orderBy(F.desc("hits"))
+    found = cut_lineage(semantic.select("query_id", "chunk_id", "score").dropDuplicates(["query_id", "chunk_id"]))
+    marked = hits.join(broadcast_if_small(found.withColumn("_mine", F.col("chunk_id"))), ["query_id", "chunk_id"], "left")
+    per_score = marked.groupBy("query_id", "hits").agg(F.count(F.lit(1)).alias("_chunks"), F.collect_list("_mine").alias("_mine"))
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("hits"))
+    above = by_score.rowsBetween(Window.unboundedPreceding, -1)
     ranks = per_score.select(
         "query_id",
+        "_mine",
         "hits",
-        (F.coalesce(F.sum("chunks").over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).alias("keyword_rank"),
-        F.max("hits").over(above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("most"),
+        (F.coalesce(F.sum("_chunks").over(above), F.lit(0)) + 1).alias("keyword_rank"),
+        F.max("hits").over(by_score.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("most"),
     )
-    found = semantic.select("query_id", "chunk_id", "score").dropDuplicates(["query_id", "chunk_id"])
-    rows = found.join(hits, ["query_id", "chunk_id"], "left").join(ranks, ["query_id", "hits"], "left")
+    scored = ranks.select("query_id", F.explode("_mine").alias("chunk_id"), "hits", "keyword_rank", "most")
+    rows = found.join(scored, ["query_id", "chunk_id"], "left")
     keyword = F.coalesce(F.col("hits") / F.col("most"), F.lit(0.0))
     lone = (keyword > 0) & (F.col("score") == 0)
     score = F.when(lone, 1.0 / (F.col("keyword_rank") + V.RECIPROCAL_RANK_OFFSET)).otherwise(F.col("score"))
