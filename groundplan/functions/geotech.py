@@ -1,6 +1,7 @@
 """Design calculations as column expressions.
 
-All results are unrounded. The formulas keep the simplifications of the
+All results are unrounded; a case that divides by zero gives null, so that one
+bad case does not stop a study. The formulas keep the simplifications of the
 calculations they stand for: they serve to compare cases, not as advice.
 """
 
@@ -22,6 +23,10 @@ def _square(c: Column) -> Column:
     return c * c
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    return F.try_divide(a, b)
+
+
 def rankine_active(friction: Column) -> Column:
     return _square(_tan(45 - friction / 2))
 
@@ -49,9 +54,9 @@ def terzaghi(cohesion, friction, unit_weight, width, length, depth, water_depth,
     nq = F.when(undrained, 1.0).otherwise(bearing_nq(friction))
     nc = F.when(undrained, V.UNDRAINED_NC).otherwise((bearing_nq(friction) - 1) / tangent)
     ngamma = F.when(undrained, 0.0).otherwise(2 * (bearing_nq(friction) + 1) * tangent)
-    strip, square = length / width > 10, F.abs(length - width) < 0.01
-    sc = F.when(strip, 1.0).when(square, 1.3).otherwise(1.0 + 0.3 * (width / length))
-    sgamma = F.when(strip, 1.0).when(square, 0.8).otherwise(1.0 - 0.2 * (width / length))
+    strip, square = _ratio(length, width) > 10, F.abs(length - width) < 0.01
+    sc = F.when(strip, 1.0).when(square, 1.3).otherwise(1.0 + 0.3 * _ratio(width, length))
+    sgamma = F.when(strip, 1.0).when(square, 0.8).otherwise(1.0 - 0.2 * _ratio(width, length))
     q, below = overburden(unit_weight, depth, water_depth)
     ultimate = cohesion * nc * sc + q * nq + 0.5 * below * width * ngamma * sgamma
     return {"nc": nc, "nq": nq, "ngamma": ngamma, "sc": sc, "sgamma": sgamma, "q_ult_kpa": ultimate, "q_allowable_kpa": ultimate / fos}
@@ -60,14 +65,14 @@ def terzaghi(cohesion, friction, unit_weight, width, length, depth, water_depth,
 def hansen(cohesion, friction, unit_weight, width, length, depth, water_depth, fos=3.0) -> dict[str, Column]:
     """Bearing capacity of a shallow foundation with shape and depth factors."""
     undrained = friction == 0
-    tangent, ratio = _tan(friction), width / length
+    tangent, ratio, deep = _tan(friction), _ratio(width, length), _ratio(depth, width)
     nq = F.when(undrained, 1.0).otherwise(bearing_nq(friction))
     nc = F.when(undrained, V.UNDRAINED_NC).otherwise((bearing_nq(friction) - 1) / tangent)
     ngamma = F.when(undrained, 0.0).otherwise(1.5 * (bearing_nq(friction) - 1) * tangent)
     sc = F.when(friction > 0, 1.0 + (nq / nc) * ratio).otherwise(1.0 + 0.2 * ratio)
     sq = 1.0 + ratio * tangent
     sgamma = F.greatest(1.0 - 0.4 * ratio, F.lit(0.6))
-    k = F.when(depth / width <= 1, depth / width).otherwise(F.atan(depth / width))
+    k = F.when(deep <= 1, deep).otherwise(F.atan(deep))
     dc = 1.0 + 0.4 * k
     dq = 1.0 + 2 * tangent * _square(1 - F.sin(F.radians(friction))) * k
     q, below = overburden(unit_weight, depth, water_depth)
@@ -86,7 +91,7 @@ def infinite_slope(angle, friction, cohesion, unit_weight, depth, water_height,
     strength = cohesion + (normal - pore) * _tan(friction)
     driving = unit_weight * depth * F.sin(beta) * F.cos(beta)
     fos = F.when(driving <= 0, float("inf")).otherwise(strength / driving)
-    return {"fos": fos, "pore_ratio": F.when(water_height > 0, pore / normal), "pass_fail": fos >= required}
+    return {"fos": fos, "pore_ratio": F.when(water_height > 0, _ratio(pore, normal)), "pass_fail": fos >= required}
 
 
 def taylor(angle, height, cohesion, unit_weight, friction, required=1.4) -> dict[str, Column]:
@@ -98,8 +103,8 @@ def taylor(angle, height, cohesion, unit_weight, friction, required=1.4) -> dict
         .when(angle >= 15, 7.5 + (30 - angle) * 3.5 / 15)
         .otherwise(11.0)
     )
-    share = cohesion / (unit_weight * height)
-    fos = F.when(friction == 0, number * share).otherwise(share * 5.5 + _tan(friction) / _tan(angle))
+    share = _ratio(cohesion, unit_weight * height)
+    fos = F.when(friction == 0, number * share).otherwise(share * 5.5 + _ratio(_tan(friction), _tan(angle)))
     return {"fos": fos, "stability_number": F.when(friction == 0, number), "pass_fail": fos >= required}
 
 
@@ -127,7 +132,7 @@ def shaft_stress(soil_type, cohesion, friction, unit_weight, mid_depth) -> Colum
 
 def toe_stress(soil_type, cohesion, friction, unit_weight, toe_depth, diameter) -> Column:
     """Unit end bearing at the toe, at most 10 MPa."""
-    slender = toe_depth / diameter
+    slender = _ratio(toe_depth, diameter)
     nq = bearing_nq(friction) * F.when(slender > 1, F.sqrt(F.least(slender, F.lit(15.0)))).otherwise(1.0)
     sandy = (soil_type == "granular") | (friction > 0)
     return F.least(F.when(sandy, unit_weight * toe_depth * nq).otherwise(cohesion * 9.0), F.lit(10000.0))
@@ -148,8 +153,8 @@ def group_efficiency(spacing_ratio, piles_x, piles_y, method: str = "Converse-La
     if method != "Converse-Labarre":
         return F.when(spacing_ratio < 3, 0.7).otherwise(0.85)
     piles = piles_x * piles_y
-    angle = F.atan(spacing_ratio / (piles_x + piles_y))
-    return F.greatest(1 - angle * (piles - 1) / (math.pi * piles), F.lit(0.5))
+    angle = F.atan(_ratio(spacing_ratio, piles_x + piles_y))
+    return F.greatest(1 - _ratio(angle * (piles - 1), math.pi * piles), F.lit(0.5))
 
 
 def wall_stability(
@@ -170,8 +175,9 @@ def wall_stability(
     overturning = F.when(moment > 0, resisting / moment).otherwise(endless)
     eccentricity = F.when(weight > 0, base / 2 - (resisting - moment) / weight).otherwise(0.0)
     inside = F.abs(eccentricity) <= base / 6
-    largest = F.when(inside, weight / base * (1 + 6 * eccentricity / base)).otherwise(2 * weight / (3 * (base / 2 - eccentricity)))
-    smallest = F.when(inside, weight / base * (1 - 6 * eccentricity / base)).otherwise(0.0)
+    tilt, mean = 6 * _ratio(eccentricity, base), _ratio(weight, base)
+    largest = F.when(inside, mean * (1 + tilt)).otherwise(_ratio(2 * weight, 3 * (base / 2 - eccentricity)))
+    smallest = F.when(inside, mean * (1 - tilt)).otherwise(0.0)
     nq = bearing_nq(ground_friction)
     nc = F.when(ground_friction > 0, (nq - 1) / _tan(ground_friction)).otherwise(V.UNDRAINED_NC)
     ngamma = 0.5 * (nq - 1) * _tan(ground_friction)

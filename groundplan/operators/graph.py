@@ -53,17 +53,13 @@ def degrees(chunks: DataFrame, edges: DataFrame) -> DataFrame:
 def resolved_references(primaries: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """References of the primaries, from edges and from their own list, that exist.
 
-    Each distinct target is looked up once, whatever the number of queries that
-    lead to it.
+    Rows may repeat; ``expand`` collects them as sets.
     """
     pairs = primaries.select("query_id", "rank", "chunk_id").join(edges.withColumnRenamed("src", "chunk_id"), "chunk_id")
     pairs = pairs.select("query_id", "rank", F.col("dst").alias("ref_id"))
     if "references" in primaries.columns:
-        own = primaries.select("query_id", "rank", F.explode("references").alias("ref_id"))
-        pairs = pairs.unionByName(own)
-    pairs = pairs.distinct()
-    known = pairs.select("ref_id").distinct().join(chunks.select(F.col("chunk_id").alias("ref_id")), "ref_id", "left_semi")
-    return pairs.join(known, "ref_id", "left_semi")
+        pairs = pairs.unionByName(primaries.select("query_id", "rank", F.explode("references").alias("ref_id")))
+    return pairs.join(chunks.select(F.col("chunk_id").alias("ref_id")), "ref_id", "left_semi")
 
 
 def expand(primaries: DataFrame, edges: DataFrame, chunks: DataFrame, *, max_depth: int = 1) -> DataFrame:
@@ -73,15 +69,13 @@ def expand(primaries: DataFrame, edges: DataFrame, chunks: DataFrame, *, max_dep
     and adds nothing. A query's few primaries are therefore folded in one row.
     Only the ids are folded; chunk texts are joined by the caller.
     """
-    ids = primaries.select("query_id", "rank", F.col("chunk_id").cast("string").alias("chunk_id"))
+    text = lambda c: F.col(c).cast("string")
+    rows = primaries.select("query_id", "rank", text("chunk_id").alias("chunk_id"), F.lit(None).cast("string").alias("ref_id"))
     if max_depth > 0:
         refs = resolved_references(primaries, edges, chunks)
-        listed = refs.groupBy("query_id", "rank").agg(F.array_sort(F.collect_set(F.col("ref_id").cast("string"))).alias("refs"))
-        ids = ids.join(listed, ["query_id", "rank"], "left")
-    else:
-        ids = ids.withColumn("refs", F.lit(None).cast("array<string>"))
-    refs_or_none = F.coalesce("refs", F.expr("cast(array() as array<string>)")).alias("refs")
-    lists = ids.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", refs_or_none))).alias("primaries"))
+        rows = rows.unionByName(refs.select("query_id", "rank", F.lit(None).cast("string").alias("chunk_id"), text("ref_id").alias("ref_id")))
+    listed = rows.groupBy("query_id", "rank").agg(F.max("chunk_id").alias("chunk_id"), F.array_sort(F.collect_set("ref_id")).alias("refs"))
+    lists = listed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "refs"))).alias("primaries"))
 
     def hit(chunk: Column, role: str, source: Column) -> Column:
         return F.struct(chunk.alias("id"), F.lit(role).alias("role"), source.cast("string").alias("referenced_from")).cast(_HIT)

@@ -142,12 +142,13 @@ def infinite_slope(cases):
 
 
 @query("taylor", "slopes", """
-SELECT case_id, round(fos, 6) AS fos, fos >= 1.4 AS pass_fail FROM (SELECT case_id, CASE WHEN friction_angle_deg = 0 THEN
+SELECT case_id, round(coalesce(fos, -1), 6) AS fos, coalesce(fos >= 1.4, false) AS pass_fail FROM (SELECT case_id, CASE WHEN friction_angle_deg = 0 THEN
          (CASE WHEN a >= 53 THEN 5.52 WHEN a >= 45 THEN 5.5 + (53 - a) * 0.5 / 8 WHEN a >= 30 THEN 6 + (45 - a) * 1.5 / 15 WHEN a >= 15 THEN 7.5 + (30 - a) * 3.5 / 15 ELSE 11 END) * cohesion_kpa / (unit_weight_kn_m3 * height_m)
+         WHEN a = 0 THEN NULL
          ELSE cohesion_kpa / (unit_weight_kn_m3 * height_m) * 5.5 + tan(radians(friction_angle_deg)) / tan(radians(a)) END AS fos
-       FROM (SELECT *, slope_angle_deg AS a FROM slopes WHERE slope_angle_deg > 0))""")
+       FROM (SELECT *, slope_angle_deg AS a FROM slopes))""")
 def taylor(cases):
-    return shown(design.taylor_cases(cases.filter("slope_angle_deg > 0")), ["case_id"], ["fos"], others=["pass_fail"])
+    return design.taylor_cases(cases).selectExpr("case_id", "round(coalesce(fos, -1D), 6) fos", "coalesce(pass_fail, false) pass_fail")
 
 
 RANKINE_SQL = """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from groundplan import fixed_values as V
 from groundplan.functions import text as X
 from groundplan.operators import chunking, context, graph, search, vectors
-from groundplan.plans.document_queries import CHUNKS_SQL, manual_docs
+from groundplan.plans.document_queries import CHUNKS_SQL, SECTIONS_SQL, manual_docs
 from groundplan.plans.programme_queries import sql_any
 from groundplan.plans.registry import Registry
 from groundplan.session import stored
@@ -294,19 +294,21 @@ def prompt_context(docs):
 
 # --- graph --------------------------------------------------------------
 
-GRAPH_SQL = CHUNKS_SQL.strip() + """,
-nodes AS (SELECT doc_id, concat(doc_id, ':', clause_id) AS chunk_id, section_no, title, page, text, refs, length(text) AS size FROM chunks WHERE part_no = 0),
+GRAPH_SQL = SECTIONS_SQL.strip() + r""",
+nodes AS (SELECT doc_id, concat(doc_id, ':', coalesce(nullif(regexp_extract(title, '^(\d+(?:\.\d+)*)', 1), ''), 'unknown')) AS chunk_id, section_no, title,
+                 nullif(regexp_extract(title, '(?i)Page\s+(\d+)', 1), '') AS page, text, regexp_extract_all(text, '(?i)Clause\s+(\d+(?:\.\d+)+)', 1) AS refs, length(text) AS size FROM sections),
 edges AS (SELECT DISTINCT chunk_id AS src, concat(doc_id, ':', ref) AS dst FROM (SELECT chunk_id, doc_id, unnest(refs) AS ref FROM nodes))"""
 
 
 def graph_chunks(docs, reused=False):
-    """First chunk of each clause of a document, with references to its other clauses."""
-    chunks = chunking.section_chunks(manual_docs(docs)).filter("part_no = 0")
+    """Whole clauses of each document, with references to its other clauses."""
+    sections = chunking.section_table(docs.select(F.col("doc_id").alias("document_id"), "text"), ["document_id"])
     prefix = F.col("document_id").cast("string")
     key = lambda c: F.concat(prefix, F.lit(":"), c)
-    rows = chunks.select(
-        "document_id", key(F.col("clause_id")).alias("chunk_id"), "clause_id", "clause_title", F.coalesce("page_number", F.lit(0)).alias("page_number"),
-        "section_no", "text", "char_count", F.transform("cross_references", key).alias("references"),
+    rows = sections.withColumn("clause_id", X.clause_of(F.col("title"))).select(
+        "document_id", key(F.col("clause_id")).alias("chunk_id"), "clause_id", F.col("title").alias("clause_title"),
+        F.coalesce(X.page_of_title(F.col("title")), F.lit(0)).alias("page_number"), "section_no", "text", F.length("text").alias("char_count"),
+        F.transform(X.cross_references(F.col("text")), key).alias("references"),
     )
     return stored(rows) if reused else rows
 

@@ -109,3 +109,11 @@ def test_cache_keys(spark):
     assert row.s == "search:" + hashlib.md5(b'q|{"a": "1", "b": "2"}').hexdigest()
     assert row.e == "search:" + hashlib.md5(b"q|{}").hexdigest()
     assert row.a == "llm:" + hashlib.sha256(b"p||m").hexdigest()
+
+
+def test_a_bad_case_does_not_stop_the_others(frame):
+    rows = frame([(1, 5.0, 30.0, 19.0, 0.0, 0.0, 1.5, None), (2, 5.0, 30.0, 19.0, 2.0, 2.0, 1.5, None)], CASE)
+    got = {r.case_id: r.q_ult_kpa for r in design.hansen_cases(rows).collect()}
+    assert got[1] is None and got[2] > 0
+    got = {r.case_id: r.q_ult_kpa for r in design.terzaghi_cases(rows).collect()}
+    assert got[2] > 0
