@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundplan.llm import packing
+from groundplan.llm import langid, packing
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -30,3 +30,8 @@ def plan(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 @plan("op1_best_fit_packing")
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"))
+
+
+@plan("op6_language_id")
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(_table(spark, folder, "documents"))
