@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundplan.llm import langid, packing
+from groundplan.llm import langid, linedup, packing
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -35,3 +35,37 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @plan("op6_language_id")
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(_table(spark, folder, "documents"))
+
+
+LINE_DEDUP_SQL = """
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), filled AS (
+  SELECT doc_id, i, line, length(line) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k,
+         sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i) AS upto
+  FROM split WHERE regexp_matches(line, '[^ \\t\\v\\f\\r]')
+), reach AS (
+  SELECT a.doc_id, a.k, min(b.k) AS last FROM filled a JOIN filled b
+  ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k < a.k + 50 AND b.upto - a.upto + a.size >= 50 GROUP BY a.doc_id, a.k
+), run AS (
+  SELECT r.doc_id, r.k, r.last, string_agg(f.line, chr(10) ORDER BY f.k) AS content
+  FROM reach r JOIN filled f ON f.doc_id = r.doc_id AND f.k BETWEEN r.k AND r.last GROUP BY ALL
+), later AS (
+  SELECT doc_id, k, last, row_number() OVER (PARTITION BY content ORDER BY doc_id, k) AS copy FROM run
+), gone AS (
+  SELECT DISTINCT f.doc_id, f.i FROM filled f JOIN later l ON f.doc_id = l.doc_id AND f.k BETWEEN l.k AND l.last WHERE l.copy > 1
+), marked AS (
+  SELECT s.doc_id, s.i, s.line, f.i IS NOT NULL AS is_filled, g.i IS NOT NULL AS is_gone
+  FROM split s LEFT JOIN filled f ON s.doc_id = f.doc_id AND s.i = f.i LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.i = g.i
+)
+SELECT doc_id,
+       CASE WHEN count(*) FILTER (is_filled) > 0 AND count(*) FILTER (is_filled AND NOT is_gone) = 0 THEN ''
+            ELSE string_agg(line, chr(10) ORDER BY i) FILTER (NOT is_gone) END AS text,
+       count(*) FILTER (is_filled) AS n_lines, count(*) FILTER (is_gone) AS n_deleted
+FROM marked GROUP BY doc_id
+"""
+
+
+@plan("op10_line_dedup", LINE_DEDUP_SQL)
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linedup.delete_repeated_runs(_table(spark, folder, "documents").select("doc_id", "text"))
