@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundplan.llm import langid, linedup, packing
+from groundplan.llm import langid, linedup, minhash, packing
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -69,3 +69,8 @@ FROM marked GROUP BY doc_id
 @plan("op10_line_dedup", LINE_DEDUP_SQL)
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linedup.delete_repeated_runs(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@plan("op7_minhash_near_dedup")
+def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"), size=3, percent=85)
