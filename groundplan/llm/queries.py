@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundplan.llm import langid, linedup, minhash, packing
+from groundplan.llm import decontam, langid, linedup, minhash, packing
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -74,3 +74,8 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @plan("op7_minhash_near_dedup")
 def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), size=3, percent=85)
+
+
+@plan("op9_benchmark_decontamination")
+def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
