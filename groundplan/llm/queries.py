@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundplan.llm import decontam, langid, linedup, minhash, packing
+from groundplan.llm import decontam, langid, linedup, minhash, packing, quality
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -79,3 +79,9 @@ def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @plan("op9_benchmark_decontamination")
 def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@plan("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    return quality.score_quality(documents, quality.fit(documents, _table(spark, folder, "labels")))
