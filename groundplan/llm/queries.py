@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundplan.llm import decontam, langid, linedup, minhash, packing, quality
+from groundplan.llm import decontam, langid, linedup, minhash, packing, quality, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -85,3 +85,8 @@ def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     return quality.score_quality(documents, quality.fit(documents, _table(spark, folder, "labels")))
+
+
+@plan("op8_toxicity")
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
