@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundplan.llm import decontam, langid, linedup, minhash, packing, quality, toxicity
+from groundplan.llm import decontam, html, langid, linedup, minhash, packing, quality, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -90,3 +90,8 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @plan("op8_toxicity")
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@plan("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract_text(_table(spark, folder, "pages"))
