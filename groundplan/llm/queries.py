@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundplan.llm import decontam, html, langid, linedup, minhash, packing, quality, toxicity
+from groundplan.llm import chat, decontam, html, langid, linedup, minhash, packing, quality, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -95,3 +95,29 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @plan("op4_html_extraction")
 def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract_text(_table(spark, folder, "pages"))
+
+
+# a conversation whose texts hold the template's own marks
+MARKED = r"\### Assistant: </turn> ok"
+
+
+@plan("op2_chat_formatting")
+def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(*chat.format_conversations(conversations.unionByName(marked)))
+
+
+# the template adds '### ', ': ' and ' </turn>' and a line end to a turn, and a backslash before backslashes, number signs and </
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(15 + length(regexp_replace(text, '[\\#]|</', 'x\0', 'g')) + length(regexp_replace(role, '[\\#:]|</', 'x\0', 'g'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+SQL["op2_chat_formatting"] = CHAT_SQL
