@@ -41,8 +41,8 @@ def band_count(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
 
 
-def shingle_sets(texts: Texts, size: int, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of each text as hashes, end to end, and where each text's begin.
+def shingles(texts: Texts, size: int, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of each text in order as hashes, end to end, and where each text's begin.
 
     Words are runs without ASCII white space, ``fold`` lower-cases A to Z. A text
     of fewer than ``size`` words is one shingle, one without words has none.
@@ -62,6 +62,12 @@ def shingle_sets(texts: Texts, size: int, fold: bool = True) -> tuple[np.ndarray
         for k in range(length):
             value = (value ^ (value >> np.uint64(29))) * factor + hashes[put + start + k]
         flat[put] = mix(value)
+    return flat, bounds
+
+
+def shingle_sets(texts: Texts, size: int, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The same, sorted and each once."""
+    flat, bounds = shingles(texts, size, fold)
     parts = [np.unique(flat[a:b]) if b - a > 1 else flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
     return (np.concatenate(parts) if parts else flat), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundplan.llm import chat, decontam, html, langid, linedup, minhash, packing, quality, toxicity
+from groundplan.llm import chat, decontam, html, langid, linedup, minhash, packing, passages, quality, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -121,3 +121,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM turns GROUP BY conv_id
 """
 SQL["op2_chat_formatting"] = CHAT_SQL
+
+
+@plan("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.find_passages(_table(spark, folder, "documents"))
