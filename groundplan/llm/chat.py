@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundplan.llm.words import kept_in_worker
 from groundplan.operators.running import running_totals
 from groundplan.session import stored
 
@@ -29,6 +30,8 @@ TRAINED_ROLE = "assistant"
 OPEN, AFTER_ROLE, CLOSE = "### ", ": ", " </turn>\n"
 # turns of a conversation that are numbered together
 _STRETCH = 1024
+# turns that a task encodes or decodes at a time
+_TOGETHER = 200
 _PIECE = re.compile(r"### ((?:[^\\:]|\\.)*): (.*) </turn>\n", re.DOTALL)
 
 
@@ -81,11 +84,11 @@ def format_turns(conversations: DataFrame, vocabulary: str | None = None) -> Dat
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(file)
+        tokenizer = kept_in_worker(f"tokenizer {file}", lambda: _tokenizer(file))
         for batch in batches:
             at = batch.schema.get_field_index("piece")
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
+            for first in range(0, batch.num_rows, _TOGETHER):
+                part = batch.slice(first, _TOGETHER)
                 ids = [np.array(e.ids, "<u4") for e in tokenizer.encode_batch(part.column(at).to_pylist(), add_special_tokens=False)]
                 kept = [part.column(i) for i in range(part.num_columns) if i != at]
                 names = [n for n in part.schema.names if n != "piece"]
@@ -94,7 +97,7 @@ def format_turns(conversations: DataFrame, vocabulary: str | None = None) -> Dat
                 )
 
     schema = rows.drop("piece").schema.add("ids", "binary").add("n_tokens", "long")
-    rows = rows.mapInArrow(encode, schema)
+    rows = stored(rows.mapInArrow(encode, schema))
     sums = {"_a": F.col("_one"), "_b": F.col("_two"), "_tokens": F.col("n_tokens")}
     rows = running_totals(rows, ["conv_id"], F.floor(F.col("pos") / _STRETCH), [F.col("pos")], totals=sums)
     name = lambda pos, a, b: F.md5(F.concat_ws(",", pos, a, b))
@@ -172,7 +175,7 @@ def read_back(nodes: DataFrame, paths: DataFrame, vocabulary: str | None = None)
     rows = paths.join(nodes.select("node", "ids", "loss_from", "loss_to"), "node").select("conv_id", "pos", "ids", "loss_from", "loss_to")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(file)
+        tokenizer = kept_in_worker(f"tokenizer {file}", lambda: _tokenizer(file))
         now: list | None = None
         done: list[tuple] = []
 
@@ -187,7 +190,7 @@ def read_back(nodes: DataFrame, paths: DataFrame, vocabulary: str | None = None)
             done.clear()
             return batch
 
-        for batch in batches:
+        for batch in (b.slice(first, _TOGETHER) for b in batches for first in range(0, b.num_rows, _TOGETHER)):
             convs, ids, begins, ends = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
             pieces = tokenizer.decode_batch([np.frombuffer(i, "<u4").tolist() for i in ids], skip_special_tokens=False)
             for conv, piece, begin, end in zip(convs, pieces, begins, ends):

@@ -10,8 +10,6 @@ and look up their place by that number, so no task sees more than its share.
 
 from __future__ import annotations
 
-import sys
-import types
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundplan.llm.words import LOWER, Texts, blocks, find_words, hash_words, text_column
+from groundplan.llm.words import LOWER, Texts, blocks, find_words, hash_words, kept_in_worker, text_column
 from groundplan.operators.running import running_totals
 from groundplan.session import stored
 
@@ -127,14 +125,6 @@ class WordIds:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-def _word_ids(vocabulary: str) -> WordIds:
-    """One per worker process, so that later tasks find the words already known."""
-    kept = sys.modules.setdefault("_groundplan_worker", types.ModuleType("_groundplan_worker"))
-    if getattr(kept, "vocabulary", None) != vocabulary:
-        kept.word_ids, kept.vocabulary = WordIds(vocabulary), vocabulary
-    return kept.word_ids
-
-
 def token_pieces(documents: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Token pieces of at most ``capacity`` ids of every document (doc_id, text).
 
@@ -147,7 +137,7 @@ def token_pieces(documents: DataFrame, vocabulary: str | None = None, capacity:
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_ids(file)
+        words = kept_in_worker(f"word_ids {file}", lambda: WordIds(file))
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index("doc_id"))
             for first, past, texts in blocks(text_column(batch)):

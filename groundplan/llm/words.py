@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -153,3 +156,12 @@ def hash_words(data: np.ndarray, words: Words) -> np.ndarray:
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> Texts:
     return read_texts(batch.column(batch.schema.get_field_index(name)))
+
+
+def kept_in_worker(name: str, make: Callable):
+    """What ``make`` returns, made once per worker process and name, so that later tasks find it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    kept = sys.modules.setdefault("_groundplan_worker", types.ModuleType("_groundplan_worker"))
+    if not hasattr(kept, name):
+        setattr(kept, name, make())
+    return getattr(kept, name)
