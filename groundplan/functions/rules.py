@@ -118,10 +118,19 @@ ALL_RULES = [*FOS_RULES, *SECTION_RULES, *RANGE_RULES, *INFO_RULES]
 
 
 def python_rule(check: Callable[[str], tuple[bool, str]]) -> Callable[[Column], Column]:
-    """A rule from a plain function of the text, run on Arrow batches."""
+    """A rule from a plain function of the text, run on Arrow batches.
+
+    Where the function fails, ``passed`` is null and the details say why.
+    """
+
+    def outcome(text: str) -> tuple[bool | None, str]:
+        try:
+            return check(text)
+        except Exception as error:  # a rule of the user's own must not stop the others
+            return None, f"{V.RULE_ERROR}{error}"
 
     @F.pandas_udf(_RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([check(t) for t in texts], columns=["passed", "details"])
+        return pd.DataFrame([outcome(t) for t in texts], columns=["passed", "details"]).astype({"passed": "boolean"})
 
     return lambda text: run(text)

@@ -56,13 +56,13 @@ def evm_metrics(tasks: DataFrame, *, as_of, keys: list[str] = PROJECT) -> DataFr
 
 
 def evm_trend(tasks: DataFrame, *, keys: list[str] = PROJECT) -> DataFrame:
-    """Running budget and earned value along the start date.
+    """Running budget and earned value along (start_date, task_id).
 
-    Tasks of one day follow a hash of their id, which also cuts a day on which
-    very many tasks start into parts.
+    A day on which very many tasks start is cut into parts by the beginning of
+    the id, which keeps the order.
     """
     rows = tasks.select(*keys, "task_id", "start_date", "budget_cost", "percent_complete")
-    part = F.substring(F.md5("task_id"), 1, 2)
+    part = F.substring("task_id", 1, 3)
     return running_totals(
         rows,
         keys,
@@ -291,14 +291,18 @@ def potential_delays(tasks: DataFrame, *, as_of) -> DataFrame:
 
 
 def behind_plan(tasks: DataFrame, *, as_of) -> DataFrame:
-    """Started, unfinished tasks with less than 80 % of their planned progress."""
+    """Started, unfinished tasks with less than 80 % of their planned progress, and their stored status.
+
+    Tables without a status get the one that follows from the progress.
+    """
     percent = F.col("percent_complete")
+    status = F.col("status") if "status" in tasks.columns else risk.task_status(percent)
     planned = risk.planned_percent(F.col("start_date"), F.col("original_duration"), _day(as_of))
     return (
         tasks.filter((percent > 0) & (percent < 100))
         .withColumn("planned_progress", planned)
         .filter(percent < F.col("planned_progress") * 0.8)
-        .select("project_id", "task_id", "task_name", "percent_complete", "planned_progress", risk.task_status(percent).alias("status"))
+        .select("project_id", "task_id", "task_name", "percent_complete", "planned_progress", status.alias("status"))
     )
 
 

@@ -34,7 +34,8 @@ def rule_checks(reports: DataFrame, rules: list[R.Rule] = R.ALL_RULES) -> DataFr
     ]
     rows = reports.select("report_id", F.explode(F.array(*entries)).alias("c")).select("report_id", "c.*")
     passed = F.col("outcome.passed")
-    status = F.when(passed, "pass").when(F.col("severity") == "critical", "fail").when(passed.isNull(), "not_checked").otherwise("warning")
+    failed = passed.isNull() & F.col("outcome.details").startswith(V.RULE_ERROR)
+    status = F.when(passed, "pass").when(failed, "not_checked").when(F.col("severity") == "critical", "fail").when(passed.isNull(), "not_checked").otherwise("warning")
     return rows.select(
         "report_id", "rule_no", "rule_id", "rule_name", "category", "severity", "reference", status.alias("status"),
         F.col("outcome.details").alias("details"),

@@ -67,11 +67,11 @@ def headings(content: Column) -> Column:
 
 def section_bodies(content: Column) -> Column:
     """Heading and body of each second level section, as an array."""
-    pattern = r"(?d)##\s+([^\n]+)\n((?:(?!##\s)[\s\S])*)"
-    part = lambda i: F.regexp_extract_all(content, F.lit(pattern), F.lit(i))
-    return F.transform(
-        F.arrays_zip(part(1).alias("title"), part(2).alias("body")), lambda s: F.struct(s["title"].alias("title"), strip(s["body"]).alias("body"))
-    )
+    # cut ahead of each mark: a section is then one element, however long
+    sections = F.filter(F.split(content, r"(?=##\s)"), lambda s: s.rlike(r"(?d)^##\s+[^\n]+\n"))
+    title = lambda s: F.regexp_extract(s, r"(?d)^##\s+([^\n]+)\n", 1)
+    head = lambda s: F.char_length(F.regexp_extract(s, r"(?d)^(##\s+[^\n]+\n)", 1))
+    return F.transform(sections, lambda s: F.struct(title(s).alias("title"), strip(F.substring(s, head(s) + 1, F.char_length(s))).alias("body")))
 
 
 def compare(pairs: DataFrame) -> DataFrame:

@@ -194,7 +194,7 @@ def _daily_usage_stream(spark, folder):
 
     table, state = _folders(spark)
     events.write_daily_usage(_stream(spark, folder), table, state, available_now=True).awaitTermination()
-    return spark.read.parquet(table).selectExpr("cast(day as string) day", "event_type", "events", "good", "duration_ms")
+    return events.current_daily_usage(spark, table).selectExpr("cast(day as string) day", "event_type", "events", "good", "duration_ms")
 
 
 REGISTRY.add_plan("event_upsert_stream", _event_upsert_stream, "event_writes events", """
@@ -202,7 +202,7 @@ SELECT event_id, event_type, user_id, duration_ms, event_type <> 'error' AS succ
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts DESC) = 1""")
 REGISTRY.add_plan("daily_usage_stream", _daily_usage_stream, "events", """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS "day", event_type, count(*) AS events, count(*) FILTER (event_type <> 'error') AS good, CAST(sum(floor(value * 10)) AS BIGINT) AS duration_ms
-FROM events WHERE CAST(ts AS DATE) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) GROUP BY 1, 2""")
+FROM events GROUP BY 1, 2""")
 
 
 @query("embedding_job", "documents")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundplan.functions.words import strip
+from groundplan.session import stored
 
 FILTER_COLUMNS = ["document_type", "document_id", "clause_id", "content_type", "regulatory_strength"]
 
@@ -16,7 +17,8 @@ def add_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """All chunks; rows without chunk id only mark a partition as empty."""
+    return spark.read.parquet(path).filter(F.col("chunk_id").isNotNull())
 
 
 def all_collections(*collections: DataFrame) -> DataFrame:
@@ -46,29 +48,20 @@ def without_document(chunks: DataFrame, document_id: object) -> DataFrame:
     return chunks.filter(F.col("document_id") != F.lit(document_id))
 
 
-_MAX_PARTITIONS = 10_000
-
-
 def delete_document(spark: SparkSession, path: str, document_id: str) -> None:
     """Remove a document from every index.
 
-    Only the partitions that hold the document are written again.
+    Only the partitions that hold the document are written again, in one write
+    that replaces them when it commits. A partition left without chunks keeps a
+    row without chunk id, which ``read_chunks`` leaves out.
     """
-    stored = spark.read.parquet(path)
-    touched = stored.filter(F.col("document_id") == document_id).select("target_index", "document_type").distinct()
-    partitions = [(r[0], r[1]) for r in touched.limit(_MAX_PARTITIONS + 1).collect()]
-    if len(partitions) > _MAX_PARTITIONS:
-        raise ValueError("the document lies in too many partitions")
-    kept = without_document(stored.join(F.broadcast(touched), ["target_index", "document_type"], "left_semi"), document_id)
-    staging = f"{path.rstrip('/')}_staging"
-    kept.write.mode("overwrite").partitionBy("target_index", "document_type").parquet(staging)
-    # an index left without chunks gets an empty file, so that it is overwritten too
-    rewritten = spark.read.schema(stored.schema).parquet(staging)
-    for index, kind in partitions:
-        part = rewritten.filter((F.col("target_index") == index) & (F.col("document_type") == kind))
-        part.drop("target_index", "document_type").write.mode("overwrite").parquet(
-            f"{path}/target_index={index}/document_type={kind}"
-        )
+    chunks = spark.read.parquet(path)
+    layout = ["target_index", "document_type"]
+    touched = chunks.filter(F.col("document_id") == document_id).select(*layout).distinct()
+    rest = chunks.join(touched, layout, "left_semi").filter(~F.col("document_id").eqNullSafe(F.lit(document_id)) & F.col("chunk_id").isNotNull())
+    marks = touched.select(*[F.col(f.name) if f.name in layout else F.lit(None).cast(f.dataType).alias(f.name) for f in chunks.schema])
+    kept = stored(rest.unionByName(marks))
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*layout).parquet(path)
 
 
 def list_documents(chunks: DataFrame) -> DataFrame:

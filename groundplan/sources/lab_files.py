@@ -1,111 +1,148 @@
-"""Directories of laboratory and borehole files."""
+"""Directories of laboratory and borehole files.
+
+CSV columns are taken by the names in a file's first line. A file that cannot be
+read as what it claims to be is listed with its error and gives no data.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundplan import schemas
 from groundplan.operators.labdata import borehole_logs, lab_results
 
+_CORRUPT = "_corrupt_record"
+# the columns that must hold numbers
+_LAB_NUMBERS = ["Depth_m", "Value"]
+_HOLE_NUMBERS = ["Depth_From", "Depth_To", "SPT_N"]
+
+
+def _csv_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines of CSV files in their order, each with the names in its file's first line."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{csv,CSV}")
+    lines = reader.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("ord"), "value"
+    )
+    # the first line of a file is the first of the split that begins it: one row a file
+    first = lines.filter(F.col("_at") == 0).groupBy("file").agg(F.min(F.struct("ord", "value")).alias("_first"))
+    names = F.transform(F.split(F.regexp_replace("_first.value", "^﻿", ""), ","), lambda n: F.btrim(n, F.lit(" \"\r")))
+    heads = first.select("file", F.col("_first.ord").alias("_head"), names.alias("names"))
+    return lines.join(heads, "file").filter((F.col("ord") != F.col("_head")) & (F.btrim("value") != "")).drop("_at", "_head")
+
+
+def _fields(lines: DataFrame, width: int = 64) -> DataFrame:
+    """``r``: the values of each line by column name; empty ones and those beyond the header are left out."""
+    parsed = F.from_csv("value", ", ".join(f"_{i} string" for i in range(width)), {"mode": "PERMISSIVE"})
+    values = F.array(*[F.col("_parsed")[f"_{i}"] for i in range(width)])
+    pairs = F.filter(F.arrays_zip("names", values.alias("values")), lambda p: p["names"].isNotNull() & (p["names"] != "") & p["values"].isNotNull())
+    # of a repeated name the last value counts
+    last = F.aggregate(pairs, F.expr("cast(map() as map<string, string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["names"]), F.create_map(p["names"], p["values"])))
+    return lines.withColumn("_parsed", parsed).withColumn("r", last).drop("_parsed")
+
+
+def _bad_number(names: list[str]) -> Column:
+    """Message for the first of the named columns whose value is no number; null if all are."""
+    wrong = lambda n: F.col("r")[n].isNotNull() & F.col("r")[n].try_cast("double").isNull()
+    return F.coalesce(*[F.when(wrong(n), F.concat(F.lit(f"{n} is not a number: "), F.col("r")[n])) for n in names])
+
 
 def file_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """Each file with its kind: lab_data, borehole_csv, borehole_json, or none.
 
-    The kind of a CSV file shows in its first line, so only that line is read.
+    The kind of a CSV file shows in its first line alone.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     files = files.select(F.col("_metadata.file_path").alias("path"))
     ending = F.lower(F.substring_index("path", ".", -1))
     lines = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{csv,CSV}").text(folder)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
-    )
-    first = lines.filter(
-        F.col("value").contains("Sample_ID") | F.col("value").contains("Test_Type") | F.col("value").contains("Type") | F.col("value").contains("Depth_From")
-    )
-    head = first.filter(F.col("at") == 0).groupBy("path").agg(
-        F.max(F.col("value").contains("Sample_ID") | F.col("value").contains("Test_Type")).alias("lab")
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("ord"), "value")
     )
+    head = lines.filter(F.col("at") == 0).groupBy("path").agg(F.min(F.struct("ord", "value"))["value"].alias("head"))
     named = files.join(head, "path", "left")
+    has = lambda name: F.coalesce(F.col("head").contains(name), F.lit(False))
     kind = (
-        F.when((ending == "csv") & F.col("lab"), "lab_data")
-        .when((ending == "csv") & F.col("lab").isNotNull(), "borehole_csv")
+        F.when((ending == "csv") & (has("Sample_ID") | has("Test_Type")), "lab_data")
+        .when((ending == "csv") & (has("Type") | has("Depth_From")), "borehole_csv")
         .when(ending == "json", "borehole_json")
     )
     return named.select("path", kind.alias("kind"), F.when(kind.isNull(), F.concat(F.lit("Unsupported file format: ."), ending)).alias("error"))
 
 
-def read_lab_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Rows of lab CSV files with their file and their order in it."""
-    rows = spark.read.schema(schemas.LAB_ROWS).option("header", True).csv(paths)
-    return rows.select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"), F.col("Sample_ID").alias("sample_id"),
-        F.col("Depth_m").alias("depth_m"), F.col("Test_Type").alias("test_type"), F.col("Parameter_Name").alias("parameter_name"),
-        F.col("Value").alias("value"), F.col("Unit").alias("unit"),
+def _lab_rows(fields: DataFrame) -> DataFrame:
+    r = F.col("r")
+    return fields.select(
+        "file", "ord", r["Sample_ID"].alias("sample_id"), r["Depth_m"].try_cast("double").alias("depth_m"), r["Test_Type"].alias("test_type"),
+        r["Parameter_Name"].alias("parameter_name"), r["Value"].try_cast("double").alias("value"), r["Unit"].alias("unit"),
     )
 
 
-def read_lab_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    rows = read_lab_rows(spark, paths)
+def _hole_rows(fields: DataFrame) -> DataFrame:
+    r = F.col("r")
+    numbers = [r[n].try_cast("double").alias(n.lower()) for n in _HOLE_NUMBERS]
+    return fields.select("file", F.col("ord").alias("line_no"), r["Type"].alias("type"), *numbers, r["Description"].alias("description"), r["Key"].alias("key"), r["Value"].alias("value"))
+
+
+def read_lab_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Rows of lab CSV files with their file and their order in it; what is no number is null."""
+    return _lab_rows(_fields(_csv_lines(spark, paths)))
+
+
+def _results(rows: DataFrame) -> DataFrame:
     keyed = rows.withColumn("_sample", F.struct("file", "sample_id"))
     return lab_results(keyed, sample="_sample").select("_sample.file", "_sample.sample_id", "test_type", "depth_m", "parameters")
 
 
+def read_lab_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return _results(read_lab_rows(spark, paths))
+
+
 def read_borehole_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    rows = spark.read.schema(schemas.BOREHOLE_CSV).option("header", True).csv(paths)
-    named = rows.select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.col("Type").alias("type"),
-        F.col("Depth_From").alias("depth_from"), F.col("Depth_To").alias("depth_to"), F.col("Description").alias("description"),
-        F.col("SPT_N").alias("spt_n"), F.col("Key").alias("key"), F.col("Value").alias("value"),
-    )
-    return borehole_logs(named)
+    return borehole_logs(_hole_rows(_fields(_csv_lines(spark, paths))))
 
 
-def read_borehole_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Borehole logs from JSON files, absent fields filled in."""
-    rows = spark.read.schema(schemas.BOREHOLE_JSON).option("multiLine", True).json(paths)
+def _json_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    reader = spark.read.schema(f"{schemas.BOREHOLE_JSON}, {_CORRUPT} string").option("multiLine", True).option("columnNameOfCorruptRecord", _CORRUPT)
+    rows = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,JSON}").json(paths)
     empty = f"cast(array() as {schemas.BOREHOLE_LAYERS})"
+    # Spark does not answer from the corrupt column alone, so another takes part in a test that always holds
+    broken = F.col(_CORRUPT).isNotNull() & F.coalesce(F.col("borehole_id") != "\0", F.lit(True))
     return rows.select(
         F.col("_metadata.file_path").alias("file"), F.coalesce("borehole_id", F.lit("Unknown")).alias("borehole_id"),
         F.coalesce("location", F.expr("cast(map() as map<string, double>)")).alias("location"),
-        F.coalesce("ground_level_m", F.lit(0.0)).alias("ground_level_m"), "water_level_m", F.coalesce("layers", F.expr(empty)).alias("layers"),
+        F.coalesce("ground_level_m", F.lit(0.0)).alias("ground_level_m"), "water_level_m", F.coalesce("layers", F.expr(empty)).alias("layers"), broken.alias("broken"),
     )
 
 
+def read_borehole_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Borehole logs from JSON files, absent fields filled in; broken files are left out."""
+    return _json_files(spark, paths).filter("NOT broken").drop("broken")
+
+
+def _without(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    return rows.join(bad.select("file"), "file", "left_anti")
+
+
 def read_directory(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lab results, borehole logs and a table of files that could not be used.
 
-    Files are routed by a join on their path, not by listing them one by one.
-    Both readers see all files of an ending; rows of the other kind drop out.
+    Files are routed by a join on their path, not by listing them one by one. A
+    CSV file with a value that is no number where one belongs, or a JSON file
+    that cannot be parsed, goes to the table of errors as a whole.
     """
     kinds = file_kinds(spark, folder)
-    of = lambda kind: kinds.filter(F.col("kind") == kind).select(F.col("path").alias("file"))
-    under = lambda reader: reader.option("recursiveFileLookup", "true")
-    csv = under(spark.read).option("pathGlobFilter", "*.{csv,CSV}").text(folder)
-    csv = csv.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"), "value")
-
-    lab_row = F.from_csv("value", schemas.LAB_ROWS, {"mode": "PERMISSIVE"})
-    lab = csv.join(of("lab_data"), "file", "left_semi").filter(~F.col("value").startswith("Sample_ID")).select("file", "ord", lab_row.alias("r"))
-    lab = lab.select(
-        F.struct("file", F.col("r.Sample_ID").alias("sample_id")).alias("_sample"), "ord", F.col("r.Depth_m").alias("depth_m"),
-        F.col("r.Test_Type").alias("test_type"), F.col("r.Parameter_Name").alias("parameter_name"), F.col("r.Value").alias("value"),
-    )
-    results = lab_results(lab, sample="_sample").select("_sample.file", "_sample.sample_id", "test_type", "depth_m", "parameters")
-
-    hole_row = F.from_csv("value", schemas.BOREHOLE_CSV, {"mode": "PERMISSIVE"})
-    hole = csv.join(of("borehole_csv"), "file", "left_semi").select("file", F.col("ord").alias("line_no"), hole_row.alias("r"))
-    hole = hole.filter(F.col("r.Type").isin("layer", "metadata")).select(
-        "file", "line_no", F.col("r.Type").alias("type"), F.col("r.Depth_From").alias("depth_from"), F.col("r.Depth_To").alias("depth_to"),
-        F.col("r.Description").alias("description"), F.col("r.SPT_N").alias("spt_n"), F.col("r.Key").alias("key"), F.col("r.Value").alias("value"),
-    )
-    logs = borehole_logs(hole)
-
-    json = under(spark.read.schema(schemas.BOREHOLE_JSON)).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-    empty = f"cast(array() as {schemas.BOREHOLE_LAYERS})"
-    json_logs = json.select(
-        F.col("_metadata.file_path").alias("file"), F.coalesce("borehole_id", F.lit("Unknown")).alias("borehole_id"),
-        F.coalesce("ground_level_m", F.lit(0.0)).alias("ground_level_m"), "water_level_m", F.coalesce("layers", F.expr(empty)).alias("layers"),
-    )
+    of = lambda kind: kinds.filter(F.col("kind") == kind).select(F.col("path").alias("file"))
+    fields = _fields(_csv_lines(spark, folder))
+    wrong = lambda rows, names: rows.select("file", "ord", _bad_number(names).alias("error")).filter("error is not null").groupBy("file").agg(F.min_by("error", "ord").alias("error"))
+
+    lab = fields.join(of("lab_data"), "file", "left_semi")
+    bad_lab = wrong(lab, _LAB_NUMBERS)
+    hole = fields.join(of("borehole_csv"), "file", "left_semi")
+    bad_hole = wrong(hole.filter(F.col("r")["Type"] == "layer"), _HOLE_NUMBERS)
+    json = _json_files(spark, folder)
+    bad_json = json.filter("broken").select("file", F.lit("Broken JSON").alias("error")).distinct()
+
+    logs = borehole_logs(_hole_rows(_without(hole, bad_hole))).unionByName(_without(json, bad_json).drop("location", "broken"))
     errors = kinds.filter(F.col("kind").isNull()).select(F.col("path").alias("file"), "error")
-    return results, logs.unionByName(json_logs), errors
+    return _results(_lab_rows(_without(lab, bad_lab))), logs, errors.unionByName(bad_lab).unionByName(bad_hole).unionByName(bad_json)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +21,19 @@ def parse_date(text: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Stripped lines with their file (the project) and position.
+    """Stripped lines with their file, project and position.
 
-    Line numbers follow the byte order of a file: the position is the start of
+    The project is the file's name, with the folders below ``path`` that it is in. Line numbers follow the byte order of a file: the position is the start of
     the split a line came from, then its order inside the split.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    file = F.col("_metadata.file_name")
+    file = F.col("_metadata.file_path")
+    root = re.sub(r"^[a-z]+:/*|^/*|/+$", "", path)
+    # file:///a/b and /a/b name the same folder; a path to one file leaves its name
+    below = F.regexp_replace(file, "^.*?/" + re.escape(root) + "/", "") if "*" not in root else F.substring_index(file, "/", -1)
+    name = F.when(below == file, F.substring_index(file, "/", -1)).otherwise(below)
     return lines.select(
-        F.regexp_replace(file, r"\.[^.]*$", "").alias("project_id"),
+        F.regexp_replace(F.url_decode(F.regexp_replace(name, r"\+", "%2B")), r"\.[^.]*$", "").alias("project_id"), file.alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
         strip(F.col("value")).alias("line"),
@@ -62,7 +68,7 @@ def section_rows(lines: DataFrame, *, legacy: bool = False) -> DataFrame:
             ),
         }
     part = F.struct("block", F.floor(F.col("at") / _LINES_PER_PART).alias("part"))
-    rows = carry_forward(lines, ["project_id"], part, F.struct("block", "at"), values)
+    rows = carry_forward(lines, ["project_id", "file"], part, F.struct("block", "at"), values)
     if legacy:
         data = rows.filter((F.col("line") != "") & ~F.col("line").startswith("%"))
         return data.select("project_id", F.col("state.section").alias("section"), F.col("state.fields").alias("fields"), parts.alias("values"))

@@ -66,11 +66,21 @@ def daily_usage_stream(events: DataFrame, *, delay: str = "1 day") -> DataFrame:
 
 
 def write_daily_usage(events: DataFrame, path: str, checkpoint: str, *, delay: str = "1 day", available_now: bool = False) -> StreamingQuery:
-    writer = (
-        daily_usage_stream(events, delay=delay)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-    )
+    """Keep the counts of every day up to now, the running one included.
+
+    Each batch stores the days it changed in a folder of its own, which a batch
+    that runs again replaces; ``current_daily_usage`` reads the latest of each.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = daily_usage_stream(events, delay=delay).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def current_daily_usage(spark: SparkSession, path: str) -> DataFrame:
+    """Daily usage as of now: the counts that the latest batch has for each day and type."""
+    stored = spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+    latest = stored.groupBy("day", "event_type").agg(F.max_by(F.struct("events", "good", "duration_ms"), "batch_id").alias("_now"))
+    return latest.select("day", "event_type", "_now.*")

@@ -84,6 +84,31 @@ def test_lab_and_borehole_directory(spark, tmp_path):
     assert lab_files.read_borehole_json(spark, str(tmp_path / "deep.json")).first().location == {}
 
 
+def test_columns_by_name_and_broken_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "lab.csv").write_text("Unit,Value,Parameter_Name,Test_Type,Depth_m,Sample_ID,Remark\nkPa,10,cohesion,Triaxial,1.5,S1,\"a, b\"\n\n")
+    (tmp_path / "badlab.csv").write_text("Sample_ID,Depth_m,Value\nS9,x,1\n")
+    (tmp_path / "hole.csv").write_text("Key,Value,Type,Description,Depth_From,Depth_To,SPT_N\nborehole_id,BH1,metadata,,,,\n,,layer,see Test_Type of Sample_ID,0,2,7\n")
+    (tmp_path / "badhole.csv").write_text("Type,Depth_From,Depth_To\nlayer,0,deep\n")
+    (tmp_path / "foreign.csv").write_text("name,kind\nx,Type\n")
+    (tmp_path / "bad.json").write_text('{"borehole_id": "BH')
+    results, logs, errors = lab_files.read_directory(spark, str(tmp_path))
+    assert [(r.sample_id, r.depth_m, r.test_type, r.parameters) for r in results.collect()] == [("S1", 1.5, "Triaxial", {"cohesion": 10.0})]
+    assert [(r.borehole_id, [(x.description, x.spt_n) for x in r.layers]) for r in logs.collect()] == [("BH1", [("see Test_Type of Sample_ID", 7.0)])]
+    assert {r.file.rsplit("/", 1)[1]: r.error for r in errors.collect()} == {
+        "badlab.csv": "Depth_m is not a number: x", "badhole.csv": "Depth_To is not a number: deep", "foreign.csv": "Unsupported file format: .csv", "bad.json": "Broken JSON",
+    }
+    assert lab_files.read_borehole_json(spark, str(tmp_path / "bad.json")).count() == 0
+
+
+def test_equal_file_names_are_projects_of_their_own(spark, tmp_path):
+    for folder, task in (("a", "1"), ("b", "2")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "plan.xer").write_text(EXPORT.replace("\t10\tDig", f"\t{task}\tDig"))
+    tasks = schedule_export.read_schedules(spark, str(tmp_path))["tasks"].collect()
+    assert {(r.project_id, r.task_id) for r in tasks} == {("a/plan", "1"), ("a/plan", "11"), ("b/plan", "2"), ("b/plan", "11")}
+
+
 def test_sessions(spark, tmp_path):
     for name, saved, chats in (("a", "2024-01-01", 1), ("b", "2024-02-01", 0)):
         data = {"session_id": name, "saved_at": saved, "chat_history": [{"role": "user", "content": "x"}] * chats, "designer_messages": []}
@@ -130,6 +155,11 @@ def test_chunk_store(spark, frame, tmp_path):
     assert chunk_store.matching(stored, document_id="a", clause_id=None).count() == 2
     chunk_store.delete_document(spark, path, "a")
     assert {r.chunk_id for r in chunk_store.read_chunks(spark, path).select("chunk_id").collect()} == {"c3", "c4"}
+    chunk_store.delete_document(spark, path, "b")
+    chunk_store.add_chunks(frame([_chunk(5, "a", "section")], CHUNK), path)
+    assert {r.chunk_id for r in chunk_store.read_chunks(spark, path).collect()} == {"c4", "c5"}
+    chunk_store.delete_document(spark, path, "absent")
+    assert chunk_store.read_chunks(spark, path).count() == 2
 
 
 def test_chunk_dump(spark, frame, tmp_path):
@@ -171,13 +201,12 @@ def test_daily_usage_stream_equals_the_table(spark, tmp_path):
     source.mkdir()
     days = [f"2024-01-{d:02d}T0{h}:00:00Z" for d in (1, 2, 3) for h in (1, 5)]
     (source / "1.json").write_text("\n".join(json.dumps(_event(i, "query", ts, i)) for i, ts in enumerate(days)))
-    # a last event moves the watermark on, so that the days before are final
     (source / "2.json").write_text(json.dumps(_event(99, "query", "2024-01-09T00:00:00Z", 0)))
     events = stream.read_events(spark, str(source), max_files=1)
     stream.write_daily_usage(events, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True).awaitTermination()
-    got = {(str(r.day), r.events, r.duration_ms) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    got = {(str(r.day), r.events, r.duration_ms) for r in stream.current_daily_usage(spark, str(tmp_path / "out")).collect()}
     table = usage.daily_usage(spark.read.schema(stream.schemas.USAGE_EVENTS).json(str(source)))
-    assert got == {(str(r.day), r.events, r.duration_ms) for r in table.filter("day < '2024-01-09'").collect()}
+    assert got == {(str(r.day), r.events, r.duration_ms) for r in table.collect()}
 
 
 def test_distinct_event_stream(spark, tmp_path):

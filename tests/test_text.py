@@ -282,6 +282,25 @@ def test_own_rule(spark):
     assert {r.report_id: (r.status, r.details) for r in rows} == {1: ("pass", "looked"), 2: ("fail", "looked")}
 
 
+def test_failing_rule_leaves_the_others(spark):
+    def fails(text):
+        if text == "y":
+            raise ValueError("no y")
+        return True, "fine"
+
+    rules = [R.Rule("bad", "Bad", "parameter", "critical", R.python_rule(fails)), R.Rule("own", "Own", "parameter", "low", R.python_rule(lambda t: (True, "looked")))]
+    rows = validation.rule_checks(spark.createDataFrame([(1, "x"), (2, "y")], "report_id int, report_text string"), rules).collect()
+    assert {(r.report_id, r.rule_id, r.status) for r in rows} == {(1, "bad", "pass"), (2, "bad", "not_checked"), (1, "own", "pass"), (2, "own", "pass")}
+    assert [r.details for r in rows if r.status == "not_checked"] == ["Check failed: no y"]
+
+
+def test_long_sections_with_wide_characters(spark):
+    body = "\U0001f600 text " * 140_000
+    old, new = f"## A\n{body}\n## B\nsame ## no heading\n", f"## A\n{body}x\n## B\nsame ## no heading\n## C\nnew"
+    row = versions.compare(spark.createDataFrame([(old, new)], "old_content string, new_content string")).first()
+    assert (row.sections_added, row.sections_removed, row.sections_modified) == (["C"], [], ["A"])
+
+
 # --- model output -------------------------------------------------------
 
 
