@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from groundplan.plans import design_queries, document_queries, programme_queries, quality_queries, search_queries, usage_queries
+from groundplan.plans import design_queries, document_queries, programme_queries, quality_queries, search_queries, source_queries, usage_queries
 from groundplan.plans.registry import Plan
 
-_FAMILIES = [programme_queries, usage_queries, document_queries, search_queries, quality_queries, design_queries]
+_FAMILIES = [programme_queries, usage_queries, document_queries, search_queries, quality_queries, design_queries, source_queries]
 
 
 def all_plans() -> dict[str, Plan]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundplan import schemas
+from groundplan.functions.words import let
 from groundplan.operators.labdata import borehole_logs, lab_results
 
 _CORRUPT = "_corrupt_record"
@@ -31,14 +32,14 @@ def _csv_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.join(heads, "file").filter((F.col("ord") != F.col("_head")) & (F.btrim("value") != "")).drop("_at", "_head")
 
 
-def _fields(lines: DataFrame, width: int = 64) -> DataFrame:
+def _fields(lines: DataFrame) -> DataFrame:
     """``r``: the values of each line by column name; empty ones and those beyond the header are left out."""
-    parsed = F.from_csv("value", ", ".join(f"_{i} string" for i in range(width)), {"mode": "PERMISSIVE"})
-    values = F.array(*[F.col("_parsed")[f"_{i}"] for i in range(width)])
-    pairs = F.filter(F.arrays_zip("names", values.alias("values")), lambda p: p["names"].isNotNull() & (p["names"] != "") & p["values"].isNotNull())
+    raw = F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*)'), F.lit(1))
+    plain = F.transform(raw, lambda v: F.when(v.startswith('"'), F.replace(F.substring(v, 2, F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(F.btrim(v, F.lit(" \r"))))
+    pairs = let(plain, lambda values: F.arrays_zip("names", values.alias("values")))
     # of a repeated name the last value counts
-    last = F.aggregate(pairs, F.expr("cast(map() as map<string, string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["names"]), F.create_map(p["names"], p["values"])))
-    return lines.withColumn("_parsed", parsed).withColumn("r", last).drop("_parsed")
+    last = lambda p, i: (F.coalesce(p["names"], F.lit("")) != "") & (F.coalesce(p["values"], F.lit("")) != "") & ~F.array_contains(F.slice(F.col("names"), i + 2, F.size("names")), p["names"])
+    return lines.withColumn("r", F.map_from_entries(F.transform(F.filter(pairs, last), lambda p: F.struct(p["names"], p["values"]))))
 
 
 def _bad_number(names: list[str]) -> Column:
