@@ -12,7 +12,7 @@ def _large(links: DataFrame) -> DataFrame:
     """Tie every larger neighbour of a node to the node's smallest neighbour."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("_least"))
-    return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("_least").alias("b")).distinct()
+    return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("_least").alias("b"))
 
 
 def _small(links: DataFrame) -> DataFrame:
@@ -23,22 +23,25 @@ def _small(links: DataFrame) -> DataFrame:
     return tied.unionByName(own).filter(F.col("a") != F.col("b")).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether no node that others are tied to is tied to another."""
+    roots = links.select(F.col("b").alias("a")).distinct()
+    return not links.select("a").join(roots, "a", "left_semi").take(1)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest member (``component``) of the component of every linked ``node``.
 
     ``links`` has two columns of equal type, in either order and with repeats.
     Larger and smaller neighbours are tied to the smallest in turn, a logarithmic
-    number of times; each round is written out, and no round holds a node's links
-    in one place. Nulls and links of a node to itself are left out.
+    number of times, until every node is tied to a smallest one; each round is
+    written out, and no round holds a node's links in one place. Nulls and links
+    of a node to itself are left out.
     """
     a, b = links.columns
-    now = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    seen = None
-    while True:
+    now = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    now = stored(_small(now))
+    while not _settled(now):
         now = stored(_small(_large(now)))
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
