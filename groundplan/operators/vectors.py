@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from groundplan import fixed_values as V
 from groundplan.operators import cache
+from groundplan.session import stored
 
 # query vectors held by a task at a time: at most this many, and this many bytes
 BLOCK_QUERIES = 8_192
@@ -103,41 +103,37 @@ def _local_top(query_ids, queries, allowed, size: int, threshold: float, count:
 
 
 def _query_blocks(queries: DataFrame, within: DataFrame | None) -> Iterator[tuple[list, np.ndarray, dict | None]]:
-    """The query vectors in blocks of checked size.
+    """The query vectors in blocks of about ``BLOCK_QUERIES`` rows and ``BLOCK_BYTES``, of one vector length each.
 
-    One block is the usual case. A larger query table is cut by a hash of the
-    query id, and every block is one more pass over the chunks.
+    Rows are dealt to blocks by a hash of id and vector, so ids may repeat; every
+    block is one more pass over the chunks. Equal rows count once. Queries with
+    many clauses make for more blocks.
     """
     rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.size("embedding") > 0)
-    blocks, limit = 1, BLOCK_QUERIES
-    table = rows.limit(limit + 1).toArrow()
-    if not table.num_rows:
-        return
-    size = len(table.column(1)[0])
-    if table.num_rows > limit or table.num_rows * size * 8 > BLOCK_BYTES:
-        limit = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * size)))
-        blocks = math.ceil(2 * rows.count() / limit)
-    of_block = lambda df, block: df if blocks == 1 else df.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-    for block in range(blocks):
-        part = table if blocks == 1 else of_block(rows, block).limit(limit + 1).toArrow()
-        if part.num_rows > limit:
-            raise ValueError(f"query block {block} has more than {limit} rows: query ids repeat")
-        if part.num_rows:
-            ids = part.column(0).to_pylist()
-            yield ids, _unit(_matrix(part.column(1), size)), _clause_rows(of_block(within, block), ids) if within is not None else None
+    rows = stored(rows.distinct().withColumn("_size", F.size("embedding")))
+    limits = None if within is None else stored(within.select("query_id", "clause").distinct())
+    clauses = 0 if limits is None else limits.count()
+    for size, count in sorted(tuple(r) for r in rows.groupBy("_size").count().collect()):  # one row for each vector length
+        most = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * size)))
+        blocks = max(-(-count // most), -(-clauses // (BLOCK_QUERIES * 64)))
+        for block in range(blocks):
+            part = rows.filter((F.col("_size") == size) & (F.pmod(F.xxhash64("query_id", "embedding"), F.lit(blocks)) == block)).drop("_size")
+            table = part.toArrow()
+            if table.num_rows:
+                ids = table.column(0).to_pylist()
+                own = None if limits is None else _clause_rows(limits.join(part.select("query_id").distinct(), "query_id", "left_semi"), ids)
+                yield ids, _unit(_matrix(table.column(1), size)), own
 
 
 def _clause_rows(within: DataFrame, ids: list) -> dict[str, np.ndarray]:
-    """Per clause the positions of the queries that may look below it."""
-    bound = 64 * len(ids)
-    pairs = within.select("query_id", "clause").distinct().limit(bound + 1).toArrow()
-    if pairs.num_rows > bound:
-        raise ValueError("more than 64 clauses per query")
-    place = {q: i for i, q in enumerate(ids)}
+    """Per clause the positions of the queries of a block that may look below it."""
+    pairs = within.select("query_id", "clause").toArrow()
+    places: dict = {}
+    for i, q in enumerate(ids):
+        places.setdefault(q, []).append(i)
     found: dict[str, list[int]] = {}
     for q, clause in zip(pairs.column(0).to_pylist(), pairs.column(1).to_pylist()):
-        if q in place:
-            found.setdefault(clause, []).append(place[q])
+        found.setdefault(clause, []).extend(places.get(q, []))
     return {clause: np.array(sorted(rows)) for clause, rows in found.items()}
 
 
@@ -157,7 +153,8 @@ def vector_topk(
     chunks against the query block with one matrix product per batch and keeps
     its best hits, so only ``2 k`` rows per query, collection and task are
     shuffled, and chunk texts stay out of the search. ``within`` (query_id,
-    clause) limits a query to chunks at or below its clauses.
+    clause) limits a query to chunks at or below its clauses. Vectors are compared
+    with those of their own length only.
     """
     count = per_collection or 2 * k
     spark = queries.sparkSession

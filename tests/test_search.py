@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundplan.operators import graph, search, vectors
+from groundplan.operators import graph, search, sizes, vectors
 from groundplan.operators.context import assemble, source_blocks
 
 CHUNK = "chunk_id int, embedding array<float>, target_index string, clause_id string"
@@ -179,3 +179,32 @@ def test_context(frame, linked):
     assert text.endswith("provided Clause IDs and Page Numbers.\n")
     blocks = frame([(1, 1, "D", None, 3, "t"), (1, 2, None, "S", None, "u")], "query_id int, rank int, document_name string, section_title string, page_number int, text string")
     assert source_blocks(blocks).first().context == "[Source: D | Section: N/A | Page: 3]\nt\n\n---\n\n[Source: Unknown | Section: S | Page: N/A]\nu"
+
+
+def test_vectors_meet_only_their_own_length(frame):
+    asked = frame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0])], "query_id int, embedding array<double>")
+    chunks = frame([("a", [1.0, 0.0]), ("b", [0.0, 0.0, 0.0, 1.0]), ("c", [2.0, 0.0, 0.0, 0.0])], "chunk_id string, embedding array<double>")
+    got = {(r.query_id, r.chunk_id, round(r.score, 6)) for r in vectors.vector_topk(asked, chunks, k=2, threshold=0.0).collect()}
+    assert got >= {(1, "a", 1.0), (2, "c", 1.0)} and all((q, c) in {(1, "a"), (2, "b"), (2, "c")} for q, c, _ in got)
+
+
+def test_repeated_query_ids_over_many_blocks(spark, frame, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 10)
+    asked = spark.range(60).selectExpr("cast(1 as int) query_id", "array(cast(id as double) + 1, 1D) embedding")
+    chunks = frame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "chunk_id string, embedding array<double>")
+    got = vectors.vector_topk(asked, chunks, k=1, threshold=0.0).collect()
+    assert [(r.query_id, r.chunk_id) for r in got] == [(1, "a")]
+
+
+def test_a_hundred_clauses_of_one_query(frame):
+    asked = frame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    chunks = frame([(f"c{i}", [1.0, float(i)], f"{i}.1") for i in range(200)], "chunk_id string, embedding array<double>, clause_id string")
+    within = frame([(1, str(i)) for i in range(50, 150)], "query_id int, clause string")
+    got = {r.chunk_id for r in vectors.vector_topk(asked, chunks, k=200, threshold=0.0, within=within).collect()}
+    assert got == {f"c{i}" for i in range(50, 150)}
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    texts = spark.range(100).selectExpr("repeat('x', 1000) AS t")
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(sizes.broadcast_if_small(texts)) and "broadcast" not in plan(sizes.broadcast_if_small(texts, max_bytes=50_000))
