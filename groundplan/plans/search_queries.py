@@ -111,6 +111,15 @@ def class_questions(embeddings, items):
     return class_queries(embeddings).join(item_queries(items), "query_id")
 
 
+def item_questions(embeddings, items):
+    """Every item with a vector: the centre of the class of its number, modulo the classes, shifted by the vector of its number if there is one."""
+    centres = class_queries(embeddings).agg(F.array_sort(F.collect_list(F.struct("query_id", "embedding"))).alias("_centres"))
+    own = embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("_own"))
+    centre = F.get("_centres", F.pmod("query_id", F.size("_centres")).cast("int"))["embedding"]
+    shifted = F.when(F.col("_own").isNull(), centre).otherwise(F.zip_with(centre, "_own", lambda a, b: a + b))
+    return item_queries(items).join(own, "query_id", "left").crossJoin(centres).select("query_id", "text", shifted.alias("embedding"))
+
+
 @query("hybrid_fusion", "embeddings benchmark text_chunks", """
 SELECT query_id, chunk_id, round(semantic_score, 6) semantic_score, round(keyword_score, 6) keyword_score, round(combined_score, 6) combined_score, CAST(rank AS INT) rank FROM final""", FUSION_SQL, also="vector_chunks documents")
 def hybrid_fusion(embeddings, items, chunks):
@@ -134,7 +143,7 @@ def two_stage_search(embeddings, items, chunks):
 
 @query("rank_fusion", "embeddings benchmark text_chunks")
 def rank_fusion(embeddings, items, chunks):
-    questions = class_questions(embeddings, items)
+    questions = item_questions(embeddings, items)
     semantic = vectors.vector_topk(questions, chunks, k=20)
     return search.fuse_by_rank(semantic, search.keyword_hits(questions, chunks))
 

@@ -208,3 +208,11 @@ def test_broadcast_is_bounded_by_bytes(spark):
     texts = spark.range(100).selectExpr("repeat('x', 1000) AS t")
     plan = lambda df: df._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(sizes.broadcast_if_small(texts)) and "broadcast" not in plan(sizes.broadcast_if_small(texts, max_bytes=50_000))
+
+
+def test_rank_fusion_asks_every_item(spark):
+    from groundplan.plans.search_queries import REGISTRY
+
+    folder = "/root/testdata/sf0.001"
+    items = {r.item_id for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    assert {r.query_id for r in REGISTRY.plans["rank_fusion"](spark, folder).collect()} == items
