@@ -10,6 +10,7 @@ gives the cheapest labelling, and the content side is the article.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -18,9 +19,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# elements without text of their own, or whose text is not shown; a comment, a declaration, or a tag
+# elements whose text is not shown; a comment, a declaration, or a tag
 _MARKUP = re.compile(
-    r"<(?:(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select|object|canvas|audio|video|math)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"<(?:(?P<raw>script|style|noscript|template|textarea|title|iframe)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
     r"|!--.*?(?:-->|\Z)|[!?][^>]*>"
     r"|(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attributes>[^>]*)>)",
     re.DOTALL | re.IGNORECASE,
@@ -30,25 +31,35 @@ _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("hr br img input meta link area base col embed source track wbr param".split())
 # an opening tag ends an open element of these names that is innermost
 _ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"td", "th", "tr", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-AGAINST_TAGS = frozenset("nav footer aside form button menu dialog fieldset search".split())
+AGAINST_TAGS = frozenset("nav footer aside button menu search select".split())
+# those that may just as well hold the page
+HOLDER_TAGS = frozenset("form dialog fieldset".split())
 AGAINST_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs byline captcha comment comments consent cookie cookies copyright "
-    "disclaimer disqus feedback footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notification overlay pager "
-    "pagination paywall popup popular promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor "
-    "sponsored subscribe subscription survey teaser toolbar topbar trending warning widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline captcha comment comments consent cookie cookies copyright "
+    "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter pager "
+    "pagination paywall popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor "
+    "sponsored subscribe subscription teaser toolbar topbar trending widget widgets".split()
 )
+# words that name parts of an article as well
+DOUBTFUL_WORDS = frozenset("alert disclaimer feedback header legal notice notification overlay popular search survey warning".split())
+# what follows them in a class name is about the page, not about the element
+_QUALIFIERS = frozenset("no not without with has have hide show".split())
 AGAINST_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
 FOR_WORDS = frozenset("article body content entry main post story text".split())
 # what speaks for and against a block, as log odds
-SECTION_AGAINST, WORDS_AGAINST, SECTION_FOR, WORDS_FOR = -6.0, -6.0, 2.5, 1.5
-LINKS, LONG, SENTENCE, ITEM, START = -4.0, 1.5, 0.7, -0.5, -1.0
-# words from which a block is long
-LONG_WORDS = 30
+SECTION_AGAINST, WORDS_AGAINST, DOUBTFUL, SECTION_FOR, WORDS_FOR = -6.0, -6.0, -3.0, 2.5, 1.5
+LINKS, LONG, VERY_LONG, SENTENCE, ITEM, START = -4.0, 1.5, 2.0, 0.7, -0.5, -1.0
+# what is left, one level further down, of what words speak against an element
+FADE = 0.85
+# nothing outweighs that a block is not shown
+HIDDEN = -1000.0
+# words from which a block is long, and very long
+LONG_WORDS, VERY_LONG_WORDS = 30, 120
 # smoothness between blocks of one parent; halved with every step that the tree sets them further apart
 TIE = 0.8
 
@@ -59,8 +70,9 @@ class Element:
     parent: Element | None
     depth: int
     score: float  # of the element and what it is in
+    words: float  # what names speak against it; fades
     inside: bool  # an article or main element
-    against: bool
+    hidden: bool
     last: int = -1  # its latest block
 
 
@@ -71,28 +83,41 @@ class Block:
     links: float  # share of its characters in links
 
 
-def _element(name: str, attributes: str, parent: Element | None) -> Element:
-    inside = bool(parent and parent.inside) or name in ("article", "main")
+def _words(value: str) -> set[str]:
+    """Words of class names or an id; a name counts up to a word such as no, with or has."""
+    words: set[str] = set()
+    for name in value.split():
+        parts = [w.lower() for w in _NAME_PARTS.findall(name)]
+        words |= set(itertools.takewhile(lambda w: w not in _QUALIFIERS, parts))
+    return words
+
+
+def _element(name: str, attributes: str, parent: Element) -> Element:
+    inside, hidden = parent.inside or name in ("article", "main"), parent.hidden
     against = name in AGAINST_TAGS or (name == "header" and not inside)
-    score = SECTION_AGAINST if against else SECTION_FOR if name in ("article", "main") else 0.0
-    if attributes.strip():
-        words: set[str] = set()
-        for key, value in _ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), value.strip("\"' ")
-            if key in ("class", "id"):
-                words |= {w.lower() for w in _NAME_PARTS.findall(value)}
-            elif key == "role":
-                against |= value.lower() in AGAINST_ROLES
-                inside |= value.lower() in ("main", "article")
-            elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                against = True
-        if name not in ("html", "body") and words & AGAINST_WORDS:
-            against, score = True, score + WORDS_AGAINST
-        elif against and score >= 0:
-            score += SECTION_AGAINST
-        elif words & FOR_WORDS:
+    score = SECTION_FOR if name in ("article", "main") else 0.0
+    cost = DOUBTFUL if name in HOLDER_TAGS else 0.0
+    words: set[str] = set()
+    for key, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
+        key, value = key.lower(), value.strip("\"' ")
+        if key in ("class", "id"):
+            words |= _words(value)
+        elif key == "role":
+            against |= value.lower() in AGAINST_ROLES
+            inside |= value.lower() in ("main", "article")
+        elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+            hidden = True
+        elif key == "aria-hidden":
+            against |= value.lower() == "true"
+    if name not in ("html", "body"):
+        if words & AGAINST_WORDS:
+            cost = WORDS_AGAINST
+        elif words & DOUBTFUL_WORDS and name not in ("article", "main"):
+            cost = DOUBTFUL
+        if words & FOR_WORDS:
             score += WORDS_FOR
-    return Element(name, parent, parent.depth + 1 if parent else 0, score + (parent.score if parent else 0.0), inside, against or bool(parent and parent.against))
+    score += SECTION_AGAINST if against else 0.0
+    return Element(name, parent, parent.depth + 1, score + parent.score, cost + FADE * parent.words, inside, hidden)
 
 
 def _tags(page: str) -> Iterator[tuple[int, re.Match, str, int]]:
@@ -116,7 +141,7 @@ def _tags(page: str) -> Iterator[tuple[int, re.Match, str, int]]:
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of text of a page, in page order; inline markup joins, block elements part."""
-    top = here = Element("", None, 0, 0.0, False, False)
+    top = here = Element("", None, 0, 0.0, 0.0, False, False)
     found: list[Block] = []
     parts: list[str] = []
     linked, link, at = 0, False, 0
@@ -161,14 +186,15 @@ def blocks_of(page: str) -> list[Block]:
 def odds(block: Block) -> float:
     """The classifier: log odds that a block is content."""
     element, words = block.element, block.text.count(" ") + 1
-    score = START + element.score + LINKS * block.links + LONG * min(words, LONG_WORDS) / LONG_WORDS
+    score = START + element.score + element.words + LINKS * block.links + LONG * min(words, LONG_WORDS) / LONG_WORDS
+    score += VERY_LONG * min(max(words - LONG_WORDS, 0) / (VERY_LONG_WORDS - LONG_WORDS), 1.0)
     if block.text[-1] in ".!?…\"”»:;":
         score += SENTENCE
     if element.name == "li":
         score += ITEM
     elif element.name in ("p", "pre", "blockquote", "h1", "h2", "h3"):
         score -= ITEM
-    return min(score, -2.0) if element.against else score
+    return HIDDEN if element.hidden else score
 
 
 def _apart(a: Element, b: Element) -> int:
@@ -188,14 +214,14 @@ def _apart(a: Element, b: Element) -> int:
 def ties_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours in the page, and neighbours among the blocks of one parent.
 
-    None joins a block that its surroundings rule out, such as a menu, to another.
+    None joins a block that is not shown to another.
     """
     ties = []
     for i, block in enumerate(blocks):
-        if block.element.against:
+        if block.element.hidden:
             continue
         parent = block.element.parent or block.element
-        if i and not blocks[i - 1].element.against:
+        if i and not blocks[i - 1].element.hidden:
             ties.append((i - 1, i, TIE / 2 ** _apart(blocks[i - 1].element, block.element)))
         if 0 <= parent.last < i - 1:
             ties.append((parent.last, i, TIE))

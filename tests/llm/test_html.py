@@ -62,3 +62,28 @@ def test_pages_table(spark):
     assert html.extract_text(df.limit(0)).collect() == []
     blocks = html.label_blocks(df.filter("page_id = 4")).collect()
     assert len(blocks) == 8 and all(b.content for b in blocks)
+
+
+def content_of(page):
+    return " ".join(b.text for b, content in html.label_page(page) if content)
+
+
+@pytest.mark.parametrize("holder", [
+    "<article class='post no-sidebar'>{}</article>", "<main class='with-sidebar'>{}</main>", "<div id='content' class='has-comments'>{}</div>", "<form id=page><main>{}</main></form>",
+    "<article class='search'>{}</article>",
+])
+def test_names_of_the_layout_do_not_rule_out_the_article(holder):
+    assert content_of("<nav><a href=x>Home</a></nav>" + holder.format(ARTICLE) + "<footer><p>All rights reserved by the owners.</p></footer>") == TEXT
+
+
+def test_length_outweighs_a_name():
+    long = "This part of the text is long and made of whole sentences. " * 12
+    for name in ("warning", "search", "related", "sidebar"):
+        assert content_of(f"<article>{ARTICLE}<section class={name}><p>{long}</p></section></article>") == f"{TEXT} {long.strip()}"
+    assert content_of(f"<div class=sidebar><article>{f'<p>{long}</p>' * 3}</article></div>") == " ".join([long.strip()] * 3)
+    assert content_of(f"<article>{ARTICLE}</article><div hidden><p>{long}</p></div>") == TEXT
+
+
+def test_elements_whose_text_is_shown():
+    page = "<article><p>The sum is <math><mi>a</mi><mo>+</mo><mi>b</mi></math>, as the picture <canvas>of it</canvas> shows.</p><video src=x><p>And this is the rest of the text, after it.</p></article>"
+    assert content_of(page) == "The sum is a+b, as the picture of it shows. And this is the rest of the text, after it."
