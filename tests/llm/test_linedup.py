@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from groundplan.llm import linedup
 
 SCHEMA = "doc_id long, text string, n_lines string"
@@ -80,3 +81,38 @@ def test_no_python_in_the_plan(spark):
     df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a\nb").alias("text"))
     plan = linedup.delete_repeated_runs(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_whole(rows, min_chars):
+    """Lines of maximal repeated runs by loops: the longest common prefix with any earlier suffix."""
+    suffixes, gone = [], {i: set() for i, _ in rows}
+    for doc_id, text in rows:
+        lines = [line for line in text.split("\n") if line.strip(" \t\x0b\f\r")]
+        for k in range(len(lines)):
+            suffix = lines[k:]
+            for other in suffixes:
+                n = next((i for i, (a, b) in enumerate(zip(suffix, other)) if a != b), min(len(suffix), len(other)))
+                if sum(map(len, suffix[:n])) >= min_chars:
+                    gone[doc_id] |= set(range(k, k + n))
+            suffixes.append(suffix)
+    return {i: len(lines) for i, lines in gone.items()}
+
+
+@pytest.mark.parametrize("seed,min_chars", [(1, 1), (2, 12), (3, 30)])
+def test_whole_runs_at_random(spark, seed, min_chars):
+    rng = random.Random(seed)
+    parts = [[rng.choice(["a", "b", "cc", "ddd", "", "e" * 9, "f" * 29]) for _ in range(rng.randint(3, 20))] for _ in range(8)]
+    rows = [(i, "\n".join(line for _ in range(rng.randint(1, 3)) for line in rng.choice(parts)[: rng.randint(1, 20)])) for i in range(40)]
+    df = spark.createDataFrame([(i, t, "own") for i, t in rows], SCHEMA).repartition(4)
+    got = linedup.delete_repeated_runs(df, min_chars, whole_runs=True)
+    assert {r.doc_id: r.n_deleted for r in got.collect()} == plain_whole(rows, min_chars)
+
+
+def test_short_line_at_the_end_of_a_run(spark):
+    line = "a line of sixty characters, the head of a run that is repeat"
+    rows = [(1, f"{line}\nAs.\nfirst end"), (2, f"{line}\nAs.\nother end"), (3, f"{line}\nAs.")]
+    df = spark.createDataFrame([(i, t, "own") for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.text for r in linedup.delete_repeated_runs(df, whole_runs=True).collect()}
+    assert got == {1: rows[0][1], 2: "other end", 3: ""}
+    docs = df.drop("n_lines")
+    assert sorted(r.text for r in corpus_pipeline.delete_repeated_lines(spark, docs, "").collect()) == sorted([rows[0][1], "other end"])
