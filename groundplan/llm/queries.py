@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundplan.llm import chat, decontam, html, langid, linedup, minhash, packing, passages, quality, toxicity
+from groundplan.llm import chat, decontam, html, langid, linedup, minhash, packing, passages, quality, token_counts, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -126,3 +126,8 @@ SQL["op2_chat_formatting"] = CHAT_SQL
 @plan("op3_substring_dedup")
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return passages.find_passages(_table(spark, folder, "documents"))
+
+
+@plan("op13_token_counts")
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, folder, "documents"))
