@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundplan.llm import chat, decontam, html, langid, linedup, minhash, packing, passages, quality, token_counts, toxicity
+from groundplan.llm import alignment, chat, decontam, html, langid, linedup, minhash, packing, passages, quality, token_counts, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -131,3 +131,8 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @plan("op13_token_counts")
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"))
+
+
+@plan("op12_cross_tokenizer_alignment")
+def op12_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_documents(_table(spark, folder, "documents"))
