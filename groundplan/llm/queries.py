@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundplan.llm import alignment, chat, decontam, html, langid, linedup, minhash, packing, passages, quality, token_counts, toxicity
+from groundplan.llm import alignment, chat, collocations, decontam, html, langid, linedup, minhash, packing, passages, quality, token_counts, toxicity
 
 Plan = Callable[[SparkSession, str], DataFrame]
 PLANS: dict[str, Plan] = {}
@@ -136,3 +136,40 @@ def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @plan("op12_cross_tokenizer_alignment")
 def op12_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align_documents(_table(spark, folder, "documents"))
+
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) AS piece FROM documents)
+), words AS (
+  SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM pieces GROUP BY 1
+), counts AS (
+  SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS f FROM (
+    SELECT lang, size, array_to_string(w[i + 1 : i + size], ' ') AS phrase FROM (
+      SELECT lang, w, size, unnest(range(len(w) - size + 1)) AS i FROM pieces CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(w) >= size))
+  GROUP BY ALL HAVING count(*) >= 100
+), candidates AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : size], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+), scored AS (
+  SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, n, (1000 * a * n) // (l.f * r.f) AS score, k
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.head JOIN counts r ON r.lang = c.lang AND r.phrase = c.tail JOIN words ON words.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM candidates c WHERE c.lang = b.lang AND c.size > len(string_split(b.phrase, ' ')) AND c.a >= b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+       CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+@plan("op11_phrase_collocations", COLLOCATION_SQL)
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
