@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundplan import fixed_values as V
 from groundplan.operators import cache
-from groundplan.session import stored
 
-# query vectors held by a task at a time: at most this many, and this many bytes
+# query vectors scored at a time, and bytes of chunk vectors held by a task
 BLOCK_QUERIES = 8_192
-BLOCK_BYTES = 64 * 1024 * 1024
+PART_BYTES = 64 * 1024 * 1024
+# a small table of chunks is still cut into parts of about this size, up to the cores there are
+_LEAST_PART_BYTES = 2 * 1024 * 1024
+# clauses in one row of a query's limits; parts whose best hits are merged first
+_CLAUSES_PER_ROW = 1024
+_PARTS_PER_MERGE = 64
 # scores computed at a time in a task
 _SCORES = 4_000_000
 # scores are ranked at this precision, so that equal vectors tie
@@ -34,14 +38,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return np.asarray(array.flatten(), dtype=np.float64).reshape(-1, size)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, count: int) -> np.ndarray:
-    """Positions of the ``count`` best scores; equal scores by smaller id."""
+def _best(scores: np.ndarray, place: np.ndarray, count: int) -> np.ndarray:
+    """Positions of the ``count`` best scores; equal scores by smaller place."""
     if len(scores) > count:
         cut = np.partition(scores, len(scores) - count)[len(scores) - count]
         keep = np.flatnonzero(scores >= cut)
     else:
         keep = np.arange(len(scores))
-    return keep[np.lexsort((ids[keep], -scores[keep]))][:count]
+    return keep[np.lexsort((place[keep], -scores[keep]))][:count]
 
 
 def _parents(clause: str) -> list[str]:
@@ -49,92 +53,118 @@ def _parents(clause: str) -> list[str]:
     return [".".join(parts[: i + 1]) for i in range(len(parts))]
 
 
-def _allowed_mask(clauses: np.ndarray, allowed: dict[str, np.ndarray], queries: int) -> np.ndarray:
-    """Queries x rows: whether the row's clause lies at or below one of the query's."""
-    mask = np.zeros((queries, len(clauses)), dtype=bool)
-    names, inverse = np.unique(clauses.astype(str), return_inverse=True)
-    for i, name in enumerate(names):
-        for parent in _parents(name):
-            if parent in allowed:
-                mask[np.ix_(allowed[parent], np.flatnonzero(inverse == i))] = True
-    return mask
-
-
-def _local_top(query_ids, queries, allowed, size: int, threshold: float, count: int, id_type, query_type, group_type):
-    """A map over Arrow batches that emits the task's best hits per query and group."""
+class _Part:
+    """The chunks of one part and vector length: unit vectors, sorted by collection and id."""
+
+    def __init__(self, rows: pa.Table, size: int, limited: bool):
+        groups = rows.column("target_index").to_numpy(zero_copy_only=False).astype(object)
+        ids = rows.column("chunk_id").to_numpy(zero_copy_only=False)
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], np.unique(groups, return_inverse=True)[1]))
+        rows = rows.take(pa.array(order))
+        self.ids = rows.column("chunk_id").combine_chunks()
+        self.vectors = _unit(_matrix(rows.column("chunk_vector"), size))
+        groups = groups[order]
+        heads = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+        self.groups = [(groups[a], int(a), int(b)) for a, b in zip(heads, np.append(heads[1:], len(groups)))]
+        self.below: dict[str, np.ndarray] = {}
+        if limited:
+            places: dict[str, list[int]] = {}
+            for i, clause in enumerate(rows.column("clause_id").to_pylist()):
+                for parent in _parents(clause or ""):
+                    places.setdefault(parent, []).append(i)
+            self.below = {clause: np.array(rows) for clause, rows in places.items()}
+
+    def allowed(self, clauses: list[list[str]]) -> np.ndarray:
+        """Queries x rows: whether the row's clause lies at or below one of the query's."""
+        mask = np.zeros((len(clauses), len(self.vectors)), dtype=bool)
+        for q, own in enumerate(clauses):
+            for clause in own or []:
+                if clause in self.below:
+                    mask[q, self.below[clause]] = True
+        return mask
+
+    def hits(self, queries: np.ndarray, clauses: list[list[str]] | None, threshold: float, count: int):
+        """Query, row and score of the ``count`` best rows of each query and collection, some queries at a time."""
+        step = max(1, min(BLOCK_QUERIES, _SCORES // max(1, len(self.vectors))))
+        for at in range(0, len(queries), step):
+            scores = np.round(queries[at : at + step] @ self.vectors.T, SCORE_DIGITS)
+            if clauses is not None:
+                scores[~self.allowed(clauses[at : at + step])] = -np.inf
+            for group, first, past in self.groups:
+                part = scores[:, first:past]
+                for q in np.flatnonzero((part >= threshold).any(axis=1)):
+                    good = np.flatnonzero(part[q] >= threshold)
+                    top = good[_best(part[q][good], good, count)]
+                    yield at + q, group, first + top, part[q][top]
+
+
+_FOUND = ["part", "query_id", "chunk_id", "target_index", "score"]
+
+
+def _part_search(threshold: float, count: int, limited: bool):
+    """A map over rows sorted by part, chunks ahead of queries: one part is held, its queries stream past."""
+
+    def read(rows: list[pa.Table]) -> dict[int, _Part]:
+        table = pa.concat_tables(rows)
+        sizes = pc.list_value_length(table.column("chunk_vector")).to_numpy()
+        return {int(n): _Part(table.filter(pa.array(sizes == n)), int(n), limited) for n in np.unique(sizes)}
+
+    def search(held: dict[int, _Part], part: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        sizes = pc.list_value_length(rows.column("query_vector")).to_numpy()
+        for n in np.unique(sizes).tolist():
+            if n not in held:
+                continue
+            asked, chunks = rows.filter(pa.array(sizes == n)), held[n]
+            ids = asked.column("query_id").combine_chunks()
+            clauses = asked.column("clauses").to_pylist() if limited else None
+            found = list(chunks.hits(_unit(_matrix(asked.column("query_vector"), n)), clauses, threshold, count))
+            if found:
+                lengths = [len(f[2]) for f in found]
+                queries = np.repeat([f[0] for f in found], lengths)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(queries), part, np.int32)), ids.take(pa.array(queries)), chunks.ids.take(pa.array(np.concatenate([f[2] for f in found]))),
+                        pa.array(np.repeat(np.array([f[1] for f in found], object), lengths), pa.string()), pa.array(np.concatenate([f[3] for f in found])),
+                    ],
+                    names=_FOUND,
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, vectors = query_ids.value, queries.value
-        limits = allowed.value if allowed is not None else None
-        step = max(1, _SCORES // max(1, len(vectors)))
-        held: dict[tuple[int, object], tuple[np.ndarray, np.ndarray]] = {}
+        part, waiting, held = None, [], None
         for batch in batches:
-            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            all_groups = batch.column(1).to_numpy(zero_copy_only=False)
-            all_rows = _unit(_matrix(batch.column(2), size))
-            for at in range(0, len(all_ids), step):
-                ids, groups = all_ids[at : at + step], all_groups[at : at + step]
-                scores = np.round(vectors @ all_rows[at : at + step].T, SCORE_DIGITS)
-                if limits is not None:
-                    clauses = batch.column(3).to_numpy(zero_copy_only=False)[at : at + step]
-                    scores[~_allowed_mask(clauses, limits, len(vectors))] = -np.inf
-                for group in pd.unique(groups):
-                    members = np.flatnonzero(groups == group)
-                    part, part_ids = scores[:, members], ids[members]
-                    for q in np.flatnonzero((part >= threshold).any(axis=1)):
-                        good = part[q] >= threshold
-                        found, names = part[q][good], part_ids[good]
-                        if (q, group) in held:
-                            old, old_names = held[q, group]
-                            found, names = np.concatenate([old, found]), np.concatenate([old_names, names])
-                        top = _best(found, names, count)
-                        held[q, group] = found[top], names[top]
-        for (q, group), (found, names) in held.items():
-            n = len(found)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids_of[q]] * n, type=query_type), pa.array(list(names), type=id_type),
-                    pa.array([group] * n, type=group_type), pa.array(found, type=pa.float64()),
-                ],
-                names=["query_id", "chunk_id", "target_index", "score"],
-            )
+            table = pa.Table.from_batches([batch])
+            key = 2 * table.column("part").to_numpy().astype(np.int64) + table.column("asks").to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in zip(bounds, bounds[1:]):
+                if a == b:
+                    continue
+                if key[a] // 2 != part:
+                    part, waiting, held = key[a] // 2, [], None
+                if key[a] % 2 == 0:
+                    waiting.append(table.slice(a, b - a))
+                elif waiting or held:
+                    if held is None:
+                        held, waiting = read(waiting), []
+                    yield from search(held, part, table.slice(a, b - a))
 
     return run
 
 
-def _query_blocks(queries: DataFrame, within: DataFrame | None) -> Iterator[tuple[list, np.ndarray, dict | None]]:
-    """The query vectors in blocks of about ``BLOCK_QUERIES`` rows and ``BLOCK_BYTES``, of one vector length each.
+def _limited(rows: DataFrame, within: DataFrame) -> DataFrame:
+    """Each query with its clauses, in rows of a bounded number of them; queries without one are left out."""
+    pairs = within.select("query_id", "clause").filter(F.col("clause").isNotNull()).distinct()
+    counts = pairs.groupBy("query_id").agg(F.ceil(F.count(F.lit(1)) / _CLAUSES_PER_ROW).alias("_lists"))
+    dealt = pairs.join(counts, "query_id").withColumn("_list", F.pmod(F.xxhash64("clause"), "_lists"))
+    lists = dealt.groupBy("query_id", "_list").agg(F.collect_list("clause").alias("clauses")).drop("_list")
+    return rows.join(lists, "query_id")
 
-    Rows are dealt to blocks by a hash of id and vector, so ids may repeat; every
-    block is one more pass over the chunks. Equal rows count once. Queries with
-    many clauses make for more blocks.
-    """
-    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.size("embedding") > 0)
-    rows = stored(rows.distinct().withColumn("_size", F.size("embedding")))
-    limits = None if within is None else stored(within.select("query_id", "clause").distinct())
-    clauses = 0 if limits is None else limits.count()
-    for size, count in sorted(tuple(r) for r in rows.groupBy("_size").count().collect()):  # one row for each vector length
-        most = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * size)))
-        blocks = max(-(-count // most), -(-clauses // (BLOCK_QUERIES * 64)))
-        for block in range(blocks):
-            part = rows.filter((F.col("_size") == size) & (F.pmod(F.xxhash64("query_id", "embedding"), F.lit(blocks)) == block)).drop("_size")
-            table = part.toArrow()
-            if table.num_rows:
-                ids = table.column(0).to_pylist()
-                own = None if limits is None else _clause_rows(limits.join(part.select("query_id").distinct(), "query_id", "left_semi"), ids)
-                yield ids, _unit(_matrix(table.column(1), size)), own
-
-
-def _clause_rows(within: DataFrame, ids: list) -> dict[str, np.ndarray]:
-    """Per clause the positions of the queries of a block that may look below it."""
-    pairs = within.select("query_id", "clause").toArrow()
-    places: dict = {}
-    for i, q in enumerate(ids):
-        places.setdefault(q, []).append(i)
-    found: dict[str, list[int]] = {}
-    for q, clause in zip(pairs.column(0).to_pylist(), pairs.column(1).to_pylist()):
-        found.setdefault(clause, []).extend(places.get(q, []))
-    return {clause: np.array(sorted(rows)) for clause, rows in found.items()}
+
+def _parts_of(chunks: DataFrame) -> int:
+    """Number of parts from a count of the chunks and the length of one vector."""
+    one = chunks.select(F.size("embedding").alias("n")).filter("n > 0").head()
+    size = chunks.count() * 8 * one.n if one else 0
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // PART_BYTES), min(cores, size // _LEAST_PART_BYTES))
 
 
 def vector_topk(
@@ -149,37 +179,41 @@ def vector_topk(
     """The ``k`` chunks with the largest cosine for each query.
 
     ``queries`` has query_id and embedding; ``chunks`` has chunk_id, embedding
-    and, when there are several collections, target_index. Each task scores its
-    chunks against the query block with one matrix product per batch and keeps
-    its best hits, so only ``2 k`` rows per query, collection and task are
-    shuffled, and chunk texts stay out of the search. ``within`` (query_id,
-    clause) limits a query to chunks at or below its clauses. Vectors are compared
-    with those of their own length only.
+    and, when there are several collections, target_index. The chunk vectors are
+    dealt to parts of bounded size by one shuffle, and every part meets all query
+    rows: a task holds its part and scores the queries, which stream past, by
+    matrix products. It keeps ``2 k`` rows per query and collection, which are
+    merged in two steps where there are many parts. Chunk texts stay out of the
+    search. ``within`` (query_id, clause) limits a query to chunks at or below its
+    clauses. Vectors are compared with those of their own length only; equal
+    rows of queries count once, null and empty vectors not at all.
     """
     count = per_collection or 2 * k
-    spark = queries.sparkSession
     group = F.col("target_index") if "target_index" in chunks.columns else F.lit("main")
-    clause = [F.coalesce("clause_id", F.lit("")).alias("clause_id")] if within is not None else []
-    group = F.coalesce(group, F.lit("main")).alias("target_index")
-    vectors = chunks.select("chunk_id", group, "embedding", *clause)
-    types = {"query_id": queries.schema["query_id"].dataType, "chunk_id": vectors.schema["chunk_id"].dataType}
-    schema = f"query_id {types['query_id'].simpleString()}, chunk_id {types['chunk_id'].simpleString()}, target_index string, score double"
-    arrow = lambda name: pa.int64() if types[name].simpleString() == "bigint" else pa.int32() if types[name].simpleString() == "int" else pa.string()
-    hits = []
-    share = spark.sparkContext.broadcast
-    for ids, matrix, allowed in _query_blocks(queries, within):
-        size = matrix.shape[1]
-        search = _local_top(
-            share(ids), share(matrix), None if allowed is None else share(allowed), size, threshold, count,
-            arrow("chunk_id"), arrow("query_id"), pa.string(),
-        )
-        hits.append(vectors.filter(F.size("embedding") == size).mapInArrow(search, schema))
-    if not hits:
-        return spark.createDataFrame([], schema + ", rank int")
-    found = reduce(DataFrame.unionByName, hits)
+    clause = F.coalesce("clause_id", F.lit("")) if within is not None else F.lit(None).cast("string")
+    parts = _parts_of(chunks)
+    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("query_vector")).filter(F.size("query_vector") > 0).distinct()
+    rows = rows.withColumn("clauses", F.lit(None).cast("array<string>")) if within is None else _limited(rows, within)
+    asks = rows.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), "query_id", "query_vector", "clauses")
+    held = chunks.filter(F.size("embedding") > 0).select(
+        F.pmod(F.xxhash64("chunk_id", F.lit(7)), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), "chunk_id",
+        F.coalesce(group, F.lit("main")).alias("target_index"), clause.alias("clause_id"), F.col("embedding").alias("chunk_vector"),
+    )
+    dealt = held.unionByName(asks, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", "asks")
+    kind = lambda df, name: df.schema[name].dataType.simpleString()
+    schema = f"part int, query_id {kind(queries, 'query_id')}, chunk_id {kind(chunks, 'chunk_id')}, target_index string, score double"
+    found = dealt.mapInArrow(_part_search(threshold, count, within is not None), schema)
+    if within is not None:  # a query with many clauses stands in several rows
+        found = found.dropDuplicates(["part", "query_id", "target_index", "chunk_id", "score"])
     best = [F.desc("score"), F.col("chunk_id")]
-    in_collection = Window.partitionBy("query_id", "target_index").orderBy(*best)
-    candidates = found.withColumn("_n", F.row_number().over(in_collection)).filter(F.col("_n") <= count).drop("_n")
+
+    def cut(hits: DataFrame, *keys) -> DataFrame:
+        in_group = Window.partitionBy("query_id", "target_index", *keys).orderBy(*best)
+        return hits.withColumn("_n", F.row_number().over(in_group)).filter(F.col("_n") <= count).drop("_n")
+
+    if parts > _PARTS_PER_MERGE:
+        found = cut(found, F.floor(F.col("part") / _PARTS_PER_MERGE))
+    candidates = cut(found).drop("part")
     in_query = Window.partitionBy("query_id").orderBy(*best)
     return candidates.withColumn("rank", F.row_number().over(in_query)).filter(F.col("rank") <= k)
 

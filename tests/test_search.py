@@ -216,3 +216,34 @@ def test_rank_fusion_asks_every_item(spark):
     folder = "/root/testdata/sf0.001"
     items = {r.item_id for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
     assert {r.query_id for r in REGISTRY.plans["rank_fusion"](spark, folder).collect()} == items
+
+
+def test_many_queries_with_a_hundred_clauses_each(spark):
+    """20,000 queries, each limited to 100 of 1,000 clauses; the nearest allowed chunk is known by its angle."""
+    chunks = spark.range(4000).selectExpr("id AS chunk_id", "array(cos(id * 0.0003), sin(id * 0.0003)) AS embedding", "concat(id % 1000, '.1') AS clause_id")
+    asked = spark.range(20_000).selectExpr("id AS query_id", "array(cos(id * 0.00005), sin(id * 0.00005)) AS embedding")
+    within = asked.selectExpr("query_id", "explode(sequence(0, 99)) AS n").selectExpr("query_id", "cast((query_id + n * 10) % 1000 AS string) AS clause")
+    rows = vectors.vector_topk(asked, chunks, k=1, threshold=0.0, within=within).collect()
+    assert len(rows) == 20_000
+    for r in rows[::97]:
+        allowed = [c for c in range(4000) if (c % 1000 - r.query_id) % 10 == 0]
+        least = min(abs(c * 0.0003 - r.query_id * 0.00005) for c in allowed)
+        assert abs(r.chunk_id * 0.0003 - r.query_id * 0.00005) == pytest.approx(least, abs=1e-6) and r.chunk_id in allowed
+
+
+def test_many_parts_and_long_clause_lists_give_the_same(corpus, frame, monkeypatch):
+    queries, chunks, names, clauses, asked, df = corpus
+    monkeypatch.setattr(vectors, "PART_BYTES", 400)
+    monkeypatch.setattr(vectors, "_PARTS_PER_MERGE", 5)
+    monkeypatch.setattr(vectors, "_CLAUSES_PER_ROW", 2)
+    assert _got(vectors.vector_topk(asked, df, k=5)) == _expected(queries, chunks, names, 5, 0.3)
+    within = frame([(q, f"{a}.{b}") for q in range(51) for a in range(3) for b in range(4)], "query_id int, clause string")
+    got = _got(vectors.vector_topk(asked, df, k=5, within=within))
+    assert got == _expected(queries, chunks, names, 5, 0.3, lambda q, i: int(clauses[i].split(".")[0]) < 3)
+
+
+def test_vector_search_plans_without_the_driver():
+    import inspect
+
+    text = inspect.getsource(vectors)
+    assert "toArrow" not in text and ".collect()" not in text and "broadcast" not in text
