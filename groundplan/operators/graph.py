@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundplan import fixed_values as V
+from groundplan.operators.running import running_totals
+from groundplan.session import cut_lineage
 
-_HIT = "struct<id: string, role: string, referenced_from: string>"
+# primaries of a query that are numbered in one task
+_RANKS_PER_PART = 4096
 
 
 def edges_of(chunks: DataFrame, references: str = "references") -> DataFrame:
@@ -51,50 +54,71 @@ def degrees(chunks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def resolved_references(primaries: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """References of the primaries, from edges and from their own list, that exist.
-
-    Rows may repeat; ``expand`` collects them as sets.
-    """
+    """Distinct references of the primaries, from edges and from their own list, that exist; none to themselves."""
     pairs = primaries.select("query_id", "rank", "chunk_id").join(edges.withColumnRenamed("src", "chunk_id"), "chunk_id")
-    pairs = pairs.select("query_id", "rank", F.col("dst").alias("ref_id"))
+    pairs = pairs.select("query_id", "rank", "chunk_id", F.col("dst").alias("ref_id"))
     if "references" in primaries.columns:
-        pairs = pairs.unionByName(primaries.select("query_id", "rank", F.explode("references").alias("ref_id")))
+        pairs = pairs.unionByName(primaries.select("query_id", "rank", "chunk_id", F.explode("references").alias("ref_id")))
+    pairs = pairs.filter(F.col("ref_id") != F.col("chunk_id")).distinct()
     return pairs.join(chunks.select(F.col("chunk_id").alias("ref_id")), "ref_id", "left_semi")
 
 
+def _skipped(refs: DataFrame, primaries: DataFrame) -> DataFrame:
+    """Primaries (query_id, chunk_id) that an earlier one has fetched as a reference.
+
+    A primary waits for the earlier ones that refer to it. In each round those
+    that wait for none stand, what they refer to is skipped, and what the skipped
+    refer to no longer waits for them. There are as many rounds as the longest
+    chain of primaries that decide one another; only the links left are carried on.
+    """
+    later = primaries.select("query_id", F.col("chunk_id").alias("ref_id"), F.col("rank").alias("_rank"))
+    links = refs.join(later, ["query_id", "ref_id"]).filter(F.col("rank") < F.col("_rank"))
+    links = cut_lineage(links.select("query_id", F.col("chunk_id").alias("src"), F.col("ref_id").alias("dst")))
+    skipped = None
+    while not links.isEmpty():
+        key = lambda side, name: links.select("query_id", F.col(side).alias(name)).distinct()
+        standing = key("src", "src").join(key("dst", "src"), ["query_id", "src"], "left_anti")
+        now = cut_lineage(links.join(standing, ["query_id", "src"], "left_semi").select("query_id", F.col("dst").alias("chunk_id")).distinct())
+        skipped = now if skipped is None else skipped.unionByName(now)
+        gone = lambda name: now.select("query_id", F.col("chunk_id").alias(name))
+        links = links.join(standing, ["query_id", "src"], "left_anti").join(gone("dst"), ["query_id", "dst"], "left_anti")
+        links = cut_lineage(links.join(gone("src"), ["query_id", "src"], "left_anti"))
+    return primaries.select("query_id", "chunk_id").limit(0) if skipped is None else skipped
+
+
 def expand(primaries: DataFrame, edges: DataFrame, chunks: DataFrame, *, max_depth: int = 1) -> DataFrame:
     """Primaries (query_id, rank, chunk_id) followed by the chunks they refer to.
 
-    The rule is sequential: a primary already fetched as a reference is skipped
-    and adds nothing. A query's few primaries are therefore folded in one row.
-    Only the ids are folded; chunk texts are joined by the caller.
+    A primary already fetched, as such or as a reference, is skipped and adds
+    nothing; a reference goes to the first primary that stands and names it. Whom
+    to skip is settled for all queries at once, round by round, so a query may have
+    any number of primaries. References of one primary are ordered by id.
     """
-    text = lambda c: F.col(c).cast("string")
-    rows = primaries.select("query_id", "rank", text("chunk_id").alias("chunk_id"), F.lit(None).cast("string").alias("ref_id"))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    lists = ["references"] if "references" in primaries.columns else []
+    first = Window.partitionBy("query_id", "chunk_id").orderBy("rank")
+    rows = primaries.select("query_id", "rank", text("chunk_id"), *[F.col(c).cast("array<string>").alias(c) for c in lists])
+    rows = cut_lineage(rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") == 1).drop("_n"))
+    found = rows.select("query_id", "rank", "chunk_id", F.lit("primary").alias("role"), F.lit(None).cast("string").alias("referenced_from"))
     if max_depth > 0:
-        refs = resolved_references(primaries, edges, chunks)
-        rows = rows.unionByName(refs.select("query_id", "rank", F.lit(None).cast("string").alias("chunk_id"), text("ref_id").alias("ref_id")))
-    listed = rows.groupBy("query_id", "rank").agg(F.max("chunk_id").alias("chunk_id"), F.array_sort(F.collect_set("ref_id")).alias("refs"))
-    lists = listed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "refs"))).alias("primaries"))
-
-    def hit(chunk: Column, role: str, source: Column) -> Column:
-        return F.struct(chunk.alias("id"), F.lit(role).alias("role"), source.cast("string").alias("referenced_from")).cast(_HIT)
-
-    def fetch(found: Column, p: Column) -> Column:
-        seen = F.transform(found, lambda h: h["id"])
-        fresh = F.filter(p["refs"], lambda r: ~F.array_contains(seen, r) & (r != p["chunk_id"]))
-        more = F.concat(
-            found, F.array(hit(p["chunk_id"], "primary", F.lit(None))), F.transform(fresh, lambda r: hit(r, "reference", p["chunk_id"]))
+        refs = resolved_references(rows, edges.select(text("src"), text("dst")), chunks.select(text("chunk_id")))
+        refs = cut_lineage(refs)
+        skipped = _skipped(refs, rows)
+        found = found.join(skipped, ["query_id", "chunk_id"], "left_anti").select(found.columns)
+        standing = found.select("query_id", "chunk_id")
+        own = refs.join(standing, ["query_id", "chunk_id"], "left_semi")
+        own = own.join(standing.withColumnRenamed("chunk_id", "ref_id"), ["query_id", "ref_id"], "left_anti")
+        claims = own.groupBy("query_id", "ref_id").agg(F.min(F.struct("rank", "chunk_id")).alias("_by"))
+        found = found.unionByName(
+            claims.select(
+                "query_id", F.col("_by.rank").alias("rank"), F.col("ref_id").alias("chunk_id"), F.lit("reference").alias("role"),
+                F.col("_by.chunk_id").alias("referenced_from"),
+            )
         )
-        return F.when(F.array_contains(seen, p["chunk_id"]), found).otherwise(more)
-
-    folded = F.aggregate("primaries", F.expr(f"cast(array() as array<{_HIT}>)"), fetch)
-    rows = lists.select("query_id", F.posexplode(folded).alias("position", "h"))
-    score = F.when(F.col("h.role") == "reference", V.REFERENCE_SCORE).otherwise(1.0)
-    return rows.select(
-        "query_id", F.col("position").alias("position"), F.col("h.id").alias("chunk_id"), F.col("h.role").alias("role"),
-        F.col("h.referenced_from").alias("referenced_from"), score.alias("relevance_score"),
-    )
+    order = [F.col("rank"), F.col("role"), F.col("chunk_id")]  # a primary comes ahead of its references
+    found = running_totals(found, ["query_id"], F.floor(F.col("rank") / _RANKS_PER_PART), order, rank="position")
+    score = F.when(F.col("role") == "reference", V.REFERENCE_SCORE).otherwise(1.0)
+    return found.select("query_id", (F.col("position") - 1).cast("int").alias("position"), "chunk_id", "role", "referenced_from", score.alias("relevance_score"))
 
 
 def expansion_counts(results: DataFrame) -> DataFrame:

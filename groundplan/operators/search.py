@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from groundplan import fixed_values as V
 from groundplan.functions import routing
 from groundplan.functions import text as X
+from groundplan.operators import graph
+from groundplan.operators.keyword import chunks_above, keyword_topk, pair_hits, postings
 from groundplan.operators.sizes import broadcast_if_small
 from groundplan.operators.vectors import vector_topk
 from groundplan.session import cut_lineage
@@ -15,12 +17,6 @@ from groundplan.session import cut_lineage
 # --- keyword scores -----------------------------------------------------
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """Term frequency per token and chunk."""
-    rows = chunks.select("chunk_id", F.explode(X.tokens(F.col("text"))).alias("token"))
-    return rows.groupBy("token", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def write_postings(chunks: DataFrame, table: str, buckets: int = 256) -> None:
     """Store postings bucketed by token, so that searches join without a shuffle of them."""
     postings(chunks).write.mode("overwrite").bucketBy(buckets, "token").sortBy("token").saveAsTable(table)
@@ -54,14 +50,6 @@ def keyword_scores(hits: DataFrame) -> DataFrame:
     return hits.join(top, "query_id").withColumn("keyword_score", F.col("hits") / F.col("most")).drop("most")
 
 
-def keyword_topk(queries: DataFrame, chunks: DataFrame, *, k: int = 20, stored: DataFrame | None = None) -> DataFrame:
-    """The ``k`` chunks with the best keyword score of each query."""
-    in_query = Window.partitionBy("query_id").orderBy(F.desc("hits"), "chunk_id")
-    best = keyword_hits(queries, chunks, stored=stored).withColumn("rank", F.row_number().over(in_query)).filter(F.col("rank") <= k)
-    most = F.max("hits").over(Window.partitionBy("query_id"))
-    return best.withColumn("keyword_score", F.col("hits") / most)
-
-
 # --- fusion -------------------------------------------------------------
 
 
@@ -96,6 +84,11 @@ def fuse(
     )
     scored = ranks.select("query_id", F.explode("_mine").alias("chunk_id"), "hits", "keyword_rank", "most")
     rows = found.join(scored, ["query_id", "chunk_id"], "left")
+    return _combined(rows, semantic_weight, keyword_weight, k)
+
+
+def _combined(rows: DataFrame, semantic_weight: float, keyword_weight: float, k: int) -> DataFrame:
+    """Ranked candidates from score, hits, keyword_rank and most."""
     keyword = F.coalesce(F.col("hits") / F.col("most"), F.lit(0.0))
     lone = (keyword > 0) & (F.col("score") == 0)
     score = F.when(lone, 1.0 / (F.col("keyword_rank") + V.RECIPROCAL_RANK_OFFSET)).otherwise(F.col("score"))
@@ -106,19 +99,47 @@ def fuse(
     return ranked(rows, F.round("combined_score", 12), k=k)
 
 
-def fuse_by_rank(semantic: DataFrame, hits: DataFrame, *, k: int = 10) -> DataFrame:
-    """Reciprocal rank fusion of the semantic and the keyword top lists."""
-    in_query = Window.partitionBy("query_id").orderBy(F.desc("hits"), "chunk_id")
-    words = hits.withColumn("rank", F.row_number().over(in_query)).filter(F.col("rank") <= 2 * k).select("query_id", "chunk_id", "rank")
-    both = semantic.select("query_id", "chunk_id", "rank").unionByName(words)
+def fuse_indexed(
+    semantic: DataFrame,
+    queries: DataFrame,
+    chunks: DataFrame,
+    *,
+    k: int = 10,
+    semantic_weight: float = V.SEMANTIC_WEIGHT,
+    keyword_weight: float = V.KEYWORD_WEIGHT,
+    lone: bool = True,
+) -> DataFrame:
+    """``fuse`` without the hits of all chunks.
+
+    The most hits of a query are those of its best chunk in the index, those of a
+    candidate are read from its own text, and the chunks above a lone candidate are
+    counted in the parts of the index. ``lone`` false leaves the latter out, where
+    no candidate can have a semantic score of 0.
+    """
+    found = cut_lineage(semantic.select("query_id", "chunk_id", "score").dropDuplicates(["query_id", "chunk_id"]))
+    most = keyword_topk(queries, chunks, k=1).select("query_id", F.col("hits").alias("most"))
+    rows = found.join(pair_hits(found, queries, chunks), ["query_id", "chunk_id"], "left").join(most, "query_id", "left")
+    rank = F.lit(None).cast("long")
+    if lone:
+        rows = cut_lineage(rows)
+        asked = rows.filter((F.col("score") == 0) & F.col("hits").isNotNull()).select("query_id", F.col("hits").alias("least")).distinct()
+        above = chunks_above(asked.join(queries.select("query_id", "text"), "query_id"), chunks)
+        rows = rows.join(above.withColumnRenamed("least", "hits"), ["query_id", "hits"], "left")
+        rank = F.coalesce("n", F.lit(0)) + 1
+    return _combined(rows.withColumn("keyword_rank", rank), semantic_weight, keyword_weight, k)
+
+
+def fuse_by_rank(semantic: DataFrame, words: DataFrame, *, k: int = 10) -> DataFrame:
+    """Reciprocal rank fusion of the semantic and the keyword top lists (query_id, chunk_id, rank)."""
+    both = semantic.select("query_id", "chunk_id", "rank").unionByName(words.select("query_id", "chunk_id", "rank"))
     share = F.sum(1.0 / (F.col("rank") + V.RECIPROCAL_RANK_OFFSET))
-    return ranked(both.groupBy("query_id", "chunk_id").agg(share.alias("combined_score")), F.col("combined_score"), k=k)
+    return ranked(both.groupBy("query_id", "chunk_id").agg(share.alias("combined_score")), F.round("combined_score", 12), k=k)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, *, k: int = 10, threshold: float = V.SCORE_THRESHOLD, stored: DataFrame | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, *, k: int = 10, threshold: float = V.SCORE_THRESHOLD) -> DataFrame:
     """Vector candidates fused with keyword scores (query_id, text, embedding)."""
     semantic = vector_topk(queries, chunks, k=2 * k, threshold=threshold)
-    return fuse(semantic, keyword_hits(queries, chunks, stored=stored), k=k)
+    return fuse_indexed(semantic, queries, chunks, k=k, lone=threshold <= 0)
 
 
 # --- result lists -------------------------------------------------------
@@ -226,18 +247,44 @@ def hierarchical_search(queries: DataFrame, chunks: DataFrame, *, k: int = 5, se
     return best.unionByName(vector_topk(rest, chunks, k=k).withColumn("stage", F.lit("semantic")))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, *, k: int = 5) -> DataFrame:
-    """Primary results of each query by the way its route asks for.
+def retrieve(queries: DataFrame, chunks: DataFrame, *, k: int = 5, edges: DataFrame | None = None) -> DataFrame:
+    """Results of each query (query_id, text, embedding) by the way its route asks for.
 
     Design questions search sections first, data questions tables, all others
-    everything. References of design results are added by ``graph.expand``.
+    everything. With ``edges`` (src, dst) the results of design questions are
+    followed by the chunks they refer to; ``rank`` counts both.
     """
     routed = cut_lineage(route_queries(queries).select("query_id", "query_type", "embedding"))
     of = lambda *kinds: routed.filter(F.col("query_type").isin(*kinds)).select("query_id", "embedding")
-    design = hierarchical_search(of("comprehensive_design"), chunks, k=k).drop("stage")
+    design = hierarchical_search(of("comprehensive_design"), chunks, k=k).select("query_id", "chunk_id", "rank")
     tables = vector_topk(of("data_lookup"), chunks.filter(F.col("content_type") == "table"), k=k)
     other = vector_topk(of("definition", "general"), chunks, k=k)
-    found = design.unionByName(tables).unionByName(other)
-    return found.join(broadcast_if_small(routed.select("query_id", "query_type")), "query_id").withColumns(
-        {"role": F.lit("primary"), "relevance_score": F.lit(1.0)}
+    kind = chunks.schema["chunk_id"].dataType
+    plain = lambda rows: rows.select(
+        "query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.lit("primary").alias("role"), F.lit(None).cast(kind).alias("referenced_from"),
+        F.lit(1.0).alias("relevance_score"),
     )
+    if edges is None:
+        first = plain(design)
+    else:
+        first = graph.expand(design, edges, chunks.select("chunk_id")).select(
+            "query_id", F.col("chunk_id").cast(kind).alias("chunk_id"), (F.col("position") + 1).alias("rank"), "role",
+            F.col("referenced_from").cast(kind).alias("referenced_from"), F.col("relevance_score").cast("double").alias("relevance_score"),
+        )
+    found = first.unionByName(plain(tables)).unionByName(plain(other))
+    return found.join(routed.select("query_id", "query_type"), "query_id")
+
+
+def retrieve_equations(queries: DataFrame, chunks: DataFrame, *, k: int = 5, edges: DataFrame | None = None) -> DataFrame:
+    """``retrieve`` followed by a second retrieval for formulas, merged without repeats.
+
+    ``queries`` also has equation_embedding, the vector of the text that
+    ``routing.equation_query`` makes. The second retrieval takes its own route, at
+    least 12 results and no references. ``chunks`` has the columns of the merge key.
+    """
+    wide = max(k, V.EQUATION_TOP_K)
+    again = queries.select("query_id", routing.equation_query(F.col("text")).alias("text"), F.col("equation_embedding").alias("embedding"))
+    key = chunks.select("chunk_id", "document_name", "section_title", "page_number", "text")
+    base = retrieve(queries, chunks, k=k, edges=edges).join(key, "chunk_id")
+    extra = retrieve(again, chunks, k=wide).join(key, "chunk_id")
+    return merge_results(base, extra, k=wide)

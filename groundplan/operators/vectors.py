@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 from groundplan import fixed_values as V
 from groundplan.operators import cache
+from groundplan.operators.parts import best_of_parts, meet, part_count, part_of
 
 # query vectors scored at a time, and bytes of chunk vectors held by a task
 BLOCK_QUERIES = 8_192
 PART_BYTES = 64 * 1024 * 1024
 # a small table of chunks is still cut into parts of about this size, up to the cores there are
 _LEAST_PART_BYTES = 2 * 1024 * 1024
-# clauses in one row of a query's limits; parts whose best hits are merged first
+# clauses in one row of a query's limits
 _CLAUSES_PER_ROW = 1024
-_PARTS_PER_MERGE = 64
 # scores computed at a time in a task
 _SCORES = 4_000_000
 # scores are ranked at this precision, so that equal vectors tie
@@ -98,17 +98,15 @@ class _Part:
                     yield at + q, group, first + top, part[q][top]
 
 
-_FOUND = ["part", "query_id", "chunk_id", "target_index", "score"]
-
-
-def _part_search(threshold: float, count: int, limited: bool):
-    """A map over rows sorted by part, chunks ahead of queries: one part is held, its queries stream past."""
-
-    def read(rows: list[pa.Table]) -> dict[int, _Part]:
-        table = pa.concat_tables(rows)
+def _read_part(limited: bool):
+    def read(table: pa.Table) -> dict[int, _Part]:
         sizes = pc.list_value_length(table.column("chunk_vector")).to_numpy()
         return {int(n): _Part(table.filter(pa.array(sizes == n)), int(n), limited) for n in np.unique(sizes)}
 
+    return read
+
+
+def _search_part(threshold: float, count: int, limited: bool):
     def search(held: dict[int, _Part], part: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         sizes = pc.list_value_length(rows.column("query_vector")).to_numpy()
         for n in np.unique(sizes).tolist():
@@ -126,28 +124,10 @@ def _part_search(threshold: float, count: int, limited: bool):
                         pa.array(np.full(len(queries), part, np.int32)), ids.take(pa.array(queries)), chunks.ids.take(pa.array(np.concatenate([f[2] for f in found]))),
                         pa.array(np.repeat(np.array([f[1] for f in found], object), lengths), pa.string()), pa.array(np.concatenate([f[3] for f in found])),
                     ],
-                    names=_FOUND,
+                    names=["part", "query_id", "chunk_id", "target_index", "score"],
                 )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, waiting, held = None, [], None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            key = 2 * table.column("part").to_numpy().astype(np.int64) + table.column("asks").to_numpy(zero_copy_only=False)
-            bounds = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for a, b in zip(bounds, bounds[1:]):
-                if a == b:
-                    continue
-                if key[a] // 2 != part:
-                    part, waiting, held = key[a] // 2, [], None
-                if key[a] % 2 == 0:
-                    waiting.append(table.slice(a, b - a))
-                elif waiting or held:
-                    if held is None:
-                        held, waiting = read(waiting), []
-                    yield from search(held, part, table.slice(a, b - a))
-
-    return run
+    return search
 
 
 def _limited(rows: DataFrame, within: DataFrame) -> DataFrame:
@@ -162,9 +142,7 @@ def _limited(rows: DataFrame, within: DataFrame) -> DataFrame:
 def _parts_of(chunks: DataFrame) -> int:
     """Number of parts from a count of the chunks and the length of one vector."""
     one = chunks.select(F.size("embedding").alias("n")).filter("n > 0").head()
-    size = chunks.count() * 8 * one.n if one else 0
-    cores = chunks.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-size // PART_BYTES), min(cores, size // _LEAST_PART_BYTES))
+    return part_count(chunks, chunks.count() * 8 * one.n if one else 0, PART_BYTES, _LEAST_PART_BYTES)
 
 
 def vector_topk(
@@ -194,26 +172,18 @@ def vector_topk(
     parts = _parts_of(chunks)
     rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("query_vector")).filter(F.size("query_vector") > 0).distinct()
     rows = rows.withColumn("clauses", F.lit(None).cast("array<string>")) if within is None else _limited(rows, within)
-    asks = rows.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), "query_id", "query_vector", "clauses")
     held = chunks.filter(F.size("embedding") > 0).select(
-        F.pmod(F.xxhash64("chunk_id", F.lit(7)), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), "chunk_id",
-        F.coalesce(group, F.lit("main")).alias("target_index"), clause.alias("clause_id"), F.col("embedding").alias("chunk_vector"),
+        part_of(F.col("chunk_id"), parts), "chunk_id", F.coalesce(group, F.lit("main")).alias("target_index"),
+        clause.alias("clause_id"), F.col("embedding").alias("chunk_vector"),
     )
-    dealt = held.unionByName(asks, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", "asks")
     kind = lambda df, name: df.schema[name].dataType.simpleString()
     schema = f"part int, query_id {kind(queries, 'query_id')}, chunk_id {kind(chunks, 'chunk_id')}, target_index string, score double"
-    found = dealt.mapInArrow(_part_search(threshold, count, within is not None), schema)
-    if within is not None:  # a query with many clauses stands in several rows
+    limited = within is not None
+    found = meet(held, rows, parts, _read_part(limited), _search_part(threshold, count, limited), schema)
+    if limited:  # a query with many clauses stands in several rows
         found = found.dropDuplicates(["part", "query_id", "target_index", "chunk_id", "score"])
     best = [F.desc("score"), F.col("chunk_id")]
-
-    def cut(hits: DataFrame, *keys) -> DataFrame:
-        in_group = Window.partitionBy("query_id", "target_index", *keys).orderBy(*best)
-        return hits.withColumn("_n", F.row_number().over(in_group)).filter(F.col("_n") <= count).drop("_n")
-
-    if parts > _PARTS_PER_MERGE:
-        found = cut(found, F.floor(F.col("part") / _PARTS_PER_MERGE))
-    candidates = cut(found).drop("part")
+    candidates = best_of_parts(found, ["query_id", "target_index"], best, count, parts).drop("rank")
     in_query = Window.partitionBy("query_id").orderBy(*best)
     return candidates.withColumn("rank", F.row_number().over(in_query)).filter(F.col("rank") <= k)
 

@@ -96,56 +96,67 @@ def collection_union(chunks):
     )
 
 
-FUSION_SQL = HITS_SQL.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))") + ",\n" + CENTRES_SQL.strip() + """,
-near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) rank FROM scored WHERE score >= 0.3 QUALIFY rank <= 20),
-fused AS (SELECT n.query_id, n.chunk_id, n.score AS semantic_score, coalesce(h.hits / m.most, 0) AS keyword_score,
-                 0.7 * n.score + 0.3 * coalesce(h.hits / m.most, 0) AS combined_score
-          FROM near n LEFT JOIN hits h ON h.query_id = n.query_id AND h.chunk_id = n.chunk_id
-          LEFT JOIN (SELECT query_id, max(hits) AS most FROM hits GROUP BY 1) m ON m.query_id = n.query_id
-          WHERE n.query_id IN (SELECT item_id FROM benchmark) AND n.chunk_id IN (SELECT doc_id FROM documents)),
-final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(combined_score, 12) DESC, chunk_id) rank FROM fused QUALIFY rank <= 10)"""
+def asked_sql(asked, shift="a.label"):
+    """Vectors of items or questions: the centre of their class, shifted by the vector of their number."""
+    return f"""
+spread AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+means AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM spread GROUP BY ALL),
+centres AS (SELECT label, list(x ORDER BY i) AS c FROM means GROUP BY label),
+asked_vectors AS (SELECT a.query_id, a.text, list_transform(c.c, lambda x, i: x + CAST(e.embedding[i] AS DOUBLE)) AS q
+                  FROM {asked} a JOIN centres c ON c.label = {shift} JOIN embeddings e ON e.vec_id = a.vec_id)"""
 
 
-def class_questions(embeddings, items):
-    """Class centres together with the text of the item of the same number."""
-    return class_queries(embeddings).join(item_queries(items), "query_id")
+def asked_vectors(embeddings, asked, shift="label"):
+    """Every item or question with a vector: the centre of its class, shifted by the vector of its number."""
+    centres = vectors.class_centres(embeddings, "label").select(F.col("label").cast("bigint").alias("_label"), F.col("embedding").alias("_centre"))
+    own = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("_own"))
+    rows = asked.withColumn("_label", F.expr(shift)).join(centres, "_label").join(own, "vec_id")
+    return rows.select("query_id", "text", F.zip_with("_centre", "_own", lambda a, b: a + b).alias("embedding"))
 
 
-def item_questions(embeddings, items):
-    """Every item with a vector: the centre of the class of its number, modulo the classes, shifted by the vector of its number if there is one."""
-    centres = class_queries(embeddings).agg(F.array_sort(F.collect_list(F.struct("query_id", "embedding"))).alias("_centres"))
-    own = embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("_own"))
-    centre = F.get("_centres", F.pmod("query_id", F.size("_centres")).cast("int"))["embedding"]
-    shifted = F.when(F.col("_own").isNull(), centre).otherwise(F.zip_with(centre, "_own", lambda a, b: a + b))
-    return item_queries(items).join(own, "query_id", "left").crossJoin(centres).select("query_id", "text", shifted.alias("embedding"))
+_COSINE = "round(list_inner_product(q, CAST(embedding AS DOUBLE[])) / sqrt(list_inner_product(q, q) * list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 12)"
+NEAR_SQL = HITS_SQL + ",\n" + asked_sql("asked_items").strip() + f""",
+near AS (SELECT query_id, chunk_id, {_COSINE} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COSINE} DESC, chunk_id) AS rank
+         FROM asked_vectors CROSS JOIN text_chunks WHERE {_COSINE} >= 0.3 QUALIFY rank <= 20)"""
+FUSION_SQL = NEAR_SQL + """,
+fused AS (SELECT n.query_id, n.chunk_id, n.score AS semantic_score, coalesce(h.hits / m.most, 0) AS keyword_score,
+                 0.7 * n.score + 0.3 * coalesce(h.hits / m.most, 0) AS combined_score
+          FROM near n LEFT JOIN hits h ON h.query_id = n.query_id AND h.chunk_id = n.chunk_id
+          LEFT JOIN (SELECT query_id, max(hits) AS most FROM hits GROUP BY 1) m ON m.query_id = n.query_id),
+final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(combined_score, 12) DESC, chunk_id) rank FROM fused QUALIFY rank <= 10)"""
 
 
-@query("hybrid_fusion", "embeddings benchmark text_chunks", """
-SELECT query_id, chunk_id, round(semantic_score, 6) semantic_score, round(keyword_score, 6) keyword_score, round(combined_score, 6) combined_score, CAST(rank AS INT) rank FROM final""", FUSION_SQL, also="vector_chunks documents")
+@query("hybrid_fusion", "embeddings asked_items text_chunks", """
+SELECT query_id, chunk_id, round(semantic_score, 6) semantic_score, round(keyword_score, 6) keyword_score, round(combined_score, 6) combined_score, CAST(rank AS INT) rank FROM final""", FUSION_SQL, also="documents")
 def hybrid_fusion(embeddings, items, chunks):
-    return search.hybrid_search(class_questions(embeddings, items), chunks).selectExpr(
+    return search.hybrid_search(asked_vectors(embeddings, items), chunks).selectExpr(
         "query_id", "chunk_id", "round(semantic_score, 6) semantic_score", "round(keyword_score, 6) keyword_score",
         "round(combined_score, 6) combined_score", "rank",
     )
 
 
-@query("two_stage_search", "embeddings benchmark text_chunks", rf"""
+@query("two_stage_search", "embeddings asked_items text_chunks", rf"""
 SELECT query_id, chunk_id, shared AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, chunk_id) AS INT) AS rank
 FROM (SELECT f.query_id, f.chunk_id, count(DISTINCT w.token) AS shared FROM final f LEFT JOIN wanted w ON w.query_id = f.query_id
         AND EXISTS (SELECT 1 FROM postings p WHERE p.chunk_id = f.chunk_id AND p.token = w.token) GROUP BY ALL)
-QUALIFY rank <= 5""", FUSION_SQL, also="vector_chunks documents")
+QUALIFY rank <= 5""", FUSION_SQL, also="documents")
 def two_stage_search(embeddings, items, chunks):
-    questions = class_questions(embeddings, items)
+    questions = asked_vectors(embeddings, items)
     shared = F.size(F.array_intersect(X.tokens(F.col("query_text")), X.tokens(F.col("chunk_text")))).cast("bigint")
     first = search.hybrid_search(questions, chunks)
     return search.second_stage(first, questions, chunks, shared, k=5).select("query_id", "chunk_id", "rerank_score", "rank")
 
 
-@query("rank_fusion", "embeddings benchmark text_chunks")
+@query("rank_fusion", "embeddings asked_items text_chunks", f"""
+SELECT query_id, chunk_id, round(combined_score, 9) AS combined_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(combined_score, 12) DESC, chunk_id) AS INT) AS rank FROM (
+  SELECT query_id, chunk_id, sum(1.0::DOUBLE / (rank + {V.RECIPROCAL_RANK_OFFSET})) AS combined_score FROM (
+    SELECT query_id, chunk_id, rank FROM near UNION ALL
+    SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS rank FROM hits QUALIFY rank <= 20) GROUP BY ALL)
+QUALIFY rank <= 10""", NEAR_SQL, also="documents")
 def rank_fusion(embeddings, items, chunks):
-    questions = item_questions(embeddings, items)
+    questions = asked_vectors(embeddings, items)
     semantic = vectors.vector_topk(questions, chunks, k=20)
-    return search.fuse_by_rank(semantic, search.keyword_hits(questions, chunks))
+    return search.fuse_by_rank(semantic, search.keyword_topk(questions, chunks, k=20)).selectExpr("query_id", "chunk_id", "round(combined_score, 9) combined_score", "rank")
 
 
 SECTION_HITS_SQL = CENTRES_SQL.strip() + """,
@@ -172,19 +183,64 @@ def hierarchical_prefix_search(embeddings, chunks):
     return found.selectExpr("query_id", "chunk_id", "round(score, 6) score", "rank", "stage")
 
 
-@query("routed_retrieval", "embeddings vector_chunks questions", r"""
-SELECT query_id, query_type, chunk_id, CAST(rank AS INT) AS rank, role, CAST(relevance_score AS DOUBLE) AS relevance_score FROM (
-  SELECT query_id, 'data_lookup' AS query_type, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) rank, 'primary' AS role, 1.0 AS relevance_score
-  FROM scored WHERE score >= 0.3 AND content_type = 'table' AND query_id IN (SELECT question_id FROM questions WHERE question_id % 9 = 2)
-  UNION ALL
-  SELECT query_id, CASE WHEN query_id % 9 IN (1, 6) THEN 'definition' ELSE 'general' END, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id), 'primary', 1.0
-  FROM scored WHERE score >= 0.3 AND query_id IN (SELECT question_id FROM questions WHERE question_id % 9 NOT IN (0, 2, 3, 5))
+# fixed words of the routes stand in ROUTE_SQL's text; here a route is read from each text
+_ROUTE = f"""CASE WHEN {sql_any('lower(text)', V.DESIGN_TERMS)} THEN 'comprehensive_design' WHEN {sql_any('lower(text)', V.DATA_TERMS)} THEN 'data_lookup'
+                  WHEN {sql_any('lower(text)', V.DEFINITION_TERMS)} THEN 'definition' ELSE 'general' END"""
+
+
+def retrieval_sql(p, asked, k):
+    """Primary results of the rows of ``asked`` (query_id, text, q) by their routes, as ``{p}found``."""
+    best = lambda where, n: f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {p}scored WHERE {where} QUALIFY rank <= {n}"""
+    return f"""
+{p}scored AS (SELECT * FROM (SELECT query_id, {_ROUTE} AS query_type, chunk_id, target_index, content_type, {_COSINE} AS score FROM {asked} CROSS JOIN vector_chunks) WHERE score >= 0.3),
+{p}near AS ({best("query_type = 'comprehensive_design' AND target_index = 'section' AND content_type = 'section_overview'", 3)}),
+{p}rules AS ({best(f"target_index = 'rule' AND query_id IN (SELECT query_id FROM {p}near)", k)}),
+{p}rest AS ({best(f"query_type = 'comprehensive_design' AND query_id NOT IN (SELECT query_id FROM {p}rules)", k)}),
+{p}data AS ({best("query_type = 'data_lookup' AND content_type = 'table'", k)}),
+{p}other AS ({best("query_type IN ('definition', 'general')", k)}),
+{p}design AS (SELECT * FROM {p}rules UNION ALL SELECT * FROM {p}rest),
+{p}plain AS (SELECT * FROM {p}data UNION ALL SELECT * FROM {p}other)"""
+
+
+ROUTED_SQL = asked_sql("asked_questions").strip() + "," + retrieval_sql("", "asked_vectors", 5) + """,
+steps AS (SELECT d.query_id, d.rank, d.chunk_id, list_sort(list_distinct(list(CAST(e.dst AS VARCHAR)) FILTER (e.dst <> d.chunk_id))) AS refs
+          FROM design d LEFT JOIN vector_edges e ON e.src = d.chunk_id GROUP BY ALL),
+fold AS (
+  SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS rank, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS froms FROM steps
   UNION ALL
-  SELECT query_id, 'comprehensive_design', chunk_id, rank, 'primary', 1.0 FROM (SELECT * FROM rules UNION ALL SELECT * FROM rest)
-  WHERE query_id IN (SELECT question_id FROM questions WHERE question_id % 9 IN (0, 3, 5))) WHERE rank <= 5""", SECTION_HITS_SQL.format(prefix=""))
-def routed_retrieval(embeddings, chunks, questions):
-    asked = class_queries(embeddings).join(questions.selectExpr("question_id query_id", "question text"), "query_id")
-    return search.retrieve(asked, chunks).select("query_id", "query_type", "chunk_id", "rank", "role", "relevance_score")
+  SELECT f.query_id, s.rank,
+         CASE WHEN list_contains(f.ids, CAST(s.chunk_id AS VARCHAR)) THEN f.ids ELSE list_concat(list_append(f.ids, CAST(s.chunk_id AS VARCHAR)), list_filter(coalesce(s.refs, []), lambda r: NOT list_contains(f.ids, r))) END,
+         CASE WHEN list_contains(f.ids, CAST(s.chunk_id AS VARCHAR)) THEN f.froms ELSE list_concat(list_append(f.froms, ''), list_transform(list_filter(coalesce(s.refs, []), lambda r: NOT list_contains(f.ids, r)), lambda r: CAST(s.chunk_id AS VARCHAR))) END
+  FROM fold f JOIN steps s ON s.query_id = f.query_id AND s.rank = f.rank + 1),
+done AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1),
+expanded AS (SELECT query_id, unnest(generate_series(1, len(ids))) AS rank, CAST(unnest(ids) AS BIGINT) AS chunk_id, unnest(froms) AS referenced_from FROM done),
+retrieved AS (
+  SELECT query_id, 'comprehensive_design' AS query_type, chunk_id, rank, CASE referenced_from WHEN '' THEN 'primary' ELSE 'reference' END AS role, referenced_from FROM expanded
+  UNION ALL SELECT query_id, query_type, chunk_id, rank, 'primary', '' FROM plain)"""
+
+
+@query("routed_retrieval", "embeddings vector_chunks vector_edges asked_questions", """
+SELECT query_id, query_type, chunk_id, CAST(rank AS INT) AS rank, role, referenced_from, CAST(CASE role WHEN 'primary' THEN 1.0 ELSE 0.8 END AS DOUBLE) AS relevance_score
+FROM retrieved""", ROUTED_SQL)
+def routed_retrieval(embeddings, chunks, edges, questions):
+    found = search.retrieve(asked_vectors(embeddings, questions), chunks, edges=edges)
+    return found.selectExpr("query_id", "query_type", "chunk_id", "rank", "role", "coalesce(cast(referenced_from as string), '') referenced_from", "relevance_score")
+
+
+@query("equation_retrieval", "embeddings vector_chunks vector_edges asked_questions", """
+SELECT query_id, chunk_id, role, CAST(row_number() OVER (PARTITION BY query_id ORDER BY l, rank) AS INT) AS merged_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, document_type, clause_id, label ORDER BY l, rank) AS n FROM (
+    SELECT 0 AS l, query_id, chunk_id, rank, role FROM retrieved
+    UNION ALL SELECT 1, query_id, chunk_id, rank, 'primary' FROM (SELECT * FROM eq_design UNION ALL SELECT * FROM eq_plain)) JOIN vector_chunks USING (chunk_id))
+WHERE n = 1 QUALIFY merged_rank <= 12""", ROUTED_SQL + "," + asked_sql("asked_questions", "(a.label + 1) % 10").strip().replace("spread", "eq_spread").replace("means", "eq_means").replace("centres", "eq_centres").replace("asked_vectors", "eq_vectors").replace("a.text", f"concat(a.text, '{V.EQUATION_SUFFIX}') AS text") + "," + retrieval_sql("eq_", "eq_vectors", 12))
+def equation_retrieval(embeddings, chunks, edges, questions):
+    """Both retrievals of each question; chunks of one document type, clause and class share a merge key."""
+    formulas = asked_vectors(embeddings, questions, "(label + 1) % 10").select("query_id", F.col("embedding").alias("equation_embedding"))
+    asked = asked_vectors(embeddings, questions).join(formulas, "query_id")
+    keyed = chunks.withColumns({
+        "document_name": F.col("document_type"), "section_title": F.col("clause_id"), "page_number": F.col("label"), "text": F.lit("see the page"),
+    })
+    return search.retrieve_equations(asked, keyed, edges=edges).select("query_id", "chunk_id", "role", F.col("merged_rank").cast("int").alias("merged_rank"))
 
 
 @query("code_support", "embeddings vector_chunks", """

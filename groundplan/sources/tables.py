@@ -159,7 +159,15 @@ VIEWS: dict[str, str] = {
                concat(CAST(vec_id % 7 + 1 AS VARCHAR(5)), '.', CAST(vec_id % 4 + 1 AS VARCHAR(5))) AS clause_id
         FROM {embeddings}""",
     "text_chunks": """
-        SELECT vec_id AS chunk_id, embedding, text FROM {embeddings} JOIN {documents} ON vec_id = doc_id""",
+        SELECT doc_id AS chunk_id, embedding, text FROM {documents} JOIN {embeddings} ON vec_id = doc_id % (SELECT count(*) FROM {embeddings})""",
+    "vector_edges": """
+        SELECT vec_id AS src, (vec_id * 7 + 3) % (SELECT count(*) FROM {embeddings}) AS dst FROM {embeddings}
+        UNION ALL SELECT vec_id, (vec_id * 13 + 1) % (SELECT count(*) FROM {embeddings}) FROM {embeddings} WHERE vec_id % 3 > 0""",
+    "asked_items": """
+        SELECT item_id AS query_id, text, item_id % 10 AS label, item_id % (SELECT count(*) FROM {embeddings}) AS vec_id FROM {benchmark}""",
+    "asked_questions": """
+        SELECT question_id AS query_id, question AS text, question_id % 10 AS label,
+               question_id % (SELECT count(*) FROM {embeddings}) AS vec_id FROM {questions}""",
     "lab_rows": """
         SELECT l_orderkey AS sample_id, CAST(l_linenumber AS DOUBLE) AS depth_m, l_linestatus AS test_type,
                CASE l_returnflag WHEN 'A' THEN 'cohesion_kpa' WHEN 'N' THEN 'friction_angle_deg' ELSE 'unit_weight_kn_m3' END AS parameter_name,

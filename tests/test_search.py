@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundplan.operators import graph, search, sizes, vectors
+from groundplan.operators import graph, keyword, parts, search, sizes, vectors
 from groundplan.operators.context import assemble, source_blocks
 
 CHUNK = "chunk_id int, embedding array<float>, target_index string, clause_id string"
@@ -234,7 +234,7 @@ def test_many_queries_with_a_hundred_clauses_each(spark):
 def test_many_parts_and_long_clause_lists_give_the_same(corpus, frame, monkeypatch):
     queries, chunks, names, clauses, asked, df = corpus
     monkeypatch.setattr(vectors, "PART_BYTES", 400)
-    monkeypatch.setattr(vectors, "_PARTS_PER_MERGE", 5)
+    monkeypatch.setattr(parts, "PARTS_PER_MERGE", 5)
     monkeypatch.setattr(vectors, "_CLAUSES_PER_ROW", 2)
     assert _got(vectors.vector_topk(asked, df, k=5)) == _expected(queries, chunks, names, 5, 0.3)
     within = frame([(q, f"{a}.{b}") for q in range(51) for a in range(3) for b in range(4)], "query_id int, clause string")
@@ -245,5 +245,73 @@ def test_many_parts_and_long_clause_lists_give_the_same(corpus, frame, monkeypat
 def test_vector_search_plans_without_the_driver():
     import inspect
 
-    text = inspect.getsource(vectors)
+    text = inspect.getsource(vectors) + inspect.getsource(parts)
     assert "toArrow" not in text and ".collect()" not in text and "broadcast" not in text
+
+
+def _plain_hits(queries, chunks):
+    """Hits of all pairs by counting words."""
+    import re
+
+    from groundplan import fixed_values as V
+
+    tokens = lambda t: [w for w in re.split(r"[^\w]+", (t or "").lower()) if re.fullmatch("[a-z]{2,}", w) and w not in V.STOP_WORDS]
+    return {q: {c: n for c, text in chunks if (n := sum(tokens(text).count(t) for t in tokens(asked)))} for q, asked in queries}
+
+
+def _made_chunks(count, seed=3):
+    rng = np.random.default_rng(seed)
+    words = np.array([f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)])
+    share = 1 / np.arange(1, 151)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60), p=share / share.sum())) for _ in range(count)]
+    return [(i, t) for i, t in enumerate(texts)], [(i, " ".join(rng.choice(words, rng.integers(0, 9)))) for i in range(40)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 20, 1000])
+def test_keyword_topk_equals_counting_all_pairs(frame, monkeypatch, k):
+    monkeypatch.setattr(keyword, "PART_BYTES", 20_000)
+    monkeypatch.setattr(keyword, "BLOCK", 4)
+    monkeypatch.setattr(parts, "PARTS_PER_MERGE", 2)
+    chunks, queries = _made_chunks(400)
+    chunks.append((400, None))
+    hits = _plain_hits(queries, chunks)
+    got = search.keyword_topk(frame(queries, "query_id int, text string"), frame(chunks, "chunk_id int, text string"), k=k).collect()
+    want = {q: sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k] for q, found in hits.items()}
+    rows = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        rows.setdefault(r.query_id, []).append((r.chunk_id, r.hits))
+        assert r.keyword_score == r.hits / want[r.query_id][0][1]
+    assert rows == {q: w for q, w in want.items() if w}
+
+
+def test_pruning_leaves_most_postings_unread():
+    """The search over blocks is checked term by term above; here it reads fewer postings than there are."""
+    import pyarrow as pa
+
+    size = 20_000
+    rows = pa.table({"chunk_id": np.arange(size), "tokens": [["rare", "common"] if i % 2000 == 0 else ["common"] for i in range(size)],
+                     "counts": [[50, 1] if i % 2000 == 0 else [1] for i in range(size)]})
+    index = keyword._Index(rows)
+    found, hits = index.best(["common", "rare"], [1, 1], 5)
+    assert found.tolist() == [0, 2000, 4000, 6000, 8000] and set(hits.tolist()) == {51} and not index.sums.any()
+
+
+def test_fusion_over_an_index_equals_fusion_over_all_hits(frame):
+    chunks, queries = _made_chunks(120, 5)
+    asked, held = frame(queries, "query_id int, text string"), frame(chunks, "chunk_id int, text string")
+    rng = np.random.default_rng(8)
+    near = [(q, int(c), round(float(rng.choice([0.0, 0.4, 0.7])), 6)) for q, _ in queries for c in rng.choice(120, 12, replace=False)]
+    semantic = frame(near, "query_id int, chunk_id int, score double")
+    shown = lambda df: {(r.query_id, r.chunk_id, round(r.semantic_score, 9), round(r.keyword_score, 9), round(r.combined_score, 9), r.rank) for r in df.collect()}
+    assert shown(search.fuse_indexed(semantic, asked, held, k=8)) == shown(search.fuse(semantic, search.keyword_hits(asked, held), k=8))
+
+
+def test_postings_and_keyword_search_shuffle_no_pairs(frame):
+    chunks, queries = _made_chunks(50)
+    asked, held = frame(queries, "query_id int, text string"), frame(chunks, "chunk_id int, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(search.postings(held))
+    import re
+
+    exchanges = re.findall(r"hashpartitioning\(([^)]*)\)", plan(search.keyword_topk(asked, held)))
+    assert exchanges and not any("query_id" in e and "chunk_id" in e for e in exchanges)
