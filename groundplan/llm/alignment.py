@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, compress
 
 import numpy as np
 import public_tokenizers
@@ -32,6 +33,8 @@ BLOCK_DOCUMENTS = 1 << 15
 BLOCK_BYTES = 16_000_000
 _SECOND_BITS = 20  # of a pair's code; ids of the second vocabulary lie below 2^20
 _PLACE_BITS = 15
+# stretches that are tokenized together
+_TOGETHER = 8_000
 
 
 # --- vocabularies -------------------------------------------------------
@@ -67,24 +70,16 @@ def second_tokens(path: str):
     return model, [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.encode().replace(PIECE_SPACE, b" ") for i, p in enumerate(pieces)]
 
 
-def align(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[list[str], list[tuple[int, int]]]:
-    """Groups between common ends as text, and all pairs of overlapping tokens, of two token lists over the same bytes."""
-    groups, links = [], []
-    i = j = from_i = from_j = 0
-    end_a, end_b = (a_sizes[0], b_sizes[0]) if a else (0, 0)
-    while i < len(a):
-        links.append((a[i], b[j]))
-        at_a, at_b = end_a, end_b
-        if at_a <= at_b:
-            i += 1
-            end_a += a_sizes[i] if i < len(a) else 0
-        if at_b <= at_a:
-            j += 1
-            end_b += b_sizes[j] if j < len(b) else 0
-        if at_a == at_b:
-            groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-            from_i, from_j = i, j
-    return groups, links
+def align(sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second token of every link between two runs of tokens over the same bytes, and whether a group ends with it.
+
+    ``sizes`` are the bytes of the tokens of either side. The ends of both sides cut
+    the bytes into stretches; each lies in one token of either side, and is one link.
+    """
+    ends = [np.cumsum(s) for s in sizes]
+    cuts = np.union1d(*ends)
+    first, second = (np.searchsorted(e, cuts) for e in ends)
+    return first, second, (ends[0][first] == cuts) & (ends[1][second] == cuts)
 
 
 class Aligner:
@@ -93,7 +88,11 @@ class Aligner:
     def __init__(self, first: str, second: str):
         self.first, self.first_bytes = first_tokens(first)
         self.second, self.second_bytes = second_tokens(second)
-        self.first_sizes, self.second_sizes = [*map(len, self.first_bytes)], [*map(len, self.second_bytes)]
+        self.bytes = self.first_bytes, self.second_bytes
+        self.byte_sizes = [np.array([*map(len, table)], np.int64) for table in self.bytes]
+        # an id as text, by what follows it: more of its side, the end of its side of the group
+        self.shown = [str(i) + mark for marks, table in zip((",|", ",;"), self.bytes) for mark in marks for i in range(len(table))]
+        self.shown_sizes = np.array([*map(len, self.shown)], np.int64)
         self.stretches = Stretches(self._learn, self._forget)
         self._forget()
 
@@ -105,29 +104,54 @@ class Aligner:
         self.links = np.zeros(0, np.int64)
 
     def _learn(self, strings: list[bytes]) -> int:
+        return sum(self._learn_some(strings[at : at + _TOGETHER]) for at in range(0, len(strings), _TOGETHER))
+
+    def _learn_some(self, strings: list[bytes]) -> int:
         texts = [s.decode() for s in strings]
-        firsts = self.first.encode_batch_fast(texts, add_special_tokens=False)
-        seconds = self.second.encode([t[1:] for t in texts], num_threads=1)
-        sizes, links, kept = [], [], 0
-        a_bytes, b_bytes = self.first_bytes.__getitem__, self.second_bytes.__getitem__
-        a_size, b_size = self.first_sizes.__getitem__, self.second_sizes.__getitem__
-        for raw, encoded, b in zip(strings, firsts, seconds):
-            a = encoded.ids
-            if b"".join(map(a_bytes, a)) != raw or b"".join(map(b_bytes, b)) != raw:
-                sizes.append((-1, -1, -1, -1))
-                self.groups.append("")
-                continue
-            groups, pairs = align(a, b, [*map(a_size, a)], [*map(b_size, b)])
-            self.groups.append(";".join(groups))
-            kept += len(self.groups[-1]) + 8 * len(pairs)
-            sizes.append((len(a), len(b), len(groups), len(pairs)))
-            links.extend((x << _SECOND_BITS) | y for x, y in pairs)
-        sizes = np.array(sizes, np.int64).reshape(-1, 4)
-        counts = np.maximum(sizes[:, 3], 0)
-        self.begins = np.concatenate([self.begins, len(self.links) + np.cumsum(counts) - counts])
-        self.links = np.concatenate([self.links, np.array(links, np.int64)])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        return kept + 100 * len(strings)
+        lists = [e.ids for e in self.first.encode_batch_fast(texts, add_special_tokens=False)], self.second.encode([t[1:] for t in texts], num_threads=1)
+        lengths = np.array([*map(len, strings)], np.int64)
+        counts = [np.array([*map(len, side)], np.int64) for side in lists]
+        ids = [np.array([*chain.from_iterable(side)], np.int64) for side in lists]
+        owner = [np.repeat(np.arange(len(strings)), n) for n in counts]
+        sizes = [table[i] for table, i in zip(self.byte_sizes, ids)]
+        good = np.logical_and(*[np.bincount(o, s, len(strings)) == lengths for o, s in zip(owner, sizes)])
+        # of those with the right sizes, the ones with the right bytes
+        raw = np.frombuffer(b"".join(compress(strings, good.tolist())), np.uint8)
+        byte_of = np.repeat(np.flatnonzero(good), lengths[good])
+        for table, i, o in zip(self.bytes, ids, owner):
+            given = np.frombuffer(b"".join(map(table.__getitem__, i[good[o]].tolist())), np.uint8)
+            good[byte_of[given != raw]] = False
+            keep = good[byte_of]
+            raw, byte_of = raw[keep], byte_of[keep]
+        for side in range(2):
+            keep = good[owner[side]]
+            ids[side], owner[side], sizes[side] = ids[side][keep], owner[side][keep], sizes[side][keep]
+        first, second, closes = align(sizes) if len(raw) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        stretch = owner[0][first]
+        links = np.bincount(stretch, minlength=len(strings))
+        groups = np.bincount(stretch[closes], minlength=len(strings))
+        self._show(len(strings), ids, owner, first[closes], second[closes])
+        totals = np.where(good[:, None], np.stack([counts[0], counts[1], groups, links], axis=1), -1)
+        self.begins = np.concatenate([self.begins, len(self.links) + np.cumsum(links) - links])
+        self.links = np.concatenate([self.links, (ids[0][first] << _SECOND_BITS) | ids[1][second]])
+        self.sizes = np.concatenate([self.sizes, totals])
+        return 8 * len(first) + sum(map(len, self.groups[-len(strings) :])) + 100 * len(strings)
+
+    def _show(self, count: int, ids: list[np.ndarray], owner: list[np.ndarray], *lasts: np.ndarray) -> None:
+        """Keep the groups of some stretches as text; ``lasts`` are the last tokens of the groups of either side."""
+        codes, groups, base = [], [], 0
+        for own, last, table in zip(ids, lasts, self.bytes):
+            ends = np.zeros(len(own), np.int64)
+            ends[last] = 1
+            codes.append(base + ends * len(table) + own)
+            groups.append(np.cumsum(ends) - ends)
+            base += 2 * len(table)
+        order = np.argsort(np.concatenate([2 * groups[0], 2 * groups[1] + 1]), kind="stable")
+        codes, owners = np.concatenate(codes)[order], np.concatenate(owner)[order]
+        text = "".join(map(self.shown.__getitem__, codes.tolist()))
+        ends = np.cumsum(np.bincount(owners, self.shown_sizes[codes], count).astype(np.int64)).tolist()
+        # the mark after the last group of a stretch is left out
+        self.groups.extend(text[a : b - 1] if b > a else "" for a, b in zip([0, *ends], ends))
 
     def read(self, texts: Texts) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Per text its four sizes and its groups; then text number and link code of all links."""
