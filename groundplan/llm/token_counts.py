@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import public_tokenizers
@@ -25,6 +26,9 @@ VOCABULARY = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 # a pair is one number in the heap: rank of its piece, then place
 _PLACE = 40
+_PLACES = (1 << _PLACE) - 1
+# bytes that a task keeps for words it has counted
+KEPT_BYTES = 80_000_000
 
 
 class Merges:
@@ -38,38 +42,38 @@ class Merges:
         scores = sorted({model.get_score(i) for i in ids}, reverse=True)
         place = {score: rank for rank, score in enumerate(scores)}
         self.rank = {model.id_to_piece(i): place[model.get_score(i)] for i in ids}
-        lone = {c for piece in self.rank if len(piece) > 1 for c in piece if c not in self.rank}
+        self.lone = {piece for piece in self.rank if len(piece) == 1}
         across = [p for p in self.rank if "▁" in p.lstrip("▁")]
-        if lone or across:
+        if across or any(not self.lone.issuperset(piece) for piece in self.rank):
             raise ValueError("the counts need every character of a piece to be a piece, and spaces only in front of one")
 
     def count(self, text: str) -> int:
         """Tokens of a stretch that begins with a space."""
-        rank = self.rank
+        rank = self.rank.get
         symbols = list(text.replace(" ", "▁"))
         size = len(symbols)
-        start = sum(1 if c in rank else len(c.encode()) for c in symbols)
+        start = size if self.lone.issuperset(symbols) else sum(1 if c in self.lone else len(c.encode()) for c in symbols)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        heap = [(r << _PLACE) | i for i in range(size - 1) if (r := rank.get(symbols[i] + symbols[i + 1])) is not None]
+        heap = [(r << _PLACE) | i for i, r in enumerate(map(rank, map(add, symbols, symbols[1:]))) if r is not None]
         heapify(heap)
         merges = 0
         while heap:
             least = heappop(heap)
-            i = least & ((1 << _PLACE) - 1)
+            i = least & _PLACES
             j = after[i]
-            if symbols[i] is None or j >= size:
+            if j >= size or (left := symbols[i]) is None:
                 continue
-            joined = symbols[i] + symbols[j]
-            if rank.get(joined) != least >> _PLACE:
+            joined = left + symbols[j]
+            if rank(joined) != least >> _PLACE:
                 continue  # one side has been joined to something else
             merges += 1
             symbols[i], symbols[j] = joined, None
             after[i] = k = after[j]
             if k < size:
                 before[k] = i
-                if (r := rank.get(joined + symbols[k])) is not None:
+                if (r := rank(joined + symbols[k])) is not None:
                     heappush(heap, (r << _PLACE) | i)
-            if (k := before[i]) >= 0 and (r := rank.get(symbols[k] + joined)) is not None:
+            if (k := before[i]) >= 0 and (r := rank(symbols[k] + joined)) is not None:
                 heappush(heap, (r << _PLACE) | k)
         return start - merges
 
@@ -80,7 +84,7 @@ class Counter:
     def __init__(self, vocabulary: str):
         self.merges = Merges(vocabulary)
         self.sizes: list[int] = []
-        self.stretches = Stretches(self._learn, self.sizes.clear)
+        self.stretches = Stretches(self._learn, self.sizes.clear, KEPT_BYTES)
 
     def _learn(self, strings: list[bytes]) -> int:
         self.sizes.extend(self.merges.count(s.decode()) for s in strings)

@@ -16,7 +16,7 @@ from groundplan.llm.words import Texts, Words, hash_words
 # the character U+2581, which pieces use for a space, in UTF-8
 PIECE_SPACE = "▁".encode()
 # bytes of stretches, and of what is kept for them, that a task remembers
-KEPT_BYTES = 64_000_000
+KEPT_BYTES = 40_000_000
 
 
 def with_space(texts: Texts) -> Texts:
