@@ -78,6 +78,9 @@ MAX_EXPANSIONS = 3
 # fixed values: suffix of an equation query
 EQUATION_SUFFIX = " equation formula design check criterion Mpl Rd Ft Rd Fb Rd V Ed V Rd resistance capacity"
 
+# fixed values: caption of a table without one
+UNTITLED_TABLE = "Untitled Table"
+
 # fixed values: text put before a query when it is embedded
 QUERY_INSTRUCTION = "Represent this sentence for searching relevant passages: "
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,14 +9,13 @@ from groundplan import fixed_values as V
 from groundplan.functions.text import CLAUSE_START
 from groundplan.functions.words import SPACES, let, strip
 
-# stands in for text that a citation has taken; the comma ends a document name
-_MARK = "\u0001"
-_TAKEN = f"{_MARK},{_MARK}"
-_CITATION = "struct<form: string, document: string, clause_id: string, page: int, raw: string>"
+_SPAN = "struct<raw: string, start: int, end: int>"
+_CITATION = "struct<form: string, document: string, clause_id: string, page: int, raw: string, start: int, end: int>"
 
 
-def _fields(form: str, raw: Column) -> Column:
-    """A citation of one form from the text it matched."""
+def _fields(form: str, span: Column) -> Column:
+    """A citation of one form from the span it matched."""
+    raw = span["raw"]
     group = lambda i: strip(F.regexp_extract(raw, V.CITATION_FORMS[form], i))
     none = F.lit(None).cast("int")
     if form == "full":
@@ -31,81 +27,47 @@ def _fields(form: str, raw: Column) -> Column:
     else:
         document, clause, page = F.lit(V.UNKNOWN_DOCUMENT), group(1), none
     return F.struct(
-        F.lit(form).alias("form"), document.alias("document"), clause.alias("clause_id"), page.alias("page"), raw.alias("raw")
+        F.lit(form).alias("form"), document.alias("document"), clause.alias("clause_id"), page.alias("page"),
+        raw.alias("raw"), span["start"].alias("start"), span["end"].alias("end"),
     ).cast(_CITATION)
 
 
-def _blank(text: Column, raws: Column) -> Column:
-    """``text`` with the first remaining occurrence of each match taken out."""
+def _spans(text: Column, pattern: str) -> Column:
+    """Matches of a pattern and where they lie: what stands between them and their own lengths, added up."""
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("raw"))
 
-    def cut(left: Column, raw: Column) -> Column:
-        at = F.call_function("locate", raw, left)
-        before = F.substr(left, F.lit(1), at - 1)
-        after = F.substr(left, at + F.length(raw))
-        return F.when(at > 0, F.concat(before, F.lit(_TAKEN), after)).otherwise(left)
+    def add(state: Column, part: Column) -> Column:
+        start = state["at"] + F.length(part["gap"])
+        end = start + F.length(part["raw"])
+        span = F.struct(part["raw"].alias("raw"), start.alias("start"), end.alias("end")).cast(_SPAN)
+        return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
 
-    return F.aggregate(raws, text, cut)
+    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("found"))
+    return F.aggregate(F.filter(parts, lambda p: p["raw"].isNotNull()), empty, add, lambda s: s["found"])
 
 
-def extract(text: Column) -> Column:
-    """Citations of a text, the most specific form first.
+def citations_with_offsets(text: Column) -> Column:
+    """Citations of a text with start and end offsets, the most specific form first.
 
-    Text that a more specific form has taken is masked before the next form is
-    tried, and a match that reaches over masked text is dropped.
+    A match that shares characters with a citation of a more specific form is dropped.
     """
-    state = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.expr(f"cast(array() as array<{_CITATION}>)").alias("found"))
+    found = F.expr(f"cast(array() as array<{_CITATION}>)")
     for form in V.CITATION_FORMS:
-        state = let(state, _take(form))
-    return state["found"]
-
-
-def _take(form: str):
-    """One step of the extraction: the matches of a form, and the text without them."""
+        found = let(found, _more(F.coalesce(text, F.lit("")), form))
+    return found
 
-    def add(state: Column, kept: Column) -> Column:
-        cited = F.transform(kept, lambda m: _fields(form, m))
-        return F.struct(_blank(state["text"], kept).alias("text"), F.concat(state["found"], cited).alias("found"))
 
-    def step(state: Column) -> Column:
-        matches = F.regexp_extract_all(state["text"], F.lit(V.CITATION_FORMS[form]), F.lit(0))
-        return let(F.filter(matches, lambda m: ~m.contains(_MARK)), lambda kept: add(state, kept))
+def _more(text: Column, form: str):
+    def step(found: Column) -> Column:
+        apart = lambda span: ~F.exists(found, lambda c: (span["start"] < c["end"]) & (span["end"] > c["start"]))
+        return F.concat(found, F.transform(F.filter(_spans(text, V.CITATION_FORMS[form]), apart), lambda span: _fields(form, span)))
 
     return step
 
 
-def extract_with_offsets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Citations with start and end offsets, for use as a pandas UDF."""
-    import re
-
-    forms = {name: re.compile(pattern) for name, pattern in V.CITATION_FORMS.items()}
-    place = {"full": (1, 2), "short": (1, 2), "parenthetical": (1, 2), "according_to": (2, 1), "standalone": (None, 1)}
-
-    def read(text: str | None) -> list[dict]:
-        found: list[dict] = []
-        for name, pattern in forms.items():
-            document, clause = place[name]
-            for m in pattern.finditer(text or ""):
-                if all(m.end() <= c["start"] or m.start() >= c["end"] for c in found):
-                    found.append(
-                        {
-                            "form": name,
-                            "document": m.group(document).strip() if document else V.UNKNOWN_DOCUMENT,
-                            "clause_id": m.group(clause).strip(),
-                            "page": int(m.group(3)) if name == "full" else None,
-                            "raw": m.group(0),
-                            "start": m.start(),
-                            "end": m.end(),
-                        }
-                    )
-        return found
-
-    for column in texts:
-        yield column.map(read)
-
-
-def citations_with_offsets(text: Column) -> Column:
-    schema = "array<struct<form: string, document: string, clause_id: string, page: int, raw: string, start: int, end: int>>"
-    return F.pandas_udf(extract_with_offsets, schema)(text)
+def extract(text: Column) -> Column:
+    """Citations of a text without their places."""
+    return F.transform(citations_with_offsets(text), lambda c: c.dropFields("start", "end"))
 
 
 def normal_clause(clause: Column) -> Column:

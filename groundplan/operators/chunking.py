@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from groundplan import fixed_values as V
 from groundplan.functions import text as X
 from groundplan.functions.words import GAP, count_words, let, strip, words
+from groundplan.operators.blocks import greedy_blocks
 from groundplan.operators.running import along
 
 # fixed values: a heading line, and the place before one
@@ -205,17 +206,20 @@ def index_counts(chunks: DataFrame, keys: list[str] = ["document_id"]) -> DataFr
 
 
 def item_chunks(items: DataFrame, *, max_chars: int = V.MAX_CHUNK_CHARS) -> DataFrame:
-    """Chunks of typed items (document_id, pos, item_type, level, text, page_no).
+    """Chunks of typed items (document_id, pos, item_type, level, text, page_no, optionally caption).
 
     A header or a table closes the block before it; so does a block that has
-    reached ``max_chars``. The cut by size is sequential, so each run of items
-    between two headers or tables is folded in its own row; a run is at most
-    one section of one document. Heads and pages are carried forward piecewise.
+    reached ``max_chars``. Heads, pages and the last formula below a head are carried
+    forward piecewise and blocks are found by ``greedy_blocks``, so a document may
+    have any number of items, with or without heads; only the lines of one block
+    are brought together.
     """
     kinds = ["SECTION_HEADER", "TABLE", "PARAGRAPH", "FORMULA", "LIST_ITEM"]
-    rows = items.withColumn("text", strip(F.coalesce("text", F.lit("")))).filter(F.col("item_type").isin(*kinds))
+    caption = F.col("caption") if "caption" in items.columns else F.lit(None).cast("string")
+    rows = items.withColumns({"text": strip(F.coalesce("text", F.lit(""))), "_caption": caption}).filter(F.col("item_type").isin(*kinds))
     is_head, is_table = F.col("item_type") == "SECTION_HEADER", F.col("item_type") == "TABLE"
     number = F.col("page_no").cast("int")
+    formula = F.when(is_head, F.struct(F.lit(None).cast("string").alias("text"))).when((F.col("item_type") == "FORMULA") & (F.col("text") != ""), F.struct("text"))
     rows = along(
         rows,
         ["document_id"],
@@ -225,55 +229,37 @@ def item_chunks(items: DataFrame, *, max_chars: int = V.MAX_CHUNK_CHARS) -> Data
         latest={
             "head": F.when(is_head, F.struct(F.col("text").alias("text"), F.col("level").alias("level"))),
             "page": F.when(is_head | (~is_table & number.isNotNull()), F.struct(number.alias("page_no"))),
+            "formula": formula,
         },
     )
     line = F.when(is_head, F.concat(F.lit("# "), "text")).otherwise(F.col("text"))
-    item = F.struct("pos", line.alias("line"), F.when(is_table, number).otherwise(F.col("page.page_no")).alias("page_no"), is_head.alias("is_head"), is_table.alias("is_table"))
-    runs = rows.filter(is_table | (F.col("text") != "")).groupBy("document_id", "run").agg(
-        F.array_sort(F.collect_list(item)).alias("items"), F.first("head").alias("head")
+    page = F.when(is_table, number).otherwise(F.col("page.page_no"))
+    rows = rows.select(
+        "document_id", F.col("run").cast("int").alias("run"), "pos", line.alias("line"), is_head.alias("is_head"), is_table.alias("is_table"),
+        F.struct(page.alias("page_no"), F.col("head.text").alias("title"), F.coalesce("head.level", F.lit(0)).alias("level"), F.col("formula.text").alias("formula")).alias("_last"),
+        F.when(is_table, F.coalesce(F.nullif(strip(F.col("_caption")), F.lit("")), F.lit(V.UNTITLED_TABLE))).alias("caption"),
     )
-
-    block = "struct<text: string, page_no: int, is_table: boolean>"
-    empty = F.expr("cast(array() as array<string>)")
-    closed = lambda text, page, table: F.array(F.struct(text.alias("text"), page.cast("int").alias("page_no"), F.lit(table).alias("is_table")))
-    joined = lambda lines: strip(F.array_join(lines, "\n"))
-    start = F.struct(
-        F.expr(f"cast(array() as array<{block}>)").alias("done"), empty.alias("lines"), F.lit(0).alias("chars"),
-        F.lit(None).cast("int").alias("page_no"),
-    )
-
-    def add(state: Column, x: Column) -> Column:
-        more = F.concat(state["lines"], F.array(x["line"]))
-        chars = state["chars"] + F.length(x["line"]) + F.when(F.size(state["lines"]) > 0, 1).otherwise(0)
-        full = ~x["is_head"] & (chars >= max_chars)
-        return F.when(
-            x["is_table"],
-            F.struct(
-                F.concat(state["done"], closed(x["line"], x["page_no"], True)).alias("done"), state["lines"].alias("lines"),
-                state["chars"].alias("chars"), state["page_no"].alias("page_no"),
-            ),
-        ).otherwise(
-            F.struct(
-                F.when(full, F.concat(state["done"], closed(joined(more), x["page_no"], False))).otherwise(state["done"]).alias("done"),
-                F.when(full, empty).otherwise(more).alias("lines"),
-                F.when(full, 0).otherwise(chars).alias("chars"),
-                x["page_no"].alias("page_no"),
-            )
-        )
-
-    finish = lambda s: F.when(F.size(s["lines"]) > 0, F.concat(s["done"], closed(joined(s["lines"]), s["page_no"], False))).otherwise(s["done"])
-    blocks = runs.select("document_id", "run", "head", F.posexplode(F.aggregate("items", start, add, finish)).alias("block", "b"))
-    blocks = blocks.filter(F.col("b.is_table") | (F.col("b.text") != "")).withColumn("_long", ~F.col("b.is_table") & (F.length("b.text") > max_chars))
-    split = F.when(F.col("_long"), pack_by_characters(F.col("b.text"), max_chars)).otherwise(F.array("b.text"))
-    parts = blocks.select("document_id", "run", "block", "head", "b.page_no", "b.is_table", "_long", F.posexplode(split).alias("part_no", "text"))
-    title = F.col("head.text")
+    rows = rows.filter(F.col("is_table") | ~F.col("line").isin("", "# "))
+    # a line counts the line end before it; the first of a block has none, so a block may hold one character more
+    lines = greedy_blocks(rows.filter(~F.col("is_table")), ["document_id", "run"], "pos", F.length("line") + 1, max_chars + 1, F.col("is_head"))
+    blocks = lines.groupBy("document_id", "run", "block").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_lines"), F.max_by("_last", "pos").alias("_last")
+    ).select("document_id", "run", "block", strip(F.array_join(F.col("_lines.line"), "\n")).alias("text"), "_last", F.lit(None).cast("string").alias("caption"))
+    tables = rows.filter("is_table").select("document_id", "run", F.lit(-1).alias("block"), F.col("line").alias("text"), "_last", "caption")
+    blocks = blocks.filter(F.col("text") != "").unionByName(tables).withColumn("is_table", F.col("block") < 0)
+    blocks = blocks.withColumn("_long", ~F.col("is_table") & (F.length("text") > max_chars))
+    split = F.when(F.col("_long"), pack_by_characters(F.col("text"), max_chars)).otherwise(F.array("text"))
+    parts = blocks.select("document_id", "run", "block", "_last.*", "caption", "is_table", "_long", F.posexplode(split).alias("part_no", "text"))
+    title = F.col("title")
     return parts.select(
-        "document_id", F.col("run").cast("int").alias("run"), "block", "part_no",
+        "document_id", "run", "block", "part_no",
         F.when(title.isNull(), "unknown").otherwise(X.clause_of(title)).alias("clause_id"),
         F.coalesce(title, F.lit("")).alias("clause_title"),
-        F.coalesce("head.level", F.lit(0)).alias("hierarchy_level"),
+        F.col("level").alias("hierarchy_level"),
         F.when(F.col("is_table"), "table").otherwise("clause_text").alias("content_type"),
         "page_no",
+        F.col("caption").alias("table_caption"),
+        F.col("formula").alias("formula_latex"),
         X.regulatory_strength(F.col("text")).alias("regulatory_strength"),
         X.cross_references(F.col("text")).alias("cross_references"),
         F.length("text").alias("char_count"),

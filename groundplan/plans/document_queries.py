@@ -153,14 +153,54 @@ def item_blocks(docs):
     )
 
 
-@query("item_chunks", "documents")
+# lines added one after the other; a block closes with the line that reaches the limit, and what is longer is packed by paragraphs
+ITEM_CHUNKS_SQL = ITEMS_SQL + r""",
+typed AS (SELECT doc_id, pos, item_type, trim(text, chr(10) || ' ' || chr(9) || chr(13)) AS text, (pos - 1) // 20 + 1 AS page_no FROM items),
+placed AS (SELECT *, sum(CASE WHEN item_type IN ('SECTION_HEADER', 'TABLE') THEN 1 ELSE 0 END) OVER w AS run, max(CASE WHEN item_type = 'SECTION_HEADER' THEN pos END) OVER w AS head,
+                  max(CASE WHEN item_type = 'FORMULA' AND text <> '' THEN pos END) OVER w AS formula
+           FROM typed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+kept AS (SELECT *, CASE item_type WHEN 'SECTION_HEADER' THEN concat('# ', text) ELSE text END AS line, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS i
+         FROM placed WHERE item_type <> 'TABLE' AND text <> ''),
+folded AS (
+  SELECT doc_id, run, i, 0 AS block, CASE WHEN item_type <> 'SECTION_HEADER' AND length(line) >= 1500 THEN -1 ELSE length(line) END AS chars FROM kept WHERE i = 1
+  UNION ALL
+  SELECT k.doc_id, k.run, k.i, CASE WHEN f.chars < 0 THEN f.block + 1 ELSE f.block END,
+         CASE WHEN (CASE WHEN f.chars < 0 THEN 0 ELSE f.chars + 1 END) + length(k.line) >= 1500 THEN -1 ELSE (CASE WHEN f.chars < 0 THEN 0 ELSE f.chars + 1 END) + length(k.line) END
+  FROM folded f JOIN kept k ON k.doc_id = f.doc_id AND k.run = f.run AND k.i = f.i + 1),
+blocks AS (SELECT k.doc_id, k.run, f.block, string_agg(k.line, chr(10) ORDER BY k.i) AS text, max(k.head) AS head, max(k.formula) AS formula, arg_max(k.page_no, k.i) AS page_no
+           FROM folded f JOIN kept k ON k.doc_id = f.doc_id AND k.run = f.run AND k.i = f.i GROUP BY ALL
+           UNION ALL SELECT doc_id, run, -1, text, head, formula, page_no FROM placed WHERE item_type = 'TABLE'),
+named AS (SELECT b.doc_id, b.run, b.block, b.text, b.page_no, h.text AS title, CASE WHEN b.formula > coalesce(b.head, 0) THEN q.text END AS formula
+          FROM blocks b LEFT JOIN typed h ON h.doc_id = b.doc_id AND h.pos = b.head LEFT JOIN typed q ON q.doc_id = b.doc_id AND q.pos = b.formula)"""
+
+
+@query("item_chunks", "documents", r"""
+SELECT doc_id AS document_id, run, block, CASE WHEN title IS NULL THEN 'unknown' ELSE coalesce(nullif(regexp_extract(title, '^(\d+(?:\.\d+)*)', 1), ''), 'unknown') END AS clause_id,
+       CASE block WHEN -1 THEN 'table' ELSE 'clause_text' END AS content_type, page_no, CASE block WHEN -1 THEN 'Untitled Table' END AS table_caption, md5(formula) AS formula_md5,
+       length(text) AS char_count, md5(text) AS text_md5 FROM named""", ITEM_CHUNKS_SQL)
 def item_chunks(docs):
-    return chunking.item_chunks(laid_out_items(docs)).drop("cross_references")
+    # no line of the documents holds a blank line, so a block is one part
+    return chunking.item_chunks(laid_out_items(docs)).selectExpr(
+        "document_id", "run", "block", "clause_id", "content_type", "page_no", "table_caption", "md5(formula_latex) formula_md5",
+        "cast(char_count as bigint) char_count", "md5(text) text_md5",
+    )
 
 
-@query("character_chunks", "md_docs")
+@query("character_chunks", "md_docs", r"""
+SELECT doc_id, chunk AS part_no, md5(trim(string_agg(para, chr(10) || chr(10) ORDER BY i), chr(10) || ' ' || chr(9) || chr(13))) AS text_md5, count(*) AS paragraphs
+FROM filled_blocks GROUP BY doc_id, chunk""", r"""
+paragraphs AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p, chr(10) || ' ' || chr(9) || chr(13)) <> '')) AS para,
+                      generate_subscripts(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p, chr(10) || ' ' || chr(9) || chr(13)) <> ''), 1) AS i FROM md_docs),
+filled_blocks AS (
+  SELECT doc_id, i, para, 0 AS chunk, length(para) + 2 AS chars FROM paragraphs WHERE i = 1
+  UNION ALL
+  SELECT p.doc_id, p.i, p.para, CASE WHEN f.chars + length(p.para) + 2 > 1500 THEN f.chunk + 1 ELSE f.chunk END,
+         CASE WHEN f.chars + length(p.para) + 2 > 1500 THEN length(p.para) ELSE f.chars + length(p.para) + 2 END
+  FROM filled_blocks f JOIN paragraphs p ON p.doc_id = f.doc_id AND p.i = f.i + 1)""")
 def character_chunks(docs):
-    return docs.select("doc_id", F.posexplode(chunking.pack_by_characters(F.col("text"))).alias("part_no", "text"))
+    parts = docs.select("doc_id", F.posexplode(chunking.pack_by_characters(F.col("text"))).alias("part_no", "text"))
+    inner = F.filter(F.split("text", "\n\n"), lambda p: F.btrim(p, F.lit("\n \t\r")) != "")
+    return parts.select("doc_id", "part_no", F.md5("text").alias("text_md5"), F.size(inner).cast("bigint").alias("paragraphs"))
 
 
 @query("document_catalogue", "md_docs", """
@@ -254,7 +294,7 @@ def document_keys(pages):
 
 @query("json_extract", "model_outputs", r"""
 SELECT response_id, CASE WHEN ok THEN block ->> 'status' ELSE 'unknown' END AS status, CASE WHEN ok THEN CAST(block ->> 'score' AS INT) ELSE 0 END AS score, ok AS parsed
-FROM (SELECT response_id, block, response_id % 6 IN (0, 1, 2) AS ok FROM
+FROM (SELECT response_id, block, CASE WHEN json_valid(block) THEN coalesce(json_type(block) = 'OBJECT' AND json_exists(block, '$.status') AND TRY_CAST(block ->> 'score' AS INT) IS NOT NULL, false) ELSE false END AS ok FROM
   (SELECT response_id, CASE WHEN regexp_matches(response, '```') THEN regexp_extract(response, '```(?:json)?\s*(\{[^`]*\})\s*```', 1) ELSE trim(response) END AS block FROM model_outputs))""")
 def json_extract(outputs):
     parsed = X.parsed_or_default(F.col("response"), "status string, score int", {"status": "unknown", "score": 0})

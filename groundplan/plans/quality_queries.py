@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from groundplan import fixed_values as V
 from groundplan.functions import rules as R
 from groundplan.functions import citations as C
 from groundplan.operators import chunking, citations, validation, versions
@@ -15,18 +16,32 @@ query = REGISTRY.add
 
 # --- citations ----------------------------------------------------------
 
-CITATIONS_SQL = r"""
-cited AS (
-  SELECT answer_id, 0 AS citation_no, 'full' AS form, concat('Manual ', source) AS document, regexp_extract(answer, 'Clause: ([0-9.]+),', 1) AS clause_id, regexp_extract(answer, 'Page: (\d+)', 1) AS page,
-         regexp_extract(answer, '\[.*\]') AS raw FROM answers WHERE answer_id % 6 = 0
-  UNION ALL SELECT answer_id, 0, 'short', concat('Manual ', source), regexp_extract(answer, 'Clause: ([0-9.]+)\]', 1), '', regexp_extract(answer, '\[.*\]') FROM answers WHERE answer_id % 6 = 1
-  UNION ALL SELECT answer_id, 0, 'parenthetical', concat('Manual ', source), regexp_extract(answer, 'Clause ([0-9.]+)\)', 1), '', regexp_extract(answer, '\(.*\)') FROM answers WHERE answer_id % 6 = 2
-  UNION ALL SELECT answer_id, 0, 'according_to', concat('Manual ', source), regexp_extract(answer, 'Clause ([0-9.]+) of', 1), '', regexp_extract(answer, '^[^,]*') FROM answers WHERE answer_id % 6 = 3
-  UNION ALL SELECT answer_id, 0, 'full', 'Other Book', '99.9', '999', '[Source: Other Book, Section/Clause: 99.9, Page: 999]' FROM answers WHERE answer_id % 6 = 4
-  UNION ALL SELECT answer_id, 1, 'standalone', 'Unknown', '98.7.6', '', 'Clause 98.7.6' FROM answers WHERE answer_id % 6 = 4)"""
+_FORMS = {name: pattern.replace("'", "''") for name, pattern in V.CITATION_FORMS.items()}
+# groups of document and clause in each form; a document of 0 is not named
+_GROUPS = {"full": (1, 2), "short": (1, 2), "parenthetical": (1, 2), "according_to": (2, 1), "standalone": (0, 1)}
 
 
-@query("citations", "answers", "SELECT * FROM cited", CITATIONS_SQL)
+def _citations_sql():
+    """Matches of each form in the answers, without those that share characters with one of a form before."""
+    steps, kept = [], []
+    for n, (name, pattern) in enumerate(_FORMS.items()):
+        document, clause = _GROUPS[name]
+        fields = f"""{f"trim(regexp_extract(raw, '{pattern}', {document}))" if document else f"'{V.UNKNOWN_DOCUMENT}'"} AS document, trim(regexp_extract(raw, '{pattern}', {clause})) AS clause_id,
+       {f"regexp_extract(raw, '{pattern}', 3)" if name == 'full' else "''"} AS page"""
+        free = "".join(f" AND NOT EXISTS (SELECT 1 FROM {k} q WHERE q.answer_id = p.answer_id AND p.s < q.e AND p.e > q.s)" for k in kept)
+        steps.append(f"""form_{n} AS (SELECT p.*, {fields} FROM (
+  SELECT answer_id, {n} AS f, '{name}' AS form, raw, strpos(answer, raw) - 1 AS s, strpos(answer, raw) - 1 + length(raw) AS e
+  FROM (SELECT answer_id, answer, unnest(regexp_extract_all(answer, '{pattern}')) AS raw FROM answers)) p WHERE true{free})""")
+        kept.append(f"form_{n}")
+    both = " UNION ALL ".join(f"SELECT * FROM {k}" for k in kept)
+    steps.append(f"""cited AS (SELECT answer_id, CAST(row_number() OVER (PARTITION BY answer_id ORDER BY f, s) - 1 AS INT) AS citation_no, form, document, clause_id, page, raw, s, e FROM ({both}))""")
+    return ",\n".join(steps)
+
+
+CITATIONS_SQL = _citations_sql()
+
+
+@query("citations", "answers", "SELECT * EXCLUDE (s, e) FROM cited", CITATIONS_SQL)
 def citation_list(answers):
     return citations.extract_citations(answers).selectExpr(
         "answer_id", "citation_no", "form", "document", "clause_id", "coalesce(cast(page as string), '') page", "raw"
@@ -75,27 +90,30 @@ def citation_report(answers, docs):
 
 
 @query("citation_offsets", "answers", """
-SELECT answer_id, citation_no, strpos(answer, raw) - 1 AS start_pos, strpos(answer, raw) - 1 + length(raw) AS end_pos FROM cited JOIN answers USING (answer_id)""", CITATIONS_SQL)
+SELECT answer_id, citation_no, s AS start_pos, e AS end_pos FROM cited""", CITATIONS_SQL)
 def citation_offsets(answers):
     rows = answers.select("answer_id", F.posexplode(C.citations_with_offsets(F.col("answer"))).alias("citation_no", "c"))
     return rows.selectExpr("answer_id", "citation_no", "cast(c.start as bigint) start_pos", "cast(c.end as bigint) end_pos")
 
 
-@query("name_matches", "answers documents", r"""
-SELECT answer_id, a.source = d.source OR contains(concat('manual ', d.source), concat('manual ', a.source)) OR contains(concat('manual ', a.source), concat('manual ', d.source)) AS documents_match,
-       contains(lower(d.source), lower(a.source)) OR contains(lower(a.source), lower(d.source)) AS sections_match,
-       concat(answer_id % 9 + 1, '.1') = concat(answer_id % 4 + 1, '.1.2') OR answer_id % 9 = answer_id % 4 AS clauses_match,
-       concat(answer_id % 9 + 1, '.1') AS clause
-FROM answers a JOIN documents d ON d.doc_id = a.answer_id + 1""")
-def name_matches(answers, docs):
-    rows = answers.join(docs.selectExpr("doc_id - 1 answer_id", "source other"), "answer_id")
-    clause = C.normal_clause(F.expr("concat('Clause ', answer_id % 9 + 1, '.1 (a)')"))
-    other = C.normal_clause(F.expr("concat('Section  ', answer_id % 4 + 1, '.1.2')"))
+@query("name_matches", "answers", r"""
+SELECT a.answer_id, a.citation_no, b.answer_id AS other_id, b.citation_no AS other_no,
+       lower(a.document) = lower(b.document) OR contains(lower(a.document), lower(b.document)) OR contains(lower(b.document), lower(a.document)) AS documents_match,
+       contains(lower(b.document), lower(a.document)) OR contains(lower(a.document), lower(b.document)) AS sections_match,
+       a.clause = b.clause OR starts_with(a.clause, b.clause || '.') OR starts_with(b.clause, a.clause || '.') AS clauses_match, a.clause AS clause
+FROM names a JOIN names b ON a.answer_id // 10 = b.answer_id // 10""", CITATIONS_SQL + r""",
+names AS (SELECT *, regexp_extract(clause_id, '^\d+(?:\.\d+)*') AS clause FROM cited)""")
+def name_matches(answers):
+    """Names and clauses of all citations against those of the answers in the same ten."""
+    cited = citations.extract_citations(answers).select("answer_id", "citation_no", "document", "clause_id", F.expr("answer_id div 10").alias("ten"))
+    other = cited.select(F.col("answer_id").alias("other_id"), F.col("citation_no").alias("other_no"), F.col("document").alias("other"), F.col("clause_id").alias("other_clause"), "ten")
+    rows = cited.join(other, "ten")
+    clause = C.normal_clause(F.concat(F.lit("Clause "), "clause_id"))
     return rows.select(
-        "answer_id",
-        C.documents_match(F.concat(F.lit("Manual  "), "source"), F.concat(F.lit(" manual "), "other")).alias("documents_match"),
-        C.sections_match(F.col("source"), F.upper("other")).alias("sections_match"),
-        C.clauses_match(clause, other).alias("clauses_match"),
+        "answer_id", "citation_no", "other_id", "other_no",
+        C.documents_match(F.concat(F.lit(" "), "document"), F.upper("other")).alias("documents_match"),
+        C.sections_match(F.col("document"), F.upper("other")).alias("sections_match"),
+        C.clauses_match(clause, C.normal_clause(F.concat(F.lit("Section  "), "other_clause"))).alias("clauses_match"),
         clause.alias("clause"),
     )
 

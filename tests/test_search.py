@@ -315,3 +315,44 @@ def test_postings_and_keyword_search_shuffle_no_pairs(frame):
 
     exchanges = re.findall(r"hashpartitioning\(([^)]*)\)", plan(search.keyword_topk(asked, held)))
     assert exchanges and not any("query_id" in e and "chunk_id" in e for e in exchanges)
+
+
+def _plain_expansion(primaries, refs):
+    found, seen = [], set()
+    for p in primaries:
+        if p in seen:
+            continue
+        found.append((p, None))
+        seen.add(p)
+        for r in sorted(refs.get(p, ())):
+            if r not in seen:
+                found.append((r, p))
+                seen.add(r)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_expansion_equals_a_plain_loop(frame, seed):
+    rng = np.random.default_rng(seed)
+    edges = sorted({(f"c{a}", f"c{b}") for a, b in rng.integers(0, 40, (90, 2))} | {("c1", "gone")})
+    refs = {}
+    for a, b in edges:
+        if b != "gone":
+            refs.setdefault(a, []).append(b)
+    primaries = {q: [f"c{i}" for i in rng.integers(0, 40, 30)] for q in range(5)}
+    df = frame([(q, n + 1, c) for q, own in primaries.items() for n, c in enumerate(own)], "query_id int, rank int, chunk_id string")
+    chunks = frame([(f"c{i}",) for i in range(40)], "chunk_id string")
+    got = graph.expand(df, frame(edges, "src string, dst string"), chunks).orderBy("query_id", "position").collect()
+    for q, own in primaries.items():
+        mine = [(r.position, r.chunk_id, r.referenced_from) for r in got if r.query_id == q]
+        assert mine == [(i, *x) for i, x in enumerate(_plain_expansion(own, refs))]
+
+
+def test_expansion_of_a_hundred_thousand_primaries(spark):
+    count = 100_000
+    primaries = spark.range(count).selectExpr("1 AS query_id", "cast(id + 1 as int) AS rank", "cast(id * 7 % 100003 as string) AS chunk_id")
+    edges = spark.range(150_000).selectExpr("cast(id as string) AS src", "cast(id * 31 % 150000 as string) AS dst").filter("src != dst")
+    chunks = spark.range(150_000).selectExpr("cast(id as string) AS chunk_id")
+    got = graph.expand(primaries, edges, chunks).orderBy("position").collect()
+    refs = {str(i): [str(i * 31 % 150_000)] for i in range(150_000) if i * 31 % 150_000 != i}
+    assert [(r.chunk_id, r.referenced_from) for r in got] == _plain_expansion([str(i * 7 % 100_003) for i in range(count)], refs)

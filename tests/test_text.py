@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from groundplan import fixed_values as V
 from groundplan.functions import citations as C
 from groundplan.functions import rules as R
 from groundplan.functions import text as X
-from groundplan.operators import chunking, citations, search, validation, versions
+from groundplan.operators import blocks, chunking, citations, search, validation, versions
 
 
 def one(spark, value, build, schema="t string"):
@@ -183,6 +184,52 @@ def test_item_chunks_equal_a_plain_loop(spark, monkeypatch):
         assert mine == _item_blocks(items, 120)
 
 
+def test_captions_and_formulas(frame):
+    rows = [
+        (1, 1, "FORMULA", 0, "a = b", 1, None), (1, 2, "SECTION_HEADER", 1, "1.1 Loads", 1, None), (1, 3, "PARAGRAPH", 0, "x", 1, None), (1, 4, "FORMULA", 0, "q = w L", 2, None),
+        (1, 5, "TABLE", 0, "|1|", 2, "Table 1 "), (1, 6, "TABLE", 0, "|2|", 3, " "), (1, 7, "PARAGRAPH", 0, "y", None, None), (1, 8, "SECTION_HEADER", 1, "1.2 More", 4, None),
+    ]
+    df = frame(rows, "document_id int, pos int, item_type string, level int, text string, page_no int, caption string")
+    got = chunking.item_chunks(df).orderBy("run", "block").collect()
+    assert [(r.text, r.page_no, r.table_caption, r.formula_latex) for r in got] == [
+        ("a = b", 1, None, "a = b"), ("# 1.1 Loads\nx\nq = w L", 2, None, "q = w L"), ("|1|", 2, "Table 1", "q = w L"), ("|2|", 3, "Untitled Table", "q = w L"),
+        ("y", 2, None, "q = w L"), ("# 1.2 More", 4, None, None),
+    ]
+
+
+def test_greedy_blocks_equal_a_plain_loop(frame, monkeypatch):
+    monkeypatch.setattr(blocks, "_ITEMS_PER_PART", 5)
+    monkeypatch.setattr(blocks, "_LIMITS_PER_PART", 2)
+    rng = random.Random(6)
+    rows, want = [], {}
+    for key in range(25):
+        number, total = 0, 0
+        opens = rng.random() < 0.5
+        for at in range(rng.randrange(1, 90)):
+            size = rng.choice([0, 1, 3, 8, 40]) + 1
+            rows.append((key, 3 * at, size, opens and at == 0))
+            want[key, 3 * at] = number
+            total += size
+            if total >= 30 and not (opens and at == 0):
+                number, total = number + 1, 0
+    df = frame(rows, "key int, at int, size int, opens boolean")
+    got = blocks.greedy_blocks(df, ["key"], "at", F.col("size"), 30, F.col("opens")).collect()
+    assert {(r.key, r.at): r.block for r in got} == want and got[0].__fields__ == ["key", "at", "size", "opens", "block"]
+
+
+def test_a_million_items_without_a_head(spark):
+    items = spark.range(1_000_000, numPartitions=8).selectExpr(
+        "1 AS document_id", "id AS pos", "'PARAGRAPH' AS item_type", "0 AS level", "repeat('x', cast(id * 7 % 11 + 1 AS int)) AS text", "1 AS page_no"
+    )
+    got = chunking.item_chunks(items).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum("char_count").alias("chars")).first()
+    made, chars, size = 0, 0, 0
+    for i in range(1_000_000):
+        size += i * 7 % 11 + 2
+        if size > 1500:
+            made, chars, size = made + 1, chars + size - 1, 0
+    assert (got.n, got.chars) == (made + (size > 0), chars + max(0, size - 1))
+
+
 # --- citations ----------------------------------------------------------
 
 
@@ -202,10 +249,33 @@ def test_citation_forms(spark):
     assert cited(spark, "[Source: , Clause] [Source: A Clause 1]") == []
 
 
+def _plain_citations(text):
+    """Places of citations: characters are marked as taken, form by form."""
+    taken, found = [False] * len(text), []
+    for form, pattern in V.CITATION_FORMS.items():
+        spans = [m.span() for m in re.finditer(pattern, text) if not any(taken[slice(*m.span())])]
+        for first, past in spans:
+            taken[first:past] = [True] * (past - first)
+        found += [(form, text[first:past], first, past) for first, past in spans]
+    return found
+
+
 def test_overlapping_forms_count_once(spark):
     text = "[Source: A, Section/Clause: Clause 6.1.5, Page: 4] then See Clause 6.1 of B [Source: C, Clause: 2.2] and Clause 3.3"
-    loop = [(c["document"], c["clause_id"], c["page"]) for c in next(C.extract_with_offsets(iter([__import__("pandas").Series([text])])))[0]]
-    assert cited(spark, text) == loop
+    rows = spark.createDataFrame([(text,)], "t string").select(C.extract(F.col("t")).alias("c")).first().c
+    assert [(c.form, c.raw) for c in rows] == [p[:2] for p in _plain_citations(text)] and len(rows) == 4
+
+
+def test_citation_places_equal_a_plain_loop(spark):
+    rng = random.Random(9)
+    bits = [
+        "[Source: A b, Clause: 2.1]", "[Source: C, Section/Clause: 3, Page: 12]", "(D, Clause 4.5)", "See Clause 1.2 of E", "According to Section 3.4", "Clause 5.6.7",
+        "clause 8", ", ", ". ", "\U0001f600", "規範，", "\n", "(", ")", "[Source: ", "Clause 1.2, ", "]",
+    ]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 14))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", C.citations_with_offsets(F.col("t")).alias("c")).collect()
+    for r in rows:
+        assert [(c.form, c.raw, c.start, c.end) for c in r.c] == _plain_citations(texts[r.i])
 
 
 def _context(frame, rows):
