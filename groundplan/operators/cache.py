@@ -70,7 +70,11 @@ def compute_missing(
         for batch in batches:
             yield pd.DataFrame({"key": batch["key"], "value": compute(batch["text"])})
 
-    made = misses(requests, cache, as_of=as_of).mapInPandas(run, f"key string, value {value_type}")
+    return entries(misses(requests, cache, as_of=as_of).mapInPandas(run, f"key string, value {value_type}"), as_of=as_of, ttl_seconds=ttl_seconds)
+
+
+def entries(made: DataFrame, *, as_of, ttl_seconds: int = V.CACHE_TTL_SECONDS["embedding"]) -> DataFrame:
+    """New values (key, value) as cache entries that live ``ttl_seconds``."""
     now = _moment(as_of)
     return made.select(
         "key", "value", now.alias("created_at"), (now + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"),

@@ -140,6 +140,14 @@ def budget_by_wbs(tasks: DataFrame, *, keys: list[str] = PROJECT) -> DataFrame:
     return tasks.groupBy(*keys, "wbs").agg(_total("budget_cost").alias("budget_cost"), _total("actual_cost").alias("actual_cost"))
 
 
+def budget_rollup(tasks: DataFrame, *, keys: list[str] = PROJECT) -> DataFrame:
+    """Budgets of every work package, project and all projects in one pass; ``level`` counts the columns summed over."""
+    sums = tasks.rollup(*keys, "wbs").agg(
+        F.grouping_id().alias("_over"), _total("budget_cost").alias("budget_cost"), _total("actual_cost").alias("actual_cost"), F.count(F.lit(1)).alias("tasks")
+    )
+    return sums.select(*keys, "wbs", F.bit_count("_over").cast("int").alias("level"), "budget_cost", "actual_cost", "tasks")
+
+
 def crew_allocation(tasks: DataFrame, *, keys: list[str] = PROJECT) -> DataFrame:
     rows = tasks.filter(F.col("resource_crew").isNotNull())
     return rows.groupBy(*keys, "resource_crew").agg(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from groundplan import fixed_values as V
 from groundplan.operators import cache
 from groundplan.operators.parts import best_of_parts, meet, part_count, part_of
+from groundplan.session import stored
 
 # query vectors scored at a time, and bytes of chunk vectors held by a task
 BLOCK_QUERIES = 8_192
@@ -206,34 +206,73 @@ def normalised(vector: Column) -> Column:
 # --- embedding job ------------------------------------------------------
 
 
-def token_count_encoder(size: int = 64) -> Callable[[pd.Series], pd.Series]:
-    """A stand-in encoder: hashed counts of words, at unit length."""
-    import zlib
+def _spaces() -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[[*b" \t\n\x0b\x0c\r"]] = True
+    return table
 
-    def encode(texts: pd.Series) -> pd.Series:
-        rows = np.zeros((len(texts), size))
-        for i, text in enumerate(texts):
-            for word in (text or "").lower().split():
-                rows[i, zlib.crc32(word.encode()) % size] += 1.0
-        return pd.Series(list(_unit(rows)))
+
+_SPACE = _spaces()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def word_hash_encoder(size: int = 64) -> Callable[[pa.Array], np.ndarray]:
+    """A feature-hash encoder: counts of words by hash, at unit length, one row per text.
+
+    Words are runs of bytes other than ASCII white space, lower-cased from A to Z.
+    The hash adds up the bytes of a word, weighted by 31 times their place plus 7.
+    All texts of a batch are read from their Arrow buffers at once.
+    """
+
+    def encode(texts: pa.Array) -> np.ndarray:
+        array = texts.fill_null("").cast(pa.large_string())
+        out = np.zeros((len(array), size))
+        _, offsets, data = array.buffers()
+        if data is None or not len(array):
+            return out
+        places = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
+        letters = _LOWER[np.frombuffer(data, np.uint8)[places[0] : places[-1]]]
+        places = places - places[0]
+        if not len(letters):
+            return out
+        word = ~_SPACE[letters]
+        edge = np.ones(len(letters) + 1, bool)
+        edge[1:-1] = word[1:] != word[:-1]
+        edge[places] = True
+        starts, ends = np.flatnonzero(edge[:-1] & word), np.flatnonzero(edge[1:] & word) + 1
+        plain = np.concatenate([[0], np.cumsum(letters, dtype=np.int64)])
+        weighed = np.concatenate([[0], np.cumsum(letters * np.arange(len(letters), dtype=np.int64))])
+        total = plain[ends] - plain[starts]
+        hashes = 31 * (weighed[ends] - weighed[starts] - starts * total) + 7 * total
+        rows = np.searchsorted(places, starts, side="right") - 1
+        np.add.at(out, (rows, hashes % size), 1.0)
+        return _unit(out)
 
     return encode
 
 
-def embed_texts(texts: DataFrame, stored: DataFrame, encode: Callable[[pd.Series], pd.Series], *, as_of, batch_size: int = 32) -> tuple[DataFrame, DataFrame]:
+def embed_texts(texts: DataFrame, cached: DataFrame, encode: Callable[[pa.Array], np.ndarray], *, as_of, batch_size: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Vectors for texts (id, text): the answer, and the new cache entries.
 
-    Texts are reduced to distinct keys, those with a live entry are taken from
-    the cache, and only the others reach the encoder, in small batches.
+    Texts are reduced to distinct keys, those with a live entry are taken from the
+    cache, and only the others reach the encoder, ``batch_size`` texts at a time.
+    New entries are stored before they are joined, so each is computed once
+    however often both results are read.
     """
 
-    def batched(column: pd.Series) -> pd.Series:
-        parts = [encode(column.iloc[i : i + batch_size]) for i in range(0, len(column), batch_size)]
-        return pd.concat(parts).set_axis(column.index) if parts else pd.Series([], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_size):
+                part = batch.slice(at, batch_size)
+                rows = np.ascontiguousarray(encode(part.column(1)), dtype=np.float64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["key", "value"])
 
     asked = texts.withColumn("key", cache.embedding_key(F.col("text")))
-    added = cache.compute_missing(asked, stored, batched, as_of=as_of, value_type="array<double>")
-    return cache.with_values(asked, stored, added, as_of=as_of).withColumnRenamed("value", "embedding"), added
+    missing = cache.misses(asked, cached, as_of=as_of).select("key", "text")
+    added = stored(cache.entries(missing.mapInArrow(run, "key string, value array<double>"), as_of=as_of))
+    return cache.with_values(asked, cached, added, as_of=as_of).withColumnRenamed("value", "embedding"), added
 
 
 def query_text(text: Column) -> Column:

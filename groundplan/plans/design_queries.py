@@ -295,6 +295,29 @@ def skill_lookup(projects):
     return rows.join(F.broadcast(skills), "skill_id").selectExpr("project_no", "skill_id", "cast(inputs_required as bigint) inputs_required")
 
 
+@query("skill_store", "design_projects", """
+SELECT project_no, w.skill_id, name, category, codes, acceptance, inputs_required FROM wanted w JOIN catalogue USING (skill_id)""", SKILL_SQL + """,
+catalogue AS (SELECT * FROM (VALUES """ + ", ".join(
+    "(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in (s["skill_id"], s["name"], s["category"], ";".join(s["codes"]), ";".join(s["acceptance"]))) + f", {sum(n[2] for n in s['inputs'])})" for s in V.SKILLS
+) + ") t(skill_id, name, category, codes, acceptance, inputs_required))")
+def skill_store(projects):
+    """The calculations that projects ask for, looked up in the stored catalogue."""
+    from uuid import uuid4
+
+    from groundplan.session import ensure_checkpoint_dir
+
+    spark = projects.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sources/{uuid4().hex}"
+    design.write_skills(design.skill_table(spark), folder)
+    stored = design.read_skills(spark, folder)
+    rows = projects.withColumn("skill_id", F.explode(design.project_skills(F.col("project_type"))))
+    details = design.list_skills(stored).join(stored.select("skill_id", "acceptance"), "skill_id")
+    joined = rows.select("project_no", "skill_id").join(F.broadcast(details), "skill_id")
+    return joined.selectExpr(
+        "project_no", "skill_id", "name", "category", "array_join(codes, ';') codes", "array_join(acceptance, ';') acceptance", "inputs_required"
+    )
+
+
 @query("skill_execution", "design_cases", """
 SELECT c.case_id, round(cohesion_kpa * nc * sc * dc + g * depth_m * nq * sq * dq + 0.5 * g * width_m * ng * sg, 4) AS q_ult_kpa, case_id % 4 <> 1 OR length_m > 2 AS success,
        CASE WHEN case_id % 4 <> 1 OR length_m > 2 THEN '' ELSE 'Missing required inputs: [''foundation_length'']' END AS error

@@ -252,15 +252,17 @@ def chunk_lookup(docs):
 
 
 @query("chunk_dump", "md_docs", r"""
-SELECT doc_id AS document_id, md5(concat('Document: ', min(document_name), chr(10), 'Total Chunks: ', count(*), chr(10), repeat('=', 80), chr(10), chr(10),
-       string_agg(concat(repeat('─', 80), chr(10), 'CHUNK ', n, chr(10), repeat('─', 80), chr(10),
+SELECT doc_id AS document_id, 0 AS piece, md5(concat('Document: ', min(document_name), chr(10), 'Total Chunks: ', count(*), chr(10), repeat('=', 80), chr(10), chr(10))) AS block_md5 FROM chunks GROUP BY 1
+UNION ALL
+SELECT doc_id, n, md5(concat(repeat('─', 80), chr(10), 'CHUNK ', n, chr(10), repeat('─', 80), chr(10),
                          'Index: ', CASE WHEN content_type = 'section_overview' THEN 'section' ELSE 'rule' END, ' | Page: ', coalesce(page, 'N/A'), ' | Clause: ', clause_id, ' | Type: ', content_type, chr(10),
-                         'Title: ', title, chr(10), repeat('─', 80), chr(10), chr(10), trim(text, chr(10) || ' '), chr(10), chr(10)), '' ORDER BY n))) AS text_md5
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, part_no) n FROM chunks) GROUP BY doc_id""", CHUNKS_SQL)
+                         'Title: ', title, chr(10), repeat('─', 80), chr(10), chr(10), trim(text, chr(10) || ' '), chr(10), chr(10)))
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, part_no) n FROM chunks)""", CHUNKS_SQL)
 def chunk_dump(docs):
-    from groundplan.sources.chunk_store import dump_texts
+    from groundplan.sources.chunk_store import dump_blocks
 
-    return dump_texts(manual_chunks(docs), order=["section_no", "part_no"]).selectExpr("document_id", "md5(text) text_md5")
+    blocks = dump_blocks(manual_chunks(docs), order=["section_no", "part_no"], bucket=F.floor(F.col("section_no") / 256))
+    return blocks.selectExpr("document_id", "piece", "md5(block) block_md5")
 
 
 @query("citation_strings", "md_docs", """

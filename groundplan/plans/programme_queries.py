@@ -105,6 +105,13 @@ def budget_by_wbs(tasks):
     )
 
 
+@query("budget_rollup", "tasks", """
+SELECT project_id, wbs, CAST(GROUPING(project_id) + GROUPING(wbs) AS INT) AS level, round(sum(budget_cost), 2) budget_cost, round(sum(actual_cost), 2) actual_cost, count(*) AS tasks
+FROM tasks GROUP BY ROLLUP (project_id, wbs)""")
+def budget_rollup(tasks):
+    return programme.budget_rollup(tasks).selectExpr("project_id", "wbs", "level", "round(budget_cost, 2) budget_cost", "round(actual_cost, 2) actual_cost", "tasks")
+
+
 @query("crew_allocation", "tasks", """
 SELECT project_id, resource_crew, round(sum(budget_cost), 2) total_budget, round(avg(percent_complete), 6) avg_progress, count(*) task_count
 FROM tasks GROUP BY project_id, resource_crew""")

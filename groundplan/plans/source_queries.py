@@ -11,7 +11,7 @@ from groundplan.operators import usage
 from groundplan.plans.document_queries import CHUNKS_SQL, manual_chunks
 from groundplan.plans.registry import Registry
 from groundplan.session import ensure_checkpoint_dir
-from groundplan.sources import chunk_store, lab_files, schedule_export
+from groundplan.sources import chunk_store, lab_files, schedule_export, sessions
 
 REGISTRY = Registry()
 query = REGISTRY.add
@@ -113,3 +113,64 @@ def feedback_append(metrics):
     for _ in range(2):
         usage.append_feedback(given, folder)
     return metrics.sparkSession.read.parquet(folder).groupBy("query", "rating").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("ingest_observed", "documents", r"""
+WITH made AS (SELECT source, doc_id, length(text) < 100 AS failed,
+                     CASE WHEN length(text) < 100 THEN 0 ELSE len(list_filter(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13)) <> '')) END AS chunks FROM documents)
+SELECT source AS job_id, count(*) AS total_files, count(*) FILTER (failed) AS failed_files, CAST(sum(chunks) AS BIGINT) AS chunks_created,
+       CASE WHEN count(*) FILTER (failed) = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status,
+       coalesce(array_to_string((list(concat('doc', doc_id, ': text too short') ORDER BY concat('doc', doc_id)) FILTER (failed))[1:10], ';'), '') AS errors,
+       (SELECT count(*) FROM made) AS seen_files, (SELECT count(*) FILTER (failed) FROM made) AS seen_failed, (SELECT CAST(sum(chunks) AS BIGINT) FROM made) AS seen_chunks, true AS timed
+FROM made GROUP BY 1""")
+def ingest_observed(docs):
+    """Every document as a file of the job of its source; short ones fail, totals are observed while writing."""
+
+    def process(path: str, text: str) -> int:
+        if len(text) < 100:
+            raise ValueError("text too short")
+        return sum(1 for line in text.split("\n") if line.strip(" \t\r"))
+
+    folder = _folder(docs)
+    files = docs.select(F.col("source").alias("job_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), "text")
+    seen = sessions.write_results(sessions.process_files(files, process), folder)
+    jobs = sessions.job_status(docs.sparkSession.read.parquet(folder))
+    return jobs.select(
+        "job_id", "total_files", "failed_files", F.col("chunks_created").cast("long").alias("chunks_created"), "status", F.array_join("errors", ";").alias("errors"),
+        *[F.lit(seen[name]).cast("long").alias(f"seen_{name}") for name in ("files", "failed", "chunks")], (F.col("processing_time_ms") > 0).alias("timed"),
+    )
+
+
+
+
+@query("directory_ingest", "lab_rows borehole_rows", r"""
+SELECT concat('lab', part) AS name, CASE WHEN part % 5 = 2 THEN 'error' ELSE 'lab' END AS kind, CASE WHEN part % 5 = 2 THEN 0 ELSE samples END AS records, CASE WHEN part % 5 = 2 THEN 0 ELSE vals END AS vals,
+       CASE WHEN part % 5 = 2 THEN 'Value is not a number: not tested' ELSE '' END AS error FROM lab
+UNION ALL
+SELECT concat('hole', part), CASE WHEN part % 5 = 3 THEN 'error' ELSE 'hole' END, CASE WHEN part % 5 = 3 THEN 0 ELSE 1 END, CASE WHEN part % 5 = 3 THEN 0 ELSE layers END,
+       CASE WHEN part % 5 = 3 THEN 'Depth_From is not a number: deep' ELSE '' END FROM holes
+UNION ALL SELECT 'notes', 'error', 0, 0, 'Unsupported file format: .txt'""", r"""
+lab AS (SELECT sample_id % 16 AS part, count(DISTINCT sample_id) AS samples, count(DISTINCT (sample_id, parameter_name)) AS vals FROM lab_rows GROUP BY 1),
+holes AS (SELECT CAST(file AS BIGINT) % 97 AS part, count(*) FILTER (type = 'layer') AS layers FROM borehole_rows GROUP BY 1)""")
+def directory_ingest(lab, holes):
+    """A directory of lab and borehole files, some of them broken, read in one go; one row per file."""
+    spark, folder = lab.sparkSession, _folder(lab)
+    samples = lab.selectExpr("concat('lab', sample_id % 16) name", "sample_id % 16 part", "cast(sample_id as string) Sample_ID", "cast(depth_m as string) Depth_m", "test_type Test_Type",
+                             "parameter_name Parameter_Name", "cast(value as string) Value")
+    broken = samples.filter("part % 5 = 2").groupBy("name", "part").agg(F.max("Sample_ID").alias("Sample_ID")).selectExpr(
+        "name", "part", "Sample_ID", "'1.0' Depth_m", "'A' Test_Type", "'cohesion_kpa' Parameter_Name", "'not tested' Value")
+    logs = holes.selectExpr("concat('hole', cast(file as bigint) % 97) name", "cast(file as bigint) % 97 part", "type Type", "cast(depth_from as string) Depth_From", "cast(depth_to as string) Depth_To",
+                            "description Description", "cast(spt_n as string) SPT_N", "key Key", "value Value")
+    deep = logs.filter("part % 5 = 3").select("name", "part").distinct().selectExpr(
+        "name", "part", "'layer' Type", "'deep' Depth_From", "'9' Depth_To", "'clay' Description", "cast(null as string) SPT_N", "cast(null as string) Key", "cast(null as string) Value")
+    for rows in (samples.unionByName(broken), logs.unionByName(deep)):
+        rows.drop("part").repartition("name").sortWithinPartitions("name").write.mode("append").option("header", True).partitionBy("name").csv(folder)
+    lab.limit(1).selectExpr("'notes' name", "'no data' value").write.mode("append").partitionBy("name").text(folder)
+    results, read, errors = lab_files.read_directory(spark, folder)
+    name = F.regexp_extract("file", r"name=([^/]+)/", 1).alias("name")
+    of_lab = results.select(name, "sample_id", F.size("parameters").alias("n")).groupBy("name").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("vals"))
+    of_hole = read.select(name, F.size("layers").alias("n")).groupBy("name").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("vals"))
+    shown = lambda df, kind: df.selectExpr("name", f"'{kind}' kind", "records", "cast(vals as bigint) vals", "'' error")
+    # files that Spark itself adds next to its output are no data
+    failed = errors.filter(F.col("file").contains("name=")).select(name, "error").selectExpr("name", "'error' kind", "0L records", "0L vals", "error")
+    return shown(of_lab, "lab").unionByName(shown(of_hole, "hole")).unionByName(failed)

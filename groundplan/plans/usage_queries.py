@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from groundplan.operators import cache, usage
@@ -69,22 +71,26 @@ def event_upsert(writes):
     return usage.latest_events(writes, order=["ts", "write_no"]).drop("ts")
 
 
-@query("event_metadata", "usage_events", """
-SELECT event_id, 'document_ingest' AS event_type, concat('Manual ', user_id) AS document_name, CAST(duration_ms AS VARCHAR) AS chunks_created, true AS success
-FROM usage_events WHERE event_type = 'document_ingest'
-UNION ALL
-SELECT event_id, 'answer', NULL, NULL, success AND duration_ms > 100 FROM usage_events WHERE event_type = 'answer'""")
+# the fields that each type of event brings, derived from the number of its user and its duration
+_FIELDS = {
+    "query": {"query": "concat('question ', user_id)"},
+    "answer": {"query": "concat('question ', user_id)", "has_sources": "success AND duration_ms > 100"},
+    "document_ingest": {"document_name": "concat('Manual ', user_id)", "chunks_created": "duration_ms"},
+    "report_generate": {"project_name": "concat('Tower ', user_id)", "sections": "duration_ms % 12"},
+    "validation": {"document_name": "concat('Report ', user_id)", "pass_count": "duration_ms % 20", "fail_count": "duration_ms % 7"},
+}
+_FIELD_NAMES = sorted({f for own in _FIELDS.values() for f in own})
+
+
+@query("event_metadata", "usage_events", "\nUNION ALL ".join(
+    f"SELECT event_id, event_type, {', '.join(f'CAST({own[f]} AS VARCHAR) AS {f}' if f in own else f'CAST(NULL AS VARCHAR) AS {f}' for f in _FIELD_NAMES)}, "
+    f"{own.get('has_sources', 'true')} AS success FROM usage_events WHERE event_type = '{kind}'" for kind, own in _FIELDS.items()))
 def event_metadata(events):
-    ingest = events.filter("event_type = 'document_ingest'").withColumns(
-        {"document_name": F.concat(F.lit("Manual "), "user_id"), "chunks_created": F.col("duration_ms")}
-    )
-    answers = events.filter("event_type = 'answer'").withColumns(
-        {"query": F.concat(F.lit("question "), "user_id"), "has_sources": F.expr("success and duration_ms > 100")}
-    )
-    typed = usage.typed_events(ingest, "document_ingest").unionByName(usage.typed_events(answers, "answer"))
-    return typed.selectExpr(
-        "event_id", "event_type", "metadata['document_name'] document_name", "metadata['chunks_created'] chunks_created", "success"
-    )
+    parts = [
+        usage.typed_events(events.filter(F.col("event_type") == kind).withColumns({f: F.expr(e) for f, e in own.items()}), kind) for kind, own in _FIELDS.items()
+    ]
+    typed = reduce(lambda a, b: a.unionByName(b), parts)
+    return typed.select("event_id", "event_type", *[F.col("metadata")[f].alias(f) for f in _FIELD_NAMES], "success")
 
 
 @query("retrieval_log", "event_writes", """
@@ -205,12 +211,94 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS "day", event_type, count(*) AS event
 FROM events GROUP BY 1, 2""")
 
 
-@query("embedding_job", "documents")
-def embedding_job(docs):
-    from groundplan.operators.vectors import embed_texts, token_count_encoder
+def _restarted(spark, folder):
+    """Two runs of one checkpoint: the events of the first half of time, then all events again.
+
+    What the second run sees anew is either known, too late, or of the second half.
+    """
+    from groundplan.sources.tables import view
+    from groundplan.streaming import events
+
+    table, state = _folders(spark)
+    source = f"{table}/source"
+    rows = view(spark, folder, "events").selectExpr("cast(event_id as string) event_id", "event_type", "ts")
+    bounds = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    half = bounds.a + (bounds.b - bounds.a) / 2
+    schema = rows.schema
+    late = 0
+    for part in (rows.filter(F.col("ts") < F.lit(half)), rows):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        run = events.write_distinct_events(stream, f"{table}/kept", state, available_now=True)
+        run.awaitTermination()
+        late += events.late_rows(run)
+    events.compact_events(spark, f"{table}/kept", f"{table}/compact", 8)
+    days = spark.read.parquet(f"{table}/compact").groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("events"))
+    return days.withColumn("late", F.lit(late).cast("long"))
+
+
+REGISTRY.add_plan("event_stream_restart", _restarted, "events", """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS "day", event_type, count(*) AS events,
+       (SELECT count(*) FROM events WHERE ts <= (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events))) AS late
+FROM events GROUP BY 1, 2""")
+
+
+def _rolling(spark, folder):
+    """Usage of the last seven days from the table that the stream keeps, next to exact counts."""
+    from groundplan.streaming import events
 
-    empty = docs.sparkSession.createDataFrame(
-        [], "key string, value array<double>, created_at timestamp, expires_at timestamp, access_count bigint, last_accessed timestamp"
+    table, state = _folders(spark)
+    rows = _stream(spark, folder)
+    rows = rows.withColumn("session_id", F.concat_ws("-", "user_id", F.to_date("ts").cast("string")))
+    events.write_daily_usage(rows, table, state, available_now=True, sketches=True).awaitTermination()
+    events.fold_daily_usage(spark, table)
+    shown = usage.rolling_usage(events.current_daily_usage(spark, table))
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
+    exact = usage.rolling_distinct(spark.read.schema(schema).parquet(f"{folder}/events.parquet").selectExpr(
+        "event_type", "cast(ts as timestamp) ts", "cast(user_id as string) user_id", "concat_ws('-', cast(user_id as string), cast(cast(ts as date) as string)) session_id"))
+    exact = exact.select(F.col("day").alias("_d"), F.col("event_type").alias("_t"), F.col("users").alias("exact_users"), F.col("sessions").alias("exact_sessions"))
+    both = shown.join(exact, (F.col("day") == F.col("_d")) & F.col("event_type").eqNullSafe(F.col("_t")))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.05 * F.col(b)
+    return both.select(
+        F.col("day").cast("string").alias("day"), F.coalesce("event_type", F.lit("all")).alias("event_type"), "events", F.round("avg_duration_ms", 6).alias("avg_duration_ms"),
+        F.round("success_rate", 6).alias("success_rate"), F.col("exact_users").alias("users"), F.col("exact_sessions").alias("sessions"),
+        near("users", "exact_users").alias("users_near"), near("sessions", "exact_sessions").alias("sessions_near"),
+    )
+
+
+REGISTRY.add_plan("rolling_usage", _rolling, "events", """
+WITH known AS (SELECT DISTINCT CAST(ts AS DATE) AS "day" FROM events),
+seen AS (SELECT CAST(ts AS DATE) AS d, event_type, user_id, CAST(floor(value * 10) AS BIGINT) AS ms FROM events)
+SELECT CAST(k."day" AS VARCHAR) AS "day", coalesce(event_type, 'all') AS event_type, count(*) AS events, round(avg(ms), 6) AS avg_duration_ms,
+       round(count(*) FILTER (event_type <> 'error') * 100.0 / count(*), 6) AS success_rate, count(DISTINCT user_id) AS users,
+       count(DISTINCT concat(user_id, '-', d)) AS sessions, true AS users_near, true AS sessions_near
+FROM known k JOIN seen s ON s.d BETWEEN k."day" - INTERVAL 6 DAY AND k."day" GROUP BY GROUPING SETS ((k."day", event_type), (k."day"))""")
+
+
+@query("embedding_job", "documents", r"""
+WITH texts AS (SELECT doc_id, text, concat('embedding:', md5(text)) AS key FROM documents),
+words AS (SELECT DISTINCT key, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda w: w <> '')) AS word,
+                 generate_subscripts(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda w: w <> ''), 1) AS at FROM texts),
+spelled AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)),
+hashed AS (SELECT word, list_sum(list_transform(range(0, len(h) // 2), lambda i: CAST(('0x' || substr(h, CAST(2 * i + 1 AS INT), 2)) AS BIGINT) * (31 * i + 7))) % 64 AS slot FROM spelled),
+counts AS (SELECT key, slot, CAST(count(*) AS DOUBLE) AS n FROM words JOIN hashed USING (word) GROUP BY ALL),
+sums AS (SELECT key, sum(n) / sqrt(sum(n * n)) AS total, sum(n * (slot + 1)) / sqrt(sum(n * n)) AS weighed FROM counts GROUP BY 1),
+half AS (SELECT DISTINCT key, md5(key) < '8' AS known FROM texts)
+SELECT doc_id, t.key, known AS from_cache, round(CASE WHEN known THEN 64.0::DOUBLE ELSE coalesce(total, 0) END, 6) AS total, round(CASE WHEN known THEN 2080.0::DOUBLE ELSE coalesce(weighed, 0) END, 6) AS weighed,
+       (SELECT count(*) FROM half WHERE NOT known) AS inserted
+FROM texts t JOIN half USING (key) LEFT JOIN sums USING (key)""")
+def embedding_job(docs):
+    """Vectors of all documents; the cache holds a vector of ones for about every second key."""
+    from groundplan.operators.vectors import embed_texts, word_hash_encoder
+
+    now = F.lit(AS_OF_TIME).cast("timestamp")
+    texts = docs.select("doc_id", "text")
+    keys = texts.select(cache.embedding_key(F.col("text")).alias("key")).distinct().filter(F.md5("key") < "8")
+    known = cache.entries(keys.select("key", F.array_repeat(F.lit(1.0), 64).alias("value")), as_of=now)
+    made, added = embed_texts(texts, known, word_hash_encoder(64), as_of=AS_OF_TIME)
+    weighed = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b)
+    return made.select(
+        "doc_id", "key", (F.md5("key") < "8").alias("from_cache"), F.round(total, 6).alias("total"), F.round(weighed, 6).alias("weighed"),
+        F.lit(added.count()).cast("long").alias("inserted"),
     )
-    made, _ = embed_texts(docs.select("doc_id", "text"), empty, token_count_encoder(64), as_of=AS_OF_TIME)
-    return made.select("doc_id", "key", "embedding")

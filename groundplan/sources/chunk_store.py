@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundplan.functions.words import strip
+from groundplan.operators.running import running_totals
 from groundplan.session import stored
 
 FILTER_COLUMNS = ["document_type", "document_id", "clause_id", "content_type", "regulatory_strength"]
@@ -98,32 +99,31 @@ def chunk_block(number: Column) -> Column:
     )
 
 
-def dump_texts(chunks: DataFrame, *, order: list[str]) -> DataFrame:
-    """The readable text of each document: its chunks, in order, behind a head.
+def dump_blocks(chunks: DataFrame, *, order: list[str], bucket: Column | None = None) -> DataFrame:
+    """The readable text of each document in pieces: document_id, document_name, piece, block.
 
-    A document's text was one value before it was chunked, so it fits one again.
+    Piece 0 is the head, the others are the chunks along ``order``; ``bucket``, if
+    given, must not decrease along it and cuts the numbering of long documents.
+    Texts are never gathered, so a document may have any number of chunks.
     """
-    parts = F.array_sort(F.collect_list(F.struct(*order, F.struct(*_BLOCK_COLUMNS).alias("chunk"))))
-    rows = chunks.groupBy("document_id", "document_name").agg(parts.alias("parts"), F.count(F.lit(1)).alias("n"))
-    one = rows.select("document_id", "document_name", "n", F.posexplode("parts").alias("at", "part")).select(
-        "document_id", "document_name", "n", "at", "part.chunk.*"
-    )
-    blocks = one.select("document_id", "document_name", "n", "at", chunk_block(F.col("at") + 1).alias("block"))
-    joined = blocks.groupBy("document_id", "document_name", "n").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "block"))), lambda b: b["block"]), "").alias("body")
-    )
+    keys = ["document_id", "document_name"]
+    numbered = running_totals(chunks, keys, F.lit(0) if bucket is None else bucket, [F.col(c) for c in order], rank="piece")
+    blocks = numbered.select(*keys, F.col("piece").cast("long").alias("piece"), chunk_block(F.col("piece")).alias("block"))
+    counts = chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     head = F.concat(F.lit("Document: "), "document_name", F.lit("\nTotal Chunks: "), F.col("n").cast("string"), F.lit("\n" + "=" * 80 + "\n\n"))
-    return joined.select("document_id", "document_name", F.concat(head, "body").alias("text"))
+    return counts.select(*keys, F.lit(0).cast("long").alias("piece"), head.alias("block")).unionByName(blocks)
 
 
-_BLOCK_COLUMNS = ["clause_title", "section_title", "page_number", "page_no", "target_index", "clause_id", "content_type", "text"]
+def write_dumps(chunks: DataFrame, path: str, *, order: list[str], bucket: Column | None = None) -> None:
+    """Write each document's readable text into a folder named after it.
 
-
-def write_dumps(chunks: DataFrame, path: str, *, order: list[str]) -> None:
-    """Write each document's readable text into a folder named after it."""
+    Pieces are dealt out by range, so the files of a folder, in the order of their
+    names, hold one document from its head on, split where it is long.
+    """
     from groundplan.functions.text import safe_file_name
 
-    texts = dump_texts(chunks, order=order)
-    texts.select(safe_file_name(F.col("document_name")).alias("document"), F.col("text").alias("value")).write.mode("overwrite").partitionBy(
-        "document"
-    ).text(path)
+    blocks = dump_blocks(chunks, order=order, bucket=bucket)
+    # each block ends with an empty line, of which the writer adds the end
+    named = blocks.select(safe_file_name(F.col("document_name")).alias("document"), "document_id", "piece", F.expr("left(block, length(block) - 1)").alias("value"))
+    laid = named.repartitionByRange("document", "document_id", "piece").sortWithinPartitions("document", "document_id", "piece")
+    laid.select("document", "value").write.mode("overwrite").partitionBy("document").text(path)

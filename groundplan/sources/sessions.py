@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from groundplan import schemas
@@ -65,6 +65,21 @@ def process_files(files: DataFrame, process: Callable[[str, str], int]) -> DataF
     return files.select(F.col("job_id").cast("string").alias("job_id"), "path", "text").mapInPandas(run, schema)
 
 
+def write_results(results: DataFrame, path: str) -> dict[str, int | float]:
+    """Write the result rows of ``process_files`` and return what was counted on the way.
+
+    The totals are observed while the rows are written, so every file is
+    processed once: files, failed files, chunks and milliseconds.
+    """
+    seen = Observation("ingest")
+    watched = results.observe(
+        seen, F.count(F.lit(1)).alias("files"), F.count(F.when(~F.col("success"), 1)).alias("failed"),
+        F.coalesce(F.sum("chunks_created"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("processing_time_ms"), F.lit(0.0)).alias("milliseconds"),
+    )
+    watched.write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def job_status(results: DataFrame, *, shown: int = 10) -> DataFrame:
     """Totals, status and first errors of each job.
 
@@ -78,6 +93,7 @@ def job_status(results: DataFrame, *, shown: int = 10) -> DataFrame:
     sums = results.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("total_files"), count(ok).alias("processed_files"), count(~ok).alias("failed_files"),
         F.sum("chunks_created").alias("chunks_created"),
+        *([F.sum("processing_time_ms").alias("processing_time_ms")] if "processing_time_ms" in results.columns else []),
     )
     first = Window.partitionBy("job_id").orderBy("file_path")
     failed = results.filter(~ok).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= shown)

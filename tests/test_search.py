@@ -110,13 +110,13 @@ def test_second_stage_scores(frame):
 def test_embedding_job_computes_each_text_once(spark, frame):
     texts = frame([(1, "a b"), (2, "a b"), (3, "c")], "id int, text string")
     empty = spark.createDataFrame([], "key string, value array<double>, created_at timestamp, expires_at timestamp, access_count bigint, last_accessed timestamp")
-    made, added = vectors.embed_texts(texts, empty, vectors.token_count_encoder(16), as_of="2024-01-01 00:00:00")
+    made, added = vectors.embed_texts(texts, empty, vectors.word_hash_encoder(16), as_of="2024-01-01 00:00:00")
     assert added.count() == 2
     rows = {r.id: r.embedding for r in made.collect()}
     assert rows[1] == rows[2] and sum(x * x for x in rows[1]) == pytest.approx(1.0)
-    again, more = vectors.embed_texts(texts, added, vectors.token_count_encoder(16), as_of="2024-01-02 00:00:00")
+    again, more = vectors.embed_texts(texts, added, vectors.word_hash_encoder(16), as_of="2024-01-02 00:00:00")
     assert more.count() == 0 and {r.id: r.embedding for r in again.collect()} == rows
-    late = vectors.embed_texts(texts, added, vectors.token_count_encoder(16), as_of="2024-02-02 00:00:00")[1]
+    late = vectors.embed_texts(texts, added, vectors.word_hash_encoder(16), as_of="2024-02-02 00:00:00")[1]
     assert late.count() == 2
 
 

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from groundplan.operators import usage
@@ -164,10 +166,57 @@ def test_chunk_store(spark, frame, tmp_path):
 
 def test_chunk_dump(spark, frame, tmp_path):
     chunks = frame([_chunk(1, "a"), _chunk(2, "a")], CHUNK)
-    text = chunk_store.dump_texts(chunks, order=["chunk_id"]).first().text
+    text = "".join(r.block for r in chunk_store.dump_blocks(chunks, order=["chunk_id"]).orderBy("piece").collect())
     assert text.startswith("Document: Doc a\nTotal Chunks: 2\n" + "=" * 80) and "Index: rule | Page: 4 | Clause: 1.1 | Type: design_rule\nTitle: Title" in text
     chunk_store.write_dumps(chunks, str(tmp_path / "dump"), order=["chunk_id"])
-    assert (tmp_path / "dump" / "document=Doc_a").is_dir()
+    files = sorted((tmp_path / "dump" / "document=Doc_a").glob("part-*"))
+    assert "".join(f.read_text() for f in files) == text
+
+
+def test_long_dump_lies_in_pieces(spark, frame, tmp_path):
+    chunks = frame([_chunk(100 + i, "a") for i in range(400)], CHUNK).withColumn("n", F.substring("chunk_id", 2, 9).cast("int"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chunk_store.write_dumps(chunks, str(tmp_path / "dump"), order=["n"], bucket=F.floor(F.col("n") / 7))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted((tmp_path / "dump" / "document=Doc_a").glob("part-*"))
+    text = "".join(f.read_text() for f in files)
+    assert len(files) > 1 and [int(n) for n in re.findall(r"CHUNK (\d+)\n", text)] == list(range(1, 401))
+    assert re.findall(r"text (\d+)\n", text) == [str(100 + i) for i in range(400)]
+
+
+def test_totals_are_observed_while_results_are_written(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(path, text):
+        calls.add(1)
+        if "7" in path:
+            raise ValueError("a seven")
+        return len(text.split())
+
+    files = spark.range(40).selectExpr("'j' job_id", "concat('f', id) path", "repeat('w ', cast(id as int)) text")
+    totals = sessions.write_results(sessions.process_files(files, count), str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert calls.value == 40 and rows.count() == 40 and calls.value == 40
+    assert (totals["files"], totals["failed"], totals["chunks"]) == (40, 4, sum(i for i in range(40) if "7" not in str(i))) and totals["milliseconds"] > 0
+    assert sessions.job_status(rows).first().processing_time_ms == pytest.approx(totals["milliseconds"])
+
+
+def test_batches_fold_in_place(spark, frame, tmp_path):
+    path = str(tmp_path / "table")
+    rows = lambda *r: frame(list(r), "event_id string, ts timestamp, x int")
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    stream.write_batch(rows(("a", at(1), 1), ("b", at(1), 2)), 0, path, 2)
+    stream.write_batch(rows(("b", at(0), 3)), 1, path, 2)
+    before = {(r.event_id, r.x) for r in stream.current_events(spark, path).collect()}
+    stream.fold_events(spark, path)
+    assert sorted(p.name for p in (tmp_path / "table").iterdir() if p.is_dir()) == ["folded=1"]
+    stream.write_batch(rows(("c", at(2), 4), ("a", at(2), 5)), 2, path, 2)
+    assert before == {("a", 1), ("b", 3)} and {(r.event_id, r.x) for r in stream.current_events(spark, path).collect()} == {("a", 5), ("b", 3), ("c", 4)}
+    stream.fold_events(spark, path)
+    stream.fold_events(spark, path)
+    assert {(r.event_id, r.x) for r in stream.current_events(spark, path).collect()} == {("a", 5), ("b", 3), ("c", 4)}
 
 
 # --- streams ------------------------------------------------------------
