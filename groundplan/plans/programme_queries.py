@@ -297,18 +297,27 @@ def delay_risk_top(tasks, relationships):
     return programme.delay_risk_top(scored).select("project_id", "risk_rank", "task_id", "task_name", "delay_risk_score", "risk_level")
 
 
+def _sql_lines(lines):
+    """Lines as one SQL text."""
+    return "concat_ws(chr(10), " + ", ".join("'" + line.replace("'", "''") + "'" for line in lines) + ")"
+
+
 @query("report_text", "tasks relationships", """
-SELECT project_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines GROUP BY project_id""", DELAY_SQL + """,
+SELECT project_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines GROUP BY project_id""", DELAY_SQL + f""",
 lines AS (
-  SELECT project_id, 0 pos, concat('DELAY RISK PREDICTION REPORT', chr(10), 'Total Tasks at Risk: ', total_at_risk, chr(10), 'High Risk: ', high_risk, chr(10),
-         'Medium Risk: ', medium_risk, chr(10), 'Low Risk: ', low_risk, chr(10), 'Critical Tasks at Risk: ', critical_at_risk, chr(10),
-         'Average Risk Score: ', format('{:.1f}', avg_risk_score)) AS line FROM counts
+  SELECT project_id, 0 pos, concat('DELAY RISK PREDICTION REPORT', chr(10), repeat('=', 70), chr(10), chr(10), 'RISK SUMMARY', chr(10), repeat('-', 70), chr(10),
+         '  Total Tasks at Risk: ', total_at_risk, chr(10), '  High Risk: ', high_risk, chr(10), '  Medium Risk: ', medium_risk, chr(10), '  Low Risk: ', low_risk, chr(10),
+         '  Critical Tasks at Risk: ', critical_at_risk, chr(10), '  Average Risk Score: ', printf('%.1f', avg_risk_score), chr(10), chr(10), 'TOP 15 HIGHEST RISK ACTIVITIES', chr(10), repeat('-', 70)) AS line FROM counts
+  UNION ALL
+  SELECT project_id, risk_rank, concat(chr(10), risk_rank, '. ', CASE WHEN critical THEN '[CRITICAL]' ELSE '' END, ' [', task_id, '] ', task_name, chr(10),
+         '   Risk Score: ', score, '/100 (', risk_level, ')', chr(10), '   Start: ', CAST(start_date AS VARCHAR), ' | Progress: ', CAST(percent_complete AS VARCHAR), '%', chr(10),
+         '   Risk Factors: ', risk_factors) FROM top
   UNION ALL
-  SELECT project_id, risk_rank, concat(risk_rank, '. ', CASE WHEN critical THEN '[CRITICAL]' ELSE '' END, ' [', task_id, '] ', task_name, chr(10),
-         '   Risk Score: ', score, '/100 (', risk_level, ')', chr(10), '   Start: ', CAST(start_date AS VARCHAR), ' | Progress: ', CAST(percent_complete AS INT), '%', chr(10),
-         '   Risk Factors: ', risk_factors) FROM top)""")
+  SELECT project_id, 99, concat(chr(10), repeat('-', 70), chr(10), 'RECOMMENDATIONS', chr(10), repeat('-', 70), chr(10), {_sql_lines(V.DELAY_REPORT_ADVICE)}) FROM counts
+  UNION ALL
+  SELECT DISTINCT project_id, 0, '{V.NO_TASK_AT_RISK}' FROM tasks WHERE project_id NOT IN (SELECT project_id FROM counts))""")
 def report_text(tasks, relationships):
-    return render.delay_risk_report(programme.delay_risk(tasks, relationships, as_of=AS_OF_DATE))
+    return render.delay_risk_report(programme.delay_risk(tasks, relationships, as_of=AS_OF_DATE), projects=tasks)
 
 
 _MONTHS = ", ".join(f"({m}, {rain}, '{name}')" for m, rain, _, _, name in V.MONTH_WEATHER)
@@ -335,39 +344,57 @@ def weather_risk_summary(tasks):
     return programme.weather_risk_summary(programme.weather_risk(tasks, as_of=AS_OF_DATE))
 
 
-@query("weather_report", "tasks", """
-SELECT project_id, 1 AS section, task_id, concat('  [', task_id, '] ', task_name, chr(10), '      Start: ', CAST(start_date AS VARCHAR), ' (', month_name, ')', chr(10),
-       '      Expected rain days: ', rain_days, chr(10), '      Recommendation: Plan indoor work or add contingency') line FROM weather WHERE risk_level = 'HIGH'
+@query("weather_report", "tasks", f"""
+SELECT project_id, 0 AS section, 0 AS pos, NULL AS task_id, concat('WEATHER RISK ANALYSIS REPORT', chr(10), repeat('=', 60), chr(10), 'Period: Next 60 days', chr(10), 'Total upcoming activities: ', count(*), chr(10)) AS line
+FROM weather GROUP BY 1
+UNION ALL SELECT DISTINCT project_id, 0, 0, NULL, '{V.NO_UPCOMING_TASK}' FROM tasks WHERE project_id NOT IN (SELECT project_id FROM weather)
+UNION ALL SELECT project_id, 1, 0, NULL, concat('HIGH RISK ACTIVITIES (', count(*), '):', chr(10), repeat('-', 40)) FROM weather WHERE risk_level = 'HIGH' GROUP BY 1
+UNION ALL
+SELECT project_id, 1, 1, task_id, concat('  [', task_id, '] ', task_name, chr(10), '      Start: ', CAST(start_date AS VARCHAR), ' (', month_name, ')', chr(10),
+       '      Expected rain days: ', rain_days, chr(10), '      Recommendation: Plan indoor work or add contingency', chr(10)) FROM weather WHERE risk_level = 'HIGH'
+UNION ALL SELECT project_id, 2, 0, NULL, concat(chr(10), 'MEDIUM RISK ACTIVITIES (', count(*), '):', chr(10), repeat('-', 40)) FROM weather WHERE risk_level = 'MEDIUM' GROUP BY 1
 UNION ALL
-SELECT project_id, 2, task_id, concat('  [', task_id, '] ', task_name, ' - ', month_name, ' (', rain_days, ' rain days)') FROM medium""", WEATHER_SQL)
+SELECT project_id, 2, 1, task_id, concat('  [', task_id, '] ', task_name, ' - ', month_name, ' (', rain_days, ' rain days)') FROM medium
+UNION ALL SELECT DISTINCT project_id, 3, 0, NULL, concat(chr(10), 'RECOMMENDATIONS:', chr(10), repeat('-', 40), chr(10), {_sql_lines(V.WEATHER_REPORT_ADVICE)}) FROM weather""", WEATHER_SQL)
 def weather_report(tasks):
-    return render.weather_lines(programme.weather_risk(tasks, as_of=AS_OF_DATE)).select("project_id", "section", "task_id", "line")
+    return render.weather_lines(programme.weather_risk(tasks, as_of=AS_OF_DATE), projects=tasks).select("project_id", "section", "pos", "task_id", "line")
 
 
-@query("lookahead_report", "tasks", """
-SELECT project_id, 1 AS section, task_id, concat('  ', CASE WHEN critical THEN '[CRITICAL]' ELSE '' END, ' [', task_id, '] ', task_name, chr(10),
-       '      Crew: ', resource_crew, ' | Progress: ', CAST(percent_complete AS INT), '%', chr(10), '      ', CAST(start_date AS VARCHAR), ' to ', CAST(end_date AS VARCHAR)) line
+@query("lookahead_report", "tasks", f"""
+SELECT DISTINCT project_id, 0 AS section, 0 AS pos, NULL AS task_id, concat('4-WEEK LOOK-AHEAD REPORT', chr(10), 'Generated: ', {DAY}, ' | Period: ', {DAY}, ' to ', {DAY} + 28, chr(10), repeat('=', 70), chr(10)) AS line FROM tasks
+UNION ALL SELECT DISTINCT project_id, 1, 0, NULL, concat('THIS WEEK (', {DAY}, ' to ', {DAY} + 7, '):', chr(10), repeat('-', 70)) FROM tasks
+UNION ALL SELECT DISTINCT project_id, 1, 1, NULL, '{V.NO_TASK_THIS_WEEK}' FROM tasks WHERE project_id NOT IN (SELECT project_id FROM ahead WHERE period = 'this_week')
+UNION ALL
+SELECT project_id, 1, 1, task_id, concat('  ', CASE WHEN critical THEN '[CRITICAL]' ELSE '' END, ' [', task_id, '] ', task_name, chr(10),
+       '      Crew: ', resource_crew, ' | Progress: ', CAST(percent_complete AS VARCHAR), '%', chr(10), '      ', CAST(start_date AS VARCHAR), ' to ', CAST(end_date AS VARCHAR), chr(10))
 FROM ahead WHERE period = 'this_week'
+UNION ALL SELECT DISTINCT project_id, 2, 0, NULL, concat(chr(10), 'UPCOMING (Next 3 Weeks):', chr(10), repeat('-', 70)) FROM ahead WHERE period = 'upcoming'
 UNION ALL
-SELECT project_id, 2, task_id, concat('  ', CASE WHEN critical THEN '[CRITICAL]' ELSE '' END, ' [', task_id, '] ', task_name, chr(10),
+SELECT project_id, 2, 1, task_id, concat('  ', CASE WHEN critical THEN '[CRITICAL]' ELSE '' END, ' [', task_id, '] ', task_name, chr(10),
        '      Starts: ', CAST(start_date AS VARCHAR), ' | Crew: ', resource_crew) FROM ahead WHERE period = 'upcoming'
+UNION ALL SELECT DISTINCT project_id, 3, 0, NULL, concat(chr(10), 'REQUIRED RESOURCES:', chr(10), repeat('-', 70)) FROM tasks
 UNION ALL
-SELECT project_id, 3, resource_crew, concat('  ', resource_crew, ': ', count(*), ' activities') FROM ahead GROUP BY 1, 2, 3""", LOOKAHEAD_SQL)
+SELECT project_id, 3, 1, resource_crew, concat('  ', resource_crew, ': ', count(*), ' activities') FROM ahead GROUP BY 1, resource_crew""", LOOKAHEAD_SQL)
 def lookahead_report(tasks):
-    return render.lookahead_lines(tasks, as_of=AS_OF_DATE).select("project_id", "section", "task_id", "line")
+    return render.lookahead_lines(tasks, as_of=AS_OF_DATE).select("project_id", "section", "pos", "task_id", "line")
 
 
-@query("coordination_report", "tasks", """
-SELECT project_id, 1 AS section, crew AS key, '' AS second_key, concat(crew, ':', chr(10), '  Tasks: ', tasks, ' | Avg Progress: ', format('{:.1f}', avg_progress), '%', chr(10),
+@query("coordination_report", "tasks", f"""
+SELECT DISTINCT project_id, 0 AS section, 0 AS pos, NULL AS key, NULL AS second_key, concat('SUBCONTRACTOR COORDINATION REPORT', chr(10), repeat('=', 60), chr(10), chr(10), 'CREW SCHEDULE SUMMARY:', chr(10), repeat('-', 60)) AS line FROM crews
+UNION ALL
+SELECT project_id, 1, 0, crew, '', concat(chr(10), crew, ':', chr(10), '  Tasks: ', tasks, ' | Avg Progress: ', printf('%.1f', avg_progress), '%', chr(10),
        '  Period: ', CAST(first_start AS VARCHAR), ' to ', CAST(last_end AS VARCHAR)) line FROM crews
 UNION ALL
-SELECT project_id, 2, from_crew, to_crew, concat('  ', CAST(day AS VARCHAR), ': ', from_crew, ' -> ', to_crew, chr(10), '    From: ', from_tasks, chr(10), '    To: ', to_tasks)
-FROM (SELECT a.project_id, a.crew from_crew, b.crew to_crew, a.last_end AS day, a.first_tasks from_tasks, b.first_tasks to_tasks,
-             row_number() OVER (PARTITION BY a.project_id ORDER BY a.crew, b.crew) n
-      FROM crews a JOIN crews b ON a.project_id = b.project_id AND a.crew < b.crew AND abs(a.last_end - b.first_start) <= 7)
-WHERE n <= 10""", CREWS_SQL)
+SELECT p.project_id, 2, 0, NULL, NULL, concat(chr(10), chr(10), 'UPCOMING HANDOFFS (', count(h.n), ' identified):', chr(10), repeat('-', 60)) FROM (SELECT DISTINCT project_id FROM crews) p LEFT JOIN handed h ON h.project_id = p.project_id GROUP BY 1
+UNION ALL SELECT DISTINCT project_id, 2, 1, NULL, NULL, '{V.NO_HANDOFF}' FROM crews WHERE project_id NOT IN (SELECT project_id FROM handed)
+UNION ALL
+SELECT project_id, 2, 1, from_crew, to_crew, concat(chr(10), '  ', CAST(day AS VARCHAR), ': ', from_crew, ' -> ', to_crew, chr(10), '    From: ', from_tasks, chr(10), '    To: ', to_tasks)
+FROM handed WHERE n <= 10
+UNION ALL SELECT DISTINCT project_id, 3, 0, NULL, NULL, concat(chr(10), 'COORDINATION ACTIONS:', chr(10), repeat('-', 60), chr(10), {_sql_lines(V.COORDINATION_ACTIONS)}) FROM crews""", CREWS_SQL.strip() + """,
+handed AS (SELECT a.project_id, a.crew from_crew, b.crew to_crew, a.last_end AS day, a.first_tasks from_tasks, b.first_tasks to_tasks, row_number() OVER (PARTITION BY a.project_id ORDER BY a.crew, b.crew) n
+           FROM crews a JOIN crews b ON a.project_id = b.project_id AND a.crew < b.crew AND abs(a.last_end - b.first_start) <= 7)""")
 def coordination_report(tasks):
-    return render.coordination_lines(tasks)
+    return render.coordination_lines(tasks).select("project_id", "section", "pos", "key", "second_key", "line")
 
 
 CLAIM_SQL = """
@@ -400,11 +427,13 @@ def delay_claims(events, event_tasks, tasks):
     )
 
 
-@query("claim_report", "delay_events event_tasks tasks", """
-SELECT event_id, concat('DELAY CLAIM ANALYSIS REPORT', chr(10), 'Event: ', event_id, chr(10), 'Cause: ', cause, chr(10), 'Duration: ', days, ' days', chr(10),
+@query("claim_report", "delay_events event_tasks tasks", f"""
+SELECT event_id, concat('DELAY CLAIM ANALYSIS REPORT', chr(10), repeat('=', 70), chr(10), chr(10), 'Event: ', event_id, chr(10), 'Cause: ', cause, chr(10), 'Duration: ', days, ' days', chr(10), chr(10),
+       repeat('-', 70), chr(10), 'IMPACT ANALYSIS', chr(10), repeat('-', 70), chr(10),
        '  Activities Affected: ', affected, chr(10), '  Critical Activities Affected: ', critical_affected, chr(10), '  Schedule Impact: ', impact_days, ' days', chr(10),
-       '  Estimated Cost Impact: $', format('{:,.2f}', cost), chr(10), '  Claim Type: ', kind, chr(10), '  Eligibility: ', eligibility, chr(10),
-       '  Recommended Action: ', action) AS text FROM claims""", CLAIM_SQL)
+       '  Estimated Cost Impact: $', format('{{:,.2f}}', cost), chr(10), chr(10), repeat('-', 70), chr(10), 'CLAIM ASSESSMENT', chr(10), repeat('-', 70), chr(10),
+       '  Claim Type: ', kind, chr(10), '  Eligibility: ', eligibility, chr(10), '  Recommended Action: ', action, chr(10), chr(10),
+       repeat('-', 70), chr(10), 'REQUIRED DOCUMENTATION', chr(10), repeat('-', 70), chr(10), {_sql_lines(V.CLAIM_REPORT_DOCUMENTS)}) AS text FROM claims""", CLAIM_SQL)
 def claim_report(events, event_tasks, tasks):
     return render.claim_report(programme.delay_claims(events, event_tasks, tasks))
 
@@ -434,20 +463,24 @@ def date_parsing(tasks):
 @query("schedule_context", "tasks resources", """
 SELECT project_id, string_agg(line, chr(10) ORDER BY section, pos) AS text FROM lines GROUP BY project_id""", SUMMARY_SQL.strip() + """,
 firsts AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY start_date, task_id) pos FROM tasks QUALIFY pos <= 50),
-costs AS (SELECT project_id, resource_name, CAST(sum(cost_per_unit) AS BIGINT) cost FROM resources GROUP BY 1, 2),
+costs AS (SELECT project_id, resource_name, concat(CAST(sum(cost_per_unit) AS BIGINT), '.0') cost FROM resources GROUP BY 1, 2),
+wide AS (SELECT project_id, greatest(max(length(resource_name)), 13) AS a, greatest(max(length(cost)), 13) AS b FROM costs GROUP BY 1),
 lines AS (
-  SELECT project_id, 0 AS section, 0 AS pos, concat_ws(chr(10), '=== CONSTRUCTION SCHEDULE DATA ===', '- Total Tasks: ' || total_tasks, '- Completed: ' || completed,
+  SELECT project_id, 0 AS section, 0 AS pos, concat_ws(chr(10), '=== CONSTRUCTION SCHEDULE DATA ===', '', 'Schedule Summary:', '- Total Tasks: ' || total_tasks, '- Completed: ' || completed,
          '- In Progress: ' || in_progress, '- Not Started: ' || not_started, '- Critical Tasks: ' || critical_tasks, '- Total Budget: $' || format('{:,.2f}', total_budget),
-         '- Actual Spent: $' || format('{:,.2f}', actual_spent), '- Project Start: ' || CAST(start_date AS VARCHAR), '- Project End: ' || CAST(end_date AS VARCHAR)) AS line FROM summary
+         '- Actual Spent: $' || format('{:,.2f}', actual_spent), '- Overall Progress: ' || printf('%.1f', CASE WHEN total_budget > 0 THEN actual_spent / total_budget * 100 ELSE 0 END) || '%',
+         '- Project Start: ' || CAST(start_date AS VARCHAR), '- Project End: ' || CAST(end_date AS VARCHAR), '', '=== TASK DETAILS ===') AS line FROM summary
   UNION ALL
-  SELECT project_id, 1, pos, concat_ws(chr(10), concat('Task ', task_id, ': ', task_name),
-         concat('  WBS: ', wbs, ', Status: ', CASE WHEN percent_complete = 100 THEN 'Complete' WHEN percent_complete > 0 THEN 'In Progress' ELSE 'Not Started' END, ', Progress: ', CAST(percent_complete AS INT), '%'),
-         concat('  Duration: ', original_duration, ' days, Remaining: ', format('{:.1f}', original_duration * (1 - percent_complete / 100)), ' days'),
+  SELECT project_id, 1, pos, concat(CASE WHEN pos > 1 THEN chr(10) ELSE '' END, concat_ws(chr(10), concat('Task ', task_id, ': ', task_name),
+         concat('  WBS: ', wbs, ', Status: ', CASE WHEN percent_complete = 100 THEN 'Complete' WHEN percent_complete > 0 THEN 'In Progress' ELSE 'Not Started' END, ', Progress: ', CAST(percent_complete AS VARCHAR), '%'),
+         concat('  Duration: ', original_duration, ' days, Remaining: ', printf('%.1f', original_duration * (1 - percent_complete / 100)), ' days'),
          concat('  Budget: $', format('{:,.2f}', budget_cost), ', Actual: $', format('{:,.2f}', actual_cost)),
          concat('  Start: ', CAST(start_date AS VARCHAR), ', End: ', CAST(end_date AS VARCHAR)),
-         concat('  Critical: ', CASE WHEN critical THEN 'Yes' ELSE 'No' END, ', Float: ', format('{:.1f}', total_float), ' days'), concat('  Crew: ', resource_crew)) FROM firsts
+         concat('  Critical: ', CASE WHEN critical THEN 'Yes' ELSE 'No' END, ', Float: ', printf('%.1f', total_float), ' days'), concat('  Crew: ', resource_crew))) FROM firsts
+  UNION ALL
+  SELECT project_id, 2, 0, concat(chr(10), '=== RESOURCE ALLOCATIONS ===', chr(10), lpad('resource_name', CAST(a AS INT), ' '), ' ', lpad('cost_per_unit', CAST(b AS INT), ' ')) FROM wide
   UNION ALL
-  SELECT project_id, 2, row_number() OVER (PARTITION BY project_id ORDER BY resource_name), concat(resource_name, ': ', format('{:,}', cost)) FROM costs)""")
+  SELECT c.project_id, 2, row_number() OVER (PARTITION BY c.project_id ORDER BY resource_name), concat(lpad(resource_name, CAST(a AS INT), ' '), ' ', lpad(cost, CAST(b AS INT), ' ')) FROM costs c JOIN wide w ON w.project_id = c.project_id)""")
 def schedule_context(tasks, resources):
     return render.schedule_context(tasks, resources)
 
@@ -481,3 +514,18 @@ FROM tasks t LEFT JOIN (SELECT project_id, prefix, count(*) photos FROM links GR
   ON n.project_id = t.project_id AND n.prefix = CASE WHEN length(t.task_id) >= 4 THEN left(t.task_id, 4) ELSE left(t.task_id, 2) END""", PHOTO_SQL)
 def activity_photos(found, tasks):
     return photos.activity_photo_counts(tasks, photos.link_photos(found))
+
+
+@query("photo_report_text", "photos tasks", f"""
+SELECT DISTINCT project_id, 0 AS section, '' AS prefix, 0 AS pos, '' AS photo, concat('PROGRESS PHOTO MAPPING REPORT', chr(10), repeat('=', 60), chr(10)) AS line, 1 AS copies FROM links
+UNION ALL SELECT DISTINCT project_id, 0, '', 0, '', '{V.NO_PHOTO}', 1 FROM tasks WHERE project_id NOT IN (SELECT project_id FROM links)
+UNION ALL SELECT project_id, 1, prefix, 0, '', concat('[', prefix, 'xxx] ', task_name, chr(10), '   Progress: ', CAST(percent_complete AS VARCHAR), '%', chr(10), '   Photos: ', photos), 1 FROM heads
+UNION ALL SELECT project_id, 1, prefix, 1, string_split(path, '/')[-1], concat('      - ', string_split(path, '/')[-1]), count(*) FROM links GROUP BY ALL
+UNION ALL SELECT project_id, 1, prefix, 2, '', '', 1 FROM heads""", PHOTO_SQL.strip() + """,
+firsts AS (SELECT project_id, left(task_id, 4) AS prefix, task_name, percent_complete FROM tasks WHERE length(task_id) >= 4
+           QUALIFY row_number() OVER (PARTITION BY project_id, left(task_id, 4) ORDER BY start_date, task_id) = 1),
+heads AS (SELECT n.project_id, n.prefix, coalesce(f.task_name, 'Unknown') AS task_name, coalesce(f.percent_complete, CAST(0 AS DOUBLE)) AS percent_complete, n.photos
+FROM (SELECT project_id, prefix, count(*) photos FROM links GROUP BY 1, 2) n LEFT JOIN firsts f ON f.project_id = n.project_id AND f.prefix = n.prefix)""")
+def photo_report_text(found, tasks):
+    lines = photos.photo_report_lines(photos.link_photos(found), tasks)
+    return lines.groupBy("project_id", "section", "prefix", "pos", "photo", "line").agg(F.count(F.lit(1)).alias("copies"))

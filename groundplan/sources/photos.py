@@ -54,17 +54,28 @@ def photo_counts(links: DataFrame, tasks: DataFrame, keys: list[str] = ["project
 
 
 def photo_report_lines(links: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Photo map as ordered lines: a head line per prefix, then its photos."""
-    heads = photo_counts(links, tasks).select(
-        "project_id", "prefix", F.lit("").alias("photo"),
-        F.concat(
-            F.lit("["), F.col("prefix"), F.lit("xxx] "), F.col("task_name"), F.lit("\n   Progress: "),
-            F.col("percent_complete").cast("int").cast("string"), F.lit("%\n   Photos: "), F.col("photos").cast("string"),
-        ).alias("line"),
+    """Photo map of every project as ordered lines: a head, then per prefix a head line, its photos and an empty line.
+
+    Joined by line ends in order of section, prefix, pos and photo they are the text.
+    """
+    projects = tasks.select("project_id").distinct()
+    found = links.select("project_id").distinct()
+    number = F.col("percent_complete").cast("double").cast("string")
+    title = F.lit(f"PROGRESS PHOTO MAPPING REPORT\n{'=' * 60}\n")
+    line = lambda rows, section, prefix, pos, photo, text: rows.select(
+        "project_id", F.lit(section).alias("section"), prefix.alias("prefix"), F.lit(pos).alias("pos"), photo.alias("photo"), text.alias("line")
+    )
+    none, name, prefix = F.lit(""), file_name(F.col("path")), F.col("prefix")
+    heads = photo_counts(links, tasks)
+    headed = F.concat(
+        F.lit("["), prefix, F.lit("xxx] "), F.col("task_name"), F.lit("\n   Progress: "), number, F.lit("%\n   Photos: "), F.col("photos").cast("string"),
     )
-    name = file_name(F.col("path"))
-    return heads.unionByName(
-        links.select("project_id", "prefix", name.alias("photo"), F.concat(F.lit("      - "), name).alias("line"))
+    return (
+        line(found, 0, none, 0, none, title)
+        .unionByName(line(projects.join(found, "project_id", "left_anti"), 0, none, 0, none, F.lit(V.NO_PHOTO)))
+        .unionByName(line(heads, 1, prefix, 0, none, headed))
+        .unionByName(line(links, 1, prefix, 1, name, F.concat(F.lit("      - "), name)))
+        .unionByName(line(heads, 1, prefix, 2, none, none))
     )
 
 

@@ -146,3 +146,37 @@ def test_activity_csv(spark, tasks, tmp_path):
     programme.write_activity_csv(tasks, str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert back.count() == 4 and "Task Name" in back.columns and {r.Critical for r in back.collect()} == {"Yes", "No"}
+
+
+def test_whole_reports(spark):
+    import datetime as dt
+
+    from groundplan.operators import programme, render
+
+    day = lambda n: dt.date(2024, 7, 1) + dt.timedelta(days=n)
+    tasks = spark.createDataFrame(
+        [("P", "t1", "Excavation Zone", day(2), day(9), 12.5, True, "A"), ("P", "t2", "Painting", day(12), day(20), 0.0, False, "B"), ("Q", "t3", "Done", day(-90), day(-80), 100.0, False, "C")],
+        "project_id string, task_id string, task_name string, start_date date, end_date date, percent_complete double, critical boolean, resource_crew string",
+    )
+    rows = render.lookahead_lines(tasks, as_of="2024-07-01").orderBy("project_id", "section", "pos", "start_date", "task_id").collect()
+    text = {p: "\n".join(r.line for r in rows if r.project_id == p) for p in "PQ"}
+    assert text["P"] == (
+        "4-WEEK LOOK-AHEAD REPORT\nGenerated: 2024-07-01 | Period: 2024-07-01 to 2024-07-29\n" + "=" * 70 + "\n\nTHIS WEEK (2024-07-01 to 2024-07-08):\n" + "-" * 70
+        + "\n  [CRITICAL] [t1] Excavation Zone\n      Crew: A | Progress: 12.5%\n      2024-07-03 to 2024-07-10\n\n\nUPCOMING (Next 3 Weeks):\n" + "-" * 70
+        + "\n   [t2] Painting\n      Starts: 2024-07-13 | Crew: B\n\nREQUIRED RESOURCES:\n" + "-" * 70 + "\n  A: 1 activities\n  B: 1 activities"
+    )
+    assert "  No activities scheduled this week." in text["Q"] and "UPCOMING" not in text["Q"]
+    weather = render.weather_lines(programme.weather_risk(tasks, as_of="2024-07-01"), projects=tasks).orderBy("project_id", "section", "pos").collect()
+    assert [r.line for r in weather if r.project_id == "Q"] == ["No upcoming activities in the specified period."]
+    assert weather[0].line.endswith("Total upcoming activities: 2\n") and weather[-2].line.startswith("\nRECOMMENDATIONS:\n")
+    coordination = render.coordination_lines(tasks).filter("project_id = 'P'").orderBy("section", "pos", "key").collect()
+    assert coordination[3].line == "\n\nUPCOMING HANDOFFS (1 identified):\n" + "-" * 60
+    assert coordination[4].line == "\n  2024-07-10: A -> B\n    From: Excavation Zone\n    To: Painting"
+
+
+def test_budget_rollup(spark):
+    from groundplan.operators import programme
+
+    tasks = spark.createDataFrame([("P", "1", 2.0, 1.0), ("P", "2", 3.0, 1.0), ("Q", "1", 5.0, None), ("Q", None, 7.0, 1.0)], "project_id string, wbs string, budget_cost double, actual_cost double")
+    got = {(r.project_id, r.wbs, r.level): (r.budget_cost, r.tasks) for r in programme.budget_rollup(tasks).collect()}
+    assert got[None, None, 2] == (17.0, 4) and got["Q", None, 1] == (12.0, 2) and got["Q", None, 0] == (7.0, 1) and got["P", "2", 0] == (3.0, 1)
