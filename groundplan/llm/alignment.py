@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundplan.llm.units import PIECE_SPACE, Stretches, cut_between_words, per_text, with_space
+from groundplan.llm.units import PIECE_SPACE, Stretches, cut_between_words, give_back, per_text, with_space
 from groundplan.llm.words import Texts, blocks, text_column
 from groundplan.operators.sizes import broadcast_if_small
 from groundplan.session import stored
@@ -331,6 +331,7 @@ def read_alignments(documents: DataFrame, first: str | None = None, second: str
                     columns.append(pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]))
                     columns += [pa.array(groups)] if with_groups else []
                     yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(n, t) for t in _POSTING_TYPES]], names=names)
+                    give_back()
         if block.documents:
             yield postings()
 

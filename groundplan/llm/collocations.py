@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundplan.llm.units import give_back
 from groundplan.llm.words import LOWER, Texts, Words, blocks, hash_words, mix, text_column
 from groundplan.operators.sizes import broadcast_if_small
 from groundplan.session import stored
@@ -25,7 +26,7 @@ LONGEST = 5
 THRESHOLD = 100
 TOP = 2000
 # bytes of text that a task combines before it sends counts
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 2_000_000
 # bits of the filter between the passes, sent to every task
 FILTER_BITS = 1 << 27
 # bytes of text for each hash partition, and the bounds of their number
@@ -103,6 +104,7 @@ def _read(batch: pa.RecordBatch, most: int) -> Iterator[tuple[Phrases, np.ndarra
     for first, past, texts in blocks(text_column(batch), most):
         own = codes[first:past]
         yield Phrases(texts, seeds[own]), own, names
+        give_back()
 
 
 # --- Misra-Gries summaries ----------------------------------------------
@@ -188,6 +190,7 @@ def _partial_summaries(documents: DataFrame, partitions: int, longest: int) -> D
                 if not found:
                     continue
                 hashes, times = np.unique(np.concatenate(found), return_counts=True)
+                del found
                 keys = hashes.astype(np.uint32)
                 bounds = np.searchsorted(_partition_of(hashes, partitions), np.arange(partitions + 1))
                 rows = []
@@ -222,6 +225,7 @@ def _survivors(parts: DataFrame, threshold: int, slice_bits: int) -> DataFrame:
             place = keys % np.uint32(slice_bits)
             np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
             missed = summary.missed if summary else 0
+            give_back()
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([bits.tobytes()]), pa.array([len(keys)]), pa.array([missed])],
                 names=["part", "bits", "n_keys", "n_missed"],

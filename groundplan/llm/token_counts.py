@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundplan.llm.units import Stretches, cut_at_spaces, per_text, with_space
+from groundplan.llm.units import Stretches, cut_at_spaces, give_back, per_text, with_space
 from groundplan.llm.words import Texts, blocks, text_column
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -121,6 +121,7 @@ def count_tokens(documents: DataFrame, vocabulary: str | None = None, limit: int
                 [batch.column(0), pa.array(np.diff(texts.offsets).astype(np.int64)), pa.array(counts), pa.array(counts > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
+            give_back()
 
     schema = f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean"
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -7,9 +7,11 @@ so equal stretches are tokenized once per task and looked up by a 64-bit hash.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from groundplan.llm.words import Texts, Words, hash_words
 
@@ -19,6 +21,19 @@ PIECE_SPACE = "▁".encode()
 KEPT_BYTES = 40_000_000
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Hand memory that was freed back to the system, so that a worker that lives on holds no more than it uses."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def with_space(texts: Texts) -> Texts:
     """The texts with a space put before each that is not empty."""
     sizes = np.diff(texts.offsets)
