@@ -340,7 +340,7 @@ CALCULATIONS: dict[str, Calculation] = _calculations()
 
 
 def execute(requests: DataFrame, calculations: dict[str, Calculation] = CALCULATIONS) -> DataFrame:
-    """Run each request's calculation: success, results map, error text.
+    """Run each request's calculation: success, results map, error text, and the acceptance criteria of what succeeded.
 
     All registered calculations are branches of one expression, so requests of
     every kind are evaluated together in their own rows.
@@ -359,4 +359,8 @@ def execute(requests: DataFrame, calculations: dict[str, Calculation] = CALCULAT
         .when(~ready, F.concat(F.lit("Missing required inputs: "), listed))
         .when(~skill.isin(*calculations), F.concat(F.lit("No executor registered for skill: "), skill))
     )
-    return rows.withColumns({"results": chain, "error": error}).withColumn("success", F.col("error").isNull())
+    criteria = F
+    for s in V.SKILLS:
+        criteria = criteria.when(skill == s["skill_id"], F.array(*map(F.lit, s["acceptance"])))
+    done = rows.withColumns({"results": chain, "error": error}).withColumn("success", F.col("error").isNull())
+    return done.withColumn("acceptance", F.when(F.col("success"), criteria))

@@ -318,19 +318,59 @@ def skill_store(projects):
     )
 
 
-@query("skill_execution", "design_cases", """
-SELECT c.case_id, round(cohesion_kpa * nc * sc * dc + g * depth_m * nq * sq * dq + 0.5 * g * width_m * ng * sg, 4) AS q_ult_kpa, case_id % 4 <> 1 OR length_m > 2 AS success,
-       CASE WHEN case_id % 4 <> 1 OR length_m > 2 THEN '' ELSE 'Missing required inputs: [''foundation_length'']' END AS error
-FROM hansen c WHERE case_id % 4 <> 1 OR length_m > 2
-UNION ALL SELECT case_id, -1, false, 'Missing required inputs: [''foundation_length'']' FROM design_cases WHERE NOT (case_id % 4 <> 1 OR length_m > 2)""", HANSEN_SQL)
-def skill_execution(cases):
-    names = {
-        "soil_cohesion_kpa": F.col("cohesion_kpa"), "soil_friction_angle_deg": F.col("friction_angle_deg"), "soil_unit_weight": F.col("unit_weight_kn_m3"),
-        "foundation_width": F.col("width_m"), "foundation_length": F.when(F.expr("case_id % 4 <> 1 or length_m > 2"), F.col("length_m")),
-        "foundation_depth": F.col("depth_m"), "gwl_depth": F.col("gwl_depth_m"),
+_CRITERIA = "CASE skill_id " + " ".join(f"WHEN '{s['skill_id']}' THEN '{';'.join(s['acceptance'])}'" for s in V.SKILLS) + " END"
+
+
+@query("skill_execution", "design_cases slopes walls piles", f"""
+SELECT case_id, skill_id, round(first, 4) AS first, round(second, 4) AS second, error = '' AS success, error, CASE WHEN error = '' THEN {_CRITERIA} ELSE '' END AS acceptance FROM (
+  SELECT case_id, 'shallow_bearing_capacity' AS skill_id, CASE WHEN asked THEN q ELSE -1 END AS first, CASE WHEN asked THEN q / 3 ELSE -1 END AS second,
+         CASE WHEN asked THEN '' ELSE 'Missing required inputs: [''foundation_length'']' END AS error FROM (SELECT *, case_id % 4 <> 1 OR length_m > 2 AS asked FROM hansen)
+  UNION ALL SELECT case_id, 'slope_stability_infinite', coalesce(fos, 1e9), -1, '' FROM infinite
+  UNION ALL SELECT case_id, 'earth_pressure_rankine', total, ka, '' FROM summed
+  UNION ALL SELECT case_id, 'retaining_wall_stability', sliding, overturning, '' FROM stable
+  UNION ALL SELECT case_id, 'pile_axial_capacity', shaft + toe, (shaft + toe) / 2.5, '' FROM single
+  UNION ALL SELECT case_id, 'unheard_of', -1, -1, 'Skill not found: unheard_of' FROM design_cases)""", ",\n".join([HANSEN_SQL.strip(), SLOPE_SQL.strip().replace("stress AS", "slope_stress AS").replace("FROM stress", "FROM slope_stress"), RANKINE_SQL.strip(), WALL_SQL.strip()]) + """,
+sunk AS (SELECT p.case_id, p.diameter_m AS d, p.embedment_length_m AS len, c.cohesion_kpa AS c, c.friction_angle_deg AS phi, c.unit_weight_kn_m3 AS g FROM piles p JOIN design_cases c USING (case_id)),
+rubbed AS (SELECT *, CASE WHEN c > 5 THEN least(CASE WHEN c < 50 THEN c ELSE c * 0.5 END, 100)
+                          WHEN phi > 0 THEN least((1 + radians(phi)) * tan(radians(phi * 0.8)) * g * len / 2, 100) ELSE 0 END AS qs,
+                  least(CASE WHEN c <= 5 OR phi > 0 THEN g * len * exp(pi() * tan(radians(phi))) * pow(tan(radians(45 + phi / 2)), 2) * CASE WHEN len / d > 1 THEN sqrt(least(len / d, 15)) ELSE 1 END ELSE c * 9 END, 10000) AS qb FROM sunk),
+single AS (SELECT case_id, qs * pi() * d * len AS shaft, qb * pi() * d * d / 4 AS toe FROM rubbed)""")
+def skill_execution(cases, slopes, walls, piles):
+    """Requests of all five calculations, some without a required input, and some for none that there is."""
+    col = F.col
+    asked = {
+        "shallow_bearing_capacity": (cases, {
+            "soil_cohesion_kpa": col("cohesion_kpa"), "soil_friction_angle_deg": col("friction_angle_deg"), "soil_unit_weight": col("unit_weight_kn_m3"),
+            "foundation_width": col("width_m"), "foundation_length": F.when(F.expr("case_id % 4 <> 1 or length_m > 2"), col("length_m")),
+            "foundation_depth": col("depth_m"), "gwl_depth": col("gwl_depth_m"),
+        }),
+        "slope_stability_infinite": (slopes, {
+            "slope_angle_deg": col("slope_angle_deg"), "friction_angle_deg": col("friction_angle_deg"), "cohesion_kpa": col("cohesion_kpa"),
+            "unit_weight": col("unit_weight_kn_m3"), "depth_to_slip_m": col("depth_to_slip_m"), "gwl_above_slip_m": col("gwl_above_slip_m"),
+        }),
+        "earth_pressure_rankine": (walls, {
+            "wall_height_m": col("wall_height_m"), "backfill_friction_angle_deg": col("backfill_friction_angle_deg"), "backfill_cohesion_kpa": col("foundation_cohesion_kpa") / 10,
+            "backfill_unit_weight": col("backfill_unit_weight_kn_m3"), "surcharge_kpa": col("backfill_surcharge_kpa"),
+        }),
+        "retaining_wall_stability": (walls, {n: col(n) for n in (
+            "wall_height_m", "base_width_m", "toe_length_m", "stem_thickness_m", "base_thickness_m", "backfill_unit_weight_kn_m3", "backfill_friction_angle_deg",
+            "backfill_surcharge_kpa", "foundation_cohesion_kpa", "foundation_friction_angle_deg")}),
+        "pile_axial_capacity": (piles.join(cases, "case_id"), {
+            "pile_diameter_m": col("diameter_m"), "pile_length_m": col("embedment_length_m"), "soil_cohesion_kpa": col("cohesion_kpa"),
+            "soil_friction_angle_deg": col("friction_angle_deg"), "soil_unit_weight_kn_m3": col("unit_weight_kn_m3"),
+        }),
+        "unheard_of": (cases, {"cohesion_kpa": col("cohesion_kpa")}),
     }
-    inputs = F.map_filter(F.create_map(*[c for n, v in names.items() for c in (F.lit(n), v)]), lambda k, v: v.isNotNull())
-    requests = cases.select("case_id", F.lit("shallow_bearing_capacity").alias("skill_id"), inputs.alias("inputs"))
-    return design.execute(requests).selectExpr(
-        "case_id", "round(coalesce(results['q_ult_kpa'], -1D), 4) q_ult_kpa", "success", "coalesce(error, '') error"
+    shown = {"shallow_bearing_capacity": ("q_ult_kpa", "q_allowable_kpa"), "slope_stability_infinite": ("fos", "none"), "earth_pressure_rankine": ("total_active_force", "ka"),
+             "retaining_wall_stability": ("sliding_fos", "overturning_fos"), "pile_axial_capacity": ("ultimate_total_kn", "allowable_total_kn"), "unheard_of": ("none", "none")}
+    requests = None
+    for skill, (rows, inputs) in asked.items():
+        own = F.map_filter(F.create_map(*[c for n, v in inputs.items() for c in (F.lit(n), v.cast("double"))]), lambda k, v: v.isNotNull())
+        part = rows.select("case_id", F.lit(skill).alias("skill_id"), own.alias("inputs"), F.array(*map(F.lit, shown[skill])).alias("shown"))
+        requests = part if requests is None else requests.unionByName(part)
+    done = design.execute(requests)
+    value = lambda i: F.round(F.least(F.coalesce(F.expr(f"results[shown[{i}]]"), F.lit(-1.0)), F.lit(1e9)), 4)
+    return done.select(
+        "case_id", "skill_id", value(0).alias("first"), value(1).alias("second"), "success", F.coalesce("error", F.lit("")).alias("error"),
+        F.coalesce(F.array_join("acceptance", ";"), F.lit("")).alias("acceptance"),
     )

@@ -303,7 +303,24 @@ def json_extract(outputs):
     return outputs.select("response_id", parsed.alias("p")).select("response_id", "p.status", "p.score", "p.parsed")
 
 
-@query("equation_text", "answers")
+EQUATION_SQL = r"""
+marked AS (SELECT answer_id, concat(answer, '<br>### Step 1', chr(10), '[x = a_b]', chr(10), '- (k) - ', source, chr(10), '2) Step 2', chr(10), 'Equation not found in retrieved context', chr(10),
+                  '**Variable definitions**', chr(10), '- (m): hidden', chr(10), '**Citation**', chr(10), '\[ y \]') AS text FROM answers),
+lined AS (SELECT answer_id, unnest(string_split(replace(text, '<br>', chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, '<br>', chr(10)), chr(10)), 1) AS i FROM marked),
+stepped AS (SELECT *, trim(line) AS bare, regexp_matches(line, '^\s*(###\s*Step|\d+\)\s*Step)') AS is_step, sum(CASE WHEN regexp_matches(line, '^\s*(###\s*Step|\d+\)\s*Step)') THEN 1 ELSE 0 END) OVER (PARTITION BY answer_id ORDER BY i) AS seg FROM lined),
+lost AS (SELECT *, min(CASE WHEN contains(bare, 'Equation not found in retrieved context') AND NOT starts_with(bare, '[Source:') THEN i END) OVER (PARTITION BY answer_id, seg) AS lost_at FROM stepped),
+listed AS (SELECT *, min(CASE WHEN starts_with(lower(bare), '**variable definitions') AND i > lost_at THEN i END) OVER (PARTITION BY answer_id, seg) AS list_at FROM lost),
+resumed AS (SELECT *, min(CASE WHEN i > list_at AND (starts_with(lower(bare), '**acceptance') OR starts_with(lower(bare), '**citation')) THEN i END) OVER (PARTITION BY answer_id, seg) AS resume_at FROM listed),
+written AS (SELECT answer_id, i, CASE WHEN is_step THEN line WHEN i = list_at THEN concat(line, chr(10), 'N/A (no equation in retrieved context).')
+                   WHEN starts_with(bare, '[Source:') OR contains(bare, 'Equation not found in retrieved context') THEN line
+                   WHEN regexp_matches(bare, '^\[(.+)\]$') AND regexp_matches(bare, '\\frac|\\sum|\\min|_|\^|=') THEN concat('$$', trim(regexp_extract(bare, '^\[(.+)\]$', 1)), '$$')
+                   WHEN regexp_matches(line, '^\s*[-*]\s*\([^)]+\)\s*[-:]\s*.*$') THEN concat(regexp_extract(line, '^(\s*[-*]\s*)\(', 1), '$', trim(regexp_extract(line, '^\s*[-*]\s*\(([^)]+)\)', 1)), '$: ', trim(regexp_extract(line, '^\s*[-*]\s*\([^)]+\)\s*[-:]\s*(.*)$', 1)))
+                   ELSE line END AS line
+            FROM resumed WHERE NOT coalesce(i > list_at AND i < coalesce(resume_at, 1000000), false))"""
+
+
+@query("equation_text", "answers", r"""
+SELECT answer_id, replace(replace(string_agg(line, chr(10) ORDER BY i), '\[', '$$'), '\]', '$$') AS text FROM written GROUP BY 1""", EQUATION_SQL)
 def equation_text(answers):
     marked = F.concat(
         F.col("answer"), F.lit("<br>### Step 1\n[x = a_b]\n- (k) - "), F.col("source"),

@@ -255,3 +255,22 @@ WINDOW w AS (PARTITION BY conv_id ORDER BY n)""")
 def followup_context(turns):
     exchanges = versions.number_exchanges(turns.withColumnRenamed("conv_id", "conversation_id"))
     return versions.follow_up_questions(exchanges)
+
+
+@query("rule_isolation", "reports", """
+SELECT report_id, 'brittle' AS rule_id, CASE WHEN contains(report_text, 'Cohesion') THEN CASE WHEN contains(report_text, 'Office') THEN 'pass' ELSE 'fail' END ELSE 'not_checked' END AS status,
+       CASE WHEN contains(report_text, 'Cohesion') THEN 'cohesion at ' || (strpos(report_text, 'Cohesion') - 1) ELSE 'Check failed: no cohesion' END AS details FROM reports
+UNION ALL SELECT report_id, 'plain', CASE WHEN length(report_text) > 200 THEN 'pass' ELSE 'warning' END, length(report_text) || ' characters' FROM reports""")
+def rule_isolation(reports):
+    """Two rules of the user's own over all reports; one raises an error where a word is missing, the other runs on."""
+
+    def brittle(text):
+        if "Cohesion" not in text:
+            raise ValueError("no cohesion")
+        return "Office" in text, f"cohesion at {text.index('Cohesion')}"
+
+    rules = [
+        R.Rule("brittle", "Brittle", "parameter", "critical", R.python_rule(brittle)),
+        R.Rule("plain", "Plain", "parameter", "low", R.python_rule(lambda text: (len(text) > 200, f"{len(text)} characters"))),
+    ]
+    return validation.rule_checks(reports, rules).select("report_id", "rule_id", "status", "details")

@@ -322,10 +322,10 @@ def _ordered(chunks, *order):
 @query("merge_chunks", "md_docs", """
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY l, rank) AS INT) AS merged_rank, section_title, md5(text) AS text_md5 FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id, document_name, section_title, page_number, left(text, 160) ORDER BY l, rank) n
-   FROM (SELECT 0 AS l, * FROM base WHERE rank <= 3 UNION ALL SELECT 1, * FROM extra)) WHERE n = 1 QUALIFY merged_rank <= 12""", LISTS_SQL)
+   FROM (SELECT 0 AS l, * FROM base UNION ALL SELECT 1, * FROM extra)) WHERE n = 1 QUALIFY merged_rank <= 12""", LISTS_SQL)
 def merge_chunks(docs):
     chunks = chunking.section_chunks(manual_docs(docs))
-    base = _ordered(chunks, F.desc("char_count"), "section_no", "part_no").filter("rank <= 3")
+    base = _ordered(chunks, F.desc("char_count"), "section_no", "part_no")
     extra = _ordered(chunks.filter("section_level <= 2"), "section_no", "part_no")
     return search.merge_results(base, extra).selectExpr("query_id", "merged_rank", "section_title", "md5(text) text_md5")
 
@@ -350,10 +350,10 @@ def result_rank(docs):
 
 @query("prompt_context", "md_docs", """
 SELECT query_id, md5(string_agg(concat('[Source: ', document_name, ' | Section: ', section_title, ' | Page: ', coalesce(page_number, 'N/A'), ']', chr(10), text), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank)) AS context_md5
-FROM base WHERE rank <= 10 GROUP BY 1""", LISTS_SQL)
+FROM base GROUP BY 1""", LISTS_SQL)
 def prompt_context(docs):
     chunks = chunking.section_chunks(manual_docs(docs))
-    best = _ordered(chunks, F.desc("char_count"), "section_no", "part_no").filter("rank <= 10")
+    best = _ordered(chunks, F.desc("char_count"), "section_no", "part_no")
     return context.source_blocks(best).selectExpr("query_id", "md5(context) context_md5")
 
 

@@ -46,7 +46,7 @@ VIEWS: dict[str, str] = {
     "relationships": """
         SELECT t.project_id, CAST(l_partkey AS VARCHAR(20)) AS pred_task_id, t.task_id AS succ_task_id,
                'FS' AS relationship_type, CAST(0 AS INT) AS lag_days
-        FROM {lineitem} JOIN {tasks} t ON l_orderkey = t.task_no WHERE l_returnflag = 'R'""",
+        FROM {lineitem} JOIN {tasks} t ON l_orderkey = t.task_no""",
     "resources": """
         SELECT project_id, task_id, concat('RES_', resource_crew) AS resource_id,
                concat(resource_crew, ' Crew') AS resource_name, CAST(1 AS DOUBLE) AS units,
