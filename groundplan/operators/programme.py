@@ -5,12 +5,15 @@ Every operator takes many projects at once; ``keys`` names the project columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundplan.functions import risk
 from groundplan.functions.words import days_between
 from groundplan.operators.running import running_totals
+from groundplan.operators.sizes import broadcast_if_small
 
 PROJECT = ["project_id"]
 
@@ -55,16 +58,25 @@ def evm_metrics(tasks: DataFrame, *, as_of, keys: list[str] = PROJECT) -> DataFr
     )
 
 
+# tasks of one project and day that are ordered in one task
+_TASKS_PER_DAY = 100_000
+
+
 def evm_trend(tasks: DataFrame, *, keys: list[str] = PROJECT) -> DataFrame:
     """Running budget and earned value along (start_date, task_id).
 
-    A day on which very many tasks start is cut into parts by the beginning of
-    the id, which keeps the order.
+    The parts are days, so a project has few of them; a day on which very many
+    tasks start, which is counted first, is cut by the beginning of the id, which
+    keeps the order.
     """
     rows = tasks.select(*keys, "task_id", "start_date", "budget_cost", "percent_complete")
-    part = F.substring("task_id", 1, 3)
+    full = rows.groupBy(*keys, "start_date").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > _TASKS_PER_DAY)
+    full = broadcast_if_small(full.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "start_date")], F.lit(True).alias("_full")))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "start_date")])
+    marked = rows.join(full, same, "left").select(*rows.columns, "_full")
+    part = F.when(F.col("_full"), F.substring("task_id", 1, 3)).otherwise("")
     return running_totals(
-        rows,
+        marked,
         keys,
         bucket=F.struct(F.col("start_date").alias("start"), part.alias("part")),
         order=[F.col("task_id")],
@@ -72,7 +84,7 @@ def evm_trend(tasks: DataFrame, *, keys: list[str] = PROJECT) -> DataFrame:
             "cumulative_budget": F.col("budget_cost"),
             "cumulative_ev": F.col("budget_cost") * F.col("percent_complete") / 100,
         },
-    )
+    ).drop("_full")
 
 
 def s_curve(tasks: DataFrame, *, keys: list[str] = PROJECT) -> DataFrame:

@@ -41,3 +41,18 @@ def test_one_report_with_most_versions(spark):
     plain = drafts.withColumn("n", F.row_number().over(Window.partitionBy("report_id").orderBy("created_at")))
     key = lambda df, n: sorted((r.report_id, r.created_at, r[n]) for r in df.collect())
     assert key(made, "version_number") == key(plain, "n")
+
+
+def test_trend_of_a_full_day(spark, monkeypatch):
+    """One day holds most tasks and is cut by the beginning of the id; null days come first."""
+    from groundplan.operators import programme
+
+    monkeypatch.setattr(programme, "_TASKS_PER_DAY", 50)
+    rows = [("P", f"{i:05d}", None if i % 17 == 0 else dt.date(2024, 1, 1 + (i % 20 if i % 3 == 0 else 4)), float(i % 7), 50.0) for i in range(600)]
+    tasks = spark.createDataFrame(rows, "project_id string, task_id string, start_date date, budget_cost double, percent_complete double")
+    got = [(r.task_id, r.cumulative_budget, r.cumulative_ev) for r in programme.evm_trend(tasks).orderBy("start_date", "task_id").collect()]
+    total, want = 0.0, []
+    for _, task, _, cost, _ in sorted(rows, key=lambda r: (r[2] or dt.date(1900, 1, 1), r[1])):
+        total += cost
+        want.append((task, total, total / 2))
+    assert got == want
