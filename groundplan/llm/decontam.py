@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundplan.llm.units import tidy
 from groundplan.llm.words import CLASSES, PUNCTUATION, Texts, blocks, find_words, hash_words, read_texts
 from groundplan.session import stored
 
@@ -294,7 +295,7 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                         ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                     )
 
-        found = found.unionByName(documents.select("doc_id", "text").mapInArrow(ask, schema))
+        found = found.unionByName(documents.select("doc_id", "text").mapInArrow(tidy(ask), schema))
     return found
 
 
@@ -310,5 +311,5 @@ def without_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                     clean = pa.array([t not in leaked for t in range(past - first)], pa.bool_())
                     yield batch.slice(first, past - first).filter(clean)
 
-        documents = documents.mapInArrow(drop, documents.schema)
+        documents = documents.mapInArrow(tidy(drop), documents.schema)
     return documents

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundplan.llm.units import tidy
 from groundplan.llm.words import Texts, blocks, read_texts
 
 UNKNOWN = "und"
@@ -161,7 +162,7 @@ def sample_windows(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, windo
                     ["doc_id", "lang", "bytes"],
                 )
 
-    return picked.mapInArrow(cut, "doc_id long, lang string, bytes binary")
+    return picked.mapInArrow(tidy(cut), "doc_id long, lang string, bytes binary")
 
 
 def fit(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> Network | None:
@@ -212,7 +213,7 @@ def predict(documents: DataFrame, network: Network | None, names: tuple[str, str
     if network is None:
         return documents.select(*kept, F.lit(UNKNOWN).alias(names[0]), F.lit(0.0).alias(names[1]))
     schema = documents.select(*kept).schema.add(names[0], "string").add(names[1], "double")
-    return documents.select(*kept, readable.alias("_readable")).mapInArrow(score, schema)
+    return documents.select(*kept, readable.alias("_readable")).mapInArrow(tidy(score), schema)
 
 
 def held_out() -> Column:

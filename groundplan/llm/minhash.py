@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundplan.llm.components import components
+from groundplan.llm.units import tidy
 from groundplan.llm.words import LOWER, Texts, blocks, find_words, hash_words, mix, read_texts
 from groundplan.session import stored
 
@@ -139,7 +140,7 @@ def fingerprints(documents: DataFrame, size: int, percent: int) -> DataFrame:
                 )
 
     schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits binary"
-    return documents.select("doc_id", "text").mapInArrow(make, schema)
+    return documents.select("doc_id", "text").mapInArrow(tidy(make), schema)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -209,7 +210,7 @@ def _links(members: DataFrame, percent: int, count: int) -> DataFrame:
 
     columns = ["cluster", "part", "node", "known", "role", "bits", "shingles"]
     placed = members.select(*columns).repartition("cluster", "part").sortWithinPartitions("cluster", "part", "node")
-    return placed.mapInArrow(find, "a long, b long")
+    return placed.mapInArrow(tidy(find), "a long, b long")
 
 
 def _with_sets(members: DataFrame, documents: DataFrame, size: int) -> DataFrame:
@@ -228,7 +229,7 @@ def _with_sets(members: DataFrame, documents: DataFrame, size: int) -> DataFrame
 
     schema = rows.drop("text").schema.add("shingles", "binary").add("_set", "long")
     # a doc_id may stand on several texts: the one of the class
-    return rows.mapInArrow(add, schema).filter(F.col("_set") == F.col("set_a")).drop("_set")
+    return rows.mapInArrow(tidy(add), schema).filter(F.col("_set") == F.col("set_a")).drop("_set")
 
 
 def _classes(prints: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundplan.llm.units import tidy
 from groundplan.llm.words import LOWER, Texts, blocks, find_words, hash_words, kept_in_worker, text_column
 from groundplan.operators.running import running_totals
 from groundplan.session import stored
@@ -28,7 +29,7 @@ from groundplan.session import stored
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 # words whose ids a worker keeps at a time
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 # hash buckets that split the pieces of one length
 _BUCKETS = 1024
 # stands between words that are encoded together
@@ -159,7 +160,7 @@ def token_pieces(documents: DataFrame, vocabulary: str | None = None, capacity:
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return documents.select("doc_id", "text").mapInArrow(cut, schema)
+    return documents.select("doc_id", "text").mapInArrow(tidy(cut), schema)
 
 
 def length_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -311,7 +312,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return numbered.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return numbered.mapInArrow(tidy(place), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:

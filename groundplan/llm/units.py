@@ -6,7 +6,7 @@ so equal stretches are tokenized once per task and looked up by a 64-bit hash.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -34,6 +34,18 @@ def give_back() -> None:
     _trim()(0)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, handing freed memory back after each result and at the end of the task."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        for made in run(batches):
+            yield made
+            give_back()
+        give_back()
+
+    return tidied
+
+
 def with_space(texts: Texts) -> Texts:
     """The texts with a space put before each that is not empty."""
     sizes = np.diff(texts.offsets)
