@@ -21,7 +21,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later copies of whole line runs, and documents of which nothing is left."""
     names = docs.columns
-    rest = linedup.delete_repeated_runs(docs, whole_runs=True).filter((F.col("n_deleted") == 0) | (F.col("n_lines") > F.col("n_deleted")))
+    # own columns called like the two counts step aside meanwhile
+    own = [c for c in names if c.lower() in ("n_lines", "n_deleted")]
+    for c in own:
+        docs = docs.withColumnRenamed(c, f"_own_{c}")
+    rest = linedup.delete_repeated_runs(docs).filter((F.col("n_deleted") == 0) | (F.col("n_lines") > F.col("n_deleted"))).drop("n_lines", "n_deleted")
+    for c in own:
+        rest = rest.withColumnRenamed(f"_own_{c}", c)
     counted = {"n_chars": F.char_length("text").cast("long")} if "n_chars" in names else {}
     return rest.withColumns(counted).select(*names)
 

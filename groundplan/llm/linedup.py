@@ -7,11 +7,10 @@ form an interval whose common prefix has at least 2^j lines. A suffix leaves the
 sort as soon as it stands alone, or as soon as its decisive prefix is ranked:
 the fewest lines that hold ``min_chars`` characters. Whatever has a copy of that
 prefix earlier in the collection is deleted; overlapping prefixes add up to the
-maximal repeated runs, but for the short lines after the last prefix that fits
-in a run. With ``whole_runs`` the run goes on to where the copies part: a prefix
-is followed line by line while what comes after its first line holds fewer than
-``min_chars`` characters; from there on the next prefix takes over. All of it is
-DataFrame expressions, joins and aggregates.
+maximal repeated runs, and the last one of a run goes on to where the copies
+part: a prefix is followed line by line while what comes after its first line
+holds fewer than ``min_chars`` characters; from there on the next prefix takes
+over. All of it is DataFrame expressions, joins and aggregates.
 """
 
 from __future__ import annotations
@@ -114,16 +113,19 @@ def _longer_prefixes(documents: DataFrame, min_chars: int) -> DataFrame:
     return rows.select(*_PLACE, "need", F.get("_ids", F.col("k")).alias("rank"), F.xxhash64(run).alias("_end"))
 
 
-def later_runs(documents: DataFrame, min_chars: int = MIN_CHARS, *, whole_runs: bool = False) -> DataFrame:
+def later_runs(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Prefixes with an earlier copy: place of the first line (doc_id, _text, k) and ``need``, the number of lines.
 
     Earlier means a smaller (doc_id, hash of the text, line). Rows equal in
-    doc_id and text are one document. With ``whole_runs`` the prefixes cover
-    every maximal repeated run to its end.
+    doc_id and text are one document. The prefixes cover every maximal repeated
+    run to its end.
     """
-    if whole_runs:
-        longer = _later_copies(_longer_prefixes(documents, min_chars), ["need", "rank", "_end"])
-        return later_runs(documents, min_chars).unionByName(longer)
+    longer = _later_copies(_longer_prefixes(documents, min_chars), ["need", "rank", "_end"])
+    return _later_prefixes(documents, min_chars).unionByName(longer)
+
+
+def _later_prefixes(documents: DataFrame, min_chars: int) -> DataFrame:
+    """Decisive prefixes with an earlier copy."""
     positions = line_positions(documents, min_chars)
     # prefixes are alike if they are as long and agree in what they begin and end with
     keys = ["need", "rank", "_end"]
@@ -144,19 +146,18 @@ def later_runs(documents: DataFrame, min_chars: int = MIN_CHARS, *, whole_runs:
         depth *= 2
 
 
-def delete_repeated_runs(documents: DataFrame, min_chars: int = MIN_CHARS, *, whole_runs: bool = False) -> DataFrame:
+def delete_repeated_runs(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Documents (doc_id, text and any others) without the later copies of repeated runs of lines.
 
     A run is deleted when it holds at least ``min_chars`` characters and the same
     lines stand one after another earlier on, in an earlier document by doc_id or
-    higher up in the same one; the first copy stays. Short lines at the end of a
-    run, which no window of just ``min_chars`` characters inside it ends with,
-    go with ``whole_runs`` only. Blank lines stay and do not part a run. ``text`` is the rest, '' when every filled line went; a null
-    text stays null. Added are ``n_lines`` (filled lines) and ``n_deleted``.
+    higher up in the same one; the first copy stays. Runs go to their
+    end, short lines included. Blank lines stay and do not part a run. ``text`` is
+    the rest, '' when every filled line went; a null text stays null. Added are ``n_lines`` (filled lines) and ``n_deleted``.
     Rows equal in doc_id and text are one document and all get the same text;
     columns called like the two added ones are replaced.
     """
-    runs = later_runs(documents, min_chars, whole_runs=whole_runs)
+    runs = later_runs(documents, min_chars)
     gone = runs.groupBy("doc_id", "_text").agg(
         F.array_distinct(F.flatten(F.collect_list(F.sequence("k", F.col("k") + F.col("need") - 1)))).alias("_gone")
     )

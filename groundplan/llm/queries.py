@@ -45,8 +45,10 @@ WITH split AS (
          sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i) AS upto
   FROM split WHERE regexp_matches(line, '[^ \\t\\v\\f\\r]')
 ), reach AS (
-  SELECT a.doc_id, a.k, min(b.k) AS last FROM filled a JOIN filled b
-  ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k < a.k + 50 AND b.upto - a.upto + a.size >= 50 GROUP BY a.doc_id, a.k
+  -- every run of 50 characters whose lines but the first hold fewer, or but the last; longer runs are made up of these
+  SELECT a.doc_id, a.k, b.k AS last FROM filled a JOIN filled b
+  ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k <= a.k + 50 AND b.upto - a.upto + a.size >= 50
+  WHERE b.upto - a.upto < 50 OR b.upto - a.upto + a.size - b.size < 50
 ), run AS (
   SELECT r.doc_id, r.k, r.last, string_agg(f.line, chr(10) ORDER BY f.k) AS content
   FROM reach r JOIN filled f ON f.doc_id = r.doc_id AND f.k BETWEEN r.k AND r.last GROUP BY ALL

@@ -10,7 +10,7 @@ SCHEMA = "doc_id long, text string, n_lines string"
 
 
 def plain(rows, min_chars):
-    """The same by loops: documents in order, windows by their content."""
+    """The same by loops: documents in order, every repeated run of lines by its content, however long."""
     seen, result = {}, {}
     for doc_id, text in rows:
         if text is None:
@@ -20,14 +20,13 @@ def plain(rows, min_chars):
         filled = [i for i, line in enumerate(lines) if line.strip(" \t\x0b\f\r")]
         gone = set()
         for k in range(len(filled)):
-            chars = 0
+            chars, content = 0, []
             for last in range(k, len(filled)):
                 chars += len(lines[filled[last]])
+                content.append(lines[filled[last]])
                 if chars >= min_chars:
-                    content = tuple(lines[i] for i in filled[k : last + 1])
-                    if seen.setdefault(content, (doc_id, k)) != (doc_id, k):
+                    if seen.setdefault(tuple(content), (doc_id, k)) != (doc_id, k):
                         gone |= set(filled[k : last + 1])
-                    break
         rest = "" if filled and len(gone) == len(filled) else "\n".join(x for i, x in enumerate(lines) if i not in gone)
         result[doc_id] = (rest, len(filled), len(gone))
     return result
@@ -65,7 +64,19 @@ def test_odd_texts(spark):
 
 def test_long_text_of_short_lines(spark):
     lines = [str(i % 7919 % 10) for i in range(30_000)]
-    compare(spark, [(1, "\n".join(lines)), (2, "\n".join(lines[5000:9000]))], 50)
+    part = lines[5000:9000]
+    df = spark.createDataFrame([(1, "\n".join(lines), "own"), (2, "\n".join(part), "own")], SCHEMA).repartition(4)
+    got = {r.doc_id: r for r in linedup.delete_repeated_runs(df, 50).collect()}
+    # the first document repeats itself with a period of 10 up to where 7919 breaks it
+    def repeated(own, before):
+        gone, heads = set(), {}
+        for k in range(len(before) - 49):
+            heads.setdefault(tuple(before[k : k + 50]), k)
+        for k in range(len(own) - 49):
+            if tuple(own[k : k + 50]) in heads and (own is not before or heads[tuple(own[k : k + 50])] < k):
+                gone |= set(range(k, k + 50))
+        return len(gone)
+    assert got[1].n_deleted == repeated(lines, lines) and got[2].n_deleted == repeated(part, lines) == 4000
 
 
 def test_repeated_rows_and_null_ids(spark):
@@ -104,7 +115,7 @@ def test_whole_runs_at_random(spark, seed, min_chars):
     parts = [[rng.choice(["a", "b", "cc", "ddd", "", "e" * 9, "f" * 29]) for _ in range(rng.randint(3, 20))] for _ in range(8)]
     rows = [(i, "\n".join(line for _ in range(rng.randint(1, 3)) for line in rng.choice(parts)[: rng.randint(1, 20)])) for i in range(40)]
     df = spark.createDataFrame([(i, t, "own") for i, t in rows], SCHEMA).repartition(4)
-    got = linedup.delete_repeated_runs(df, min_chars, whole_runs=True)
+    got = linedup.delete_repeated_runs(df, min_chars)
     assert {r.doc_id: r.n_deleted for r in got.collect()} == plain_whole(rows, min_chars)
 
 
@@ -112,7 +123,13 @@ def test_short_line_at_the_end_of_a_run(spark):
     line = "a line of sixty characters, the head of a run that is repeat"
     rows = [(1, f"{line}\nAs.\nfirst end"), (2, f"{line}\nAs.\nother end"), (3, f"{line}\nAs.")]
     df = spark.createDataFrame([(i, t, "own") for i, t in rows], SCHEMA)
-    got = {r.doc_id: r.text for r in linedup.delete_repeated_runs(df, whole_runs=True).collect()}
+    got = {r.doc_id: r.text for r in linedup.delete_repeated_runs(df).collect()}
     assert got == {1: rows[0][1], 2: "other end", 3: ""}
     docs = df.drop("n_lines")
     assert sorted(r.text for r in corpus_pipeline.delete_repeated_lines(spark, docs, "").collect()) == sorted([rows[0][1], "other end"])
+
+
+def test_pipeline_keeps_own_columns_of_the_counts(spark):
+    df = spark.createDataFrame([(1, "some text", "seven", 3)], "doc_id long, text string, n_lines string, N_DELETED int")
+    got = corpus_pipeline.delete_repeated_lines(spark, df, "").collect()
+    assert [tuple(r) for r in got] == [(1, "some text", "seven", 3)] and got[0].__fields__ == ["doc_id", "text", "n_lines", "N_DELETED"]
