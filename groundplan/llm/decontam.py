@@ -30,7 +30,7 @@ THRESHOLD = 0.6
 # shares of the n-grams of question and answer that the passage must hold
 QUESTION, ANSWER = 0.5, 0.5
 NGRAM = 3
-# items of fewer words cannot be told from chance
+# items of fewer words must stand in the text word for word
 LEAST_WORDS = 8
 # words of a half passage at least; longer where items are longer
 HALF_PASSAGE = 64
@@ -78,6 +78,7 @@ class Index:
     question: list[np.ndarray]
     answer: list[np.ndarray]
     parts: list[tuple[int, int]]  # words of question and answer
+    whole: dict[int, np.ndarray]  # the words of short items
     half: int
     term_bound: np.ndarray = field(init=False)
     block_bound: list[list[float]] = field(init=False)
@@ -93,6 +94,17 @@ class Index:
         return np.where(self.terms[at] == hashes, at, -1)
 
 
+def _holds(words: np.ndarray, run: np.ndarray) -> bool:
+    """Whether ``run`` stands in ``words`` without a gap."""
+    count = len(words) - len(run) + 1
+    if count <= 0:
+        return False
+    same = np.ones(count, bool)
+    for k, word in enumerate(run):
+        same &= words[k : k + count] == word
+    return bool(same.any())
+
+
 def search(index: Index, terms: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, float]]:
     """All items that score at least ``threshold`` for distinct ``terms``: block-max WAND."""
     lists = [(index.posted[index.begins[t] : index.begins[t + 1]].tolist(), index.impacts[index.begins[t] : index.begins[t + 1]].tolist(), float(index.term_bound[t]), index.block_bound[t]) for t in terms.tolist()]
@@ -148,7 +160,7 @@ def _split(words: int, breaks: list[int]) -> int:
 def item_parts(items: DataFrame) -> DataFrame:
     """Question and answer of items (item_id, text): the last sentence or line is the answer, else the last quarter of the words.
 
-    Items that are null or have fewer than ``LEAST_WORDS`` words are left out, and so are those without an id.
+    Items that are null or have no word are left out, and so are those without an id.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +170,7 @@ def item_parts(items: DataFrame) -> DataFrame:
             for item, text in zip(batch.column(0).to_pylist(), texts):
                 sentences = [s for s in pc.split_pattern_regex(pa.scalar(text), r"[.!?]\s+|\n").as_py() if s.strip()]
                 hashes, bounds = word_hashes(read_texts(pa.array(sentences, pa.string())))
-                if item is None or len(hashes) < LEAST_WORDS:
+                if item is None or not len(hashes):
                     continue
                 at = _split(len(hashes), bounds[:-1].tolist())
                 rows.append((item, len(text), hashes.view(np.int64).tolist(), at))
@@ -192,7 +204,7 @@ def build_indexes(items: DataFrame, shard_chars: int = SHARD_CHARS) -> Iterator[
 
 def _index(rows: list, count: int, mean: float, half: int) -> Index:
     postings: dict[int, list[tuple[int, float]]] = {}
-    question, answer, parts, frequency = [], [], [], {}
+    question, answer, parts, whole, frequency = [], [], [], {}, {}
     for number, row in enumerate(rows):
         hashes = np.array(row.words, np.int64)
         kinds, times = np.unique(hashes, return_counts=True)
@@ -205,6 +217,8 @@ def _index(rows: list, count: int, mean: float, half: int) -> Index:
         question.append(_grams(words[: row.answer_at]))
         answer.append(_grams(words[row.answer_at :]))
         parts.append((row.answer_at, len(words) - row.answer_at))
+        if len(words) < LEAST_WORDS:
+            whole[number] = words
     terms = np.sort(np.array(list(postings), np.int64).view(np.uint64))
     keys = terms.view(np.int64).tolist()
     flat = [p for k in keys for p in postings[k]]
@@ -218,7 +232,7 @@ def _index(rows: list, count: int, mean: float, half: int) -> Index:
     begins = np.concatenate([[0], np.cumsum([len(postings[k]) for k in keys])])
     return Index(
         np.array([r.item_id for r in rows]), terms, begins, np.array([p[0] for p in flat]), np.array([p[1] for p in flat]),
-        rare, common, question, answer, parts, half,
+        rare, common, question, answer, parts, whole, half,
     )
 
 
@@ -262,6 +276,8 @@ def leaks_of(texts: Texts, index: Index, threshold: float = THRESHOLD) -> dict[t
         words = hashes[start : min(start + 2 * half, bounds[t + 1])]
         own = index.lookup(words)
         for item, score in search(index, np.unique(own[own >= 0]), threshold):
+            if item in index.whole and not _holds(words, index.whole[item]):
+                continue
             q, a = index.parts[item]
             shares = _overlap(index.question[item], words, q), _overlap(index.answer[item], words, a)
             if shares[0] >= QUESTION and shares[1] >= ANSWER:
@@ -273,7 +289,8 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Test items (item_id, text) that stand in documents (doc_id, text): doc_id, item_id, score and overlaps.
 
     One row per document row and item, of the passage with the best score
-    (1 when it holds every word of the item). Passages overlap by half and are
+    (1 when it holds every word of the item). Items of fewer than ``LEAST_WORDS``
+    words must stand in it word for word. Passages overlap by half and are
     twice as long as the longest item, so every item lies whole in one. Texts
     that are null or empty hold nothing; no items, no rows.
     """

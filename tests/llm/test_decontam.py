@@ -126,3 +126,13 @@ def test_odd_texts_and_empty_tables(spark):
     assert sorted((r.doc_id for r in decontam.without_leaks(docs, tests).collect())) == [1, 2, 3, 6, 7]
     assert decontam.find_leaks(docs, tests.limit(0)).collect() == [] and decontam.without_leaks(docs, tests.limit(0)).count() == 9
     assert decontam.find_leaks(docs.limit(0), tests).collect() == []
+
+
+def test_short_items_stand_word_for_word(spark):
+    docs = spark.createDataFrame(
+        [(1, "A quiz. Capital of France? It is Paris. Next one."), (2, "It is Paris, the capital of France that they named."), (3, "paris"), (4, "Berlin and London"), (5, None)],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(1, "Capital of France? It is Paris."), (2, "Madrid"), (3, "Berlin"), (4, "...")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(docs, items).collect()) == [(1, 1), (4, 3)]
+    assert sorted(r.doc_id for r in decontam.without_leaks(docs, items).collect()) == [2, 3, 5]
