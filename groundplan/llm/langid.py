@@ -233,5 +233,8 @@ def keep_identified(documents: DataFrame, least: float = 0.35) -> DataFrame:
     Texts in two languages share the score among them, hence the low limit; a
     null text or one without letters is rejected.
     """
-    scored = predict(documents, fit(documents.filter(~held_out())), ("_lang_pred", "_score"))
-    return scored.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).select(*documents.columns)
+    lang, score = "_lang_pred", "_score"
+    while {lang, score} & {c.lower() for c in documents.columns}:
+        lang, score = f"_{lang}", f"_{score}"
+    scored = predict(documents, fit(documents.filter(~held_out())), (lang, score))
+    return scored.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*documents.columns)

@@ -214,8 +214,8 @@ def _links(members: DataFrame, percent: int, count: int) -> DataFrame:
 
 
 def _with_sets(members: DataFrame, documents: DataFrame, size: int) -> DataFrame:
-    """Members with the sorted hashes of their shingles, from the texts of the members alone."""
-    rows = documents.select(F.col("doc_id").alias("node"), "text").join(members, "node")
+    """Members with the sorted hashes of their shingles, from the texts of the documents that stand for them alone."""
+    rows = documents.select(F.col("doc_id").alias("named"), "text").join(members, "named").drop("named")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,16 +228,15 @@ def _with_sets(members: DataFrame, documents: DataFrame, size: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*kept, made, pa.array(whole, pa.int64())], [*[batch.schema.names[i] for i in rest], "shingles", "_set"])
 
     schema = rows.drop("text").schema.add("shingles", "binary").add("_set", "long")
-    # a doc_id may stand on several texts: the one of the class
-    return rows.mapInArrow(tidy(add), schema).filter(F.col("_set") == F.col("set_a")).drop("_set")
+    # a doc_id may stand on several texts: the one of the class, once
+    return rows.mapInArrow(tidy(add), schema).filter(F.col("_set") == F.col("set_a")).drop("_set").dropDuplicates(["node"])
 
 
 def _classes(prints: DataFrame) -> DataFrame:
-    """One row for each distinct set that is not empty, named by its smallest doc_id."""
-    named = prints.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    sets = named.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"), F.min("bits").alias("bits"))
-    # a doc_id may name several sets: the smallest stands for it
-    return sets.groupBy("node").agg(F.min(F.struct("set_a", "set_b", "n_shingles", "bands", "bits")).alias("_set")).select("node", "_set.*")
+    """One row for each distinct set that is not empty: a number of its own, and the smallest doc_id it stands on."""
+    known = prints.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    sets = known.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("named"), F.min("bands").alias("bands"), F.min("bits").alias("bits"))
+    return sets.withColumn("node", F.xxhash64("n_shingles", "set_a", "set_b"))
 
 
 def _clusters(classes: DataFrame) -> DataFrame:
@@ -248,7 +247,7 @@ def _clusters(classes: DataFrame) -> DataFrame:
 
 
 def find_links(documents: DataFrame, prints: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between classes (a, b) that leave no two of one component unconnected."""
+    """Links between the doc_ids of classes (a, b) that leave no two of one component unconnected."""
     count = band_count(percent) * ROWS
     classes = stored(_classes(prints))
     members = _clusters(classes).join(classes.drop("bands"), "node")
@@ -260,9 +259,11 @@ def find_links(documents: DataFrame, prints: DataFrame, size: int, percent: int)
     first = ready.withColumn("part", F.explode(F.when(shared, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
     found = stored(_links(first.withColumns({"known": F.col("node"), "role": F.lit(3)}), percent, count))
     split = ready.filter(F.col("parts") > 1)
-    if not split.take(1):
-        return found
-    return found.unionByName(_links(_across(split, found), percent, count))
+    if split.take(1):
+        found = found.unionByName(_links(_across(split, found), percent, count))
+    for side in ("a", "b"):
+        found = found.join(classes.select(F.col("node").alias(side), F.col("named").alias(f"_{side}")), side)
+    return found.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
 def _across(split: DataFrame, found: DataFrame) -> DataFrame:
@@ -306,7 +307,10 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 
 
 def keep_one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without all but one, the smallest doc_id, of each group of near duplicates; repeated rows go too."""
+    """The documents without all but one, the smallest doc_id, of each group of near duplicates.
+
+    Rows equal in doc_id and text are one; unlike texts of one doc_id all stay or all go.
+    """
     kept = near_duplicates(documents, size, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = documents.join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept").dropDuplicates(["doc_id"])
+    rows = documents.join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept").withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same")
     return rows.unionByName(documents.filter(F.col("doc_id").isNull()))

@@ -139,3 +139,30 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "x long, y long")).collect()}
     want = {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1400)} | {2000: 2000, 2001: 2000}
     assert got == want
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_unlike_texts_under_one_id_keep_their_links(spark, swap):
+    """Each id stands on two unlike texts, and another id is near to either of them."""
+    import random
+
+    rng = random.Random(4)
+    made = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(120))
+    rows, want = [], {}
+    for i in range(30):
+        one, two = made(), made()
+        near = [" ".join([*t.split(" ")[:-1], "end"]) for t in (one, two)]
+        own = [(3 * i, one), (3 * i, two), (3 * i + 1, near[0]), (3 * i + 2, near[1])]
+        rows += own[::-1] if swap else own
+        want |= {3 * i + k: 3 * i for k in range(3)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = minhash.near_duplicates(docs).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(got) == 120
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(40)]
+    rows = [(i // 2, t, i) for i, t in enumerate(texts)] + [(0, texts[0], 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept int")
+    kept = minhash.keep_one_of_each(docs.withColumnRenamed("_kept", "extra")).collect()
+    assert sorted(r.text for r in kept) == sorted(texts)
