@@ -48,6 +48,11 @@ def _closing(title: str, width: int, lines: list[str]) -> str:
     return "\n".join([f"\n{_heading(title, width)}", *lines])
 
 
+def _fixed(value: Column) -> Column:
+    """One decimal, ties to even, without separators."""
+    return F.replace(F.format_number(value.cast("double"), 1), F.lit(","), F.lit(""))
+
+
 def _progress() -> Column:
     """Progress as it is stored, not rounded."""
     return F.col("percent_complete").cast("double").cast("string")
@@ -71,7 +76,7 @@ def delay_risk_report(scored: DataFrame, *, top_n: int = 15, keys: list[str] = P
             f"DELAY RISK PREDICTION REPORT\n{'=' * 70}\n\nRISK SUMMARY\n{'-' * 70}\n  Total Tasks at Risk: %d\n  High Risk: %d\n  Medium Risk: %d\n  Low Risk: %d\n"
             f"  Critical Tasks at Risk: %d\n  Average Risk Score: %s\n\n{_heading(f'TOP {top_n} HIGHEST RISK ACTIVITIES', 70)}",
             "total_at_risk", "high_risk", "medium_risk", "low_risk", "critical_at_risk",
-            F.format_string("%.1f", "avg_risk_score"),
+            _fixed(F.col("avg_risk_score")),
         ).alias("line"),
     )
     top = programme.delay_risk_top(scored, top_n=top_n, keys=keys).select(
@@ -180,7 +185,7 @@ def coordination_lines(tasks: DataFrame) -> DataFrame:
     named = lambda mark, c: F.when(F.size(c) > 0, F.concat(F.lit(f"\n    {mark}: "), F.array_join(c, ", "))).otherwise("")
     summary = F.format_string(
         "\n%s:\n  Tasks: %d | Avg Progress: %s%%\n  Period: %s to %s",
-        F.col("crew"), F.col("tasks"), F.format_string("%.1f", "avg_progress"), _date("first_start"), _date("last_end"),
+        F.col("crew"), F.col("tasks"), _fixed(F.col("avg_progress")), _date("first_start"), _date("last_end"),
     )
     handed = F.concat(
         F.lit("\n  "), _date("handoff_date"), F.lit(": "), "from_crew", F.lit(" -> "), "to_crew", named("From", F.col("from_tasks")), named("To", F.col("to_tasks")),
@@ -201,7 +206,7 @@ def schedule_context(tasks: DataFrame, resources: DataFrame | None = None, *, sh
     from groundplan.functions.risk import remaining_duration, task_status
 
     money = lambda c: F.concat(F.lit("$"), F.format_number(c, 2))
-    number = lambda c: F.format_string("%.1f", (F.col(c) if isinstance(c, str) else c).cast("double"))
+    number = lambda c: _fixed(F.col(c) if isinstance(c, str) else c)
     head = programme.schedule_summary(tasks).select(
         "project_id", F.lit(0).alias("section"), F.lit(0).alias("pos"),
         F.concat_ws(

@@ -159,15 +159,15 @@ VIEWS: dict[str, str] = {
                concat(CAST(vec_id % 7 + 1 AS VARCHAR(5)), '.', CAST(vec_id % 4 + 1 AS VARCHAR(5))) AS clause_id
         FROM {embeddings}""",
     "text_chunks": """
-        SELECT doc_id AS chunk_id, embedding, text FROM {documents} JOIN {embeddings} ON vec_id = doc_id % (SELECT count(*) FROM {embeddings})""",
+        SELECT doc_id AS chunk_id, embedding, text FROM (SELECT d.doc_id, d.text, n FROM {documents} d JOIN (SELECT count(*) AS n FROM {embeddings}) c ON true) d JOIN {embeddings} ON vec_id = doc_id % n""",
     "vector_edges": """
-        SELECT vec_id AS src, (vec_id * 7 + 3) % (SELECT count(*) FROM {embeddings}) AS dst FROM {embeddings}
-        UNION ALL SELECT vec_id, (vec_id * 13 + 1) % (SELECT count(*) FROM {embeddings}) FROM {embeddings} WHERE vec_id % 3 > 0""",
+        SELECT vec_id AS src, (vec_id * 7 + 3) % n AS dst FROM {embeddings} JOIN (SELECT count(*) AS n FROM {embeddings}) c ON true
+        UNION ALL SELECT vec_id, (vec_id * 13 + 1) % n FROM {embeddings} JOIN (SELECT count(*) AS n FROM {embeddings}) c ON true WHERE vec_id % 3 > 0""",
     "asked_items": """
-        SELECT item_id AS query_id, text, item_id % 10 AS label, item_id % (SELECT count(*) FROM {embeddings}) AS vec_id FROM {benchmark}""",
+        SELECT item_id AS query_id, text, item_id % 10 AS label, item_id % n AS vec_id FROM {benchmark} JOIN (SELECT count(*) AS n FROM {embeddings}) c ON true""",
     "asked_questions": """
         SELECT question_id AS query_id, question AS text, question_id % 10 AS label,
-               question_id % (SELECT count(*) FROM {embeddings}) AS vec_id FROM {questions}""",
+               question_id % n AS vec_id FROM {questions} JOIN (SELECT count(*) AS n FROM {embeddings}) c ON true""",
     "lab_rows": """
         SELECT l_orderkey AS sample_id, CAST(l_linenumber AS DOUBLE) AS depth_m, l_linestatus AS test_type,
                CASE l_returnflag WHEN 'A' THEN 'cohesion_kpa' WHEN 'N' THEN 'friction_angle_deg' ELSE 'unit_weight_kn_m3' END AS parameter_name,
