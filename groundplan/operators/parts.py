@@ -3,6 +3,8 @@
 The held table is dealt to parts of bounded size by one shuffle. The asking rows
 are few next to it; every part meets all of them. A task holds one part at a time
 and the asking rows stream past it, so neither side passes through the driver.
+Where the asking rows are many, they are dealt to slices, and a part meets one
+slice in each task.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ def part_of(key: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(parts)).cast("int").alias("part")
 
 
-def _stream(build: Callable, search: Callable):
+def _stream(build: Callable, search: Callable, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, waiting, held = None, [], None
         for batch in batches:
@@ -46,20 +48,30 @@ def _stream(build: Callable, search: Callable):
                 elif waiting or held is not None:
                     if held is None:
                         held, waiting = build(pa.concat_tables(waiting)), []
-                    yield from search(held, int(part), table.slice(a, b - a))
+                    yield from search(held, int(part) // slices, table.slice(a, b - a))
 
     return run
 
 
-def meet(held: DataFrame, asks: DataFrame, parts: int, build: Callable, search: Callable, schema: str) -> DataFrame:
+def meet(held: DataFrame, asks: DataFrame, parts: int, build: Callable, search: Callable, schema: str, *, slices: int = 1) -> DataFrame:
     """``search(build(rows of a part), part, asking rows)`` for every part.
 
     ``held`` has a column part; the names of both tables are unlike. ``build``
-    gets one Arrow table, ``search`` yields record batches of ``schema``.
+    gets one Arrow table, ``search`` yields record batches of ``schema``. With
+    ``slices`` the asking rows are dealt to so many by a hash, and each part is
+    built once for each of them.
     """
-    every = asks.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), *asks.columns)
-    dealt = held.withColumn("asks", F.lit(False)).unionByName(every, allowMissingColumns=True)
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "asks").mapInArrow(_stream(build, search), schema)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    if slices > 1:
+        held = held.withColumn("_slice", numbers(slices)).withColumn("part", F.col("part") * slices + F.col("_slice")).drop("_slice")
+        dealt = F.pmod(F.xxhash64(*asks.columns), F.lit(slices)).cast("int")
+    else:
+        dealt = F.lit(0)
+    every = asks.select(numbers(parts).alias("part"), F.lit(True).alias("asks"), *asks.columns)
+    every = every.withColumn("part", F.col("part") * slices + dealt)
+    both = held.withColumn("asks", F.lit(False)).unionByName(every, allowMissingColumns=True)
+    # one partition would pass for the distribution that the ranking after this needs
+    return both.repartition(max(2, parts * slices), "part").sortWithinPartitions("part", "asks").mapInArrow(_stream(build, search, slices), schema)
 
 
 def best_of_parts(found: DataFrame, keys: list[str], order: list[Column], count: int, parts: int) -> DataFrame:

@@ -20,12 +20,19 @@ BLOCK_QUERIES = 8_192
 PART_BYTES = 64 * 1024 * 1024
 # a small table of chunks is still cut into parts of about this size, up to the cores there are
 _LEAST_PART_BYTES = 2 * 1024 * 1024
+# so many queries and more are dealt to slices instead, of at most so many bytes of vectors
+_MANY_QUERIES = 4_096
+_SLICE_BYTES = 128 * 1024 * 1024
 # clauses in one row of a query's limits
 _CLAUSES_PER_ROW = 1024
 # scores computed at a time in a task
 _SCORES = 4_000_000
 # scores are ranked at this precision, so that equal vectors tie
 SCORE_DIGITS = 12
+# more than rounding to it can change
+_SLACK = 1e-11
+# rows of a part are padded to a multiple of this
+_LANES = 64
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -38,14 +45,25 @@ def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return np.asarray(array.flatten(), dtype=np.float64).reshape(-1, size)
 
 
-def _best(scores: np.ndarray, place: np.ndarray, count: int) -> np.ndarray:
-    """Positions of the ``count`` best scores; equal scores by smaller place."""
-    if len(scores) > count:
-        cut = np.partition(scores, len(scores) - count)[len(scores) - count]
-        keep = np.flatnonzero(scores >= cut)
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((place[keep], -scores[keep]))][:count]
+def _best(scores: np.ndarray, threshold: float, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and rounded score of the ``count`` best columns of each row; equal scores by smaller column.
+
+    The ``count`` best of the maxima of some groups of columns bound the best
+    columns from below, so only those that reach the bound are rounded and sorted.
+    """
+    lanes = scores.reshape(len(scores), _LANES, -1).max(axis=1) if scores.shape[1] % _LANES == 0 and scores.shape[1] >= _LANES * count else scores
+    least = np.full(len(scores), threshold)
+    if lanes.shape[1] >= count:
+        least = np.maximum(least, np.partition(lanes, lanes.shape[1] - count, axis=1)[:, lanes.shape[1] - count])
+    row, column = np.nonzero(scores >= (least - _SLACK)[:, None])
+    score = np.round(scores[row, column], SCORE_DIGITS)
+    good = score >= threshold
+    row, column, score = row[good], column[good], score[good]
+    order = np.lexsort((column, -score, row))
+    row, column, score = row[order], column[order], score[order]
+    first = np.searchsorted(row, np.arange(len(scores)))
+    top = np.arange(len(row)) - first[row] < count
+    return row[top], column[top], score[top]
 
 
 def _parents(clause: str) -> list[str]:
@@ -54,18 +72,26 @@ def _parents(clause: str) -> list[str]:
 
 
 class _Part:
-    """The chunks of one part and vector length: unit vectors, sorted by collection and id."""
+    """The chunks of one part and vector length: unit vectors, sorted by id, with ``grouped`` by collection before that."""
 
-    def __init__(self, rows: pa.Table, size: int, limited: bool):
+    def __init__(self, rows: pa.Table, size: int, limited: bool, grouped: bool):
         groups = rows.column("target_index").to_numpy(zero_copy_only=False).astype(object)
         ids = rows.column("chunk_id").to_numpy(zero_copy_only=False)
-        order = np.lexsort((np.unique(ids, return_inverse=True)[1], np.unique(groups, return_inverse=True)[1]))
+        by_id = np.unique(ids, return_inverse=True)[1]
+        # with a limit for each collection these lie one after the other, else the ids alone are the order
+        order = np.lexsort((by_id, np.unique(groups, return_inverse=True)[1])) if grouped else np.argsort(by_id, kind="stable")
         rows = rows.take(pa.array(order))
         self.ids = rows.column("chunk_id").combine_chunks()
-        self.vectors = _unit(_matrix(rows.column("chunk_vector"), size))
+        self.group = rows.column("target_index").combine_chunks()
+        vectors = _unit(_matrix(rows.column("chunk_vector"), size))
+        self.size = len(vectors)
+        self.vectors = np.zeros((-(-self.size // _LANES) * _LANES, size))
+        self.vectors[: self.size] = vectors
+        self.void = np.flatnonzero(~np.isfinite(self.vectors).all(axis=1))
+        self.vectors[self.void] = 0.0
         groups = groups[order]
-        heads = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-        self.groups = [(groups[a], int(a), int(b)) for a, b in zip(heads, np.append(heads[1:], len(groups)))]
+        heads = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if grouped else np.zeros(1, np.int64)
+        self.groups = [(int(a), int(b)) for a, b in zip(heads, np.append(heads[1:], len(groups)))]
         self.below: dict[str, np.ndarray] = {}
         if limited:
             places: dict[str, list[int]] = {}
@@ -84,24 +110,24 @@ class _Part:
         return mask
 
     def hits(self, queries: np.ndarray, clauses: list[list[str]] | None, threshold: float, count: int):
-        """Query, row and score of the ``count`` best rows of each query and collection, some queries at a time."""
+        """Queries, rows and scores of the ``count`` best rows of each query, and of each collection if grouped, some queries at a time."""
         step = max(1, min(BLOCK_QUERIES, _SCORES // max(1, len(self.vectors))))
         for at in range(0, len(queries), step):
-            scores = np.round(queries[at : at + step] @ self.vectors.T, SCORE_DIGITS)
+            scores = queries[at : at + step] @ self.vectors.T
+            scores[:, self.size :] = -np.inf
+            scores[:, self.void] = -np.inf
             if clauses is not None:
                 scores[~self.allowed(clauses[at : at + step])] = -np.inf
-            for group, first, past in self.groups:
-                part = scores[:, first:past]
-                for q in np.flatnonzero((part >= threshold).any(axis=1)):
-                    good = np.flatnonzero(part[q] >= threshold)
-                    top = good[_best(part[q][good], good, count)]
-                    yield at + q, group, first + top, part[q][top]
+            for first, past in self.groups:
+                part = scores if len(self.groups) == 1 else scores[:, first:past]
+                query, row, score = _best(part, threshold, count)
+                yield at + query, first + row, score
 
 
-def _read_part(limited: bool):
+def _read_part(limited: bool, grouped: bool):
     def read(table: pa.Table) -> dict[int, _Part]:
         sizes = pc.list_value_length(table.column("chunk_vector")).to_numpy()
-        return {int(n): _Part(table.filter(pa.array(sizes == n)), int(n), limited) for n in np.unique(sizes)}
+        return {int(n): _Part(table.filter(pa.array(sizes == n)), int(n), limited, grouped) for n in np.unique(sizes)}
 
     return read
 
@@ -115,17 +141,13 @@ def _search_part(threshold: float, count: int, limited: bool):
             asked, chunks = rows.filter(pa.array(sizes == n)), held[n]
             ids = asked.column("query_id").combine_chunks()
             clauses = asked.column("clauses").to_pylist() if limited else None
-            found = list(chunks.hits(_unit(_matrix(asked.column("query_vector"), n)), clauses, threshold, count))
-            if found:
-                lengths = [len(f[2]) for f in found]
-                queries = np.repeat([f[0] for f in found], lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(queries), part, np.int32)), ids.take(pa.array(queries)), chunks.ids.take(pa.array(np.concatenate([f[2] for f in found]))),
-                        pa.array(np.repeat(np.array([f[1] for f in found], object), lengths), pa.string()), pa.array(np.concatenate([f[3] for f in found])),
-                    ],
-                    names=["part", "query_id", "chunk_id", "target_index", "score"],
-                )
+            for found, at, scores in chunks.hits(_unit(_matrix(asked.column("query_vector"), n)), clauses, threshold, count):
+                if len(found):
+                    at = pa.array(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(found), part, np.int32)), ids.take(pa.array(found)), chunks.ids.take(at), chunks.group.take(at), pa.array(scores)],
+                        names=["part", "query_id", "chunk_id", "target_index", "score"],
+                    )
 
     return search
 
@@ -139,10 +161,17 @@ def _limited(rows: DataFrame, within: DataFrame) -> DataFrame:
     return rows.join(lists, "query_id")
 
 
-def _parts_of(chunks: DataFrame) -> int:
-    """Number of parts from a count of the chunks and the length of one vector."""
+def _dealt(queries: DataFrame, chunks: DataFrame) -> tuple[int, int]:
+    """Numbers of parts and of slices of the queries, from counts of both and the length of one vector."""
     one = chunks.select(F.size("embedding").alias("n")).filter("n > 0").head()
-    return part_count(chunks, chunks.count() * 8 * one.n if one else 0, PART_BYTES, _LEAST_PART_BYTES)
+    if one is None:
+        return 1, 1
+    size, asked = chunks.count() * 8 * one.n, queries.count()
+    if asked < _MANY_QUERIES:
+        return part_count(chunks, size, PART_BYTES, _LEAST_PART_BYTES), 1
+    parts = part_count(chunks, size, PART_BYTES, PART_BYTES)
+    tasks = 3 * chunks.sparkSession.sparkContext.defaultParallelism
+    return parts, max(-(-asked * 8 * one.n // _SLICE_BYTES), min(-(-tasks // parts), asked // (_MANY_QUERIES // 4)))
 
 
 def vector_topk(
@@ -159,19 +188,20 @@ def vector_topk(
     ``queries`` has query_id and embedding; ``chunks`` has chunk_id, embedding
     and, when there are several collections, target_index. The chunk vectors are
     dealt to parts of bounded size by one shuffle, and every part meets all query
-    rows: a task holds its part and scores the queries, which stream past, by
-    matrix products. It keeps ``2 k`` rows per query and collection, which are
-    merged in two steps where there are many parts. Chunk texts stay out of the
+    rows, in slices where they are many: a task holds its part and scores the
+    queries, which stream past, by matrix products. It keeps ``k`` rows per query,
+    or ``per_collection`` of each collection, which are merged in two steps where
+    there are many parts. Chunk texts stay out of the
     search. ``within`` (query_id, clause) limits a query to chunks at or below its
     clauses. Vectors are compared with those of their own length only; equal
     rows of queries count once, null and empty vectors not at all.
     """
-    count = per_collection or 2 * k
+    count, grouped = per_collection or k, per_collection is not None
     group = F.col("target_index") if "target_index" in chunks.columns else F.lit("main")
     clause = F.coalesce("clause_id", F.lit("")) if within is not None else F.lit(None).cast("string")
-    parts = _parts_of(chunks)
     rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("query_vector")).filter(F.size("query_vector") > 0).distinct()
     rows = rows.withColumn("clauses", F.lit(None).cast("array<string>")) if within is None else _limited(rows, within)
+    parts, slices = _dealt(queries, chunks)
     held = chunks.filter(F.size("embedding") > 0).select(
         part_of(F.col("chunk_id"), parts), "chunk_id", F.coalesce(group, F.lit("main")).alias("target_index"),
         clause.alias("clause_id"), F.col("embedding").alias("chunk_vector"),
@@ -179,10 +209,12 @@ def vector_topk(
     kind = lambda df, name: df.schema[name].dataType.simpleString()
     schema = f"part int, query_id {kind(queries, 'query_id')}, chunk_id {kind(chunks, 'chunk_id')}, target_index string, score double"
     limited = within is not None
-    found = meet(held, rows, parts, _read_part(limited), _search_part(threshold, count, limited), schema)
+    found = meet(held, rows, parts, _read_part(limited, grouped), _search_part(threshold, count, limited), schema, slices=slices)
     if limited:  # a query with many clauses stands in several rows
         found = found.dropDuplicates(["part", "query_id", "target_index", "chunk_id", "score"])
     best = [F.desc("score"), F.col("chunk_id")]
+    if not grouped:
+        return best_of_parts(found, ["query_id"], best, k, parts)
     candidates = best_of_parts(found, ["query_id", "target_index"], best, count, parts).drop("rank")
     in_query = Window.partitionBy("query_id").orderBy(*best)
     return candidates.withColumn("rank", F.row_number().over(in_query)).filter(F.col("rank") <= k)

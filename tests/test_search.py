@@ -356,3 +356,29 @@ def test_expansion_of_a_hundred_thousand_primaries(spark):
     got = graph.expand(primaries, edges, chunks).orderBy("position").collect()
     refs = {str(i): [str(i * 31 % 150_000)] for i in range(150_000) if i * 31 % 150_000 != i}
     assert [(r.chunk_id, r.referenced_from) for r in got] == _plain_expansion([str(i * 7 % 100_003) for i in range(count)], refs)
+
+
+def test_many_queries_meet_the_chunks_in_slices(frame, monkeypatch):
+    from groundplan.operators import vectors
+
+    monkeypatch.setattr(vectors, "_MANY_QUERIES", 40)
+    rng = np.random.default_rng(5)
+    held, asked = np.round(rng.normal(size=(700, 4)), 1), rng.normal(size=(150, 4))
+    held[100:130] = held[7]  # copies, which tie
+    chunks = frame([(i, v.tolist(), "abc"[i % 3]) for i, v in enumerate(held)], "chunk_id int, embedding array<double>, target_index string")
+    queries = frame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id int, embedding array<double>")
+    assert vectors._dealt(queries, chunks)[1] > 1
+    got = [tuple(r) for r in vectors.vector_topk(queries, chunks, k=4).orderBy("query_id", "rank").select("query_id", "rank", "chunk_id").collect()]
+    scores = np.round((asked / np.linalg.norm(asked, axis=1)[:, None]) @ (held / np.linalg.norm(held, axis=1)[:, None]).T, 12)
+    want = [(q, r + 1, int(c)) for q in range(150) for r, c in enumerate(np.lexsort((np.arange(700), -scores[q]))[:4]) if scores[q, c] >= 0.3]
+    assert got == want
+
+
+@pytest.mark.parametrize("columns", [50, 640, 4096])
+def test_best_of_a_block_is_bounded_by_maxima(columns):
+    from groundplan.operators import vectors
+
+    scores = np.round(np.random.default_rng(columns).normal(size=(30, columns)), 2)
+    rows, places, found = vectors._best(scores, 0.3, 5)
+    want = [(q, int(c)) for q in range(30) for c in np.lexsort((np.arange(columns), -scores[q]))[:5] if scores[q, c] >= 0.3]
+    assert list(zip(rows.tolist(), places.tolist())) == want and (found == scores[rows, places]).all()
