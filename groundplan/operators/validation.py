@@ -42,18 +42,21 @@ def rule_checks(reports: DataFrame, rules: list[R.Rule] = R.ALL_RULES) -> DataFr
     )
 
 
-def readable(report_text: str = "report_text") -> Column:
-    return F.length(strip(F.coalesce(report_text, F.lit("")))) >= V.MIN_REPORT_CHARS
+def readable(report_text: str = "report_text", *, line_ends: bool = False) -> Column:
+    """Whether a report holds enough text; ``line_ends`` counts those at its ends, blanks never count there."""
+    text = F.coalesce(report_text, F.lit(""))
+    return F.length(F.trim(text) if line_ends else strip(text)) >= V.MIN_REPORT_CHARS
 
 
-def report_checks(reports: DataFrame, rules: list[R.Rule] = R.ALL_RULES) -> DataFrame:
+def report_checks(reports: DataFrame, rules: list[R.Rule] = R.ALL_RULES, *, line_ends: bool = False) -> DataFrame:
     """Check rows of all reports; an unreadable report gets one critical fail."""
-    short = reports.filter(~readable()).select(
+    enough = readable(line_ends=line_ends)
+    short = reports.filter(~enough).select(
         "report_id", F.lit(0).alias("rule_no"), F.lit("extraction").alias("category"), F.lit("Document readability").alias("item"),
         F.lit("fail").alias("status"), F.lit("Could not extract meaningful text from PDF.").alias("details"), F.lit("").alias("reference"),
         F.lit("critical").alias("severity"),
     )
-    checked = rule_checks(reports.filter(readable()), rules).select(
+    checked = rule_checks(reports.filter(enough), rules).select(
         "report_id", "rule_no", F.concat(F.lit("rule_"), "category").alias("category"), F.col("rule_name").alias("item"),
         F.when(F.col("status") == "not_checked", "warning").otherwise(F.col("status")).alias("status"), "details", "reference", "severity",
     )
