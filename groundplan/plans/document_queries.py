@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from groundplan.functions import text as X
 from groundplan.operators import chunking
 from groundplan.plans.registry import Registry
+from groundplan.session import stored
 
 REGISTRY = Registry()
 query = REGISTRY.add
@@ -251,18 +252,26 @@ def chunk_lookup(docs):
     return by_chunk_id(manual_chunks(docs), sha256(b"7|1|0").hexdigest()).select("document_id", "section_no", "part_no", "clause_id")
 
 
-@query("chunk_dump", "md_docs", r"""
-SELECT doc_id AS document_id, 0 AS piece, md5(concat('Document: ', min(document_name), chr(10), 'Total Chunks: ', count(*), chr(10), repeat('=', 80), chr(10), chr(10))) AS block_md5 FROM chunks GROUP BY 1
-UNION ALL
-SELECT doc_id, n, md5(concat(repeat('─', 80), chr(10), 'CHUNK ', n, chr(10), repeat('─', 80), chr(10),
+# piece -1 is the whole text of a document
+_DUMP_BLOCK = r"""concat(repeat('─', 80), chr(10), 'CHUNK ', n, chr(10), repeat('─', 80), chr(10),
                          'Index: ', CASE WHEN content_type = 'section_overview' THEN 'section' ELSE 'rule' END, ' | Page: ', coalesce(page, 'N/A'), ' | Clause: ', clause_id, ' | Type: ', content_type, chr(10),
-                         'Title: ', title, chr(10), repeat('─', 80), chr(10), chr(10), trim(text, chr(10) || ' '), chr(10), chr(10)))
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, part_no) n FROM chunks)""", CHUNKS_SQL)
+                         'Title: ', title, chr(10), repeat('─', 80), chr(10), chr(10), trim(text, chr(10) || ' '), chr(10), chr(10))"""
+_DUMP_HEAD = "concat('Document: ', min(document_name), chr(10), 'Total Chunks: ', count(*), chr(10), repeat('=', 80), chr(10), chr(10))"
+
+
+@query("chunk_dump", "md_docs", f"""
+SELECT doc_id AS document_id, 0 AS piece, md5({_DUMP_HEAD}) AS block_md5 FROM chunks GROUP BY 1
+UNION ALL
+SELECT doc_id, n, md5({_DUMP_BLOCK}) FROM dumped
+UNION ALL
+SELECT doc_id, -1, md5(concat({_DUMP_HEAD}, string_agg({_DUMP_BLOCK}, '' ORDER BY n))) FROM dumped GROUP BY doc_id""", CHUNKS_SQL.strip() + """,
+dumped AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, part_no) n FROM chunks)""")
 def chunk_dump(docs):
-    from groundplan.sources.chunk_store import dump_blocks
+    from groundplan.sources.chunk_store import dump_blocks, dump_texts
 
-    blocks = dump_blocks(manual_chunks(docs), order=["section_no", "part_no"], bucket=F.floor(F.col("section_no") / 256))
-    return blocks.selectExpr("document_id", "piece", "md5(block) block_md5")
+    blocks = stored(dump_blocks(manual_chunks(docs), order=["section_no", "part_no"], bucket=F.floor(F.col("section_no") / 256)))
+    whole = dump_texts(blocks).selectExpr("document_id", "-1L piece", "md5(text) block_md5")
+    return blocks.selectExpr("document_id", "piece", "md5(block) block_md5").unionByName(whole)
 
 
 @query("citation_strings", "md_docs", """

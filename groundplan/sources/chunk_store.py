@@ -114,6 +114,15 @@ def dump_blocks(chunks: DataFrame, *, order: list[str], bucket: Column | None =
     return counts.select(*keys, F.lit(0).cast("long").alias("piece"), head.alias("block")).unionByName(blocks)
 
 
+def dump_texts(blocks: DataFrame) -> DataFrame:
+    """The whole readable text of each document from its ``dump_blocks``: document_id, document_name, text.
+
+    For documents whose text a row can hold; ``write_dumps`` takes any.
+    """
+    pieces = F.array_sort(F.collect_list(F.struct("piece", "block")))
+    return blocks.groupBy("document_id", "document_name").agg(F.array_join(F.transform(pieces, lambda p: p["block"]), "").alias("text"))
+
+
 def write_dumps(chunks: DataFrame, path: str, *, order: list[str], bucket: Column | None = None) -> None:
     """Write each document's readable text into a folder named after it.
 

@@ -276,3 +276,12 @@ def test_merge_and_feedback(spark, frame, tmp_path):
     usage.append_feedback(merged, str(tmp_path / "f"))
     usage.append_feedback(merged, str(tmp_path / "f"))
     assert spark.read.parquet(str(tmp_path / "f")).count() == 6
+
+
+def test_whole_dump_texts_join_their_pieces_in_order(frame):
+    chunks = frame([_chunk(100 + i, "ab"[i % 2]) for i in range(40)], CHUNK).withColumn("n", F.substring("chunk_id", 2, 9).cast("int"))
+    blocks = chunk_store.dump_blocks(chunks, order=["n"], bucket=F.floor(F.col("n") / 7)).cache()
+    got = {r.document_id: r.text for r in chunk_store.dump_texts(blocks).collect()}
+    for name in "ab":
+        assert got[name] == "".join(r.block for r in blocks.filter(F.col("document_id") == name).orderBy("piece").collect())
+    assert re.findall(r"text (\d+)\n", got["a"]) == [str(100 + i) for i in range(0, 40, 2)]
