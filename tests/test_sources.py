@@ -285,3 +285,17 @@ def test_whole_dump_texts_join_their_pieces_in_order(frame):
     for name in "ab":
         assert got[name] == "".join(r.block for r in blocks.filter(F.col("document_id") == name).orderBy("piece").collect())
     assert re.findall(r"text (\d+)\n", got["a"]) == [str(100 + i) for i in range(0, 40, 2)]
+
+
+def test_lines_find_their_section_without_a_shuffle(spark, tmp_path, monkeypatch):
+    lines = ["%T\tTASK", "%F\ttask_id\ttask_name\ttask_id", "%R\t1\ta\t2", "%R\t3\tb", "%T\tTASKPRED", "%F\tpred_task_id\tsucc_task_id", "%R\t1\t2", "%T\tTASK", "%R\tno names", "%F\ttask_name", "%R\tc"]
+    for name in "xy":
+        (tmp_path / f"{name}.xer").write_text("\n".join(lines) + "\n")
+    show = lambda df: sorted(map(str, df.drop("start_date", "end_date").collect()))
+    found = schedule_export.read_schedules(spark, str(tmp_path))
+    assert "Exchange hash" not in found["tasks"]._jdf.queryExecution().executedPlan().toString()
+    rows = [show(found[n]) for n in ("tasks", "relationships")]
+    assert [len(r) for r in rows] == [4, 2] and "task_id='2', task_name='a'" in rows[0][0] + rows[0][1]
+    monkeypatch.setattr(schedule_export, "_MARKS_PER_FILE", 0)
+    found = schedule_export.read_schedules(spark, str(tmp_path))
+    assert rows == [show(found[n]) for n in ("tasks", "relationships")]
