@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundplan import schemas
-from groundplan.functions.words import let
+from groundplan.functions.words import places
 from groundplan.operators.labdata import borehole_logs, lab_results
+from groundplan.operators.sizes import broadcast_if_small
+from groundplan.session import stored
 
 _CORRUPT = "_corrupt_record"
 # the columns that must hold numbers
@@ -19,8 +21,11 @@ _LAB_NUMBERS = ["Depth_m", "Value"]
 _HOLE_NUMBERS = ["Depth_From", "Depth_To", "SPT_N"]
 
 
-def _csv_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines of CSV files in their order, each with the names in its file's first line."""
+def _csv_lines(spark: SparkSession, paths: str | list[str], only: DataFrame | None = None) -> DataFrame:
+    """Values of the lines of CSV files, of those in ``only`` (file), in their order, with the places that their file's first line gives the names.
+
+    What is known of a file, one row, goes to its lines, so that these are not shuffled.
+    """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{csv,CSV}")
     lines = reader.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("ord"), "value"
@@ -28,24 +33,31 @@ def _csv_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     # the first line of a file is the first of the split that begins it: one row a file
     first = lines.filter(F.col("_at") == 0).groupBy("file").agg(F.min(F.struct("ord", "value")).alias("_first"))
     names = F.transform(F.split(F.regexp_replace("_first.value", "^﻿", ""), ","), lambda n: F.btrim(n, F.lit(" \"\r")))
-    heads = first.select("file", F.col("_first.ord").alias("_head"), names.alias("names"))
-    return lines.join(heads, "file").filter((F.col("ord") != F.col("_head")) & (F.btrim("value") != "")).drop("_at", "_head")
+    heads = first.select(F.col("file").alias("_file"), F.col("_first.ord").alias("_head"), places(names).alias("places"))
+    heads = broadcast_if_small(stored(heads))
+    if only is not None:
+        lines = lines.join(only, "file", "left_semi")
+    # split ahead of the join, which would repeat it in its condition
+    rows = lines.filter(F.btrim("value") != "").select("file", "ord", _values(F.col("value")).alias("values"))
+    return rows.join(heads, (F.col("file") == F.col("_file")) & (F.col("ord") != F.col("_head"))).drop("_file", "_head")
+
+
+def _values(line: Column) -> Column:
+    trimmed = lambda v: F.btrim(v, F.lit(" \r"))
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*)'), F.lit(1))
+    quoted = F.transform(raw, lambda v: F.when(v.startswith('"'), F.replace(F.substring(v, 2, F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(trimmed(v)))
+    return F.when(line.contains('"'), quoted).otherwise(F.transform(F.split(line, ","), trimmed))
 
 
-def _fields(lines: DataFrame) -> DataFrame:
-    """``r``: the values of each line by column name; empty ones and those beyond the header are left out."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*)'), F.lit(1))
-    plain = F.transform(raw, lambda v: F.when(v.startswith('"'), F.replace(F.substring(v, 2, F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(F.btrim(v, F.lit(" \r"))))
-    pairs = let(plain, lambda values: F.arrays_zip("names", values.alias("values")))
-    # of a repeated name the last value counts
-    last = lambda p, i: (F.coalesce(p["names"], F.lit("")) != "") & (F.coalesce(p["values"], F.lit("")) != "") & ~F.array_contains(F.slice(F.col("names"), i + 2, F.size("names")), p["names"])
-    return lines.withColumn("r", F.map_from_entries(F.transform(F.filter(pairs, last), lambda p: F.struct(p["names"], p["values"]))))
+def _value(name: str) -> Column:
+    """The value of a line by column name; null for an empty one and one beyond the line."""
+    return F.nullif(F.get("values", F.col("places")[name] - 1), F.lit(""))
 
 
 def _bad_number(names: list[str]) -> Column:
     """Message for the first of the named columns whose value is no number; null if all are."""
-    wrong = lambda n: F.col("r")[n].isNotNull() & F.col("r")[n].try_cast("double").isNull()
-    return F.coalesce(*[F.when(wrong(n), F.concat(F.lit(f"{n} is not a number: "), F.col("r")[n])) for n in names])
+    wrong = lambda n: _value(n).isNotNull() & _value(n).try_cast("double").isNull()
+    return F.coalesce(*[F.when(wrong(n), F.concat(F.lit(f"{n} is not a number: "), _value(n))) for n in names])
 
 
 def file_kinds(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,22 +84,20 @@ def file_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lab_rows(fields: DataFrame) -> DataFrame:
-    r = F.col("r")
     return fields.select(
-        "file", "ord", r["Sample_ID"].alias("sample_id"), r["Depth_m"].try_cast("double").alias("depth_m"), r["Test_Type"].alias("test_type"),
-        r["Parameter_Name"].alias("parameter_name"), r["Value"].try_cast("double").alias("value"), r["Unit"].alias("unit"),
+        "file", "ord", _value("Sample_ID").alias("sample_id"), _value("Depth_m").try_cast("double").alias("depth_m"), _value("Test_Type").alias("test_type"),
+        _value("Parameter_Name").alias("parameter_name"), _value("Value").try_cast("double").alias("value"), _value("Unit").alias("unit"),
     )
 
 
 def _hole_rows(fields: DataFrame) -> DataFrame:
-    r = F.col("r")
-    numbers = [r[n].try_cast("double").alias(n.lower()) for n in _HOLE_NUMBERS]
-    return fields.select("file", F.col("ord").alias("line_no"), r["Type"].alias("type"), *numbers, r["Description"].alias("description"), r["Key"].alias("key"), r["Value"].alias("value"))
+    numbers = [_value(n).try_cast("double").alias(n.lower()) for n in _HOLE_NUMBERS]
+    return fields.select("file", F.col("ord").alias("line_no"), _value("Type").alias("type"), *numbers, _value("Description").alias("description"), _value("Key").alias("key"), _value("Value").alias("value"))
 
 
 def read_lab_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows of lab CSV files with their file and their order in it; what is no number is null."""
-    return _lab_rows(_fields(_csv_lines(spark, paths)))
+    return _lab_rows(_csv_lines(spark, paths))
 
 
 def _results(rows: DataFrame) -> DataFrame:
@@ -100,7 +110,7 @@ def read_lab_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_borehole_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return borehole_logs(_hole_rows(_fields(_csv_lines(spark, paths))))
+    return borehole_logs(_hole_rows(_csv_lines(spark, paths)))
 
 
 def _json_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -122,7 +132,7 @@ def read_borehole_json(spark: SparkSession, paths: str | list[str]) -> DataFrame
 
 
 def _without(rows: DataFrame, bad: DataFrame) -> DataFrame:
-    return rows.join(bad.select("file"), "file", "left_anti")
+    return rows.join(broadcast_if_small(bad.select("file")), "file", "left_anti")
 
 
 def read_directory(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -132,15 +142,14 @@ def read_directory(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     CSV file with a value that is no number where one belongs, or a JSON file
     that cannot be parsed, goes to the table of errors as a whole.
     """
-    kinds = file_kinds(spark, folder)
-    of = lambda kind: kinds.filter(F.col("kind") == kind).select(F.col("path").alias("file"))
-    fields = _fields(_csv_lines(spark, folder))
-    wrong = lambda rows, names: rows.select("file", "ord", _bad_number(names).alias("error")).filter("error is not null").groupBy("file").agg(F.min_by("error", "ord").alias("error"))
+    kinds = stored(file_kinds(spark, folder))
+    of = lambda kind: broadcast_if_small(kinds.filter(F.col("kind") == kind).select(F.col("path").alias("file")))
+    wrong = lambda rows, names: stored(rows.select("file", "ord", _bad_number(names).alias("error")).filter("error is not null").groupBy("file").agg(F.min_by("error", "ord").alias("error")))
 
-    lab = fields.join(of("lab_data"), "file", "left_semi")
+    lab = _csv_lines(spark, folder, of("lab_data"))
     bad_lab = wrong(lab, _LAB_NUMBERS)
-    hole = fields.join(of("borehole_csv"), "file", "left_semi")
-    bad_hole = wrong(hole.filter(F.col("r")["Type"] == "layer"), _HOLE_NUMBERS)
+    hole = _csv_lines(spark, folder, of("borehole_csv"))
+    bad_hole = wrong(hole.filter(_value("Type") == "layer"), _HOLE_NUMBERS)
     json = _json_files(spark, folder)
     bad_json = json.filter("broken").select("file", F.lit("Broken JSON").alias("error")).distinct()
 

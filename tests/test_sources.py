@@ -299,3 +299,13 @@ def test_lines_find_their_section_without_a_shuffle(spark, tmp_path, monkeypatch
     monkeypatch.setattr(schedule_export, "_MARKS_PER_FILE", 0)
     found = schedule_export.read_schedules(spark, str(tmp_path))
     assert rows == [show(found[n]) for n in ("tasks", "relationships")]
+
+
+def test_lines_of_lab_files_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Sample_ID,Value,Parameter_Name,Value,Depth_m\ns1,7,"x, ""y""",2, 1.5\r\n\ns1,1,plain,,2\n')
+    (tmp_path / "b.csv").write_text("Depth_m,Sample_ID\n3,s2,beyond\n")
+    rows = lab_files.read_lab_rows(spark, str(tmp_path))
+    assert "Exchange hash" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.sample_id, r.depth_m, r.parameter_name, r.value) for r in rows.collect())
+    assert [g for g in got if g[0] == "s2"] == [("s2", 3.0, None, None)]
+    assert [g for g in got if g[0] == "s1"] == [("s1", 1.5, 'x, "y"', 2.0), ("s1", 2.0, "plain", None)]
