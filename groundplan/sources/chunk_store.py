@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundplan.functions.words import strip
 from groundplan.operators.running import running_totals
+from groundplan.operators.sizes import broadcast_if_small
 from groundplan.session import stored
 
 FILTER_COLUMNS = ["document_type", "document_id", "clause_id", "content_type", "regulatory_strength"]
@@ -58,8 +59,9 @@ def delete_document(spark: SparkSession, path: str, document_id: str) -> None:
     """
     chunks = spark.read.parquet(path)
     layout = ["target_index", "document_type"]
-    touched = chunks.filter(F.col("document_id") == document_id).select(*layout).distinct()
-    rest = chunks.join(touched, layout, "left_semi").filter(~F.col("document_id").eqNullSafe(F.lit(document_id)) & F.col("chunk_id").isNotNull())
+    # the partitions are few; a join by shuffle would bring each of them whole into one task
+    touched = stored(chunks.filter(F.col("document_id") == document_id).select(*layout).distinct())
+    rest = chunks.join(broadcast_if_small(touched), layout, "left_semi").filter(~F.col("document_id").eqNullSafe(F.lit(document_id)) & F.col("chunk_id").isNotNull())
     marks = touched.select(*[F.col(f.name) if f.name in layout else F.lit(None).cast(f.dataType).alias(f.name) for f in chunks.schema])
     kept = stored(rest.unionByName(marks))
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*layout).parquet(path)
