@@ -20,7 +20,7 @@ from groundplan.functions.words import let
 from groundplan.operators.parts import best_of_parts, meet, part_count, part_of
 
 # bytes of chunk texts in a part, and below which a small table is not cut further
-PART_BYTES = 48 * 1024 * 1024
+PART_BYTES = 8 * 1024 * 1024
 _LEAST_PART_BYTES = 1024 * 1024
 # postings under one bound
 BLOCK = 64

@@ -17,7 +17,7 @@ from groundplan.session import stored
 
 # query vectors scored at a time, and bytes of chunk vectors held by a task
 BLOCK_QUERIES = 8_192
-PART_BYTES = 64 * 1024 * 1024
+PART_BYTES = 32 * 1024 * 1024
 # a small table of chunks is still cut into parts of about this size, up to the cores there are
 _LEAST_PART_BYTES = 2 * 1024 * 1024
 # so many queries and more are dealt to slices instead, of at most so many bytes of vectors
