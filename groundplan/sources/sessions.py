@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from groundplan import schemas
 
+# texts that a task turns into Python's own at a time
+_FILES_AT_ONCE = 128
+
 
 def read_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Session files, one row each; a file that is no session is skipped."""
@@ -47,22 +50,25 @@ def process_files(files: DataFrame, process: Callable[[str, str], int]) -> DataF
     ``files`` has job_id, path and text.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import time
 
         for batch in batches:
-            out = []
-            for job, path, text in zip(batch["job_id"], batch["path"], batch["text"]):
-                start = time.perf_counter()
-                try:
-                    made, error = process(path, text), None
-                except Exception as problem:  # the error is the result of the file
-                    made, error = 0, str(problem)
-                out.append((job, path, error is None, made, error, (time.perf_counter() - start) * 1000))
-            yield pd.DataFrame(out, columns=["job_id", "file_path", "success", "chunks_created", "error", "processing_time_ms"])
-
+            for at in range(0, batch.num_rows, _FILES_AT_ONCE):
+                out = []
+                for job, path, text in zip(*[column.to_pylist() for column in batch.slice(at, _FILES_AT_ONCE).columns]):
+                    start = time.perf_counter()
+                    try:
+                        made, error = process(path, text), None
+                    except Exception as problem:  # the error is the result of the file
+                        made, error = 0, str(problem)
+                    out.append((job, path, error is None, made, error, (time.perf_counter() - start) * 1000))
+                types = [pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*out), types)], names)
+
+    names = ["job_id", "file_path", "success", "chunks_created", "error", "processing_time_ms"]
     schema = "job_id string, file_path string, success boolean, chunks_created int, error string, processing_time_ms double"
-    return files.select(F.col("job_id").cast("string").alias("job_id"), "path", "text").mapInPandas(run, schema)
+    return files.select(F.col("job_id").cast("string").alias("job_id"), "path", "text").mapInArrow(run, schema)
 
 
 def write_results(results: DataFrame, path: str) -> dict[str, int | float]:
