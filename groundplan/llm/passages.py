@@ -1,15 +1,18 @@
 """Repeated passages across documents by compact windows.
 
-The tokens of a text are its word shingles. For each of a few hash functions
-the Cartesian tree over the token hashes gives compact windows: the widest span
-in which one token is the smallest, so every passage inside that span around the
-token has this minimum. Windows with equal minima meet on that value; document
-pairs that meet in enough windows are verified on the texts themselves.
+The tokens of a text are its word shingles. The Cartesian tree over the token
+hashes gives compact windows: the widest span in which one token is the
+smallest, so every run of tokens inside that span around the token has this
+minimum. Two passages at the threshold have a run of ``RUN`` tokens in common,
+so texts that share one meet on the minimum of that run. Inside the spans of
+minima that several texts hold, equal passages meet as classes, and texts that
+meet otherwise are compared by what stands around the minimum. What remains is
+verified on the texts themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +20,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundplan.llm.minhash import shingles
-from groundplan.llm.words import blocks, mix, read_texts
+from groundplan.llm.words import Texts, blocks, mix, read_texts
 from groundplan.session import stored
 
 SIZE = 5  # words in a shingle
 LEAST_WORDS = 50  # in a passage
 PERCENT = 80  # of the shingles of two passages that are shared
-HASHES = 10
-# windows in which two documents must meet
-MEETINGS = 2
-# what orders a group: the shingles on either side of the minimum, in steps, and the number of those
-_STEP, _STEPS = 6, 8
-_AFTER, _BEFORE = ("after", "after_2"), ("before", "before_2")
+# shingles in a passage of the least length
+WIDTH = LEAST_WORDS - SIZE + 1
+# shingles in a row that two passages at the threshold share at least: a changed word takes five, and 46 bear one
+RUN = 21
+# shingles beyond the end of such a run within which the next shared one lies
+REACH = 24
+# shingles kept on either side of a minimum: a run short of a passage and what is next to it
+AROUND = WIDTH - 2 + REACH
+# texts under one minimum that are paired even where they hold equal passages, and that are compared one by one
+FEW, MANY = 8, 100
+# texts under one minimum that a task compares at a time, twice over
+BLOCK_TEXTS = 20_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 # unmatched shingles that a passage may have in a row: those of two changed words, of one, none
 _GAPS = (10, 5, 0)
@@ -68,95 +77,369 @@ def compact_windows(values: np.ndarray, width: int, longest: int) -> tuple[np.nd
     return heads[wide], left[wide], right[wide] - 1
 
 
-def _surroundings(flat: np.ndarray) -> Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]:
-    """A function that gives, for places in ``flat`` and the bounds of their texts, four numbers each.
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-    The first two order places by what comes after them, the others by what
-    comes before: a place agrees with its neighbour in that order as far, by
-    steps, as with any other place.
-    """
-    up = np.full(len(flat) + 1, _MULTIPLIER, np.uint64)
-    down = np.full(len(flat) + 1, pow(_MULTIPLIER, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    np.cumprod(up, dtype=np.uint64, out=up)
-    np.cumprod(down, dtype=np.uint64, out=down)
-    sums = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum(mix(flat) * up[:-1], dtype=np.uint64, out=sums[1:])
 
-    def packed(spans: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        out = np.zeros(len(spans[0][0]), np.uint64)
-        for first, past in spans:
-            out = (out << np.uint64(16)) | (mix((sums[past] - sums[first]) * down[first]) >> np.uint64(48))
-        return out.view(np.int64)
+class _Anchors:
+    """Minima of the compact windows of some texts: text, place in all shingles, bounds of the window, and key."""
+
+    def __init__(self, texts: Texts):
+        self.flat, self.bounds = shingles(texts, SIZE)
+        sizes = np.diff(self.bounds)
+        room = np.zeros(len(self.flat) + len(sizes) + 1, np.uint64)
+        # one zero ahead of each text
+        text_of = np.repeat(np.arange(len(sizes)), sizes)
+        room[np.arange(len(self.flat)) + text_of + 1] = np.where(sizes[text_of] >= WIDTH, mix(self.flat) | np.uint64(1), np.uint64(0))
+        heads, left, right = compact_windows(room, RUN, int(sizes.max(initial=0)))
+        self.text = np.searchsorted(self.bounds[:-1] + np.arange(1, len(sizes) + 1), heads, side="right") - 1
+        self.at, self.left, self.right = (x - self.text - 1 for x in (heads, left, right))
+        self.key = mix(self.flat[self.at]).view(np.int64)
 
-    def around(at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        steps = [_STEP * j for j in range(1, _STEPS + 1)]
-        after = [(at + 1, np.minimum(at + 1 + step, end)) for step in steps]
-        before = [(np.maximum(at - step, begin), at) for step in steps]
-        return [packed(spans[i : i + 4]) for spans in (after, before) for i in (0, 4)]
+    def keep(self, rows: np.ndarray) -> None:
+        for name in ("text", "at", "left", "right", "key"):
+            setattr(self, name, getattr(self, name)[rows])
 
-    return around
 
+def _first_rows(*columns: np.ndarray) -> np.ndarray:
+    """Numbers of the first of equal rows."""
+    order = np.lexsort(columns)
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
+    for c in columns:
+        fresh[1:] |= c[order][1:] != c[order][:-1]
+    return np.sort(order[fresh])
 
-def window_rows(documents: DataFrame) -> DataFrame:
-    """Compact windows of all documents (doc_id, text): the minimum's key, and what comes after and before it."""
-    width = LEAST_WORDS - SIZE + 1
+
+def anchor_rows(documents: DataFrame) -> DataFrame:
+    """Keys of the minima of each text of documents (doc_id, text), with the hash of the text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = batch.column(0).cast(pa.int64()), batch.column(2)
-            for first, past, texts in blocks(read_texts(batch.column(1))):
-                flat, bounds = shingles(texts, SIZE)
-                sizes = np.diff(bounds)
-                around = _surroundings(flat)
-                room = np.zeros(len(flat) + len(sizes) + 1, np.uint64)
-                # one zero ahead of each text
-                at = np.arange(len(flat)) + np.repeat(np.arange(1, len(sizes) + 1), sizes)
-                begins = bounds[:-1] + np.arange(1, len(sizes) + 1)
-                for k in range(HASHES):
-                    room[at] = mix(flat ^ mix(np.array([k + 1], np.uint64))) | np.uint64(1)
-                    heads, _, _ = compact_windows(room, width, int(sizes.max(initial=0)))
-                    text = np.searchsorted(begins, heads, side="right") - 1
-                    sides = around(heads - text - 1, bounds[text], bounds[text + 1])
-                    rows = pa.array(first + text)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(mix(room[heads] + np.uint64(k)).view(np.int64)), hashes.take(rows), ids.take(rows), *map(pa.array, sides)],
-                        ["key", "text_hash", "doc_id", *_AFTER, *_BEFORE],
-                    )
-
-    rows = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(make, "key long, text_hash long, doc_id long, " + ", ".join(f"{c} long" for c in (*_AFTER, *_BEFORE)))
+            for first, past, texts in blocks(read_texts(batch.column(0))):
+                anchors = _Anchors(texts)
+                anchors.keep(_first_rows(anchors.key, anchors.text))
+                yield pa.RecordBatch.from_arrays([pa.array(anchors.key), batch.column(1).take(pa.array(first + anchors.text))], ["key", "text_hash"])
 
+    return _hashed(documents).select("text", "text_hash").mapInArrow(make, "key long, text_hash long")
 
-def meeting_pairs(documents: DataFrame) -> DataFrame:
-    """Pairs of documents with different texts that meet in at least ``MEETINGS`` windows: (a, b).
-
-    Under one key, each text is tied to the group's first, to the text before it
-    in the order of what comes after the minimum, and to the one before it in
-    the order of what comes before the minimum. So a text meets the one that it
-    agrees with furthest on either side, however many others hold the words
-    around the minimum, and a group gives at most three pairs for each text.
-    Copies of a text count once.
+
+def _hashed(documents: DataFrame) -> DataFrame:
+    return documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+
+
+def repeating_texts(documents: DataFrame) -> DataFrame:
+    """Different texts that share minima: (text_hash, doc_id, text, keys), with the smallest doc_id of each.
+
+    ``keys`` are the shared minima and how many different texts hold each.
     """
+    rows = anchor_rows(documents).repartition("key")
     key = Window.partitionBy("key")
-    after, before = key.orderBy(*_AFTER, "text_hash", "doc_id"), key.orderBy(*_BEFORE, "text_hash", "doc_id")
-    rows = window_rows(documents).withColumn("_last", F.lag("text_hash").over(after))
-    rows = rows.filter(F.col("_last").isNull() | (F.col("_last") != F.col("text_hash")))
-    head = F.first("doc_id").over(after.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.select("key", "text_hash", "doc_id", *_BEFORE, head.alias("_head"), F.lag("doc_id").over(after).alias("_after"))
-    rows = rows.select("doc_id", F.array("_head", "_after", F.lag("doc_id").over(before)).alias("_others"))
-    met = rows.select("doc_id", F.explode(F.array_distinct(F.array_compact("_others"))).alias("other"))
-    met = met.filter(F.col("other") != F.col("doc_id"))
-    pairs = met.groupBy(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).agg(F.count(F.lit(1)).alias("_n"))
-    return pairs.filter(F.col("_n") >= MEETINGS).select("a", "b")
+    several = rows.withColumn("_rows", F.count(F.lit(1)).over(key)).filter(F.col("_rows") > 1).select("key", "text_hash").distinct()
+    several = several.withColumn("texts", F.count(F.lit(1)).over(key)).filter(F.col("texts") > 1)
+    lists = several.groupBy("text_hash").agg(F.collect_list("key").alias("keys"), F.collect_list("texts").alias("texts"))
+    hashed = _hashed(documents)
+    firsts = hashed.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id")).join(lists, "text_hash")
+    return hashed.join(firsts, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("text_hash", "doc_id", "text", "keys", "texts")
+
+
+def _shared_anchors(batch: pa.RecordBatch) -> Iterator[tuple[_Anchors, np.ndarray, np.ndarray, np.ndarray]]:
+    """Minima of texts (text_hash, text, keys, texts) that other texts hold, the text hash of each, how many hold it, and the hashes of all texts."""
+    hashes = batch.column(0).to_numpy(zero_copy_only=False)
+    keys, texts = batch.column(2), batch.column(3)
+    for first, past, part in blocks(read_texts(batch.column(1))):
+        anchors = _Anchors(part)
+        lists = keys.slice(first, past - first)
+        # collected lists have no nulls
+        held = lists.flatten().to_numpy(zero_copy_only=False)
+        counts = texts.slice(first, past - first).flatten().to_numpy(zero_copy_only=False)
+        text = np.repeat(np.arange(past - first), lists.value_lengths().to_numpy(zero_copy_only=False))
+        code = lambda key, row: key.view(np.uint64) ^ mix(row.astype(np.uint64))
+        wanted = code(held, text)
+        order = np.argsort(wanted)
+        have = code(anchors.key, anchors.text)
+        place = order[np.minimum(np.searchsorted(wanted[order], have), len(order) - 1)] if len(order) else np.zeros(len(have), np.int64)
+        there = np.flatnonzero(wanted[place] == have) if len(order) else np.zeros(0, np.int64)
+        anchors.keep(there)
+        yield anchors, hashes[first + anchors.text], counts[place[there]], hashes[first:past]
+
+
+def passage_rows(texts: DataFrame) -> DataFrame:
+    """Hashes of the passages of the least length all of whose runs have minima that other texts hold."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchors, _, _, hashes in _shared_anchors(batch):
+                flat = anchors.flat
+                # a run of RUN shingles whose minimum is shared begins from ``low`` to ``high``
+                low, high = np.maximum(anchors.left, anchors.at - RUN + 1), np.minimum(anchors.at, anchors.right - RUN + 1)
+                marks = np.bincount(low, minlength=len(flat) + 1) - np.bincount(high + 1, minlength=len(flat) + 1)[: len(flat) + 1]
+                runs = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
+                more = WIDTH - RUN + 1
+                begin = np.flatnonzero(runs[more:] - runs[:-more] == more)
+                up, down = (_powers(x, len(flat) + 1) for x in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)))
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat) * up[:-1], dtype=np.uint64)])
+                passage = mix((sums[begin + WIDTH] - sums[begin]) * down[begin]).view(np.int64)
+                text = np.searchsorted(anchors.bounds, begin, side="right") - 1
+                rows = _first_rows(passage, text)
+                yield pa.RecordBatch.from_arrays([pa.array(passage[rows]), pa.array(hashes[text[rows]])], ["passage", "text_hash"])
+
+    return texts.select("text_hash", "text", "keys", "texts").mapInArrow(make, "passage long, text_hash long")
+
+
+def equal_pairs(texts: DataFrame) -> DataFrame:
+    """Texts that hold a passage of the least length word for word, each tied to the first that holds it: (a, b)."""
+    rows = passage_rows(texts).repartition("passage")
+    rows = rows.withColumn("a", F.min("text_hash").over(Window.partitionBy("passage")))
+    return rows.filter(F.col("a") != F.col("text_hash")).select("a", F.col("text_hash").alias("b")).distinct()
+
+
+def surrounding_rows(texts: DataFrame) -> DataFrame:
+    """Shared minima with the shingles around them, as 16-bit numbers, or 32-bit ones where many texts hold the minimum."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchors, hashes, counts, _ in _shared_anchors(batch):
+                short = anchors.flat >> np.uint64(32) | np.uint64(1)
+                for kind, rows in ((np.uint16, np.flatnonzero(counts <= MANY)), (np.uint32, np.flatnonzero(counts > MANY))):
+                    for some in np.split(rows, range(10_000, len(rows), 10_000)):
+                        place = anchors.at[some, None] + np.arange(-AROUND, AROUND + 1)
+                        inside = (place >= anchors.bounds[anchors.text[some]][:, None]) & (place < anchors.bounds[anchors.text[some] + 1][:, None])
+                        around = np.where(inside, short[np.clip(place, 0, len(short) - 1)], 0).astype(kind)
+                        factors = _powers(_MULTIPLIER, around.shape[1])
+                        # one of equal surroundings in a text
+                        one = _first_rows((around * factors).sum(axis=1, dtype=np.uint64), anchors.key[some], anchors.text[some])
+                        data = np.ascontiguousarray(around[one])
+                        offsets = np.arange(len(one) + 1, dtype=np.int32) * (data.itemsize * data.shape[1])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(anchors.key[some[one]]), pa.array(counts[some[one]]), pa.array(hashes[some[one]]),
+                                pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
+                            ],
+                            ["key", "texts", "text_hash", "around"],
+                        )
+
+    return texts.select("text_hash", "text", "keys", "texts").mapInArrow(make, "key long, texts long, text_hash long, around binary")
+
+
+def _runs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far rows of surroundings agree without a break, before and after the middle."""
+    same = (one == two) & (one > 0)
+    ends = np.ones((len(one), 1), bool)
+    return (np.argmax(np.hstack([~x, ends]), axis=1) for x in (same[:, AROUND - 1 :: -1], same[:, AROUND + 1 :]))
+
+
+def _goes_on(one: np.ndarray, two: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Whether two rows of surroundings share a shingle soon after the run around the middle, or soon before it."""
+    found = np.zeros(len(one), bool)
+    step = np.arange(1, REACH + 1)
+    for place in (AROUND + after[:, None] + step, AROUND - before[:, None] - step):
+        valid = (place >= 0) & (place < one.shape[1])
+        place = np.clip(place, 0, one.shape[1] - 1)
+        a, b = (np.where(valid, np.take_along_axis(x, place, 1), 0) for x in (one, two))
+        found |= ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)).any(axis=(1, 2))
+    return found
+
+
+def _compare(around: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether rows i and j hold the same passage, and whether they share more than a run short of one."""
+    equal, near = np.zeros(len(i), bool), np.zeros(len(i), bool)
+    for first in range(0, len(i), 5000):
+        some = slice(first, first + 5000)
+        one, two = around[i[some]], around[j[some]]
+        before, after = _runs(one, two)
+        equal[some] = before + after + 1 >= WIDTH
+        rest = np.flatnonzero(~equal[some])
+        near[first + rest] = _goes_on(one[rest], two[rest], before[rest], after[rest])
+    return equal, near
+
+
+def _joined(i: np.ndarray, j: np.ndarray, count: int) -> np.ndarray:
+    """The smallest number that each of ``count`` is joined to by pairs (i, j)."""
+    label = np.arange(count)
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        for side in (i, j):
+            np.minimum.at(new, side, least)
+            np.minimum.at(new, label[side], least)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _in_order(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places with equal values of the sorted ``group``, by distance."""
+    place, step = np.arange(len(group)), 1
+    while len(place):
+        place = place[place + step < len(group)]
+        place = place[group[place] == group[place + step]]
+        yield place, place + step
+        step += 1
+
+
+def _same_text(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that join all rows of each text."""
+    order = np.argsort(hashes, kind="stable")
+    next_to = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
+    return order[next_to], order[next_to + 1]
+
+
+def _few_meet(group: np.ndarray, around: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are to be verified, of groups of at most ``MANY`` rows."""
+    pairs = [np.concatenate(x) for x in zip(*_in_order(group))] if len(group) > 1 else [np.zeros(0, np.int64)] * 2
+    other = hashes[pairs[0]] != hashes[pairs[1]]
+    i, j = (x[other] for x in pairs)
+    equal, near = _compare(around, i, j)
+    label = _joined(*(np.concatenate([x[equal], y[~other]]) for x, y in zip((i, j), pairs)), len(group))
+    size = np.bincount(group, minlength=1)[group[i]]
+    wanted = np.where(size <= FEW, equal | near, near & (label[i] != label[j]))
+    return i[wanted], j[wanted]
+
+
+def _many_meet(around: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are to be verified, of one large group.
+
+    Texts that hold the same passage are one class. Rows of two classes whose
+    run ends at the same place meet on that run and a shingle soon after it, or
+    soon before it; of each class one row meets with each such shingle.
+    """
+    count, width = around.shape
+    up, down = (_powers(x, width + 1) for x in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)))
+    sums = np.hstack([np.zeros((count, 1), np.uint64), np.cumsum(mix(around) * up[:-1], axis=1, dtype=np.uint64)])
+
+    def span(first: int, past: int) -> np.ndarray:
+        whole = (around[:, first] > 0) & (around[:, past - 1] > 0)
+        return np.where(whole, mix((sums[:, past] - sums[:, first]) * down[first]) | np.uint64(1), np.uint64(0))
+
+    ties = [_same_text(hashes)]
+    for begin in range(AROUND - WIDTH + 1, AROUND + 1):
+        one, two = _same_text(span(begin, begin + WIDTH))
+        held = around[one, begin] * around[one, begin + WIDTH - 1] > 0
+        ties.append((one[held], two[held]))
+    label = _joined(*(np.concatenate(x) for x in zip(*ties)), count)
+    met = [np.zeros(0, np.int64)]
+    for r in range(WIDTH - 1):
+        back = max(RUN - 1 - r, 0)
+        for run, step in ((span(AROUND - back, AROUND + r + 1), 1), (span(AROUND - r, AROUND + back + 1), -1)):
+            begin = AROUND + step * (r + 1)
+            following = around[:, begin]
+            _, run = np.unique(run, return_inverse=True)
+            # runs that go on in several ways, in several classes
+            ways = [np.zeros(run.max() + 1, bool) for _ in range(2)]
+            for way, x in zip(ways, (following, label)):
+                first = np.zeros(len(way), x.dtype)
+                first[run] = x
+                np.logical_or.at(way, run, x != first[run])
+            row = np.flatnonzero((ways[0] & ways[1])[run] & (around[:, AROUND + step * r] > 0) & (around[:, AROUND - step * back] > 0))
+            if not len(row):
+                continue
+            near = around[row][:, begin : begin + REACH] if step > 0 else around[row][:, begin - REACH + 1 : begin + 1]
+            row, shingle = np.repeat(row, near.shape[1]), near.ravel()
+            row, shingle = row[shingle > 0], shingle[shingle > 0]
+            code = mix(run[row].astype(np.uint64)) ^ shingle
+            kept = _first_rows(following[row], label[row], code)
+            row, code = row[kept], code[kept]
+            order = np.argsort(code, kind="stable")
+            row, code = row[order], code[order]
+            for i, j in _in_order(code):
+                i, j = row[i], row[j]
+                other = (label[i] != label[j]) & (following[i] != following[j])
+                met.append(np.unique(i[other] * count + j[other]))
+            met = [np.unique(np.concatenate(met))]
+    i, j = np.divmod(met[0], count)
+    near = _compare(around, i, j)[1]
+    return i[near], j[near]
+
+
+def near_pairs(texts: DataFrame) -> DataFrame:
+    """Texts that share a run and more around it, but not one passage word for word: (a, b).
+
+    Up to ``FEW`` texts under a minimum are paired in any case. The texts under
+    a very frequent minimum are dealt to blocks, and each pair of blocks meets in a task.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            group = np.cumsum(np.concatenate([[0], _changes(table)]))
+            hashes = table.column("text_hash").to_numpy()
+            size = np.bincount(group, minlength=1)[group] if len(group) else group
+            long = table.column("texts").to_numpy() > MANY
+            raw = table.column("around").combine_chunks()
+            for kind, rows in ((np.uint16, np.flatnonzero(~long)), (np.uint32, np.flatnonzero(long))):
+                if not len(rows):
+                    continue
+                part = raw.take(pa.array(rows))
+                part = pa.concat_arrays(part.chunks) if isinstance(part, pa.ChunkedArray) else part
+                bounds = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+                around = np.frombuffer(part.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(kind).reshape(len(rows), -1)
+                few = size[rows] <= MANY
+                _, small = np.unique(group[rows[few]], return_inverse=True)
+                found = [(_few_meet(small, around[few], hashes[rows[few]]), hashes[rows[few]])]
+                for one in np.unique(group[rows[~few]]).tolist():
+                    own = np.flatnonzero(group[rows] == one)
+                    found.append((_many_meet(around[own], hashes[rows[own]]), hashes[rows[own]]))
+                for (i, j), of in found:
+                    a, b = np.minimum(of[i], of[j]), np.maximum(of[i], of[j])
+                    kept = _first_rows(a, b)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
+
+    parts = F.ceil(F.col("texts") / F.lit(BLOCK_TEXTS)).cast("int")
+    rows = surrounding_rows(texts).withColumn("_own", F.pmod("text_hash", parts))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.withColumn("_low", F.least("_own", "_other").cast("int")).withColumn("_high", F.greatest("_own", "_other").cast("int"))
+    by = ["key", "_low", "_high"]
+    dealt = rows.select(*by, "texts", "text_hash", "around").repartition(*by).sortWithinPartitions(*by)
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _changes(table: pa.Table) -> np.ndarray:
+    """Whether each row but the first begins another group."""
+    sides = [table.column(c).to_numpy() for c in ("key", "_low", "_high")]
+    return np.any([x[1:] != x[:-1] for x in sides], axis=0)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 5000) -> Iterator[pa.Table]:
+    """Sorted batches as tables of about ``most`` rows that end with a group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < most:
+            continue
+        table = pa.Table.from_batches(held)
+        ends = np.flatnonzero(_changes(table))
+        if len(ends):
+            yield table.slice(0, int(ends[-1]) + 1)
+            held = table.slice(int(ends[-1]) + 1).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def meeting_pairs(documents: DataFrame) -> DataFrame:
+    """Different texts that may share a passage, by hash: (a, b).
+
+    Texts that hold the same passage of the least length are tied to one of
+    them, up to ``FEW`` are all paired. Others with a run in common are paired
+    if they share more next to it.
+    """
+    return _met(stored(repeating_texts(documents)))
+
+
+def _met(texts: DataFrame) -> DataFrame:
+    return equal_pairs(texts).unionByName(near_pairs(texts)).distinct()
 
 
 def shared_passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """Passages that two shingle sequences share: words from and to in each (to excluded), and the similarity.
 
     Runs of shingles of ``b`` that occur in ``a``, with small gaps, are laid
-    against the span of ``a`` on the diagonal that most of them are on. A run
-    that is not similar enough is cut at ever smaller gaps.
+    against the span of ``a`` on the diagonal that most of them are on. Of a run
+    that is not similar enough the longest parts are tried; without any, it is
+    cut at ever smaller gaps, and at last into the stretches that stand in ``a``
+    word for word.
     """
     order = np.argsort(a, kind="stable")
     ordered = a[order]
@@ -175,39 +458,95 @@ def shared_passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, i
         best = np.where(np.abs(one - to) <= np.abs(two - to), one, two)
         return best[np.abs(best - to) <= reach]
 
+    def measured(run: np.ndarray) -> tuple[int, int, int, int, float]:
+        from_b, to_b = int(run[0]), int(run[-1]) + 1
+        # few places of each shingle vote for a diagonal; then each takes its place nearest to that
+        counts = np.minimum(high[run] - low[run], 8)
+        at = order[np.repeat(low[run], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
+        shifts, votes = np.unique(at - np.repeat(run, counts), return_counts=True)
+        tried = {int(s) for s in shifts[np.argsort(-votes, kind="stable")[:2]]} | {int(order[low[run[0]]] - run[0])}
+        near = max((nearest(run, shift, 16 + (to_b - from_b) // 10) for shift in sorted(tried)), key=len)
+        from_a, to_a = int(near.min()), int(near.max()) + 1
+        one, two = np.unique(a[from_a:to_a]), np.unique(b[from_b:to_b])
+        both = len(np.intersect1d(one, two, assume_unique=True))
+        union = len(one) + len(two) - both
+        similar = to_a - from_a >= WIDTH and 100 * both >= PERCENT * union
+        return from_a, to_a + SIZE - 1, from_b, to_b + SIZE - 1, both / union if similar else 0.0
+
     found = []
     todo = [(hits, _GAPS)]
     while todo:
         places, (gap, *closer) = todo.pop()
-        for run in np.split(places, np.flatnonzero(np.diff(places) > gap + 1) + 1):
-            from_b, to_b = int(run[0]), int(run[-1]) + 1
-            if to_b - from_b + SIZE - 1 < LEAST_WORDS:
+        cuts = np.flatnonzero(np.diff(places) > gap + 1) + 1
+        begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(places)]])
+        long = places[ends - 1] + 1 - places[begins] >= WIDTH
+        for begin, end in zip(begins[long].tolist(), ends[long].tolist()):
+            run = places[begin:end]
+            passage = measured(run)
+            if passage[-1]:
+                found.append(passage)
                 continue
-            # few places of each shingle vote for a diagonal; then each takes its place nearest to that
-            counts = np.minimum(high[run] - low[run], 8)
-            at = order[np.repeat(low[run], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-            shifts, votes = np.unique(at - np.repeat(run, counts), return_counts=True)
-            tried = {int(s) for s in shifts[np.argsort(-votes, kind="stable")[:2]]} | {int(order[low[run[0]]] - run[0])}
-            near = max((nearest(run, shift, 16 + (to_b - from_b) // 10) for shift in sorted(tried)), key=len)
-            from_a, to_a = int(near.min()), int(near.max()) + 1
-            one, two = np.unique(a[from_a:to_a]), np.unique(b[from_b:to_b])
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            union = len(one) + len(two) - both
-            if to_a - from_a + SIZE - 1 >= LEAST_WORDS and 100 * both >= PERCENT * union:
-                found.append((from_a, to_a + SIZE - 1, from_b, to_b + SIZE - 1, both / union))
+            inner = []
+            for part in _parts(run) if gap == _GAPS[0] else ():
+                if all(part[-1] < x or part[0] >= y for x, y in inner) and (passage := measured(part))[-1]:
+                    found.append(passage)
+                    inner.append((int(part[0]), int(part[-1]) + 1))
+            if inner:
+                # what is outside those is looked at on its own
+                outside = np.all([(run < x) | (run >= y) for x, y in inner], axis=0)
+                if closer and outside.any():
+                    todo.append((run[outside], closer))
             elif closer:
                 todo.append((run, closer))
+            else:
+                found += [(i, i + size + SIZE - 1, j, j + size + SIZE - 1, 1.0) for i, j, size in _equal_stretches(a, b, int(run[0]), int(run[-1]) + 1)]
     return sorted(found)
 
 
-def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Shared passages of pairs (a, b) of doc_ids."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    rows = documents.select("doc_id", "text").join(wanted, "doc_id")
-    # a doc_id on several texts stands for the smallest
-    texts = stored(rows.groupBy("doc_id").agg(F.min("text").alias("text")))
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def _parts(run: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of a run that is not similar as a whole, longest first, that may be: up to ten stretches without a gap."""
+    cuts = np.flatnonzero(np.diff(run) > 1) + 1
+    begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(run)]])
+    one, two = (x.ravel() for x in np.meshgrid(np.arange(len(begins)), np.arange(10), indexing="ij"))
+    two += one
+    one, two = one[two < len(begins)], two[two < len(begins)]
+    span = run[ends[two] - 1] + 1 - run[begins[one]]
+    wanted = np.flatnonzero((span >= WIDTH) & (100 * (ends[two] - begins[one]) >= PERCENT * span) & (ends[two] - begins[one] < len(run)))
+    for k in wanted[np.argsort(-span[wanted], kind="stable")].tolist():
+        yield run[begins[one[k]] : ends[two[k]]]
+
+
+def _equal_stretches(a: np.ndarray, b: np.ndarray, first: int, past: int) -> list[tuple[int, int, int]]:
+    """Stretches of at least a passage in ``b`` from ``first`` to ``past`` that stand in ``a``: place in each, and length.
+
+    For runs whose shingles come from several places of ``a``, as where lines are repeated.
+    """
+    if len(a) < WIDTH or past - first < WIDTH:
+        return []
+    hashes = []
+    for values in (a, b[first:past]):
+        up, down = (_powers(x, len(values) + 1) for x in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values) * up[:-1], dtype=np.uint64)])
+        begin = np.arange(len(values) - WIDTH + 1)
+        hashes.append((sums[begin + WIDTH] - sums[begin]) * down[begin])
+    kinds, at = np.unique(hashes[0], return_index=True)
+    place = np.minimum(np.searchsorted(kinds, hashes[1]), len(kinds) - 1)
+    found, done = [], 0
+    for j in np.flatnonzero(kinds[place] == hashes[1]).tolist():
+        if j < done:
+            continue
+        i = int(at[place[j]])
+        most = min(len(a) - i, past - first - j)
+        differ = np.flatnonzero(a[i : i + most] != b[first + j : first + j + most])
+        size = int(differ[0]) if len(differ) else most
+        found.append((i, first + j, size))
+        done = j + size - WIDTH + 1
+    return found
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Shared passages of pairs (a, b) of hashes of texts (text_hash, doc_id, text)."""
+    sides = [texts.select(F.col("text_hash").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,14 +555,16 @@ def _verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                 sides = [shingles(read_texts(batch.column(i).slice(first, 200)), SIZE) for i in (2, 3)]
                 rows = []
                 for i in range(len(sides[0][1]) - 1):
-                    a, b = (flat[bounds[i] : bounds[i + 1]] for flat, bounds in sides)
-                    rows += [(ids[0][first + i], ids[1][first + i], *p) for p in shared_passages(a, b)]
+                    one, two = ids[0][first + i], ids[1][first + i]
+                    a, b = (flat[bounds[i] : bounds[i + 1]] for flat, bounds in (sides if one < two else sides[::-1]))
+                    rows += [(min(one, two), max(one, two), *p) for p in shared_passages(a, b)]
                 types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
     names = ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "similarity"]
     schema = "doc_id long, other_id long, start_word int, end_word int, other_start int, other_end int, similarity double"
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, schema)
+    met = pairs.join(sides[0], "a").join(sides[1], "b").filter(F.col("doc_a") != F.col("doc_b"))
+    return met.select(F.col("doc_a").cast("long"), F.col("doc_b").cast("long"), "text_a", "text_b").mapInArrow(check, schema)
 
 
 def copies_of(documents: DataFrame) -> DataFrame:
@@ -244,10 +585,12 @@ def find_passages(documents: DataFrame) -> DataFrame:
     """Passages of at least 50 words that documents (doc_id, text) share at a similarity of 0.8 on five-word shingles.
 
     A row is a passage of ``doc_id`` and its counterpart in ``other_id``, a larger
-    id, with word numbers (the end excluded) and similarity. Equal texts are tied to the smallest doc_id
-    of their group, a passage in many different texts to some of them: each
-    document with a repeated passage is in at least one row for it. Null and short
-    texts, rows without doc_id and repeats within one text give no rows.
+    id, with word numbers (the end excluded) and similarity. A passage begins and
+    ends with a shared shingle. Equal texts are tied to the smallest doc_id of
+    their group. Where more than ``FEW`` different texts hold the same 50 words,
+    each has a row with one of them, which stands for those words; all other
+    pairs have rows of their own. Null and short texts, rows without doc_id and
+    repeats within one text give no rows.
     """
-    pairs = stored(meeting_pairs(documents))
-    return _verified(pairs, documents).unionByName(copies_of(documents))
+    texts = stored(repeating_texts(documents))
+    return _verified(stored(_met(texts)), texts).unionByName(copies_of(documents))

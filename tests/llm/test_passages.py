@@ -115,3 +115,64 @@ def test_passages_around_a_notice_of_many(spark):
             rows += [(len(rows) + k, " ".join(own_words(rng, 60) + passage + own_words(rng, 60))) for k in range(2)]
         rows += [(len(rows) + k, " ".join(own_words(rng, 60) + notice + own_words(rng, 60))) for k in range(200)]
     assert {(r.doc_id, r.other_id) for r in found_in(spark, rows)} == pairs
+
+
+def own_text(rng, before, passage, after):
+    return " ".join(own_words(rng, before) + passage + own_words(rng, after))
+
+
+def linked(rows, one, two):
+    """Whether two documents have a row in common, or rows with the same third one."""
+    ties = {frozenset((r.doc_id, r.other_id)) for r in rows}
+    others = [{x for t in ties if d in t for x in t if x != d} for d in (one, two)]
+    return two in others[0] or bool(others[0] & others[1])
+
+
+def test_no_partner_is_lost_among_many_holders_of_a_run(spark):
+    # the partner is never next to a text in the order of either side: the run that many hold is cut by changed words
+    rng = random.Random(6)
+    notice, rows, pairs = own_words(rng, 30), [], []
+    for p in range(60):
+        one = own_words(rng, 10) + notice + own_words(rng, 40)
+        two = list(one)
+        two[8], two[41] = f"x{p}", f"y{p}"
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows) + k, own_text(rng, 40, passage, 40)) for k, passage in enumerate((one, two))]
+    rows += [(len(rows) + k, own_text(rng, 50, notice, 50)) for k in range(200)]
+    got = found_in(spark, rows)
+    assert {(r.doc_id, r.other_id) for r in got} == set(pairs)
+
+
+@pytest.mark.parametrize("block", [passages.BLOCK_TEXTS, 40])
+def test_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(passages, "BLOCK_TEXTS", block)
+    rng = random.Random(7)
+    lines = [own_words(rng, 24) for _ in range(3)]
+    rows = []
+    for k in range(150):  # texts of a few common lines, with words changed here and there
+        words = own_words(rng, 30) + [w for _ in range(rng.randint(1, 4)) for w in rng.choice(lines)] + own_words(rng, 30)
+        if rng.random() < 0.5:
+            words[rng.randrange(len(words))] = f"z{k}"
+        rows.append((k, " ".join(words)))
+    cut = [passages.shingles(passages.read_texts(passages.pa.array([t])), passages.SIZE)[0] for _, t in rows]
+    got = found_in(spark, rows)
+    for one in range(len(rows)):
+        for two in range(one + 1, len(rows)):
+            windows = [{tuple(x[i : i + passages.WIDTH].tolist()) for i in range(len(x) - passages.WIDTH + 1)} for x in (cut[one], cut[two])]
+            assert not windows[0] & windows[1] or linked(got, one, two)
+
+
+def test_repeated_lines_hide_no_passage():
+    rng = np.random.default_rng(8)
+    line, rest = rng.integers(1, 1 << 60, 60).astype(np.uint64), rng.integers(1, 1 << 60, 70).astype(np.uint64)
+    one, two = np.concatenate([line[10:], rest]), np.concatenate([line, line, line, rest[:20], line])
+    assert any(to - at >= 50 and t2 - a2 >= 50 for at, to, a2, t2, _ in passages.shared_passages(one, two))
+
+
+def test_unlike_texts_under_one_id(spark):
+    rng = random.Random(9)
+    rows = []
+    for p in range(20):
+        passage = own_words(rng, 70)
+        rows += [(p, own_text(rng, 20, passage, 20)), (p, own_text(rng, 50, [], 50)), (100 + p, own_text(rng, 20, passage, 20))]
+    assert {(r.doc_id, r.other_id) for r in found_in(spark, rows)} == {(p, 100 + p) for p in range(20)}
