@@ -511,7 +511,9 @@ def _parts(run: np.ndarray) -> Iterator[np.ndarray]:
     two += one
     one, two = one[two < len(begins)], two[two < len(begins)]
     span = run[ends[two] - 1] + 1 - run[begins[one]]
-    wanted = np.flatnonzero((span >= WIDTH) & (100 * (ends[two] - begins[one]) >= PERCENT * span) & (ends[two] - begins[one] < len(run)))
+    held = np.cumsum(ends - begins)[two] - np.cumsum(ends - begins)[one] + (ends - begins)[one]
+    # each gap stands for SIZE - 1 shingles of the other text at least
+    wanted = np.flatnonzero((span >= WIDTH) & (100 * held >= PERCENT * (span + (SIZE - 1) * (two - one))) & (held < len(run)))
     for k in wanted[np.argsort(-span[wanted], kind="stable")].tolist():
         yield run[begins[one[k]] : ends[two[k]]]
 
