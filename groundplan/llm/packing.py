@@ -40,8 +40,8 @@ class WordIds:
     """Ids of words, learned from the tokenizer once and kept as arrays.
 
     The vocabulary lower-cases, drops white space and never merges across a
-    border of letters and punctuation, so the ids of a text are those of its
-    parts in order. Texts with the opening of a special token are encoded whole.
+    border of letters and punctuation or beside a digit, so the ids of a text are
+    those of its parts in order. Texts with the opening of a special token are encoded whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -56,40 +56,43 @@ class WordIds:
         self.begins, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        single = len(self.between) == 1
-        plain = [w for w in words if single and _BETWEEN not in w]
-        found: dict[str, np.ndarray] = {}
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            joined = self.tokenizer.encode(f" {_BETWEEN} ".join(part), add_special_tokens=False)
-            ids = np.array(joined.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.between[0])
-            if len(cuts) == len(part) - 1:
-                found.update(zip(part, np.split(ids, cuts)))
-                for w in part[1:]:
-                    found[w] = found[w][1:]
-        return [found[w] if w in found else np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in words]
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words end to end, and how many each has."""
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            text = f" {_BETWEEN} ".join(part)
+            if len(self.between) == 1 and text.count(_BETWEEN) == len(part) - 1:
+                # without the offsets of the tokens
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.flatnonzero(ids == self.between[0])
+                if len(cuts) == len(part) - 1:
+                    flat.append(ids[ids != self.between[0]])
+                    sizes.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+                    continue
+            own = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in part]
+            flat += [np.array(ids, np.uint32) for ids in own]
+            sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _room(self, array: np.ndarray, need: int) -> np.ndarray:
         return array if need <= len(array) else np.concatenate([array, np.zeros(max(need, 2 * len(array)) - len(array), array.dtype)])
 
     def learn(self, hashes: list[int], words: list[str]) -> None:
-        ids = self._encode(words)
-        first, total = len(self.place), sum(map(len, ids))
-        self.begins, self.sizes = self._room(self.begins, first + len(ids)), self._room(self.sizes, first + len(ids))
+        ids, sizes = self._encode(words)
+        first, total = len(self.place), len(ids)
+        self.begins, self.sizes = self._room(self.begins, first + len(sizes)), self._room(self.sizes, first + len(sizes))
         self.flat = self._room(self.flat, self.used + total)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.sizes[first : first + len(ids)] = sizes
-        self.begins[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.concatenate(ids) if ids else []
+        self.sizes[first : first + len(sizes)] = sizes
+        self.begins[first : first + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + total] = ids
         self.used += total
-        self.place.update(zip(hashes, range(first, first + len(ids))))
+        self.place.update(zip(hashes, range(first, first + len(sizes))))
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, each with id 0 after it, and where each text begins."""
         lowered = LOWER[texts.data]
-        words = find_words(Texts(lowered, texts.offsets), split_punctuation=True)
+        words = find_words(Texts(lowered, texts.offsets), split_punctuation=True, split_digits=True)
         codes, kinds = pd.factorize(hash_words(lowered, words))
         if len(self.place) + len(kinds) > KEPT_WORDS:
             self.clear()

@@ -114,8 +114,8 @@ class Words:
         return np.concatenate([[0], np.cumsum(self.counts)])
 
 
-def find_words(texts: Texts, split_punctuation: bool = False) -> Words:
-    """Runs of bytes other than ASCII white space; optionally cut where ASCII letters or digits meet punctuation."""
+def find_words(texts: Texts, split_punctuation: bool = False, split_digits: bool = False) -> Words:
+    """Runs of bytes other than ASCII white space; optionally cut where ASCII letters or digits meet punctuation, and at every ASCII digit next to a letter or digit."""
     kinds = CLASSES[texts.data]
     if not len(kinds):
         none = np.zeros(0, np.int64)
@@ -128,6 +128,9 @@ def find_words(texts: Texts, split_punctuation: bool = False) -> Words:
     if split_punctuation:
         letters, marks = kinds == ALNUM, kinds == PUNCTUATION
         edge[1:-1] |= (letters[1:] & marks[:-1]) | (marks[1:] & letters[:-1])
+    if split_digits:
+        plain, digits = kinds == ALNUM, (texts.data >= 48) & (texts.data <= 57)
+        edge[1:-1] |= plain[1:] & plain[:-1] & (digits[1:] | digits[:-1])
     starts = np.flatnonzero(edge[:-1] & filled)
     ends = np.flatnonzero(edge[1:] & filled) + 1
     counts = np.diff(np.searchsorted(starts, texts.offsets))

@@ -100,3 +100,22 @@ def test_worker_forgets_words_beyond_its_limit(monkeypatch, tokenizer):
         flat, bounds = ids.encode(words.read_texts(pa.array(texts)))
         for i, text in enumerate(texts):
             assert flat[bounds[i] : bounds[i + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_words_are_learned_without_an_array_for_each(monkeypatch):
+    ids = packing.WordIds(public_tokenizers.path(packing.VOCABULARY))
+    made = []
+    array = np.array
+    monkeypatch.setattr(packing.np, "array", lambda *x, **y: made.append(1) or array(*x, **y))
+    monkeypatch.setattr(packing.np, "split", lambda *x, **y: pytest.fail("one array a word"))
+    flat, sizes = ids._encode([f"word{i}" for i in range(4000)])
+    assert len(sizes) == 4000 and sizes.sum() == len(flat) and len(made) < 100
+
+
+def test_numbers_are_no_words_of_their_own(tokenizer):
+    texts = [f"id{i}x{i * 7919}, 3'{i}s {i}é é{i} it's{i}'s" for i in range(500)]
+    ids = packing.WordIds(public_tokenizers.path(packing.VOCABULARY))
+    flat, bounds = ids.encode(words.read_texts(pa.array(texts)))
+    for i, text in enumerate(texts):
+        assert flat[bounds[i] : bounds[i + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert len(ids.place) < 200
