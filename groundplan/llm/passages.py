@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundplan.llm.components import components
 from groundplan.llm.minhash import shingles
 from groundplan.llm.words import Texts, blocks, mix, read_texts
 from groundplan.session import stored
@@ -34,8 +35,12 @@ RUN = 21
 REACH = 24
 # shingles kept on either side of a minimum: a run short of a passage and what is next to it
 AROUND = WIDTH - 2 + REACH
-# texts under one minimum that are paired even where they hold equal passages, and that are compared one by one
-FEW, MANY = 8, 100
+# repeats of shingles around a minimum from which on similarity cannot be told from neighbouring runs, since a passage counts each once
+REPEATED = 3
+# texts under one minimum that are compared one by one
+MANY = 100
+# texts of a larger group that meet all others at first, and pairs of texts that are compared one by one after that
+HUBS, DIRECT = 8, 30_000
 # texts under one minimum that a task compares at a time, twice over
 BLOCK_TEXTS = 20_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -207,7 +212,10 @@ def surrounding_rows(texts: DataFrame) -> DataFrame:
                     for some in np.split(rows, range(10_000, len(rows), 10_000)):
                         place = anchors.at[some, None] + np.arange(-AROUND, AROUND + 1)
                         inside = (place >= anchors.bounds[anchors.text[some]][:, None]) & (place < anchors.bounds[anchors.text[some] + 1][:, None])
-                        around = np.where(inside, short[np.clip(place, 0, len(short) - 1)], 0).astype(kind)
+                        around = np.where(inside, short[np.clip(place, 0, len(short) - 1)], 0).astype(np.uint32)
+                        ordered = np.sort(around, axis=1)
+                        repeats = ((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] > 0)).sum(axis=1) >= REPEATED
+                        around = around.astype(kind, copy=False)
                         factors = _powers(_MULTIPLIER, around.shape[1])
                         # one of equal surroundings in a text
                         one = _first_rows((around * factors).sum(axis=1, dtype=np.uint64), anchors.key[some], anchors.text[some])
@@ -216,12 +224,13 @@ def surrounding_rows(texts: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(anchors.key[some[one]]), pa.array(counts[some[one]]), pa.array(hashes[some[one]]),
+                                pa.array(repeats[one]),
                                 pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
                             ],
-                            ["key", "texts", "text_hash", "around"],
+                            ["key", "texts", "text_hash", "repeats", "around"],
                         )
 
-    return texts.select("text_hash", "text", "keys", "texts").mapInArrow(make, "key long, texts long, text_hash long, around binary")
+    return texts.select("text_hash", "text", "keys", "texts").mapInArrow(make, "key long, texts long, text_hash long, repeats boolean, around binary")
 
 
 def _runs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,29 +240,62 @@ def _runs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.argmax(np.hstack([~x, ends]), axis=1) for x in (same[:, AROUND - 1 :: -1], same[:, AROUND + 1 :]))
 
 
-def _goes_on(one: np.ndarray, two: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Whether two rows of surroundings share a shingle soon after the run around the middle, or soon before it."""
-    found = np.zeros(len(one), bool)
-    step = np.arange(1, REACH + 1)
-    for place in (AROUND + after[:, None] + step, AROUND - before[:, None] - step):
-        valid = (place >= 0) & (place < one.shape[1])
-        place = np.clip(place, 0, one.shape[1] - 1)
-        a, b = (np.where(valid, np.take_along_axis(x, place, 1), 0) for x in (one, two))
-        found |= ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)).any(axis=(1, 2))
-    return found
-
+def _goes_on(one: np.ndarray, two: np.ndarray, before: np.ndarray, after: np.ndarray, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the run around the middle and the next one make a passage for certain, and whether they may be in one.
 
-def _compare(around: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether rows i and j hold the same passage, and whether they share more than a run short of one."""
-    equal, near = np.zeros(len(i), bool), np.zeros(len(i), bool)
+    Of passages at the threshold some gap has eight shared shingles next to it
+    for each that it lacks in a row, in the runs on its two sides. With as many as the
+    least length asks for, these two runs alone are a passage. Where shingles
+    repeat, nothing is certain, and any shared one soon after the run will do.
+    """
+    sure, may = np.zeros(len(one), bool), np.zeros(len(one), bool)
+    step, width = np.arange(1, REACH + 1), one.shape[1]
+    for sign, end in ((1, AROUND + after), (-1, AROUND - before)):
+        place = end[:, None] + sign * step
+        valid = (place >= 0) & (place < width)
+        place = np.clip(place, 0, width - 1)
+        flat = (np.arange(len(one)) * width)[:, None] + place
+        # shingles are odd numbers: what is outside equals nothing
+        a, b = np.where(valid, one.ravel()[flat], 0), np.where(valid, two.ravel()[flat], 2)
+        b[b == 0] = 2
+        same = a[:, :, None] == b[:, None, :]
+        there = np.flatnonzero(same.reshape(-1, REACH * REACH).any(axis=1))
+        if not len(there):
+            continue
+        same = same[there]
+        # only where such a run begins
+        same[:, 1:, 1:] &= ~same[:, :-1, :-1]
+        row, s, t = np.nonzero(same)
+        row = there[row]
+        reach = sign * np.arange(WIDTH)
+        x, y = (end[row, None] + sign * (k[:, None] + 1) + reach for k in (s, t))
+        inside = (np.minimum(x, y) >= 0) & (np.maximum(x, y) < width)
+        x, y = (v[row[:, None], np.clip(k, 0, width - 1)] for v, k in ((one, x), (two, y)))
+        agree = ~inside | ((x == y) & (x > 0))
+        size = np.where(agree.all(axis=1), WIDTH, np.argmin(agree, axis=1))
+        # a run that leaves the surroundings may be of any length
+        known = np.minimum(size, inside.sum(axis=1))
+        shared, least = (before + after + 1)[row] + known, np.minimum(s, t)
+        may[row[repeats[row] | (size > known) | (size == WIDTH) | (shared >= 8 * least)]] = True
+        # single shingles may agree by chance in 16 bits
+        close = ~repeats[row] & (known >= 3) & (np.maximum(s, t) <= _GAPS[0])
+        sure[row[close & (shared >= 4 * (s + t)) & (shared + least >= WIDTH)]] = True
+    return sure, may | sure
+
+
+def _compare(around: np.ndarray, repeats: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether rows i and j hold the same passage, whether they hold a passage otherwise, and whether they may."""
+    equal, sure, may = (np.zeros(len(i), bool) for _ in range(3))
     for first in range(0, len(i), 5000):
         some = slice(first, first + 5000)
         one, two = around[i[some]], around[j[some]]
         before, after = _runs(one, two)
         equal[some] = before + after + 1 >= WIDTH
         rest = np.flatnonzero(~equal[some])
-        near[first + rest] = _goes_on(one[rest], two[rest], before[rest], after[rest])
-    return equal, near
+        sure[first + rest], may[first + rest] = _goes_on(
+            one[rest], two[rest], before[rest], after[rest], repeats[i[some][rest]] | repeats[j[some][rest]]
+        )
+    return equal, sure, may
 
 
 def _joined(i: np.ndarray, j: np.ndarray, count: int) -> np.ndarray:
@@ -288,21 +330,100 @@ def _same_text(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[next_to], order[next_to + 1]
 
 
-def _few_meet(group: np.ndarray, around: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are to be verified, of groups of at most ``MANY`` rows."""
-    pairs = [np.concatenate(x) for x in zip(*_in_order(group))] if len(group) > 1 else [np.zeros(0, np.int64)] * 2
-    other = hashes[pairs[0]] != hashes[pairs[1]]
-    i, j = (x[other] for x in pairs)
-    equal, near = _compare(around, i, j)
-    label = _joined(*(np.concatenate([x[equal], y[~other]]) for x, y in zip((i, j), pairs)), len(group))
-    size = np.bincount(group, minlength=1)[group[i]]
-    wanted = np.where(size <= FEW, equal | near, near & (label[i] != label[j]))
-    return i[wanted], j[wanted]
+def _tree(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the first pairs (i, j) that join all classes ``label`` which the pairs join, and the classes then."""
+    kept, left = [np.zeros(0, np.int64)], np.arange(len(i))
+    while True:
+        left = left[label[i[left]] != label[j[left]]]
+        if not len(left):
+            return np.concatenate(kept), label
+        first = np.full(len(label), len(i))
+        for side in (i, j):
+            np.minimum.at(first, label[side[left]], left)
+        kept.append(np.unique(first[first < len(i)]))
+        label = _joined(label[i[kept[-1]]], label[j[kept[-1]]], len(label))[label]
+
+
+class _Meeting:
+    """Rows that meet: the class each is in by now, and the pairs that are to be verified.
 
+    Of rows that hold a passage, one pair joins two classes. Rows that may hold one are all
+    verified, if nothing else joins them in the end.
+    """
 
-def _many_meet(around: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, around: np.ndarray, repeats: np.ndarray, label: np.ndarray):
+        self.around, self.repeats, self.label = around, repeats, label
+        self.tied, self.open = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+
+    def meet(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Compare rows j with i, of which each class has one row at most."""
+        label = self.label
+        other = label[i] != label[j]
+        i, j = i[other], j[other]
+        if not len(i):
+            return
+        equal, sure, may = _compare(self.around, self.repeats, i, j)
+        to = np.arange(len(label))
+        new = np.flatnonzero(equal)
+        to[label[j[new]]] = label[i[new]]
+        rest = np.flatnonzero(sure)
+        rest = rest[to[label[j[rest]]] != label[i[rest]]]
+        rest = rest[np.unique(label[j[rest]], return_index=True)[1]]
+        self.tied.append(np.stack([i[rest], j[rest]]))
+        to[label[j[rest]]] = label[i[rest]]
+        self.open.append(np.stack([i, j])[:, may & ~sure])
+        self.label = to[label]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.hstack(self.open)
+        still = self.label[i] != self.label[j]
+        i, j = np.hstack([*self.tied, np.stack([i[still], j[still]])])
+        return i, j
+
+
+def _few_meet(group: np.ndarray, around: np.ndarray, repeats: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are to be verified, of groups of at most ``MANY`` rows: one row after another meets the later ones, in the order of their texts."""
+    order = np.lexsort((hashes, group))
+    group, hashes = group[order], hashes[order]
+    first = np.searchsorted(group, group)
+    fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (group[1:] != group[:-1])])[: len(group)]
+    j = np.arange(len(group))
+    rows = _Meeting(around[order], repeats[order], np.maximum.accumulate(np.where(fresh, j, 0)))
+    for step in range(int((j - first).max(initial=0))):
+        j = j[j - first[j] > step]
+        rows.meet(first[j] + step, j)
+    i, j = rows.pairs()
+    return order[i], order[j]
+
+
+def _large_meet(around: np.ndarray, repeats: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows that are to be verified, of one large group.
 
+    A few rows meet all others. If that joins most, those outside the largest
+    class meet all.
+    """
+    order = np.argsort(hashes, kind="stable")
+    hashes, place = hashes[order], np.arange(len(hashes))
+    rows = _Meeting(around[order], repeats[order], np.searchsorted(hashes, hashes))
+    for hub in range(min(HUBS, len(place))):
+        rows.meet(np.full(len(place) - hub - 1, hub), place[hub + 1 :])
+    outside = rows.label != np.argmax(np.bincount(rows.label))
+    rest = np.flatnonzero(outside)
+    if len(rest) * len(place) > DIRECT:
+        i, j = _many_meet(rows.around, rows.repeats, hashes, rows.label)
+        tied = np.hstack(rows.tied)
+        i, j = np.concatenate([tied[0], i]), np.concatenate([tied[1], j])
+    else:
+        for hub in rest.tolist():
+            others = place[~outside | (place > hub)]
+            rows.meet(np.full(len(others), hub), others)
+        i, j = rows.pairs()
+    return order[i], order[j]
+
+
+def _many_meet(around: np.ndarray, repeats: np.ndarray, hashes: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one large group in many classes that are to be verified.
+
     Texts that hold the same passage are one class. Rows of two classes whose
     run ends at the same place meet on that run and a shingle soon after it, or
     soon before it; of each class one row meets with each such shingle.
@@ -315,7 +436,7 @@ def _many_meet(around: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.n
         whole = (around[:, first] > 0) & (around[:, past - 1] > 0)
         return np.where(whole, mix((sums[:, past] - sums[:, first]) * down[first]) | np.uint64(1), np.uint64(0))
 
-    ties = [_same_text(hashes)]
+    ties = [_same_text(hashes), (np.arange(count), label)]
     for begin in range(AROUND - WIDTH + 1, AROUND + 1):
         one, two = _same_text(span(begin, begin + WIDTH))
         held = around[one, begin] * around[one, begin + WIDTH - 1] > 0
@@ -351,15 +472,23 @@ def _many_meet(around: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.n
                 met.append(np.unique(i[other] * count + j[other]))
             met = [np.unique(np.concatenate(met))]
     i, j = np.divmod(met[0], count)
-    near = _compare(around, i, j)[1]
-    return i[near], j[near]
+    some = np.lexsort((np.maximum(hashes[i], hashes[j]), np.minimum(hashes[i], hashes[j])))
+    i, j = i[some], j[some]
+    _, sure, may = _compare(around, repeats, i, j)
+    rows = np.flatnonzero(sure)
+    tied, label = _tree(i[rows], j[rows], label)
+    rest = np.flatnonzero(may & ~sure & (label[i] != label[j]))
+    kept = np.concatenate([rows[tied], rest])
+    return i[kept], j[kept]
 
 
 def near_pairs(texts: DataFrame) -> DataFrame:
     """Texts that share a run and more around it, but not one passage word for word: (a, b).
 
-    Up to ``FEW`` texts under a minimum are paired in any case. The texts under
-    a very frequent minimum are dealt to blocks, and each pair of blocks meets in a task.
+    Under each minimum a tree of pairs joins the texts whose surroundings show a
+    passage; where they leave it open, all pairs that nothing else joins are
+    given. The texts under a very frequent minimum are dealt to blocks, and each
+    pair of blocks meets in a task.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,6 +496,7 @@ def near_pairs(texts: DataFrame) -> DataFrame:
             group = np.cumsum(np.concatenate([[0], _changes(table)]))
             hashes = table.column("text_hash").to_numpy()
             size = np.bincount(group, minlength=1)[group] if len(group) else group
+            repeats = table.column("repeats").to_numpy()
             long = table.column("texts").to_numpy() > MANY
             raw = table.column("around").combine_chunks()
             for kind, rows in ((np.uint16, np.flatnonzero(~long)), (np.uint32, np.flatnonzero(long))):
@@ -378,10 +508,10 @@ def near_pairs(texts: DataFrame) -> DataFrame:
                 around = np.frombuffer(part.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(kind).reshape(len(rows), -1)
                 few = size[rows] <= MANY
                 _, small = np.unique(group[rows[few]], return_inverse=True)
-                found = [(_few_meet(small, around[few], hashes[rows[few]]), hashes[rows[few]])]
+                found = [(_few_meet(small, around[few], repeats[rows[few]], hashes[rows[few]]), hashes[rows[few]])]
                 for one in np.unique(group[rows[~few]]).tolist():
                     own = np.flatnonzero(group[rows] == one)
-                    found.append((_many_meet(around[own], hashes[rows[own]]), hashes[rows[own]]))
+                    found.append((_large_meet(around[own], repeats[rows[own]], hashes[rows[own]]), hashes[rows[own]]))
                 for (i, j), of in found:
                     a, b = np.minimum(of[i], of[j]), np.maximum(of[i], of[j])
                     kept = _first_rows(a, b)
@@ -392,7 +522,7 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.withColumn("_low", F.least("_own", "_other").cast("int")).withColumn("_high", F.greatest("_own", "_other").cast("int"))
     by = ["key", "_low", "_high"]
-    dealt = rows.select(*by, "texts", "text_hash", "around").repartition(*by).sortWithinPartitions(*by)
+    dealt = rows.select(*by, "texts", "text_hash", "repeats", "around").repartition(*by).sortWithinPartitions(*by)
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -422,8 +552,7 @@ def meeting_pairs(documents: DataFrame) -> DataFrame:
     """Different texts that may share a passage, by hash: (a, b).
 
     Texts that hold the same passage of the least length are tied to one of
-    them, up to ``FEW`` are all paired. Others with a run in common are paired
-    if they share more next to it.
+    them. Others with a run in common are joined by a tree of pairs.
     """
     return _met(stored(repeating_texts(documents)))
 
@@ -432,6 +561,19 @@ def _met(texts: DataFrame) -> DataFrame:
     return equal_pairs(texts).unionByName(near_pairs(texts)).distinct()
 
 
+def _in_groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places sorted by value, and whether each has another value than the one before."""
+    order = np.argsort(values, kind="stable")
+    return order, np.concatenate([[True], values[order[1:]] != values[order[:-1]]])
+
+
+def _last_places(order: np.ndarray, fresh: np.ndarray, count: int) -> np.ndarray:
+    """Last place with the same value before each place, -1 where there is none."""
+    last = np.full(count, -1)
+    last[order[1:]] = np.where(fresh[1:], -1, order[:-1])
+    return last
+
+
 def shared_passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """Passages that two shingle sequences share: words from and to in each (to excluded), and the similarity.
 
@@ -449,10 +591,17 @@ def shared_passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, i
         return []
     # places in ``a``, sorted within each shingle
     fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    single = high - low == 1
     group = np.maximum.accumulate(np.where(fresh, np.arange(len(a)), 0)) * (len(a) + 1) + order
 
+    # last place of the same shingle before each place, in either sequence
+    last_a, last_b = _last_places(order, fresh, len(a)), _last_places(*_in_groups(b), len(b))
+
     def nearest(run: np.ndarray, shift: int, reach: int) -> np.ndarray:
         to = np.clip(run + shift, 0, len(a))
+        if single[run].all():
+            best = order[low[run]]
+            return best[np.abs(best - to) <= reach]
         k = np.searchsorted(group, low[run] * (len(a) + 1) + to)
         one, two = order[np.clip(k - 1, low[run], high[run] - 1)], order[np.clip(k, low[run], high[run] - 1)]
         best = np.where(np.abs(one - to) <= np.abs(two - to), one, two)
@@ -463,13 +612,21 @@ def shared_passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, i
         # few places of each shingle vote for a diagonal; then each takes its place nearest to that
         counts = np.minimum(high[run] - low[run], 8)
         at = order[np.repeat(low[run], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-        shifts, votes = np.unique(at - np.repeat(run, counts), return_counts=True)
-        tried = {int(s) for s in shifts[np.argsort(-votes, kind="stable")[:2]]} | {int(order[low[run[0]]] - run[0])}
+        votes = np.bincount(at - np.repeat(run, counts) + to_b)
+        tried = {int(order[low[run[0]]] - run[0])}
+        for _ in range(2):
+            most = int(np.argmax(votes))
+            tried |= {most - to_b} if votes[most] else set()
+            votes[most] = 0
         near = max((nearest(run, shift, 16 + (to_b - from_b) // 10) for shift in sorted(tried)), key=len)
         from_a, to_a = int(near.min()), int(near.max()) + 1
-        one, two = np.unique(a[from_a:to_a]), np.unique(b[from_b:to_b])
-        both = len(np.intersect1d(one, two, assume_unique=True))
-        union = len(one) + len(two) - both
+        # distinct shingles are those without the same one before them in the span
+        ones = int(np.count_nonzero(last_a[from_a:to_a] < from_a))
+        firsts = from_b + np.flatnonzero(last_b[from_b:to_b] < from_b)
+        shared = firsts[high[firsts] > low[firsts]]
+        k = np.searchsorted(group, low[shared] * (len(a) + 1) + from_a)
+        both = int(np.count_nonzero((k < high[shared]) & (order[np.minimum(k, len(a) - 1)] < to_a)))
+        union = ones + len(firsts) - both
         similar = to_a - from_a >= WIDTH and 100 * both >= PERCENT * union
         return from_a, to_a + SIZE - 1, from_b, to_b + SIZE - 1, both / union if similar else 0.0
 
@@ -571,11 +728,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def copies_of(documents: DataFrame) -> DataFrame:
     """Equal texts of at least ``LEAST_WORDS`` words, each with the smallest doc_id of its group."""
-    count = F.size(F.array_remove(F.split("text", r"[ \t\n\x0B\f\r]+"), ""))
-    rows = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("_one"), F.md5("text").alias("_two"), count.alias("_words"))
-    rows = rows.filter(F.col("_words") >= LEAST_WORDS)
+    known = documents.filter(F.col("doc_id").isNotNull())
+    rows = known.select("doc_id", F.xxhash64("text").alias("_one"), F.md5("text").alias("_two"))
     groups = rows.groupBy("_one", "_two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).filter(F.col("first") != F.col("_last"))
-    pairs = rows.join(groups, ["_one", "_two"]).filter(F.col("doc_id") != F.col("first")).distinct()
+    # the words of one of the texts of each group are counted
+    count = F.size(F.array_remove(F.split("text", r"[ \t\n\x0B\f\r]+"), ""))
+    long = known.join(groups.select(F.col("first").alias("doc_id"), "_one", "_two"), "doc_id").filter((F.xxhash64("text") == F.col("_one")) & (F.md5("text") == F.col("_two")))
+    long = long.select(F.col("doc_id").alias("first"), "_one", "_two", count.alias("_words")).distinct().filter(F.col("_words") >= LEAST_WORDS)
+    pairs = rows.join(long, ["_one", "_two"]).filter(F.col("doc_id") != F.col("first")).distinct()
     zero = F.lit(0)
     return pairs.select(
         F.col("first").alias("doc_id"), F.col("doc_id").alias("other_id"), zero.alias("start_word"), F.col("_words").alias("end_word"),
@@ -589,10 +749,36 @@ def find_passages(documents: DataFrame) -> DataFrame:
     A row is a passage of ``doc_id`` and its counterpart in ``other_id``, a larger
     id, with word numbers (the end excluded) and similarity. A passage begins and
     ends with a shared shingle. Equal texts are tied to the smallest doc_id of
-    their group. Where more than ``FEW`` different texts hold the same 50 words,
-    each has a row with one of them, which stands for those words; all other
-    pairs have rows of their own. Null and short texts, rows without doc_id and
+    their group, different texts that hold the same 50 words to one of them, and those
+    that hold almost the same words are joined by a tree of rows, so that all
+    are connected and each has a row for those words. Null and short texts, rows without doc_id and
     repeats within one text give no rows.
     """
     texts = stored(repeating_texts(documents))
     return _verified(stored(_met(texts)), texts).unionByName(copies_of(documents))
+
+
+def by_document(found: DataFrame) -> DataFrame:
+    """One row per document of the rows of ``find_passages``, whichever side of a row it is on.
+
+    ``class_id`` is the smallest doc_id that shared passages lead to,
+    ``n_passages`` and ``n_words`` count the stretches of words that lie in
+    passages shared with other documents, and ``passages`` gives these stretches in
+    order, overlapping ones as one (the end excluded), each with the smallest
+    doc_id of a counterpart among the rows.
+    """
+    found = stored(found)
+    one = found.select("doc_id", "start_word", "end_word", F.col("other_id").alias("with_doc"))
+    two = found.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start_word"), F.col("other_end").alias("end_word"), F.col("doc_id").alias("with_doc"))
+    # a text that many are tied to has as many rows, but few different stretches
+    spans = one.unionByName(two).groupBy("doc_id", "start_word", "end_word").agg(F.min("with_doc").alias("with_doc"))
+    before = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
+    spans = spans.withColumn("_reach", F.max("end_word").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("_stretch", F.sum(F.when(F.col("start_word") < F.col("_reach"), 0).otherwise(1)).over(before))
+    whole = spans.groupBy("doc_id", "_stretch").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("with_doc").alias("with_doc"))
+    rows = whole.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_passages"), F.sum(F.col("end_word") - F.col("start_word")).alias("n_words"),
+        F.sort_array(F.collect_list(F.struct("start_word", "end_word", "with_doc"))).alias("passages"),
+    )
+    classes = components(found.select("doc_id", "other_id").distinct())
+    return rows.join(classes.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id")), "doc_id").select("doc_id", "class_id", "n_passages", "n_words", "passages")

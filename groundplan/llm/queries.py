@@ -127,7 +127,7 @@ SQL["op2_chat_formatting"] = CHAT_SQL
 
 @plan("op3_substring_dedup")
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return passages.find_passages(_table(spark, folder, "documents"))
+    return passages.by_document(passages.find_passages(_table(spark, folder, "documents")))
 
 
 @plan("op13_token_counts")

@@ -176,3 +176,49 @@ def test_unlike_texts_under_one_id(spark):
         passage = own_words(rng, 70)
         rows += [(p, own_text(rng, 20, passage, 20)), (p, own_text(rng, 50, [], 50)), (100 + p, own_text(rng, 20, passage, 20))]
     assert {(r.doc_id, r.other_id) for r in found_in(spark, rows)} == {(p, 100 + p) for p in range(20)}
+
+
+def test_every_document_of_a_passage_has_one_row(spark):
+    rng = random.Random(10)
+    rows, planted = [], {}
+    for p in range(6):
+        passage = own_words(rng, 60)
+        ids = range(len(rows), len(rows) + rng.choice([2, 3, 30]))
+        for k in ids:
+            before = rng.randint(0, 40)
+            planted[k] = (ids[0], [(before, before + 60)])
+            rows.append((k, own_text(rng, before, passage, 40)))
+    rows += [(len(rows) + k, own_text(rng, 80, [], 0)) for k in range(20)]
+    copies = [(len(rows) + k, rows[0][1]) for k in range(5)]
+    planted |= {k: planted[0] for k, _ in copies}
+    got = passages.by_document(passages.find_passages(frame(spark, rows + copies))).collect()
+    assert len(got) == len(planted) and {r.doc_id for r in got} == set(planted)
+    for r in got:
+        # a copy of a whole text is one stretch
+        stretches = [(0, len(rows[0][1].split()))] if planted[r.doc_id] == planted[0] and r.doc_id in {0, *(k for k, _ in copies)} else planted[r.doc_id][1]
+        assert r.class_id == planted[r.doc_id][0] and [(x.start_word, x.end_word) for x in r.passages] == stretches
+        assert r.n_passages == len(stretches) and r.n_words == sum(b - a for a, b in stretches) and all(x.with_doc != r.doc_id for x in r.passages)
+
+
+def test_near_copies_are_joined_by_few_pairs(spark):
+    rng, count = random.Random(11), 160
+    text = own_words(rng, 300)
+    rows = []
+    for k in range(count):
+        words = list(text)
+        for i in rng.sample(range(300), 9):
+            words[i] = f"x{k}x{i}"
+        rows.append((k, " ".join(words)))
+    found = passages.find_passages(frame(spark, rows))
+    # a tree for each of some thirty minima, not all 12,720 pairs
+    assert len({(r.doc_id, r.other_id) for r in found.collect()}) < 30 * count
+    assert {(r.doc_id, r.class_id) for r in passages.by_document(found).collect()} == {(k, 0) for k in range(count)}
+
+
+def test_a_text_of_one_line_with_the_same_word_changed(spark):
+    rng = random.Random(12)
+    line = own_words(rng, 30)
+    rows = [(k, " ".join((line[:9] + [f"y{k}"] + line[10:]) * 40 + line)) for k in range(2)] + [(2, " ".join(line * 3 + own_words(rng, 60)))]
+    one, two = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (t.split() for _, t in rows[:2]))
+    assert len(one & two) / len(one | two) >= 0.7
+    assert {r.doc_id for r in passages.by_document(passages.find_passages(frame(spark, rows))).collect()} >= {0, 1}
