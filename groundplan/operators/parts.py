@@ -4,7 +4,8 @@ The held table is dealt to parts of bounded size by one shuffle. The asking rows
 are few next to it; every part meets all of them. A task holds one part at a time
 and the asking rows stream past it, so neither side passes through the driver.
 Where the asking rows are many, they are dealt to slices, and a part meets one
-slice in each task.
+slice in each task. ``pass_by`` turns this round for asking rows that are the
+larger side: a task holds a slice of them, and the other table streams past it.
 """
 
 from __future__ import annotations
@@ -74,6 +75,43 @@ def meet(held: DataFrame, asks: DataFrame, parts: int, build: Callable, search:
     return both.repartition(max(2, parts * slices), "part").sortWithinPartitions("part", "asks").mapInArrow(_stream(build, search, slices), schema)
 
 
+def _passing(build: Callable):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            own = int(np.searchsorted(table.column("passing").to_numpy(zero_copy_only=False), True))
+            if own:
+                waiting.append(table.slice(0, own))
+            if own < len(table) and (waiting or held is not None):
+                if held is None:
+                    held, waiting = build(pa.concat_tables(waiting)), []
+                held.meet(table.slice(own))
+        if held is not None:
+            yield from held.found()
+
+    return run
+
+
+def pass_by(held: DataFrame, passing: DataFrame, order: str, parts: int, slices: int, build: Callable, schema: str) -> DataFrame:
+    """What each of some slices of ``held`` finds among the rows of ``passing``, which come in the ``order`` of a column.
+
+    The rows of ``passing`` are dealt to ``parts`` by that column. A task holds one
+    slice, as ``build`` makes it of an Arrow table, lets the rows of one part pass by its
+    ``meet``, batch after batch, and puts out the record batches of its ``found``.
+    The names of both tables are unlike.
+    """
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = F.pmod(F.xxhash64(*held.columns), F.lit(slices)).cast("int")
+    held = held.withColumn("_slice", own).select("*", numbers(parts).alias("_part"), F.lit(False).alias("passing"))
+    # the rows go out many times each, so that all cores take part
+    passing = passing.repartition(passing.sparkSession.sparkContext.defaultParallelism, order)
+    passing = passing.withColumn("_part", part_of(F.col(order), parts)).select("*", numbers(slices).alias("_slice"), F.lit(True).alias("passing"))
+    both = held.unionByName(passing, allowMissingColumns=True).withColumn("part", F.col("_slice") * parts + F.col("_part")).drop("_slice")
+    dealt = both.repartitionById(max(2, parts * slices), "part").drop("part").withColumnRenamed("_part", "part")
+    return dealt.sortWithinPartitions("passing", order).mapInArrow(_passing(build), schema)
+
+
 def best_of_parts(found: DataFrame, keys: list[str], order: list[Column], count: int, parts: int) -> DataFrame:
     """The first ``count`` rows per keys, over some parts at a time where there are many."""
 

@@ -12,7 +12,7 @@ from groundplan.operators import graph
 from groundplan.operators.keyword import chunks_above, keyword_topk, pair_hits, postings
 from groundplan.operators.sizes import broadcast_if_small
 from groundplan.operators.vectors import vector_topk
-from groundplan.session import cut_lineage
+from groundplan.session import cut_lineage, stored
 
 # --- keyword scores -----------------------------------------------------
 
@@ -238,10 +238,10 @@ def hierarchical_search(queries: DataFrame, chunks: DataFrame, *, k: int = 5, se
     near = vector_topk(queries, overviews, k=sections).join(overviews.select("chunk_id", "clause_id"), "chunk_id")
     near = cut_lineage(near)
     named = near.filter(F.coalesce("clause_id", F.lit("")) != "")
-    clauses = named.select("query_id", F.explode(clause_prefixes(F.col("clause_id"))).alias("clause")).distinct()
+    clauses = named.select("query_id", F.explode(clause_prefixes(F.col("clause_id"))).alias("clause")).distinct() if apply_prefix else None
     rules = chunks.filter(F.col("target_index") == "rule")
-    guided = queries.join(clauses.select("query_id").distinct(), "query_id", "left_semi")
-    best = vector_topk(guided, rules, k=k, within=clauses if apply_prefix else None)
+    guided = queries.join(named.select("query_id").distinct(), "query_id", "left_semi")
+    best = vector_topk(guided, rules, k=k, within=clauses)
     best = cut_lineage(best.withColumn("stage", F.lit("rule")))
     rest = queries.join(best.select("query_id").distinct(), "query_id", "left_anti")
     return best.unionByName(vector_topk(rest, chunks, k=k).withColumn("stage", F.lit("semantic")))
@@ -254,7 +254,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, *, k: int = 5, edges: DataFr
     everything. With ``edges`` (src, dst) the results of design questions are
     followed by the chunks they refer to; ``rank`` counts both.
     """
-    routed = cut_lineage(route_queries(queries).select("query_id", "query_type", "embedding"))
+    routed = stored(route_queries(queries).select("query_id", "query_type", "embedding"))
     of = lambda *kinds: routed.filter(F.col("query_type").isin(*kinds)).select("query_id", "embedding")
     design = hierarchical_search(of("comprehensive_design"), chunks, k=k).select("query_id", "chunk_id", "rank")
     tables = vector_topk(of("data_lookup"), chunks.filter(F.col("content_type") == "table"), k=k)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from groundplan import fixed_values as V
 from groundplan.operators import cache
-from groundplan.operators.parts import best_of_parts, meet, part_count, part_of
+from groundplan.operators.parts import best_of_parts, meet, part_count, part_of, pass_by
 from groundplan.session import stored
 
 # query vectors scored at a time, and bytes of chunk vectors held by a task
@@ -33,6 +33,17 @@ SCORE_DIGITS = 12
 _SLACK = 1e-11
 # rows of a part are padded to a multiple of this
 _LANES = 64
+# bytes that queries held by a task take with their results, and queries and chunks that are screened at a time
+_HELD_BYTES = 64 * 1024 * 1024
+_SCREEN_QUERIES = 512
+_SCREEN_CHUNKS = 1_024
+# chunks of which the largest score is looked at first
+_LANE = 16
+# pairs whose exact scores are computed at a time
+_PAIRS = 16_384
+# rows in a batch put out, and ids kept that no result needs
+_ROWS_OUT = 65_536
+_SPARE_IDS = 1_000_000
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -152,6 +163,153 @@ def _search_part(threshold: float, count: int, limited: bool):
     return search
 
 
+class _Asked:
+    """Queries of one vector length with their ``count`` best chunks so far; chunks come in the order of their ids.
+
+    Scores are screened in single precision against the last of the best, less what
+    rounding can change, and computed in double precision for the few pairs that pass.
+    Those wait until twice the chunks have come by before they join the best.
+    """
+
+    def __init__(self, rows: pa.Table, size: int, threshold: float, count: int):
+        self.ids = rows.column("query_id").combine_chunks()
+        self.vectors = _unit(_matrix(rows.column("query_vector"), size))
+        self.threshold, self.count = threshold, count
+        self.slack = (size + 8) * 2.0**-23 + _SLACK
+        self.heads = range(0, len(self.vectors), _SCREEN_QUERIES)
+        self.screens = [np.ascontiguousarray(self.vectors[a : a + _SCREEN_QUERIES].T, dtype=np.float32) for a in self.heads]
+        self.score = np.full((len(self.vectors), count), -np.inf)
+        self.place = np.zeros((len(self.vectors), count), np.int64)
+        self.least = np.full(len(self.vectors), threshold - self.slack, np.float32)
+        self.waiting: list[list[tuple[np.ndarray, ...]]] = [[] for _ in self.heads]
+        self.due = [0] * len(self.screens)
+        self.space = np.empty(_SCREEN_QUERIES * _SCREEN_CHUNKS, np.float32)
+        self.seen, self.kept, self.names = 0, 0, []
+
+    def meet(self, names: pa.Table, chunks: np.ndarray) -> None:
+        """Let chunks pass by: their chunk_id and target_index, and their unit vectors."""
+        screens = np.zeros((-(-len(chunks) // _LANE) * _LANE, chunks.shape[1]), np.float32)
+        screens[: len(chunks)] = chunks
+        for block in range(len(self.screens)):
+            for at in range(0, len(chunks), _SCREEN_CHUNKS):
+                self._screen(block, screens[at : at + _SCREEN_CHUNKS], chunks[at : at + _SCREEN_CHUNKS], self.kept + at)
+                if self.seen + min(at + _SCREEN_CHUNKS, len(chunks)) >= self.due[block] or sum(len(w[0]) for w in self.waiting[block]) > _PAIRS:
+                    self._join(block)
+                    self.due[block] = 2 * (self.seen + at + _SCREEN_CHUNKS)
+        self.names.append(names)
+        self.seen, self.kept = self.seen + len(chunks), self.kept + len(chunks)
+        if self.kept > 2 * self.score.size + _SPARE_IDS:
+            self._forget()
+
+    def _screen(self, block: int, screens: np.ndarray, chunks: np.ndarray, first: int) -> None:
+        """Pairs of a block of queries and some chunks that can be among the best."""
+        head, asked = self.heads[block], self.screens[block]
+        scores = np.matmul(screens, asked, out=self.space[: screens.shape[0] * asked.shape[1]].reshape(len(screens), -1))
+        scores[len(chunks) :] = -np.inf
+        lanes = scores.reshape(-1, _LANE, asked.shape[1])
+        most, least = lanes.max(axis=1), self.least[head : head + asked.shape[1]]
+        lane, query = np.nonzero(most >= least)
+        if len(lane) > 2 * self.count * asked.shape[1] and len(most) >= self.count:
+            # as many chunks have the score of their lane, so that none below these can be among the best
+            bound = np.partition(most, len(most) - self.count, axis=0)[len(most) - self.count]
+            least = np.maximum(least, bound - np.float32(2 * self.slack))
+            lane, query = np.nonzero(most >= least)
+        pair, step = np.nonzero(lanes[lane, :, query] >= least[query][:, None])
+        row, query = lane[pair] * _LANE + step, query[pair]
+        for at in range(0, len(row), _PAIRS):
+            r, q = row[at : at + _PAIRS], query[at : at + _PAIRS]
+            score = np.round(np.einsum("ij,ij->i", chunks[r], self.vectors[head + q]), SCORE_DIGITS)
+            # of equal scores the earlier chunk has the smaller id
+            good = (score >= self.threshold) & (score > self.score[head + q, -1])
+            self.waiting[block].append((q[good], first + r[good], score[good]))
+
+    def _join(self, block: int) -> None:
+        """Put waiting pairs among the best of their queries."""
+        waiting, self.waiting[block] = self.waiting[block], []
+        query, place, score = (np.concatenate(c) for c in zip(*waiting)) if waiting else (np.zeros(0, np.int64),) * 3
+        if not len(query):
+            return
+        order = np.argsort(query, kind="stable")
+        query, place, score = query[order], place[order], score[order]
+        own, first, counts = np.unique(query, return_index=True, return_counts=True)
+        line, column = np.repeat(np.arange(len(own)), counts), self.count + np.arange(len(query)) - np.repeat(first, counts)
+        shape, at = (len(own), self.count + counts.max()), self.heads[block] + own
+        scores, places = np.full(shape, -np.inf), np.zeros(shape, np.int64)
+        scores[:, : self.count], places[:, : self.count] = self.score[at], self.place[at]
+        scores[line, column], places[line, column] = score, place
+        best = np.argsort(-scores, axis=1, kind="stable")[:, : self.count]
+        self.score[at], self.place[at] = np.take_along_axis(scores, best, axis=1), np.take_along_axis(places, best, axis=1)
+        self.least[at] = np.maximum(self.threshold, self.score[at, -1]) - self.slack
+
+    def _settle(self) -> None:
+        for block in range(len(self.screens)):
+            self._join(block)
+
+    def _forget(self) -> None:
+        """Keep the ids of the best only, numbered anew in the same order."""
+        self._settle()
+        found = self.score > -np.inf
+        used, place = np.unique(self.place[found], return_inverse=True)
+        self.place[found] = place
+        self.names, self.kept = [pa.concat_tables(self.names).take(pa.array(used))], len(used)
+
+    def found(self, part: int) -> Iterator[pa.RecordBatch]:
+        self._settle()
+        if not self.names:
+            return
+        names = pa.concat_tables(self.names).combine_chunks()
+        query, rank = np.nonzero(self.score > -np.inf)
+        for at in range(0, len(query), _ROWS_OUT):
+            q, r = query[at : at + _ROWS_OUT], rank[at : at + _ROWS_OUT]
+            chunks = names.take(pa.array(self.place[q, r])).combine_chunks()
+            columns = [chunks.column(c).chunk(0) for c in ("chunk_id", "target_index")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(q), part, np.int32)), self.ids.take(pa.array(q)), *columns, pa.array(self.score[q, r])],
+                names=["part", "query_id", "chunk_id", "target_index", "score"],
+            )
+
+
+def _distinct(rows: pa.Table, size: int) -> pa.Table:
+    """Rows of equal query_id and query_vector once each."""
+    ids = rows.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    often = np.flatnonzero(np.bincount(ids)[ids] > 1)
+    if not len(often):
+        return rows
+    again = np.column_stack([ids[often], _matrix(rows.column("query_vector").take(pa.array(often)), size)])
+    kept = np.ones(len(ids), bool)
+    kept[often] = False
+    kept[often[np.unique(again, axis=0, return_index=True)[1]]] = True
+    return rows.filter(pa.array(kept))
+
+
+class _Slice:
+    """The queries of one slice, by vector length."""
+
+    def __init__(self, rows: pa.Table, threshold: float, count: int):
+        self.part = rows.column("part")[0].as_py()
+        sizes = pc.list_value_length(rows.column("query_vector")).to_numpy()
+        lengths = {n: rows.filter(pa.array(sizes == n)) for n in np.unique(sizes).tolist()}
+        self.asked = {n: _Asked(_distinct(own, n), n, threshold, count) for n, own in lengths.items()}
+
+    def meet(self, rows: pa.Table) -> None:
+        sizes = pc.list_value_length(rows.column("chunk_vector")).to_numpy()
+        for n in np.unique(sizes).tolist():
+            if n in self.asked:
+                own = rows.filter(pa.array(sizes == n))
+                vectors = _unit(_matrix(own.column("chunk_vector"), n))
+                whole = np.isfinite(vectors).all(axis=1)
+                if whole.any():
+                    self.asked[n].meet(own.select(["chunk_id", "target_index"]).filter(pa.array(whole)), vectors[whole])
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for asked in self.asked.values():
+            yield from asked.found(self.part)
+
+
+def _hold(threshold: float, count: int):
+    return lambda rows: _Slice(rows, threshold, count)
+
+
 def _limited(rows: DataFrame, within: DataFrame) -> DataFrame:
     """Each query with its clauses, in rows of a bounded number of them; queries without one are left out."""
     pairs = within.select("query_id", "clause").filter(F.col("clause").isNotNull()).distinct()
@@ -161,17 +319,24 @@ def _limited(rows: DataFrame, within: DataFrame) -> DataFrame:
     return rows.join(lists, "query_id")
 
 
-def _dealt(queries: DataFrame, chunks: DataFrame) -> tuple[int, int]:
-    """Numbers of parts and of slices of the queries, from counts of both and the length of one vector."""
+def _dealt(queries: DataFrame, chunks: DataFrame, count: int | None = None) -> tuple[int, int]:
+    """Numbers of parts and of slices of the queries, from counts of both and the length of one vector.
+
+    With ``count``, the results that each query keeps, slices are held and the parts pass by.
+    """
     one = chunks.select(F.size("embedding").alias("n")).filter("n > 0").head()
     if one is None:
         return 1, 1
     size, asked = chunks.count() * 8 * one.n, queries.count()
     if asked < _MANY_QUERIES:
         return part_count(chunks, size, PART_BYTES, _LEAST_PART_BYTES), 1
-    parts = part_count(chunks, size, PART_BYTES, PART_BYTES)
     tasks = 3 * chunks.sparkSession.sparkContext.defaultParallelism
-    return parts, max(-(-asked * 8 * one.n // _SLICE_BYTES), min(-(-tasks // parts), asked // (_MANY_QUERIES // 4)))
+    few = asked // (_MANY_QUERIES // 4)
+    if count is not None:
+        slices = max(-(-asked * (8 * one.n + 16 * count) // _HELD_BYTES), min(tasks, few))
+        return max(1, min(-(-tasks // slices), size // _LEAST_PART_BYTES)), slices
+    parts = part_count(chunks, size, PART_BYTES, PART_BYTES)
+    return parts, max(-(-asked * 8 * one.n // _SLICE_BYTES), min(-(-tasks // parts), few))
 
 
 def vector_topk(
@@ -191,28 +356,33 @@ def vector_topk(
     rows, in slices where they are many: a task holds its part and scores the
     queries, which stream past, by matrix products. It keeps ``k`` rows per query,
     or ``per_collection`` of each collection, which are merged in two steps where
-    there are many parts. Chunk texts stay out of the
-    search. ``within`` (query_id, clause) limits a query to chunks at or below its
-    clauses. Vectors are compared with those of their own length only; equal
+    there are many parts. Without such limits many queries are dealt to slices
+    instead: a task holds one, and the chunks stream past in the order of their ids.
+    Chunk texts stay out of the search. ``within`` (query_id, clause) limits a
+    query to chunks at or below its clauses. Vectors are compared with those of their own length only; equal
     rows of queries count once, null and empty vectors not at all.
     """
     count, grouped = per_collection or k, per_collection is not None
     group = F.col("target_index") if "target_index" in chunks.columns else F.lit("main")
     clause = F.coalesce("clause_id", F.lit("")) if within is not None else F.lit(None).cast("string")
-    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("query_vector")).filter(F.size("query_vector") > 0).distinct()
-    rows = rows.withColumn("clauses", F.lit(None).cast("array<string>")) if within is None else _limited(rows, within)
-    parts, slices = _dealt(queries, chunks)
+    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("query_vector")).filter(F.size("query_vector") > 0)
+    plain = within is None and not grouped
+    parts, slices = _dealt(queries, chunks, k if plain else None)
     held = chunks.filter(F.size("embedding") > 0).select(
         part_of(F.col("chunk_id"), parts), "chunk_id", F.coalesce(group, F.lit("main")).alias("target_index"),
         clause.alias("clause_id"), F.col("embedding").alias("chunk_vector"),
     )
     kind = lambda df, name: df.schema[name].dataType.simpleString()
     schema = f"part int, query_id {kind(queries, 'query_id')}, chunk_id {kind(chunks, 'chunk_id')}, target_index string, score double"
+    best = [F.desc("score"), F.col("chunk_id")]
+    if plain and slices > 1:
+        found = pass_by(rows, held.drop("part", "clause_id"), "chunk_id", parts, slices, _hold(threshold, k), schema)
+        return best_of_parts(found, ["query_id"], best, k, parts)
     limited = within is not None
+    rows = _limited(rows.distinct(), within) if limited else rows.distinct().withColumn("clauses", F.lit(None).cast("array<string>"))
     found = meet(held, rows, parts, _read_part(limited, grouped), _search_part(threshold, count, limited), schema, slices=slices)
     if limited:  # a query with many clauses stands in several rows
         found = found.dropDuplicates(["part", "query_id", "target_index", "chunk_id", "score"])
-    best = [F.desc("score"), F.col("chunk_id")]
     if not grouped:
         return best_of_parts(found, ["query_id"], best, k, parts)
     candidates = best_of_parts(found, ["query_id", "target_index"], best, count, parts).drop("rank")

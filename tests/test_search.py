@@ -382,3 +382,77 @@ def test_best_of_a_block_is_bounded_by_maxima(columns):
     rows, places, found = vectors._best(scores, 0.3, 5)
     want = [(q, int(c)) for q in range(30) for c in np.lexsort((np.arange(columns), -scores[q]))[:5] if scores[q, c] >= 0.3]
     assert list(zip(rows.tolist(), places.tolist())) == want and (found == scores[rows, places]).all()
+
+
+def _passed_by(monkeypatch, queries, chunks, batch, threshold, count, **sizes):
+    """Ids and scores of the chunks that ``_Asked`` keeps while chunks pass by in batches."""
+    import pyarrow as pa
+
+    for name, value in sizes.items():
+        monkeypatch.setattr(vectors, name, value)
+    rows = pa.table({"query_id": pa.array(range(len(queries))), "query_vector": pa.array(queries.tolist(), pa.list_(pa.float64()))})
+    asked = vectors._Asked(rows, queries.shape[1], threshold, count)
+    for at in range(0, len(chunks), batch):
+        ids = pa.array(range(at, min(at + batch, len(chunks))))
+        asked.meet(pa.table({"chunk_id": ids, "target_index": pa.array(["main"] * len(ids))}), vectors._unit(chunks[at : at + batch]))
+    rows = [r for b in asked.found(0) for r in b.to_pylist()]
+    return [(r["query_id"], r["chunk_id"], r["score"]) for r in rows]
+
+
+@pytest.mark.parametrize("threshold, count, sizes", [
+    (0.3, 5, {}), (0.3, 5, {"_SCREEN_QUERIES": 7, "_SCREEN_CHUNKS": 32, "_PAIRS": 10, "_ROWS_OUT": 9}), (-1.0, 300, {}), (0.0, 3, {"_SPARE_IDS": -100_000, "_SCREEN_CHUNKS": 48}),
+])
+def test_chunks_that_pass_by_leave_the_best(monkeypatch, threshold, count, sizes):
+    """Also with many ties, zero vectors, scores that all pass and scores that differ by less than single precision tells."""
+    rng = np.random.default_rng(11)
+    queries, chunks = np.round(rng.normal(size=(60, 6)), 1), np.round(rng.normal(size=(900, 6)), 1)
+    chunks[200:500] = chunks[7]
+    chunks[600:700] = np.abs(chunks[600:700])
+    chunks[700:750] = chunks[600] + 1e-9 * rng.normal(size=(50, 6))
+    chunks[[3, 800]], queries[5] = 0.0, 0.0
+    queries[:20] = np.abs(queries[:20])
+    got = _passed_by(monkeypatch, queries, chunks, 130, threshold, count, **sizes)
+    scores = np.round(vectors._unit(queries) @ vectors._unit(chunks).T, 12)
+    want = [(q, int(c)) for q in range(60) for c in np.lexsort((np.arange(900), -scores[q]))[:count] if scores[q, c] >= threshold]
+    assert [(q, c) for q, c, _ in got] == want and all(abs(s - scores[q, c]) < 1e-11 for q, c, s in got)
+
+
+def test_many_queries_of_odd_kinds_equal_brute_force(frame, monkeypatch):
+    """Repeated and null ids, equal rows, vectors of other lengths, empty and null ones and such with NaN."""
+    rng = np.random.default_rng(3)
+    chunks = [(None if i % 97 == 5 else f"c{i:03d}", None if i % 50 == 3 else [] if i % 50 == 4 else rng.normal(size=4 if i % 3 else 5).round(1).tolist()) for i in range(300)]
+    chunks[8] = ("c008", [float("nan")] * 4)
+    asked = [(None if i % 60 == 7 else i // 2, None if i % 40 == 9 else rng.normal(size=4 if i % 4 else 5).round(1).tolist()) for i in range(240)]
+    asked += asked[:30] + [(500, [1.0, float("nan"), 0.0, 0.0])]
+    df = lambda rows, name: frame(rows, f"{name} {'string' if name == 'chunk_id' else 'int'}, embedding array<double>")
+    few = vectors.vector_topk(df(asked, "query_id"), df([c for c in chunks if c[0] is not None], "chunk_id"), k=4, threshold=0.2)
+    monkeypatch.setattr(vectors, "_MANY_QUERIES", 40)
+    monkeypatch.setattr(vectors, "_LEAST_PART_BYTES", 1_000)
+    assert vectors._dealt(df(asked, "query_id"), df(chunks, "chunk_id"), 4)[1] > 1
+    many = vectors.vector_topk(df(asked, "query_id"), df([c for c in chunks if c[0] is not None], "chunk_id"), k=4, threshold=0.2)
+    rows = lambda found: sorted(repr((r.query_id, r.rank, r.chunk_id, r.target_index, round(r.score, 9))) for r in found.collect())
+    assert rows(many) == rows(few) and len(rows(few)) > 400
+    assert vectors.vector_topk(df(asked, "query_id"), df(chunks, "chunk_id"), k=4, threshold=0.2).filter("chunk_id is null").count() > 0
+
+
+def test_each_slice_has_a_task_and_every_query_is_held_once(spark):
+    """Slices that share a task by chance of a hash leave cores idle; queries sent to every part of the chunks grow with both."""
+
+    class Counted:
+        def __init__(self, rows):
+            self.part, self.held, self.passed = rows.column("part")[0].as_py(), rows.num_rows, 0
+
+        def meet(self, rows):
+            self.passed += rows.num_rows
+
+        def found(self):
+            import pyarrow
+
+            yield pyarrow.RecordBatch.from_pydict({"part": [self.part], "held": [self.held], "passed": [self.passed]})
+
+    asked, chunks = spark.range(4_000).withColumnRenamed("id", "query_id"), spark.range(500).withColumnRenamed("id", "chunk_id")
+    count = lambda n, slices: parts.pass_by(asked, chunks, "chunk_id", n, slices, lambda rows: Counted(rows), "part long, held long, passed long").withColumn("task", F.spark_partition_id()).collect()
+    rows = count(1, 16)
+    assert len({r.task for r in rows}) == 16 and sum(r.held for r in rows) == 4_000 and {r.passed for r in rows} == {500}
+    rows = count(3, 4)
+    assert len({r.task for r in rows}) == 12 and sum(r.held for r in rows) == 12_000 and sum(r.passed for r in rows) == 2_000
