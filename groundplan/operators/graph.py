@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundplan import fixed_values as V
 from groundplan.operators.running import running_totals
+from groundplan.operators.sizes import broadcast_if_small
 from groundplan.session import cut_lineage
 
 # primaries of a query that are numbered in one task
@@ -54,27 +55,32 @@ def degrees(chunks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def resolved_references(primaries: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Distinct references of the primaries, from edges and from their own list, that exist; none to themselves."""
-    pairs = primaries.select("query_id", "rank", "chunk_id").join(edges.withColumnRenamed("src", "chunk_id"), "chunk_id")
-    pairs = pairs.select("query_id", "rank", "chunk_id", F.col("dst").alias("ref_id"))
-    if "references" in primaries.columns:
-        pairs = pairs.unionByName(primaries.select("query_id", "rank", "chunk_id", F.explode("references").alias("ref_id")))
-    pairs = pairs.filter(F.col("ref_id") != F.col("chunk_id")).distinct()
-    return pairs.join(chunks.select(F.col("chunk_id").alias("ref_id")), "ref_id", "left_semi")
+    """Distinct references of the primaries, from edges and from their own list, that exist; none to themselves.
+
+    A primary stands once in a query, so that edges are made distinct and compared
+    with the chunks before they meet the primaries, which are many more.
+    """
+    known = chunks.select(F.col("chunk_id").alias("ref_id"))
+    links = edges.select(F.col("src").alias("chunk_id"), F.col("dst").alias("ref_id")).filter("chunk_id != ref_id")
+    links = links.distinct().join(known, "ref_id", "left_semi")
+    columns = ["query_id", "rank", "chunk_id", "ref_id"]
+    pairs = primaries.select(columns[:3]).join(links, "chunk_id").select(columns)
+    if "references" not in primaries.columns:
+        return pairs
+    own = primaries.select(*columns[:3], F.explode("references").alias("ref_id")).filter("chunk_id != ref_id")
+    return pairs.unionByName(own.join(known, "ref_id", "left_semi")).distinct()
 
 
-def _skipped(refs: DataFrame, primaries: DataFrame) -> DataFrame:
-    """Primaries (query_id, chunk_id) that an earlier one has fetched as a reference.
+def _skipped(links: DataFrame) -> DataFrame:
+    """Primaries (query_id, chunk_id) that an earlier one has fetched as a reference, from links (query_id, src, dst) to later primaries.
 
     A primary waits for the earlier ones that refer to it. In each round those
     that wait for none stand, what they refer to is skipped, and what the skipped
     refer to no longer waits for them. There are as many rounds as the longest
     chain of primaries that decide one another; only the links left are carried on.
     """
-    later = primaries.select("query_id", F.col("chunk_id").alias("ref_id"), F.col("rank").alias("_rank"))
-    links = refs.join(later, ["query_id", "ref_id"]).filter(F.col("rank") < F.col("_rank"))
-    links = cut_lineage(links.select("query_id", F.col("chunk_id").alias("src"), F.col("ref_id").alias("dst")))
-    skipped = None
+    links = cut_lineage(links)
+    none, skipped = links.select("query_id", F.col("dst").alias("chunk_id")).limit(0), None
     while not links.isEmpty():
         key = lambda side, name: links.select("query_id", F.col(side).alias(name)).distinct()
         standing = key("src", "src").join(key("dst", "src"), ["query_id", "src"], "left_anti")
@@ -83,7 +89,7 @@ def _skipped(refs: DataFrame, primaries: DataFrame) -> DataFrame:
         gone = lambda name: now.select("query_id", F.col("chunk_id").alias(name))
         links = links.join(standing, ["query_id", "src"], "left_anti").join(gone("dst"), ["query_id", "dst"], "left_anti")
         links = cut_lineage(links.join(gone("src"), ["query_id", "src"], "left_anti"))
-    return primaries.select("query_id", "chunk_id").limit(0) if skipped is None else skipped
+    return none if skipped is None else skipped
 
 
 def expand(primaries: DataFrame, edges: DataFrame, chunks: DataFrame, *, max_depth: int = 1) -> DataFrame:
@@ -101,13 +107,17 @@ def expand(primaries: DataFrame, edges: DataFrame, chunks: DataFrame, *, max_dep
     rows = cut_lineage(rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") == 1).drop("_n"))
     found = rows.select("query_id", "rank", "chunk_id", F.lit("primary").alias("role"), F.lit(None).cast("string").alias("referenced_from"))
     if max_depth > 0:
-        refs = resolved_references(rows, edges.select(text("src"), text("dst")), chunks.select(text("chunk_id")))
-        refs = cut_lineage(refs)
-        skipped = _skipped(refs, rows)
+        refs = resolved_references(rows, edges.select(text("src"), text("dst")), chunks.select(text("chunk_id"))).filter("query_id IS NOT NULL")
+        # which references are primaries of the query as well is found once, for the rounds and for the claims
+        later = rows.select("query_id", F.col("chunk_id").alias("ref_id"), F.col("rank").alias("_rank"), F.lit(True).alias("_primary"))
+        refs = cut_lineage(refs.join(later, ["query_id", "ref_id"], "left"))
+        links = refs.filter(F.col("rank") < F.col("_rank")).select("query_id", F.col("chunk_id").alias("src"), F.col("ref_id").alias("dst"))
+        skipped = broadcast_if_small(_skipped(links))
         found = found.join(skipped, ["query_id", "chunk_id"], "left_anti").select(found.columns)
-        standing = found.select("query_id", "chunk_id")
-        own = refs.join(standing, ["query_id", "chunk_id"], "left_semi")
-        own = own.join(standing.withColumnRenamed("chunk_id", "ref_id"), ["query_id", "ref_id"], "left_anti")
+        own = refs.join(skipped, ["query_id", "chunk_id"], "left_anti")
+        # a reference that stands as a primary is there already
+        fetched = own.filter(F.col("_primary")).join(skipped.withColumnRenamed("chunk_id", "ref_id"), ["query_id", "ref_id"], "left_semi")
+        own = own.filter(F.col("_primary").isNull()).unionByName(fetched)
         claims = own.groupBy("query_id", "ref_id").agg(F.min(F.struct("rank", "chunk_id")).alias("_by"))
         found = found.unionByName(
             claims.select(
@@ -116,7 +126,12 @@ def expand(primaries: DataFrame, edges: DataFrame, chunks: DataFrame, *, max_dep
             )
         )
     order = [F.col("rank"), F.col("role"), F.col("chunk_id")]  # a primary comes ahead of its references
-    found = running_totals(found, ["query_id"], F.floor(F.col("rank") / _RANKS_PER_PART), order, rank="position")
+    bucket = F.floor(F.col("rank") / _RANKS_PER_PART)
+    least, most = rows.agg(F.min(bucket), F.max(bucket)).first()
+    if least == most:
+        found = found.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    else:
+        found = running_totals(found, ["query_id"], bucket, order, rank="position")
     score = F.when(F.col("role") == "reference", V.REFERENCE_SCORE).otherwise(1.0)
     return found.select("query_id", (F.col("position") - 1).cast("int").alias("position"), "chunk_id", "role", "referenced_from", score.alias("relevance_score"))
 

@@ -185,7 +185,8 @@ def merge_results(base: DataFrame, extra: DataFrame, *, k: int = 10) -> DataFram
         F.coalesce(F.col("page_number").cast("string"), F.lit("")), F.substring("text", 1, V.MERGE_KEY_CHARS),
     ]
     first = Window.partitionBy("query_id", *key).orderBy("_list", "rank")
-    kept = both.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") == 1).drop("_n")
+    # both windows run on one shuffle
+    kept = both.repartition("query_id").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") == 1).drop("_n")
     order = Window.partitionBy("query_id").orderBy("_list", "rank")
     out = kept.withColumn("merged_rank", F.row_number().over(order)).filter(F.col("merged_rank") <= max(k, V.EQUATION_TOP_K))
     return out.drop("_list")
@@ -284,7 +285,7 @@ def retrieve_equations(queries: DataFrame, chunks: DataFrame, *, k: int = 5, edg
     """
     wide = max(k, V.EQUATION_TOP_K)
     again = queries.select("query_id", routing.equation_query(F.col("text")).alias("text"), F.col("equation_embedding").alias("embedding"))
-    key = chunks.select("chunk_id", "document_name", "section_title", "page_number", "text")
+    key = broadcast_if_small(chunks.select("chunk_id", "document_name", "section_title", "page_number", "text"))
     base = retrieve(queries, chunks, k=k, edges=edges).join(key, "chunk_id")
     extra = retrieve(again, chunks, k=wide).join(key, "chunk_id")
     return merge_results(base, extra, k=wide)

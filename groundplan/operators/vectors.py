@@ -183,6 +183,7 @@ class _Asked:
         self.least = np.full(len(self.vectors), threshold - self.slack, np.float32)
         self.waiting: list[list[tuple[np.ndarray, ...]]] = [[] for _ in self.heads]
         self.due = [0] * len(self.screens)
+        self.most_waiting = max(_PAIRS, 2 * count * _SCREEN_QUERIES)
         self.space = np.empty(_SCREEN_QUERIES * _SCREEN_CHUNKS, np.float32)
         self.seen, self.kept, self.names = 0, 0, []
 
@@ -193,7 +194,7 @@ class _Asked:
         for block in range(len(self.screens)):
             for at in range(0, len(chunks), _SCREEN_CHUNKS):
                 self._screen(block, screens[at : at + _SCREEN_CHUNKS], chunks[at : at + _SCREEN_CHUNKS], self.kept + at)
-                if self.seen + min(at + _SCREEN_CHUNKS, len(chunks)) >= self.due[block] or sum(len(w[0]) for w in self.waiting[block]) > _PAIRS:
+                if self.seen + min(at + _SCREEN_CHUNKS, len(chunks)) >= self.due[block] or sum(len(w[0]) for w in self.waiting[block]) > self.most_waiting:
                     self._join(block)
                     self.due[block] = 2 * (self.seen + at + _SCREEN_CHUNKS)
         self.names.append(names)
@@ -282,20 +283,23 @@ def _distinct(rows: pa.Table, size: int) -> pa.Table:
     return rows.filter(pa.array(kept))
 
 
+def _of_length(rows: pa.Table, sizes: np.ndarray, n: int) -> pa.Table:
+    return rows if (sizes == n).all() else rows.filter(pa.array(sizes == n))
+
+
 class _Slice:
     """The queries of one slice, by vector length."""
 
     def __init__(self, rows: pa.Table, threshold: float, count: int):
         self.part = rows.column("part")[0].as_py()
         sizes = pc.list_value_length(rows.column("query_vector")).to_numpy()
-        lengths = {n: rows.filter(pa.array(sizes == n)) for n in np.unique(sizes).tolist()}
-        self.asked = {n: _Asked(_distinct(own, n), n, threshold, count) for n, own in lengths.items()}
+        self.asked = {n: _Asked(_distinct(_of_length(rows, sizes, n), n), n, threshold, count) for n in np.unique(sizes).tolist()}
 
     def meet(self, rows: pa.Table) -> None:
         sizes = pc.list_value_length(rows.column("chunk_vector")).to_numpy()
         for n in np.unique(sizes).tolist():
             if n in self.asked:
-                own = rows.filter(pa.array(sizes == n))
+                own = _of_length(rows, sizes, n)
                 vectors = _unit(_matrix(own.column("chunk_vector"), n))
                 whole = np.isfinite(vectors).all(axis=1)
                 if whole.any():
@@ -330,13 +334,15 @@ def _dealt(queries: DataFrame, chunks: DataFrame, count: int | None = None) -> t
     size, asked = chunks.count() * 8 * one.n, queries.count()
     if asked < _MANY_QUERIES:
         return part_count(chunks, size, PART_BYTES, _LEAST_PART_BYTES), 1
-    tasks = 3 * chunks.sparkSession.sparkContext.defaultParallelism
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
     few = asked // (_MANY_QUERIES // 4)
     if count is not None:
-        slices = max(-(-asked * (8 * one.n + 16 * count) // _HELD_BYTES), min(tasks, few))
-        return max(1, min(-(-tasks // slices), size // _LEAST_PART_BYTES)), slices
+        # all slices take as long, so that a round of tasks fills the cores
+        least = -(-asked * (8 * one.n + 16 * count) // _HELD_BYTES)
+        slices = max(2, least, min(-(-least // cores) * cores, few))
+        return max(1, min(-(-cores // slices), size // _LEAST_PART_BYTES)), slices
     parts = part_count(chunks, size, PART_BYTES, PART_BYTES)
-    return parts, max(-(-asked * 8 * one.n // _SLICE_BYTES), min(-(-tasks // parts), few))
+    return parts, max(-(-asked * 8 * one.n // _SLICE_BYTES), min(-(-3 * cores // parts), few))
 
 
 def vector_topk(

@@ -456,3 +456,44 @@ def test_each_slice_has_a_task_and_every_query_is_held_once(spark):
     assert len({r.task for r in rows}) == 16 and sum(r.held for r in rows) == 4_000 and {r.passed for r in rows} == {500}
     rows = count(3, 4)
     assert len({r.task for r in rows}) == 12 and sum(r.held for r in rows) == 12_000 and sum(r.passed for r in rows) == 2_000
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merged_results_are_shuffled_once(frame):
+    columns = "query_id int, chunk_id int, rank int, document_name string, section_title string, page_number int, text string"
+    base = frame([(q, c, c + 1, "D", f"{c % 3}", c % 2, f"text {c % 4}") for q in range(4) for c in range(8)], columns)
+    extra = frame([(q, c, c + 1, "D" if c else None, f"{c % 5}", c % 2, f"text {c % 4}") for q in range(2, 6) for c in range(9)], columns)
+    merged = search.merge_results(base, extra, k=3)
+    assert _plan(merged).count("Exchange") == 1
+    for q in range(6):
+        own = [(0, c, ("D", f"{c % 3}", c % 2, f"text {c % 4}")) for c in range(8) if q < 4]
+        own += [(1, c, ("D" if c else "", f"{c % 5}", c % 2, f"text {c % 4}")) for c in range(9) if q > 1]
+        want = list({key: c for _, c, key in reversed(own)}.items())
+        first = list(dict.fromkeys(key for *_, key in own))
+        want = [dict(want)[key] for key in first][:12]
+        assert [r.chunk_id for r in merged.filter(F.col("query_id") == q).orderBy("merged_rank").collect()] == want
+
+
+def test_edges_are_distinct_before_they_meet_the_primaries(frame):
+    """Primaries with their references are many more rows than edges; they are not shuffled to be distinct or compared with the chunks."""
+    primaries = frame([(q, r, f"c{r}") for q in range(5) for r in range(4)], "query_id int, rank int, chunk_id string")
+    edges = frame([("c1", "c2"), ("c1", "c2"), ("c1", "c1"), ("c2", "gone"), ("c3", "c9"), ("c3", None)], "src string, dst string")
+    chunks = frame([(f"c{i}",) for i in range(10)] + [("c2",)], "chunk_id string")
+    found = graph.resolved_references(primaries, edges, chunks)
+    keys = [line for line in _plan(found).splitlines() if "Aggregate" in line]
+    assert keys and not any("rank" in line for line in keys)
+    assert sorted(map(tuple, found.select("query_id", "rank", "chunk_id", "ref_id").collect())) == [x for q in range(5) for x in ((q, 1, "c1", "c2"), (q, 3, "c3", "c9"))]
+
+
+def test_expansion_without_a_query_id_keeps_its_primaries(frame):
+    primaries = frame([(None, 1, "a"), (None, 2, "b"), (1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 9000, "b"), (2, 1, "c")], "query_id int, rank int, chunk_id string")
+    edges = frame([("a", "b"), ("b", "d"), ("c", "b"), ("c", "e")], "src string, dst string")
+    chunks = frame([(c,) for c in "abcde"], "chunk_id string")
+    rows = graph.expand(primaries, edges, chunks).collect()
+    got = {q: [(r.chunk_id, r.role, r.referenced_from) for r in sorted(rows, key=lambda r: r.position) if r.query_id == q] for q in (None, 1, 2)}
+    assert got[None] == [("a", "primary", None), ("b", "primary", None)]
+    assert got[1] == [("a", "primary", None), ("b", "reference", "a"), ("c", "primary", None), ("e", "reference", "c")]
+    assert got[2] == [("c", "primary", None), ("b", "reference", "c"), ("e", "reference", "c")]
