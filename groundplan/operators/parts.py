@@ -94,7 +94,7 @@ def _passing(build: Callable):
 
 
 def pass_by(held: DataFrame, passing: DataFrame, order: str, parts: int, slices: int, build: Callable, schema: str) -> DataFrame:
-    """What each of some slices of ``held`` finds among the rows of ``passing``, which come in the ``order`` of a column.
+    """What each of some slices of ``held`` finds among the rows of ``passing``, which come in the ``order`` of a column, nulls last.
 
     The rows of ``passing`` are dealt to ``parts`` by that column. A task holds one
     slice, as ``build`` makes it of an Arrow table, lets the rows of one part pass by its
@@ -109,7 +109,7 @@ def pass_by(held: DataFrame, passing: DataFrame, order: str, parts: int, slices:
     passing = passing.withColumn("_part", part_of(F.col(order), parts)).select("*", numbers(slices).alias("_slice"), F.lit(True).alias("passing"))
     both = held.unionByName(passing, allowMissingColumns=True).withColumn("part", F.col("_slice") * parts + F.col("_part")).drop("_slice")
     dealt = both.repartitionById(max(2, parts * slices), "part").drop("part").withColumnRenamed("_part", "part")
-    return dealt.sortWithinPartitions("passing", order).mapInArrow(_passing(build), schema)
+    return dealt.sortWithinPartitions("passing", F.asc_nulls_last(order)).mapInArrow(_passing(build), schema)
 
 
 def best_of_parts(found: DataFrame, keys: list[str], order: list[Column], count: int, parts: int) -> DataFrame:

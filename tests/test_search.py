@@ -497,3 +497,12 @@ def test_expansion_without_a_query_id_keeps_its_primaries(frame):
     assert got[None] == [("a", "primary", None), ("b", "primary", None)]
     assert got[1] == [("a", "primary", None), ("b", "reference", "a"), ("c", "primary", None), ("e", "reference", "c")]
     assert got[2] == [("c", "primary", None), ("b", "reference", "c"), ("e", "reference", "c")]
+
+
+def test_of_equal_scores_a_chunk_without_id_comes_last(spark, frame, monkeypatch):
+    monkeypatch.setattr(vectors, "_MANY_QUERIES", 8)
+    monkeypatch.setattr(vectors, "_LEAST_PART_BYTES", 1 << 40)
+    chunks = frame([(None, [1.0, 0.0]), (7, [2.0, 0.0]), (3, [1.0, 0.0]), (1, [0.0, 1.0])], "chunk_id int, embedding array<double>")
+    asked = spark.range(40).selectExpr("id AS query_id", "array(1D, 0D) AS embedding")
+    rows = vectors.vector_topk(asked, chunks, k=2).collect()
+    assert {r.query_id for r in rows} == set(range(40)) and {(r.rank, r.chunk_id) for r in rows} == {(1, 3), (2, 7)}
