@@ -37,8 +37,8 @@ _LANES = 64
 _HELD_BYTES = 64 * 1024 * 1024
 _SCREEN_QUERIES = 512
 _SCREEN_CHUNKS = 1_024
-# chunks of which the largest score is looked at first
-_LANE = 16
+# chunks of which the largest score is looked at first; _SCREEN_CHUNKS is a multiple of it
+_LANE = 32
 # pairs whose exact scores are computed at a time
 _PAIRS = 16_384
 # rows in a batch put out, and ids kept that no result needs

@@ -400,7 +400,7 @@ def _passed_by(monkeypatch, queries, chunks, batch, threshold, count, **sizes):
 
 
 @pytest.mark.parametrize("threshold, count, sizes", [
-    (0.3, 5, {}), (0.3, 5, {"_SCREEN_QUERIES": 7, "_SCREEN_CHUNKS": 32, "_PAIRS": 10, "_ROWS_OUT": 9}), (-1.0, 300, {}), (0.0, 3, {"_SPARE_IDS": -100_000, "_SCREEN_CHUNKS": 48}),
+    (0.3, 5, {}), (0.3, 5, {"_SCREEN_QUERIES": 7, "_SCREEN_CHUNKS": 32, "_PAIRS": 10, "_ROWS_OUT": 9}), (-1.0, 300, {}), (0.0, 3, {"_SPARE_IDS": -100_000, "_SCREEN_CHUNKS": 64}),
 ])
 def test_chunks_that_pass_by_leave_the_best(monkeypatch, threshold, count, sizes):
     """Also with many ties, zero vectors, scores that all pass and scores that differ by less than single precision tells."""
